@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from ._common import table
 
+def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file; the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 SQL: dict[str, str] = {}
 
 
@@ -23,4 +30,11 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup)}
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing)}
