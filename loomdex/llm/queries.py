@@ -37,4 +37,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing)}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_token_files, scratch, write_token_files
+
+    path = scratch(spark)
+    write_token_files(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files)}
