@@ -45,4 +45,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit, held_out, identify
+
+    docs = table(spark, sf_dir, "documents")
+    trees = fit(docs.select("doc_id", "text", "lang").where(~held_out()))
+    return identify(docs.select("doc_id", "text"), trees).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id)}
