@@ -53,4 +53,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text"), trees).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id, op9_decontamination)}
