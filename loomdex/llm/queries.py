@@ -59,4 +59,36 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id, op9_decontamination)}
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import BASE_RULES, find_secrets, spans_text
+
+    out = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in BASE_RULES]
+    base = spans_text(F.filter("spans", lambda s: s["kind"].isin(*BASE_RULES)))
+    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+def _op10_sql() -> str:
+    from .secrets import BASE_RULES, RULES
+
+    def spans(nth: int, kind: str, pattern: str, group: int, least: int) -> str:
+        quoted = pattern.replace("'", "''")
+        part = lambda i: f"regexp_extract_all(t, '(?s:(.*?))({quoted})', {i})"
+        start = "list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i-1], lambda x: length(x))), 0)"
+        return f"""SELECT doc_id, {nth} AS nth, '{kind}' AS kind, unnest(list_transform(range(1, len(h) + 1), lambda i:
+            {{'s': {start}, 'n': length(h[i]), 'v': length(v[i])}}), recursive := true) FROM (
+            SELECT doc_id, {part(1)} AS g, {part(2)} AS h, {part(2 + group)} AS v FROM d WHERE regexp_matches(t, '{quoted}'))"""
+
+    found = " UNION ALL ".join(f"SELECT * FROM ({spans(nth, kind, p, group, least)}) WHERE v >= {least}" for nth, (kind, (p, group, least)) in enumerate(RULES.items()))
+    base = ", ".join(f"'{k}'" for k in BASE_RULES)
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + n AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({found}),
+        a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_RULES)},
+            string_agg({one}, ',' ORDER BY s, nth) FILTER (kind IN ({base})) AS base, string_agg({one}, ',' ORDER BY s, nth) AS spans FROM f GROUP BY doc_id)
+        SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN a USING (doc_id)"""
+
+
+SQL["op10_secret_scan"] = _op10_sql()
+
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id, op9_decontamination, op10_secret_scan)}
