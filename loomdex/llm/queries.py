@@ -70,6 +70,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -131,4 +138,4 @@ def _op10_sql() -> str:
 
 SQL["op10_secret_scan"] = _op10_sql()
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op5_packing, op6_token_files, op8_language_id, op9_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op4_nearest, op5_packing, op6_token_files, op8_language_id, op9_decontamination, op10_secret_scan)}
