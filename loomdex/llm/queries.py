@@ -158,4 +158,10 @@ def _op10_sql() -> str:
 
 SQL["op10_secret_scan"] = _op10_sql()
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op4_nearest, op5_packing, op6_token_files, op7_chat_format, op8_language_id, op9_decontamination, op10_secret_scan)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_ngram_join, op3_substring_dedup, op4_nearest, op5_packing, op6_token_files, op7_chat_format, op8_language_id, op9_decontamination, op10_secret_scan, pipeline)}
