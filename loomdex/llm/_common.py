@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,3 +217,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x")), F.struct(F.col("v").alias("x")))).alias("s"), "m")
         e = settle(small.select(F.col("s.x").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+
+
+def slices(batches, column: int, most: int = 4 << 20):
+    """Arrow batches cut into runs of rows of about ``most`` bytes of one text column, so a worker's
+    arrays stay small whatever the batch size; one text longer than that is a run of its own."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes, dtype=np.int64) // most
+        cuts = np.flatnonzero(np.diff(run)) + 1
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if b > a:
+                yield batch.slice(a, b - a)

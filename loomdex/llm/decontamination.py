@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prefix_hash, text_buffer, window_hash, window_starts, word_hashes, word_spans
+from ._common import prefix_hash, slices, text_buffer, window_hash, window_starts, word_hashes, word_spans
 
 WINDOW = 8
 #: Template words that one diagonal must cover, or the whole item if it is shorter.
@@ -180,7 +180,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     for items in _blocks(benchmark, item_col, item_text):
 
         def match(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, 1):
                 found = items.matches(batch.column(1))
                 if found:
                     rows, which, n, same = zip(*found)
@@ -194,12 +194,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that no item contaminates."""
+    at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[m[0] for m in items.matches(batch.column(batch.schema.get_field_index(text_col)))]] = False
+                clean[[m[0] for m in items.matches(batch.column(at))]] = False
                 yield batch if clean.all() else batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -10,6 +10,7 @@ a sum over its words, and each distinct word of a batch is coded once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import text_buffer, word_hashes, word_spans
+from ._common import slices, text_buffer, word_hashes, word_spans
 
 ORDER = 4
 UNDECIDED = "und"
@@ -47,11 +48,16 @@ def _grams(out: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return np.ndarray((len(out) - 7,), "<u8", out, strides=(1,))[at - k] & _MASK[k + 1]
 
 
+#: Code lengths that a worker remembers, in bytes; and what it remembers, by the trees' name.
+REMEMBER = 48 << 20
+_memory: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
 class Trees:
     """Frozen statistics of all languages: by order, each gram's code length and each context's escape."""
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER):
-        self.langs, self.order = sorted(samples), order
+        self.langs, self.order, self.name = sorted(samples), order, uuid.uuid4().hex
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.escapes: list[tuple[np.ndarray, np.ndarray]] = []
         streams = []
@@ -105,6 +111,22 @@ class Trees:
         return np.add.reduceat(bits, first) if len(first) else bits[:0]
 
 
+    def remembered(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``words`` of distinct words with sorted hashes ``keys``, each coded once by a worker."""
+        if self.name not in _memory or _memory[self.name][1].nbytes > REMEMBER:
+            _memory.clear()
+            _memory[self.name] = np.zeros(0, np.uint64), np.zeros((0, len(self.langs)))
+        known, bits = _memory[self.name]
+        _, found = self._find(known, keys)
+        new = np.flatnonzero(~found)
+        if len(new):
+            at = np.searchsorted(known, keys[new])
+            bits = np.insert(bits, at, self.words(buf, starts[new], ends[new]), axis=0)
+            known = np.insert(known, at, keys[new])
+            _memory[self.name] = known, bits
+        return bits[np.searchsorted(known, keys)]
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 1_000_000, order: int = ORDER) -> Trees:
     """Trees from whole labelled texts, about ``sample_bytes`` of each language.
 
@@ -140,11 +162,12 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
     for null texts, texts without a letter, and where there is nothing learned.
     """
     rest = docs.drop("lang_pred", "score")
+    at = rest.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array([*trees.langs, UNDECIDED], pa.string())
-        for batch in batches:
-            text = batch.column(batch.schema.get_field_index(text_col))
+        for batch in slices(batches, at):
+            text = batch.column(at)
             buf, offs = text_buffer(text)
             starts, ends, counts = word_spans(buf, offs)
             n = len(counts)
@@ -154,8 +177,8 @@ def identify(docs: DataFrame, trees: Trees, id_col: str = "doc_id", text_col: st
                 letters[i] = any(map(str.isalpha, text[i].as_py()))
             best, share = np.full(n, len(trees.langs)), np.zeros(n)
             if trees.langs and len(starts):
-                _, first, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-                bits = trees.words(buf, starts[first], ends[first])
+                keys, first, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+                bits = trees.remembered(keys, buf, starts[first], ends[first])
                 of = np.repeat(np.arange(n), counts)
                 total = np.stack([np.bincount(of, bits[:, l][inverse], n) for l in range(len(trees.langs))], 1)
                 ok = letters & (counts > 0)
