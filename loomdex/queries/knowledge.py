@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract as X
 from ..operators import graph as G
+from ..operators import answers as A
+from ..operators import ontology as O
 from ..operators import state as S
+from ..operators import writers as W
 from . import query
 from .model import CHUNKS, chunks, table
 
@@ -178,3 +181,101 @@ def readiness_fold(spark, d):
 def projection_health(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("there"))
     return table(spark, d, "documents").select("doc_id").join(v, "doc_id", "left").agg(F.count("there").alias("projected"), F.count("*").alias("expected"), F.count_if(F.col("there").isNull()).alias("missing"))
+
+
+# --- writers, envelopes, answers -------------------------------------------------------
+@query("""SELECT doc_id AS document_id, CASE WHEN doc_id % 4 = 0 THEN 'deleted' ELSE 'active' END AS lifecycle, CASE WHEN doc_id % 4 <> 0 THEN doc_id * 10 + 1 END AS current_version_id FROM documents""")
+def soft_delete(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("active").alias("lifecycle"), (F.col("doc_id") * 10 + 1).alias("current_version_id"))
+    return W.soft_delete(docs, docs.where("document_id % 4 = 0"))
+
+
+@query("""SELECT doc_id AS document_id, doc_id * 10 AS version_id, CASE WHEN doc_id % 3 = 0 THEN 'superseded' ELSE 'ready' END AS status FROM documents UNION ALL SELECT doc_id, doc_id * 10 + 1, 'ready' FROM documents WHERE doc_id % 3 = 0""")
+def version_supersede(spark, d):
+    docs = table(spark, d, "documents")
+    old = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") * 10).alias("version_id"), F.lit("ready").alias("status"))
+    new = docs.where("doc_id % 3 = 0").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") * 10 + 1).alias("version_id"))
+    return W.supersede(old, new)
+
+
+@query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END AS fresh FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 3 = 0")
+def vector_upsert_delete(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", F.lit(0).alias("fresh"))
+    return W.put_vectors(v, v.where("chunk_id % 3 = 0").withColumn("fresh", F.lit(1)), v.where("chunk_id % 7 = 0 AND chunk_id % 3 <> 0"), 64).select("chunk_id", "fresh")
+
+
+@query("SELECT count(*) AS n, count(*) = 500 AS complete, min(len(embedding))::INTEGER AS least_dimension, max(len(embedding))::INTEGER AS most_dimension FROM embeddings")
+def vector_collection_state(spark, d):
+    return W.collection_state(table(spark, d, "embeddings"), 500)
+
+
+@query("SELECT conv_id, turn, sha256(text) AS query_sha256, length(text) AS result_count FROM conversations WHERE role = 'user'")
+def query_audit(spark, d):
+    t = F.lit("2024-01-01").cast("timestamp")
+    rows = table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", W.audit_row(F.col("text"), F.lit("hybrid"), F.lit("succeeded"), F.length("text").cast("long"), t, t).alias("a"))
+    return rows.select("conv_id", "turn", "a.query_sha256", "a.result_count")
+
+
+@query("""SELECT o_orderkey, list_sort(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'not_an_envelope' END, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 = 0 THEN 'repeated_local_id' END, CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 = 0 THEN 'unknown_endpoint' END], lambda x: x IS NOT NULL)) AS errors FROM orders""")
+def envelope_errors(spark, d):
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit('{"entities":[{"local_id":"e1"},{"local_id":"'), F.when(k % 3 == 0, "e1").otherwise("e2"), F.lit('"}],"relationships":[{"local_id":"r1","source":"e1","target":"'), F.when(k % 7 == 0, "x").otherwise("e1"), F.lit('"}],"claims":[]}'))
+    answer = F.when(k % 5 == 0, "no json").otherwise(body)
+    return table(spark, d, "orders").select("o_orderkey", O.envelope_errors(O.read_envelope(answer)).alias("errors"))
+
+
+@query("SELECT s_suppkey, 'Read ' || s_name || ' in A > ' || s_nationkey || ': text' AS prompt FROM supplier")
+def prompt_render(spark, d):
+    return table(spark, d, "supplier").select("s_suppkey", O.prompt("Read {path} in {headings}: {text}", F.col("s_name"), F.array(F.lit("A"), F.col("s_nationkey").cast("string")), F.lit("text")).alias("prompt"))
+
+
+@query(f"""WITH {CHUNKS}, names AS (SELECT DISTINCT t[1] AS name, CAST(ascii(t[1]) AS BIGINT) AS entity_id FROM (SELECT regexp_extract_all(lower(text), '[a-z]+') AS t FROM benchmark) WHERE len(t) > 0)
+    SELECT chunk_id, entity_id, count(*) AS n FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-záéíóöőúüű0-9]+')) AS token FROM chunks_m) JOIN names ON name = token GROUP BY ALL""")
+def rule_extraction(spark, d):
+    t = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)
+    names = table(spark, d, "benchmark").where(F.size(t) > 0).select(t[0].alias("name")).distinct().withColumn("entity_id", F.ascii("name").cast("long"))
+    return O.rule_extract(chunks(spark, d), names)
+
+
+@query("SELECT l_orderkey AS run_id, count(*) FILTER (l_returnflag <> 'R') AS valid, count(*) FILTER (l_returnflag = 'R') AS invalid, CASE WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'succeeded' END AS status FROM lineitem GROUP BY 1")
+def run_finalize(spark, d):
+    return O.finalize(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.when(F.col("l_returnflag") == "R", "invalid").otherwise("valid").alias("status")))
+
+
+_RANKED = "ranked_m AS (SELECT chunk_id, section_id AS document_id, role, 'a/b.md' AS path FROM chunks_m WHERE section_id = 5 OR (section_id = 6 AND role = 'content_evidence'))"
+
+
+@query(f"WITH {CHUNKS}, {_RANKED} SELECT chunk_id FROM chunks_m WHERE role = 'content_evidence' AND section_id IN (SELECT min(document_id) FROM ranked_m WHERE role = 'structural_anchor' HAVING count(DISTINCT document_id) = 1)")
+def anchor_expansion(spark, d):
+    c = chunks(spark, d).withColumnRenamed("section_id", "document_id")
+    ranked = c.where("document_id = 5 OR (document_id = 6 AND role = 'content_evidence')").withColumn("path", F.lit("a/b.md"))
+    return A.expand_anchor(ranked, c)[1].select("chunk_id")
+
+
+@query(f"""WITH {CHUNKS}, rows AS (SELECT *, row_number() OVER (ORDER BY ordinal, chunk_id) AS n FROM chunks_m WHERE section_id = 9 AND role = 'content_evidence' AND char_start >= 0 AND char_end <= 3000),
+    cum AS (SELECT chunk_id, sum(length(text)) OVER (ORDER BY ordinal, chunk_id) AS s FROM rows WHERE n <= 32) SELECT chunk_id FROM cum WHERE s <= 2000""")
+def document_context(spark, d):
+    c = chunks(spark, d).withColumnRenamed("section_id", "document_id")
+    seeds = spark.createDataFrame([(9, 0, 3000)], "document_id long, span_start long, span_end long")
+    return A.document_context(seeds, c, 32, 2000).select("chunk_id")
+
+
+@query("SELECT CASE l_linenumber % 2 WHEN 0 THEN 'graph' ELSE 'claim' END AS channel, l_partkey AS id, round(1.0::DOUBLE / (60 + min(l_suppkey)), 12) AS score FROM lineitem GROUP BY ALL")
+def channel_scores(spark, d):
+    ranks = table(spark, d, "lineitem").select(F.when(F.col("l_linenumber") % 2 == 0, "graph").otherwise("claim").alias("channel"), F.col("l_partkey").alias("id"), F.col("l_suppkey").alias("rank"))
+    return A.channel_scores(ranks).select("channel", "id", F.round("score", 12).alias("score"))
+
+
+@query("SELECT min(l_orderkey) AS l_orderkey, l_suppkey FROM lineitem GROUP BY l_suppkey")
+def source_map(spark, d):
+    return A.first_sources(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey").distinct(), "l_suppkey", "l_orderkey")
+
+
+@query("""SELECT round(avg((o_orderstatus = 'O')::INT), 12) AS query_type, round(avg((o_orderkey % 3 = 0)::INT), 12) AS sources, 1.0::DOUBLE AS entities, 1.0::DOUBLE AS predicates, round(avg((o_orderkey % 2 = 0)::INT), 12) AS no_warnings,
+    round(avg((o_orderstatus = 'O' AND o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)::INT), 12) AS accepted FROM orders""")
+def evaluation_checks(spark, d):
+    none = F.array().cast("array<string>")
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(F.lit("O").alias("expected_type"), F.col("o_orderstatus").alias("got_type"), F.array(F.lit("s")).alias("expected_sources"), F.when(k % 3 == 0, F.array(F.lit("s"), F.lit("t"))).otherwise(none).alias("got_sources"), none.alias("expected_entities"), none.alias("got_entities"), none.alias("expected_predicates"), none.alias("got_predicates"), F.when(k % 2 == 0, none).otherwise(F.array(F.lit("w"))).alias("warnings"))
+    out = A.case_checks(rows)
+    return out.select(*[F.round(c, 12).alias(c) for c in out.columns])
