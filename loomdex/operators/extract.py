@@ -29,6 +29,26 @@ def locate(text: Column, start: Column, quote: Column, nth: Column) -> Column:
     return F.struct(begin.alias("char_start"), (begin + F.length(quote)).cast("long").alias("char_end"), error.alias("error"))
 
 
+#: Quotes that every task holds at once.
+HELD_QUOTES = 5000
+
+
+def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, doc_text: str, quote_id: str, quote_text: str) -> DataFrame:
+    """``doc_id, quote_id`` of every document that holds a quote to the letter.
+
+    Quotes are a query set: up to HELD_QUOTES go to every task; more are searched in blocks
+    of about that many, each by a pass over the documents.
+    """
+    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote_text).alias("_t")).where("length(_t) > 0")
+    n = max(1, -(-q.count() // HELD_QUOTES))
+    out = None
+    for b in range(n):
+        block = F.broadcast(q.where(F.pmod(F.xxhash64("_q", "_t"), F.lit(n)) == b))
+        part = docs.select(doc_id, doc_text).join(block, F.contains(F.col(doc_text), F.col("_t"))).select(doc_id, F.col("_q").alias(quote_id))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ontology_errors(kind: Column, allowed: list[str], code: str) -> Column:
     """The code where a value isn't in the ontology's list; null, which ``error_list`` drops, else."""
     return F.when(kind.isNull() | ~kind.isin(*allowed), code)

@@ -71,10 +71,8 @@ def graph_fingerprint(spark, d):
 
 @query("SELECT item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def evidence_in_documents(spark, d):
-    """Items are a bounded benchmark; each task tests its documents against all of them."""
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
-    docs = table(spark, d, "documents").select(F.col("text").alias("body"))
-    return docs.join(F.broadcast(items), F.contains("body", F.col("quote"))).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    found = X.find_quotes(table(spark, d, "documents"), table(spark, d, "benchmark").withColumnRenamed("text", "quote"), "doc_id", "text", "item_id", "quote")
+    return found.groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
 @query(f"""WITH {CHUNKS}, q AS (SELECT *, text[1:3] AS quote FROM chunks_m), o AS (SELECT *, list_filter(range(1, length(text) - length(quote) + 2), lambda i: text[i:i + length(quote) - 1] = quote) AS pos FROM q)
