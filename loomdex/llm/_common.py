@@ -229,3 +229,15 @@ def slices(batches, column: int, most: int = 4 << 20):
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a reused worker would hold it through later stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

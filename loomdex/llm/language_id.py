@@ -49,7 +49,7 @@ def _grams(out: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
 
 
 #: Code lengths that a worker remembers, in bytes; and what it remembers, by the trees' name.
-REMEMBER = 48 << 20
+REMEMBER = 16 << 20
 _memory: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 

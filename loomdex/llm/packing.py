@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
     two, so none is padded. Sequences of one step group have one tier's window (or are
     remainders) and balanced sums of squared piece lengths, the cost of attention.
 
-    No shuffle: each run of about 16 MB of text is packed by itself, and ids carry the partition's number.
+    No shuffle: each run of about 4 MB of text is packed by itself, and ids carry the partition's number.
     """
     id_type = dict(docs.dtypes)[id_col]
 
@@ -107,7 +107,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, tiers: tupl
         from ._tokens import Encoder, with_end
 
         coder, sequences, groups = Encoder.at(tokenizer), TaskContext.get().partitionId() << 36, TaskContext.get().partitionId() << 36
-        for batch in slices(batches, 1, 16 << 20):
+        for batch in slices(batches, 1):
             ids, counts = with_end(*coder.encode(batch.column(1)), end_id)
             p = pack_lengths(counts, tiers)
             order = np.lexsort((p["start"], p["doc"]))
