@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm._common import settle
 from loomdex.llm.decontamination import drop_contaminated
 from loomdex.llm.language_id import UNDECIDED, fit, identify
 from loomdex.llm.ngram_join import jaccard_components
@@ -40,12 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The smallest id stays; of rows that repeat an id, one. Rows with a null id stay (they
     belong to no group), and so do texts without a word.
     """
-    gone = jaccard_components(docs, k=5, percent=80).where("component_id != doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = left.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").select("doc_id")
-    once = left.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    many = left.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    return once.unionByName(many.groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*"))
+    found = settle(jaccard_components(docs, k=5, percent=80).groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("component_id") != F.col("doc_id")).cast("int")).alias("gone")))
+    drop = found.where("doc_id IS NOT NULL AND (gone = 1 OR n > 1)").select("doc_id")
+    once = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id IS NOT NULL AND gone = 0 AND n > 1").select("doc_id")
+    many = docs.join(F.broadcast(repeated) if repeated.count() <= 10_000 else repeated, "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(many.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.to_json(F.struct(*docs.columns))).alias("r")).select("r.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, chunked, components, deal, mix, packed_rows, prefix_hash, settle, sizes, text_buffer, total_words, union_find, window_hash, window_starts, word_hashes, word_spans
+from ._common import U64, chunked, components, deal, mix, packed_rows, prefix_hash, settle, sizes, text_buffer, trim, union_find, window_hash, window_starts, word_hashes, word_spans
 
 #: Classes that are compared with one another in one task; larger lists are split into pairs of blocks.
 BLOCK = 1024
@@ -220,6 +220,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
         keys, of = keys[order], of[order]
         cut = deal(keys, n)
         rows += [(1, b, None, int(j - i), 0, keys[i:j].tobytes(), of[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+        trim()
         return packed_rows(rows, "kind int, dest long, doc_id long, n long, class long, payload binary, extra binary")
 
     def lists(group: pa.Table) -> pa.Table:
@@ -249,7 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     work = work.select("leader", "member", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     work = work.select("leader", "member", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     work = work.join(sets, work.member == sets["class"]).select("leader", "member", "block", "lo", "hi", "payload")
-    links = work.groupBy("leader", "lo", "hi").applyInArrow(lambda g: _linked(g, percent), "a long, b long")
+    links = work.groupBy("leader", "lo", "hi").applyInArrow(lambda g: _linked(g, percent), "a long, b long").distinct()
     heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     edge = links.join(heads.select(F.col("class").alias("a"), F.col("class_id").alias("x")), "a").join(heads.select(F.col("class").alias("b"), F.col("class_id").alias("y")), "b")
     same = rows.join(heads, "class").where("doc_id != class_id").groupBy("doc_id").agg(F.min("class_id").alias("x"))
