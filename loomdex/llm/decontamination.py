@@ -173,7 +173,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     or all; ``kind`` is ``exact`` if every slot has the item's value, else ``template``.
     Null and empty texts on either side match nothing, nor do items of fewer than four
     template words; repeated rows match each for itself. No shuffle: a benchmark block is
-    bounded and goes to every task, a larger benchmark is joined block by block.
+    bounded and goes to every task, a larger benchmark is joined block by block. Item ids are
+    integers or strings.
     """
     id_type, item_type = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
     out = None
@@ -185,7 +186,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 if found:
                     rows, which, n, same = zip(*found)
                     kinds = pa.array(["exact" if s else "template" for s in same])
-                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([items.ids[i] for i in which], pa.int64() if item_type == "bigint" else None), pa.array(n, pa.int64()), pa.array([int(items.counts[i]) for i in which], pa.int64()), kinds], names=["id", "item", "n_matched", "n_item", "kind"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([items.ids[i] for i in which], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]), pa.array(n, pa.int64()), pa.array([int(items.counts[i]) for i in which], pa.int64()), kinds], names=["id", "item", "n_matched", "n_item", "kind"])
 
         part = docs.select(id_col, text_col).mapInArrow(match, f"id {id_type}, item {item_type}, n_matched long, n_item long, kind string")
         out = part if out is None else out.unionByName(part)
