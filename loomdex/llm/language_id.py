@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from ._common import slices, text_buffer, word_hashes, word_spans
 
 ORDER = 4
+#: Bytes of all languages' samples together, in expectation.
+SAMPLE_BYTES = 64_000_000
 UNDECIDED = "und"
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _LETTER = np.zeros(256, bool)
@@ -130,7 +132,8 @@ class Trees:
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_bytes: int = 1_000_000, order: int = ORDER) -> Trees:
     """Trees from whole labelled texts, about ``sample_bytes`` of each language.
 
-    The sample is bounded by that parameter (in expectation) and by 1,000 languages; each
+    The sample is bounded by that parameter, by SAMPLE_BYTES in all (both in expectation)
+    and by 1,000 languages; each
     language keeps the rows whose hash falls below the share that the bound allows, so it
     doesn't depend on partitions. Rows with null text, label or id are left out.
     """
@@ -140,6 +143,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         raise ValueError("more than 1,000 languages")
     if not held:
         return Trees({}, order)
+    sample_bytes = min(sample_bytes, SAMPLE_BYTES // len(held))
     share = F.create_map(*(F.lit(x) for lang, n in held.items() for x in (lang, min(1.0, sample_bytes / max(1, n)))))
     draw = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
     found = rows.where(draw < F.element_at(share, F.col(lang_col))).select(lang_col, text_col).collect()
