@@ -12,8 +12,8 @@ is its share of the coder's range. The blocks of a file are coded side by side,
 block, a numpy step for each position; a lane's bytes don't depend on the other lanes.
 
 File: magic, a JSON header's length and the header (counts, block size), then the document
-ids and lengths, the order-0 table, a block index (bytes and CRC-32 of the ids of each
-block) and the blocks. Files are rows of a Parquet table with one binary column, so that any
+ids and lengths, the order-0 table, a block index (bytes, and CRC-32 of the bytes and of the
+ids of each block), the CRC-32 of all that, and the blocks. Files are rows of a Parquet table with one binary column, so that any
 store Spark writes to holds them.
 """
 
@@ -29,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import total_words
+from ._common import slices, total_words
 
 MAGIC = b"LDXTOK1\n"
-BLOCK = 4096
-_SLOTS = 2048  # of a context order, in a block
-_LANES = 2048  # blocks coded side by side at most
+BLOCK = 1024
+_SLOTS = 256  # of a context order, in a block; small, so that all lanes' tables stay in the cache
+_LANES = 4096  # blocks coded side by side at most
 _SCALE = 20  # bits of the order-0 total
+MOST_BROADCAST = 500_000
 _U, _TOP, _LOW = np.uint64, np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-_M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+_M1, _SHIFT, _1, _3, _4, _7 = map(np.uint32, (0x9E3779B1, 32 - 8, 1, 3, 4, 7))
 
 
 def order0(ids: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -50,37 +51,40 @@ def order0(ids: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Model:
-    """Contexts and weights of all lanes."""
+    """Contexts and weights of all lanes. A context's slot holds its predicted id and, in the low
+    three bits, the confidence; a pair of weights is one integer, order 2 in the low half."""
 
     def __init__(self, lanes: int):
         self.two, self.one = np.zeros(lanes * _SLOTS, np.uint32), np.zeros(lanes * _SLOTS, np.uint32)
-        self.w = np.zeros((lanes * 128, 2), np.int16)
-        self.w[:] = (1024, 512)
+        self.w = np.full(lanes * 128, 1024 | 512 << 16, np.int32)
         self.base, self.wbase = np.arange(lanes) * _SLOTS, np.arange(lanes) * 128
-        self.p1, self.p2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.k1, self.k2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def predict(self, n: int):
         """For the first n lanes: predicted ids of order 2 and 1, and their weights out of 4096."""
-        k1 = self.p1[:n] * _M1
-        self.s1 = self.base[:n] + (k1 >> np.uint32(21))
-        self.s2 = self.base[:n] + (((k1 ^ (self.p2[:n] * _M2)) * _M1) >> np.uint32(21))
-        self.e1, self.e2 = self.one[self.s1], self.two[self.s2]
-        self.i1, self.i2 = self.e1 >> 3, self.e2 >> 3
-        self.at = self.wbase[:n] + (((self.e2 & 7) << 4) | ((self.e1 & 7) << 1) | (self.i1 == self.i2))
-        self.ww = self.w[self.at].astype(np.int32)
-        return self.i2, self.i1, self.ww[:, 0], self.ww[:, 1]
+        k1 = self.k1[:n]
+        self.s1 = (k1 >> _SHIFT) + self.base[:n]
+        self.s2 = (((k1 ^ self.k2[:n]) * _M1) >> _SHIFT) + self.base[:n]
+        self.e1, self.e2 = self.one.take(self.s1), self.two.take(self.s2)
+        self.i1, self.i2 = self.e1 >> _3, self.e2 >> _3
+        self.c1, self.c2 = self.e1 & _7, self.e2 & _7
+        self.at = (((self.c2 << _4) | (self.c1 << _1)) | (self.i1 == self.i2)) + self.wbase[:n]
+        w = self.w.take(self.at)
+        self.w2, self.w1 = w & 0xFFFF, w >> 16
+        return self.i2, self.i1, self.w2, self.w1
 
     def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         n = len(x)
-        self.ww[:, 0] += ((hit2 * np.int32(3968) + 32) - self.ww[:, 0]) >> 5
-        self.ww[:, 1] += ((hit1 * np.int32(3968) + 32) - self.ww[:, 1]) >> 5
-        self.w[self.at] = self.ww
-        for slots, at, e, i in ((self.two, self.s2, self.e2, self.i2), (self.one, self.s1, self.e1, self.i1)):
-            level = e & 7
-            right = i == x
-            # true: more confident; false: less, and replaced once confidence is gone
-            slots[at] = np.where(right, e + (level < 7), np.where(level > 1, e - 1, (x << 3) | 1))
-        self.p2[:n], self.p1[:n] = self.p1[:n], x
+        w2 = self.w2 + ((np.multiply(hit2, np.int32(3968)) + 32 - self.w2) >> 5)
+        w1 = self.w1 + ((np.multiply(hit1, np.int32(3968)) + 32 - self.w1) >> 5)
+        self.w[self.at] = w2 | w1 << 16
+        new = (x << _3) | _1
+        # true: more confident; false: less, and replaced once confidence is gone
+        self.two[self.s2] = np.where(hit2, self.e2 + (self.c2 < _7), np.where(self.c2 > _1, self.e2 - _1, new))
+        self.one[self.s1] = np.where(self.i1 == x, self.e1 + (self.c1 < _7), np.where(self.c1 > _1, self.e1 - _1, new))
+        k1 = self.k1[:n]
+        self.k2[:n] = (k1 << _4) ^ (k1 >> np.uint32(9))
+        np.multiply(x, _M1, out=k1)
 
 
 def _lanes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +205,14 @@ def decode_blocks(coded: list[bytes], size: np.ndarray, symbols: np.ndarray, fre
 def pack_file(names: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One file of documents (integer names, null flags, token counts) and their ids end to end."""
     symbols, freq = order0(ids)
+    block = min(block, max(256, len(ids) // 512))  # a small file has lanes enough all the same
     blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
     coded = [x for i in range(0, len(blocks), _LANES) for x in encode_blocks(blocks[i : i + _LANES], symbols, freq)]
-    index = np.array([(len(c), zlib.crc32(b.astype("<u4").tobytes())) for c, b in zip(coded, blocks)], "<u4").reshape(-1, 2)
+    index = np.array([(len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())) for c, b in zip(coded, blocks)], "<u4").reshape(-1, 3)
     head = json.dumps({"documents": len(counts), "ids": len(ids), "block": block, "symbols": len(symbols)}).encode()
     tables = [names.astype("<i8"), null.astype("u1"), counts.astype("<i8"), symbols.astype("<u4"), freq.astype("<u4"), index]
-    return b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *(t.tobytes() for t in tables), *coded])
+    front = b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *(t.tobytes() for t in tables)])
+    return b"".join([front, zlib.crc32(front).to_bytes(4, "little"), *coded])
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -218,19 +224,23 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     n, size, m = head["documents"], head["block"], head["symbols"]
     k = -(-head["ids"] // size)
     tables = []
-    for kind, count in (("<i8", n), ("u1", n), ("<i8", n), ("<u4", m), ("<u4", m), ("<u4", 2 * k)):
+    for kind, count in (("<i8", n), ("u1", n), ("<i8", n), ("<u4", m), ("<u4", m), ("<u4", 3 * k)):
         tables.append(np.frombuffer(data, kind, count, at))
         at += tables[-1].nbytes
     names, null, counts, symbols, freq, index = tables
-    index = index.reshape(-1, 2)
-    ends = at + np.cumsum(index[:, 0], dtype=np.int64)
+    index = index.reshape(-1, 3)
+    if zlib.crc32(data[:at]) != int.from_bytes(data[at : at + 4], "little"):
+        raise ValueError("the tables' checksum is wrong")
+    ends = at + 4 + np.cumsum(index[:, 0], dtype=np.int64)
     coded = [data[e - w : e] for e, w in zip(ends.tolist(), index[:, 0].tolist())]
+    if any(zlib.crc32(c) != want for c, want in zip(coded, index[:, 1].tolist())):
+        raise ValueError("a block's checksum is wrong")
     sizes = np.full(k, size)
     sizes[-1:] = head["ids"] - size * (k - 1)
     blocks = []
     for i in range(0, k, _LANES):
         blocks += decode_blocks(coded[i : i + _LANES], sizes[i : i + _LANES], symbols, freq.astype(np.int64))
-    for b, want in zip(blocks, index[:, 1].tolist()):
+    for b, want in zip(blocks, index[:, 2].tolist()):
         if zlib.crc32(b.astype("<u4").tobytes()) != want:
             raise ValueError("a block's checksum is wrong")
     return names, null.astype(bool), counts, np.concatenate([np.zeros(0, np.uint32), *blocks])
@@ -251,7 +261,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
 
         coder = Encoder.at(tokenizer)
         names, null, counts, ids = [], [], [], []
-        for batch in batches:
+        for batch in slices(batches, 1):
             i, c = with_end(*coder.encode(batch.column(1)), end_id)
             names.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
@@ -270,7 +280,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of token files: ``doc_id, start`` (ids of all documents before it), ``n_tokens, ids`` (little-endian unsigned 32-bit).
 
     Every block's checksum is tested. Starts are running sums over the files' totals, one
-    narrow row a file, joined back to the documents.
+    narrow row a file, joined back to the documents: sent to every task up to
+    ``MOST_BROADCAST`` files, by a shuffle of the documents beyond.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +298,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.parquet(path)
     before = Window.orderBy(F.asc_nulls_first("first_id")).rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select(F.col("first_id").alias("file"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    if files.count() <= MOST_BROADCAST:
+        starts = F.broadcast(starts)
     rows = files.select("first_id", "data").mapInArrow(read, "first_id long, doc_id long, within long, n_tokens long, ids binary")
     return rows.join(starts, rows.first_id.eqNullSafe(starts.file)).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
