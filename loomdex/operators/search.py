@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,8 +20,6 @@ RRF_K = 60
 
 def terms_of(query: str) -> list[str]:
     """A single query's terms, on the driver."""
-    import re
-
     return [t for t in dict.fromkeys(re.findall(TERM, query.lower().replace("ß", "ss"))) if len(t) > 1 and t not in STOP_WORDS]
 
 
@@ -35,11 +34,15 @@ def keyword_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id"
     words = words or query.lower().split()
     if not words:
         return chunks.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    wanted = F.array(*map(F.lit, words))
-    held = F.filter(tokens(F.col(text_col)), lambda t: t.isin(*words))
-    rows = chunks.select(id_col, held.alias("held"))
-    rows = rows.where(F.size(F.array_except(wanted, "held")) == 0) if every else rows.where(F.size("held") > 0)
-    return rows.select(id_col, (F.size("held") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    # a term is a token where no token character stands beside it, so no array of tokens is made
+    edge = TERM.rstrip("+")
+    whole = lambda some: f"(?<!{edge})(?:{'|'.join(map(re.escape, some))})(?!{edge})"
+    rows = chunks.select(id_col, casefold(F.col(text_col)).alias("t"))
+    if every:
+        for w in words:
+            rows = rows.where(F.col("t").rlike(whole([w])) if re.fullmatch(TERM, w) else F.lit(False))
+    rows = rows.select(id_col, F.regexp_count("t", F.lit(whole(words))).alias("n")).where("n > 0")
+    return rows.select(id_col, (F.col("n") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def bm25_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -79,12 +82,12 @@ def ranked(hits: DataFrame, channel: str, order: list[Column], id_col: str) -> D
     return hits.select(F.lit(channel).alias("channel"), F.col(id_col).alias("id"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"))
 
 
-def reciprocal_rank_fusion(ranks: DataFrame, k: int = RRF_K, by: tuple[str, ...] = (), channels: tuple[str, ...] = CHANNELS) -> DataFrame:
-    """``id, score``: the sum of 1 / (k + rank) over channels, always added in the order of their
+def reciprocal_rank_fusion(ranks: DataFrame, k: int = RRF_K, by: tuple[str, ...] = (), channels: tuple[str, ...] = CHANNELS, keep_ranks: bool = False) -> DataFrame:
+    """``id, score`` (and each channel's rank): the sum of 1 / (k + rank) over channels, always added in the order of their
     names, so that the sum doesn't depend on partitions. Of an id's ranks in a channel the best counts."""
-    best = [F.min(F.when(F.col("channel") == c, F.col("rank"))).alias(c) for c in sorted(channels)]
-    score = sum((F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in sorted(channels)), F.lit(0.0))
-    return ranks.groupBy(*by, "id").agg(*best).select(*by, "id", score.alias("score"))
+    best = [F.min(F.when(F.col("channel") == c, F.col("rank"))).alias(f"{c}_rank") for c in sorted(channels)]
+    score = sum((F.coalesce(1.0 / (k + F.col(f"{c}_rank")), F.lit(0.0)) for c in sorted(channels)), F.lit(0.0))
+    return ranks.groupBy(*by, "id").agg(*best).select(*by, "id", score.alias("score"), *([f"{c}_rank" for c in sorted(channels)] if keep_ranks else []))
 
 
 def plan_route(query: Column, strategy: Column) -> Column:

@@ -23,9 +23,8 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     if gate:
         agreed = R.consensus(keyword.select(F.col("chunk_id").alias("id")), semantic.select(F.col("chunk_id").alias("id"), "score"))
         ranks = R.gate_channels(ranks, agreed)
-    fused = R.reciprocal_rank_fusion(ranks, channels=("keyword", "semantic"))
-    sides = ranks.groupBy("id").agg(F.min(F.when(F.col("channel") == "keyword", F.col("rank"))).alias("keyword_rank"), F.min(F.when(F.col("channel") == "semantic", F.col("rank"))).alias("semantic_rank"))
-    return fused.join(sides, "id").select("id", F.round("score", 12).alias("score"), "keyword_rank", "semantic_rank").orderBy(F.desc("score"), "id").limit(limit)
+    fused = R.reciprocal_rank_fusion(ranks, channels=("keyword", "semantic"), keep_ranks=True)
+    return fused.select("id", F.round("score", 12).alias("score"), "keyword_rank", "semantic_rank").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def with_source(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
