@@ -251,7 +251,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     work = work.select("leader", "member", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     work = work.join(sets, work.member == sets["class"]).select("leader", "member", "block", "lo", "hi", "payload")
     links = work.groupBy("leader", "lo", "hi").applyInArrow(lambda g: _linked(g, percent), "a long, b long").distinct()
-    heads = rows.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    # a table of its own that isn't dealt by class, so that Spark can split a class with a third of all rows
+    heads = settle(rows.groupBy("class").agg(F.min("doc_id").alias("class_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     edge = links.join(heads.select(F.col("class").alias("a"), F.col("class_id").alias("x")), "a").join(heads.select(F.col("class").alias("b"), F.col("class_id").alias("y")), "b")
     same = rows.join(heads, "class").where("doc_id != class_id").groupBy("doc_id").agg(F.min("class_id").alias("x"))
     twice = heads.select(F.col("class_id").alias("doc_id")).join(same, "doc_id").select(F.col("doc_id").alias("y"), "x")
