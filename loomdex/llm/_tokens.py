@@ -6,7 +6,8 @@ So a text may be cut before every single space or newline that stands between tw
 characters that are not white space, and between an ASCII letter and a punctuation mark,
 without changing an id; pieces are looked up by their
 bytes' hash among those met before by this worker, and only new ones go to the library.
-Texts with other white space around a cut keep that stretch in one piece.
+Texts with other white space around a cut keep that stretch in one piece, and texts that hold
+an added token's string, such as ``<|endoftext|>``, go to the library whole: it splits them there first.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ._common import text_buffer, word_hashes
 
@@ -36,11 +38,14 @@ _workers: dict[str, Encoder] = {}
 class Encoder:
     """A tokenizer file with the memory of one Python worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tool.encode_special_tokens = special_as_text  # their strings in a text are ordinary text
+        added = [t for t in self.tool.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.marks = [t.content for t in added]
+        self.every = any(t.normalized for t in added)  # these are looked for in the normal form, so any text may hold them
         self.between, self.mark = self._separator()
         self.forget()
 
@@ -50,7 +55,7 @@ class Encoder:
         for between in ("\n", " \x01 "):
             mark = ids("ab" + between + "ab")[len(ids("ab")) : -len(ids("ab"))]
             probes = ["ab", " ab", "ab,", " ,", "é", " 12", "x'", " İ", "。"]
-            if len(mark) == 1 and all(ids(a + between + b) == ids(a) + mark + ids(b) for a in probes for b in probes):
+            if len(mark) == 1 and not any(between in x for x in self.marks) and all(ids(a + between + b) == ids(a) + mark + ids(b) for a in probes for b in probes):
                 return between, mark[0]
         return None, -1
 
@@ -62,8 +67,9 @@ class Encoder:
 
     @classmethod
     def at(cls, path: str) -> Encoder:
+        """The worker's own, with the library's defaults: an added token's string is that token."""
         if path not in _workers:
-            _workers[path] = cls(path)
+            _workers[path] = cls(path, special_as_text=False)
         return _workers[path]
 
     def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
@@ -95,6 +101,20 @@ class Encoder:
 
     def encode(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the number of each text. Null: none."""
+        marked = np.full(len(column), self.every)
+        for mark in self.marks:
+            marked |= pc.match_substring(column, mark).fill_null(False).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode_pieces(column)
+        ids, counts = self._encode_pieces(pc.if_else(pa.array(marked), pa.scalar(None, column.type), column))
+        whole = [e.ids for e in self.tool.encode_batch_fast([x or "" for x in column.filter(pa.array(marked)).to_pylist()], add_special_tokens=False)]
+        counts = counts.copy()
+        counts[marked] = [len(x) for x in whole]
+        out, here = np.empty(int(counts.sum()), np.uint32), np.repeat(marked, counts)
+        out[here], out[~here] = [y for x in whole for y in x], ids
+        return out, counts
+
+    def _encode_pieces(self, column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         buf, offs = text_buffer(column)
         n = int(offs[-1])
         raw = buf[:n]
