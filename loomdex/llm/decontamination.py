@@ -3,8 +3,8 @@
 Words of items and documents are canonicalised: outer punctuation and case go, numbers,
 names (capitals inside a sentence) and units behind a number become typed placeholders.
 Windows of template words are hash-joined with those of the items, matches are gathered
-on diagonals (document position minus item position), and the slots under a diagonal must
-map consistently, one value to one value in both directions, so a question that was only
+on diagonals (document position minus item position), and the slots under a diagonal, or
+under a long stretch of it, must map consistently, so a question that was only
 re-parameterised is caught and text that merely has the same shape is not.
 """
 
@@ -115,7 +115,11 @@ class Items:
             sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
             self.tables[width] = (h[order], item[order], (at - self.first[item])[order], sieve)
 
-    def matches(self, column: pa.Array) -> list[tuple[int, int, int, bool]]:
+    def _slots(self, t: Template, words: list[int], shift: int) -> list[tuple[int, int, int, int]]:
+        """(place in ``words``, kind, the item's value, the document's value) of each slot."""
+        return [(k, int(t.tokens[q]), int(self.slot[q + shift]), int(t.slot[q])) for k, q in enumerate(words) if t.typed[q]]
+
+    def matches(self, column: pa.Array, runs: bool = False) -> list[tuple[int, int, int, bool]]:
         """(row, item, template words covered, whether the slots are equal) for each contaminated pair."""
         t = template(column)
         prefix = prefix_hash(t.tokens)
@@ -134,23 +138,44 @@ class Items:
         found: dict[tuple[int, int], tuple[int, bool]] = {}
         for (r, i, diagonal), windows in covered.items():
             words = sorted({q for p, w in windows for q in range(p, p + w)})
-            if len(words) < min(ENOUGH, self.counts[i]):
+            need = min(ENOUGH, int(self.counts[i]))
+            if len(words) < need:
                 continue
-            there: dict[tuple[int, int], int] = {}
-            back: dict[tuple[int, int], int] = {}
-            same = fits = True
-            for q in words:
-                j = q - diagonal + int(self.first[i])
-                if t.typed[q]:
-                    kind, a, b = int(t.tokens[q]), int(self.slot[j]), int(t.slot[q])
-                    same &= a == b
-                    fits &= there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a
-            if fits:
-                best = (len(words), same)
+            slots = self._slots(t, words, int(self.first[i]) - diagonal)
+            best = _longest_stretch(len(words), slots) if runs else _whole(len(words), slots)
+            if best[0] >= need:
                 found[r, i] = max(found.get((r, i), best), best)
         return [(r, i, n, same) for (r, i), (n, same) in sorted(found.items())]
 
 
+def _whole(n: int, slots: list[tuple[int, int, int, int]]) -> tuple[int, bool]:
+    """``n`` words if all slots map one to one, else none; and whether all are equal."""
+    there: dict[tuple[int, int], int] = {}
+    back: dict[tuple[int, int], int] = {}
+    fits = all(there.setdefault((kind, a), b) == b and back.setdefault((kind, b), a) == a for _, kind, a, b in slots)
+    return (n if fits else 0), all(a == b for _, _, a, b in slots)
+
+
+def _longest_stretch(n: int, slots: list[tuple[int, int, int, int]]) -> tuple[int, bool]:
+    """The length of the longest stretch of ``n`` words in which each item value has one value, and whether all are equal there.
+
+    Two item values may share one: copies draw theirs at random. A verbatim stretch is such a stretch.
+    """
+    last: dict[tuple[int, int], tuple[int, int]] = {}
+    begin, changed, best = 0, -1, (0, True)  # the place of the last slot with another value
+    since: dict[tuple[int, int], int] = {}  # the last place at which an item value had another value than now
+    for nth, (k, kind, a, b) in enumerate(slots):
+        if (kind, a) in last and last[kind, a][1] != b:
+            since[kind, a] = last[kind, a][0]
+        last[kind, a] = (k, b)
+        stop = since.get((kind, a), -1) + 1
+        if stop > begin:
+            best, begin = max(best, (k - begin, changed < begin)), stop
+        if a != b:
+            changed = k
+    return max(best, (n - begin, changed < begin))
+
+
 def _literals(typed: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     seen = np.concatenate([[0], np.cumsum(~typed)])
     return seen[at + width] - seen[at]
@@ -166,11 +191,14 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]
         yield Items([r[0] for r in part], [r[1] for r in part])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", runs: bool = False) -> DataFrame:
     """Contaminated pairs: ``id_col, item_col, n_matched, n_item, kind``.
 
     ``n_matched`` of the item's ``n_item`` template words lie on one diagonal, at least 13
     or all; ``kind`` is ``exact`` if every slot has the item's value, else ``template``.
+    With ``runs``, as the queries ask, the longest consistent stretch of a diagonal decides,
+    and two of the item's values may become one: a copy with one value edited is found by what
+    stands before or behind. Without, one inconsistent slot clears the whole diagonal.
     Null and empty texts on either side match nothing, nor do items of fewer than four
     template words; repeated rows match each for itself. No shuffle: a benchmark block is
     bounded and goes to every task, a larger benchmark is joined block by block. Item ids are
@@ -182,7 +210,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         def match(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, 1):
-                found = items.matches(batch.column(1))
+                found = items.matches(batch.column(1), runs)
                 if found:
                     rows, which, n, same = zip(*found)
                     kinds = pa.array(["exact" if s else "template" for s in same])
@@ -193,15 +221,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "n_item", "kind")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that no item contaminates."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", runs: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, that no item contaminates; ``runs`` as above."""
     at = docs.columns.index(text_col)
     for items in _blocks(benchmark, item_col, item_text):
 
         def keep(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, at):
                 clean = np.ones(batch.num_rows, bool)
-                clean[[m[0] for m in items.matches(batch.column(at))]] = False
+                clean[[m[0] for m in items.matches(batch.column(at), runs)]] = False
                 yield batch if clean.all() else batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(keep, docs.schema)

@@ -142,7 +142,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import find_contamination
 
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), runs=True)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomdex.llm import _tokens, packing, queries
+from loomdex.llm import _tokens, decontamination, packing, queries
 
 from . import cases
 
@@ -26,3 +26,37 @@ def test_added_tokens_are_the_librarys(name):
 def test_packing_keeps_added_tokens(spark):
     got = packing.pack_documents(cases.frame(spark, [(1, "x <|endoftext|> y", None, None, None)]), queries.tokenizer("byte_bpe_50k.json")).collect()
     assert [i for r in sorted(got, key=lambda r: r.start) for i in np.frombuffer(r.ids, "<u4")] == [87, 220, 50256, 331, 0]
+
+
+ITEM = "A train leaves Boston at 60 miles per hour and reaches Chicago after 14 hours so how far did it travel before the driver rested at 60 miles"
+
+
+def found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    got = decontamination.find_contamination(docs, bench, runs=True).collect()
+    kept = decontamination.drop_contaminated(docs, bench, runs=True).collect()
+    assert {r.doc_id for r in kept} == set(range(len(texts))) - {r.doc_id for r in got}
+    return sorted((r.doc_id, r.item_id, r.kind) for r in got)
+
+
+def test_an_edited_value_leaves_the_rest_of_a_copy(spark):
+    torn = ITEM.replace("at 60 miles per", "at 75 miles per")
+    merged = ITEM.replace("60", "4").replace("14", "4")
+    shape = "the sum of 3 and 5 is 8 and the sum of 5 and 3 is 8 too"
+    other = "the sum of 1 and 2 is 3 and the sum of 4 and 7 is 11 too"
+    assert found(spark, [ITEM, shape], ["x " + torn, "So: " + merged, other, "nothing like it", None]) == [(0, 0, "template"), (1, 0, "template")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_longest_stretch(seed):
+    r = np.random.RandomState(seed)
+    n = r.randint(1, 30)
+    slots = [(k, 1, int(r.randint(4)), int(r.randint(3))) for k in range(n) if r.rand() < 0.5]
+    best = (0, True)
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            of = [s for s in slots if a <= s[0] < b]
+            if len({(i, d) for _, _, i, d in of}) == len({i for _, _, i, _ in of}):
+                best = max(best, (b - a, all(i == d for _, _, i, d in of)))
+    assert decontamination._longest_stretch(n, slots) == best
