@@ -1,8 +1,10 @@
 """Benchmark decontamination on canonical templates.
 
 Words of items and documents are canonicalised: outer punctuation and case go, numbers,
-names (capitals inside a sentence) and units behind a number become typed placeholders.
-Windows of template words are hash-joined with those of the items, matches are gathered
+names (capitals) and units behind a number become typed placeholders; a capital that begins
+a sentence is read both ways, as a word and as a name.
+Windows of template words are hash-joined with those of the items, by their exact words where
+more than half are slots (such a passage is found as a copy, not re-parameterised). Matches are gathered
 on diagonals (document position minus item position), and the slots under a diagonal, or
 under a long stretch of it, must map consistently, so a question that was only
 re-parameterised is caught and text that merely has the same shape is not.
@@ -41,11 +43,16 @@ _TYPED = np.array([0, 0x5E3F1B7A9C2D4E61, 0x7A1C9E5B3D2F4861, 0x1D4F7C2A6B9E8351
 
 @dataclass
 class Template:
-    """Template words of many texts end to end; ``slot`` holds the value's hash where typed."""
+    """Words of many texts end to end: hashes of their cores, and template words with whether they are slots.
 
+    ``tokens`` reads a capital that begins a sentence as a literal, ``named`` as a name.
+    """
+
+    core: np.ndarray
     tokens: np.ndarray
     typed: np.ndarray
-    slot: np.ndarray
+    named: np.ndarray
+    named_typed: np.ndarray
     counts: np.ndarray
 
 
@@ -82,69 +89,82 @@ def template(column: pa.Array | pa.ChunkedArray) -> Template:
     flat = np.frombuffer(b"".join(cores) + bytes(8), np.uint8)
     edge = np.cumsum(size)
     core = word_hashes(flat, edge - size, edge)[inverse]
-    # a capital is a name unless it starts a sentence, a line or the text
+    # where a sentence, a line or the text starts, a capital may be a name or not
     begins = np.ones(len(h), bool)
     begins[1:] = stop[:-1]
     begins[(np.cumsum(counts) - counts)[counts > 0]] = True
     begins |= buf[np.maximum(starts - 1, 0)] == 0x0A
-    kind = np.where((kind == _NAME) & begins, _LITERAL, kind)
     after = np.zeros(len(h), bool)
     after[1:] = kind[:-1] == _NUM
     kind = np.where((kind == _UNIT) & ~after, _LITERAL, kind)
     keep = kind != _NOTHING
     of = np.repeat(np.arange(len(counts)), counts)[keep]
-    kind, core = kind[keep], core[keep]
-    typed = kind != _LITERAL
-    return Template(np.where(typed, _TYPED[kind], core), typed, np.where(typed, core, 0), np.bincount(of, minlength=len(counts)))
+    named, core = kind[keep], core[keep]
+    kind = np.where((named == _NAME) & begins[keep], _LITERAL, named)
+    tokens = [np.where(k == _LITERAL, core, _TYPED[k]) for k in (kind, named)]
+    return Template(core, tokens[0], kind != _LITERAL, tokens[1], named != _LITERAL, np.bincount(of, minlength=len(counts)))
 
 
 class Items:
-    """A benchmark's template windows, by width (short items have one window, themselves)."""
+    """A benchmark's windows, by reading and width (short items have one window, themselves).
+
+    Windows are template words in both readings where at least half are literal, and exact
+    words where the rest would say too little.
+    """
 
     def __init__(self, ids: list[int], texts: list[str | None], window: int = WINDOW):
         t = template(pa.array(texts, pa.string()))
         self.ids, self.counts, self.first = ids, t.counts, np.cumsum(t.counts) - t.counts
-        self.slot, self.typed, self.tables = t.slot, t.typed, {}
+        self.core, self.tables = t.core, {}
         for width in sorted({min(window, int(c)) for c in t.counts if c >= LEAST}):
-            at = window_starts(t.counts, width) if width == window else self.first[t.counts == width]
-            at = at[_literals(t.typed, at, width) * 2 >= width]
-            h = window_hash(prefix_hash(t.tokens), at, width)
-            order = np.argsort(h, kind="stable")
-            item = np.searchsorted(self.first + t.counts, at, side="right")
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[width] = (h[order], item[order], (at - self.first[item])[order], sieve)
-
-    def _slots(self, t: Template, words: list[int], shift: int) -> list[tuple[int, int, int, int]]:
+            every = window_starts(t.counts, width) if width == window else self.first[t.counts == width]
+            enough, named_enough = (_literals(x, every, width) * 2 >= width for x in (t.typed, t.named_typed))
+            for reading, at in (("tokens", every[enough]), ("named", every[named_enough]), ("core", every[~enough])):
+                if not len(at):
+                    continue
+                h = window_hash(prefix_hash(getattr(t, reading)), at, width)
+                order = np.argsort(h, kind="stable")
+                item = np.searchsorted(self.first + t.counts, at, side="right")
+                sieve = np.zeros(1 << 20, bool)
+                sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+                self.tables[reading, width] = (h[order], item[order], (at - self.first[item])[order], sieve)
+
+    def _slots(self, t: Template, typed: np.ndarray, tokens: np.ndarray, words: list[int], shift: int) -> list[tuple[int, int, int, int]]:
         """(place in ``words``, kind, the item's value, the document's value) of each slot."""
-        return [(k, int(t.tokens[q]), int(self.slot[q + shift]), int(t.slot[q])) for k, q in enumerate(words) if t.typed[q]]
+        return [(k, int(tokens[q]), int(self.core[q + shift]), int(t.core[q])) for k, q in enumerate(words) if typed[q]]
 
     def matches(self, column: pa.Array, runs: bool = False) -> list[tuple[int, int, int, bool]]:
         """(row, item, template words covered, whether the slots are equal) for each contaminated pair."""
         t = template(column)
-        prefix = prefix_hash(t.tokens)
+        prefix = {reading: prefix_hash(getattr(t, reading)) for reading, _ in self.tables}
         ends = np.cumsum(t.counts)
-        covered: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
-        for width, (keys, item, within, sieve) in self.tables.items():
+        first: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        every: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
+        for (reading, width), (keys, item, within, sieve) in self.tables.items():
             at = window_starts(t.counts, width)
-            h = window_hash(prefix, at, width)
+            h = window_hash(prefix[reading], at, width)
             maybe = sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
             low, high = np.searchsorted(keys, h), np.searchsorted(keys, h, side="right")
             row = np.searchsorted(ends, at, side="right")
             for p, r, a, b in zip(at.tolist(), row.tolist(), low.tolist(), high.tolist()):
                 for k in range(a, b):
-                    covered[r, int(item[k]), p - int(within[k])].append((p, width))
+                    key = r, int(item[k]), p - int(within[k])
+                    every[key].append((p, width))
+                    if reading == "tokens":
+                        first[key].append((p, width))
         found: dict[tuple[int, int], tuple[int, bool]] = {}
-        for (r, i, diagonal), windows in covered.items():
-            words = sorted({q for p, w in windows for q in range(p, p + w)})
-            need = min(ENOUGH, int(self.counts[i]))
-            if len(words) < need:
-                continue
-            slots = self._slots(t, words, int(self.first[i]) - diagonal)
-            best = _longest_stretch(len(words), slots) if runs else _whole(len(words), slots)
-            if best[0] >= need:
-                found[r, i] = max(found.get((r, i), best), best)
+        # the first reading by itself, and all windows together with sentence-initial capitals as slots
+        for covered, typed, tokens in ((first, t.typed, t.tokens), (every, t.named_typed, t.named)):
+            for (r, i, diagonal), windows in covered.items():
+                words = sorted({q for p, w in windows for q in range(p, p + w)})
+                need = min(ENOUGH, int(self.counts[i]))
+                if len(words) < need:
+                    continue
+                slots = self._slots(t, typed, tokens, words, int(self.first[i]) - diagonal)
+                best = _longest_stretch(len(words), slots) if runs else _whole(len(words), slots)
+                if best[0] >= need:
+                    found[r, i] = max(found.get((r, i), best), best)
         return [(r, i, n, same) for (r, i), (n, same) in sorted(found.items())]
 
 

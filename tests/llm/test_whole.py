@@ -60,3 +60,13 @@ def test_longest_stretch(seed):
             if len({(i, d) for _, _, i, d in of}) == len({i for _, _, i, _ in of}):
                 best = max(best, (b - a, all(i == d for _, _, i, d in of)))
     assert decontamination._longest_stretch(n, slots) == best
+
+
+def test_names_that_begin_sentences_and_passages_of_slots(spark):
+    problem = "Tom has 3 apples. Anna has 5 apples. Tom gives 2 apples to Anna. Tom then buys 4 more. How many apples does Tom have?"
+    renamed = problem.replace("Tom", "Bela").replace("Anna", "Eva").replace("3", "7").replace("5", "9").replace("4", "11")
+    numbers = "1 1 2 3 5 8 13 21 34 55 89 144 233 377"
+    title = "Who Wrote The Novel War And Peace In Russia Before Tolstoy Turned Fifty Years"
+    texts = ["Intro. " + renamed, "list: " + numbers + " end", "list: 2 4 6 8 10 12 14 16 18 20 22 24 26 28", "see " + title + " ok", "see Was Wrote By Nobody And Never Read Since Anyone Knew His Name Or Face ok", "x " + problem, "Lisbon was where that long train had come from at 90 miles per hour"]
+    inside = "it was said that Boston was where that long train had come from at 60 miles per hour"
+    assert found(spark, [problem, numbers, title, inside], texts) == [(0, 0, "template"), (1, 1, "exact"), (3, 2, "exact"), (5, 0, "exact"), (6, 3, "template")]
