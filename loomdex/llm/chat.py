@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id:string,name:string,arguments:map<string,string>>>"
+_TYPED_MESSAGE = _MESSAGE.replace("map<string,string>", "map<string,variant>")
 #: Tools are a parameter, one expression each.
 MOST_TOOLS = 500
 
@@ -33,11 +34,33 @@ def _argument_fits(kind: str) -> str:
     }[kind]
 
 
+def _typed_fits(kind: str, v: str) -> str:
+    """SQL test of one argument, a VARIANT ``v`` that isn't missing, by its JSON type."""
+    of = f"schema_of_variant({v})"
+    return {
+        "string": f"{of} = 'STRING'",
+        "integer": f"CASE WHEN {of} = 'BIGINT' THEN true WHEN {of} LIKE 'DECIMAL%' THEN to_json({v}) rlike '^-?[0-9]+$' WHEN {of} IN ('DOUBLE', 'FLOAT') THEN try_variant_get({v}, '$', 'double') % 1 = 0 ELSE false END",
+        "number": f"({of} IN ('BIGINT', 'DOUBLE', 'FLOAT') OR {of} LIKE 'DECIMAL%')",
+        "boolean": f"{of} = 'BOOLEAN'",
+        "object": f"{of} LIKE 'OBJECT%'",
+        "array": f"{of} LIKE 'ARRAY%'",
+    }[kind]
+
+
+def _typed_in(values: list, v: str) -> str:
+    """SQL test whether a VARIANT equals one of JSON values."""
+    texts = [x for x in values if isinstance(x, str)]
+    others = [json.dumps(int(x) if isinstance(x, float) and x.is_integer() else x, sort_keys=True, separators=(",", ":"), ensure_ascii=False) for x in values if not isinstance(x, str)]
+    text = f"try_variant_get({v}, '$', 'string') IN ({', '.join(map(_quoted, texts))})" if texts else "false"
+    other = f"to_json({v}) IN ({', '.join(map(_quoted, others))})" if others else "false"
+    return f"if(schema_of_variant({v}) = 'STRING', {text}, {other})"
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def argument_errors(tools: dict[str, dict]) -> str:
+def argument_errors(tools: dict[str, dict], typed: bool = False) -> str:
     """SQL for the sorted errors of a call ``c`` (name, arguments) against JSON-schema-like tools.
 
     A tool is ``{"properties": {name: {"type": ..., "enum": [...]}}, "required": [...]}``.
@@ -49,10 +72,12 @@ def argument_errors(tools: dict[str, dict]) -> str:
         tests = []
         for name, spec in sorted(schema.get("properties", {}).items()):
             v = f"element_at(c.arguments, {_quoted(name)})"
-            fits = _argument_fits(spec.get("type", "string")).replace("v ", f"{v} ", 1)
+            kind = spec.get("type", "string")
+            fits = _typed_fits(kind, v) if typed else _argument_fits(kind).replace("v ", f"{v} ", 1)
             tests.append(f"if({v} IS NOT NULL AND NOT ({fits}), {_quoted('type:' + name)}, NULL)")
             if "enum" in spec:
-                tests.append(f"if({v} IS NOT NULL AND {v} NOT IN ({', '.join(map(_quoted, map(str, spec['enum'])))}), {_quoted('enum:' + name)}, NULL)")
+                found = _typed_in(spec["enum"], v) if typed else f"{v} IN ({', '.join(map(_quoted, map(str, spec['enum'])))})"
+                tests.append(f"if({v} IS NOT NULL AND NOT ({found}), {_quoted('enum:' + name)}, NULL)")
         for name in sorted(schema.get("required", [])):
             tests.append(f"if(element_at(c.arguments, {_quoted(name)}) IS NULL, {_quoted('missing:' + name)}, NULL)")
         known = ", ".join(map(_quoted, schema.get("properties", {}))) or "''"
@@ -66,7 +91,14 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))
 
 
-def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
+def _whole_message() -> Column:
+    """The message in ``text`` with all its fields and JSON types, keys in order; the turn's role counts before its own."""
+    entries = "map_entries(try_cast(try_parse_json(text) AS map<string,variant>))"
+    merged = f"if(role IS NULL, {entries}, array_append(filter({entries}, e -> e.key <> 'role'), struct('role' AS key, cast(role AS variant) AS value)))"
+    return F.expr(f"to_json(map_from_entries(array_sort({merged}, (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)))")
+
+
+def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, typed: bool = False) -> DataFrame:
     """Linked, validated, ordered and serialised turns of ``turns`` (conv_id, turn, role, text).
 
     Returns a row for each turn: ``conv_id, turn, role, order_turn, order_step`` (sort by
@@ -78,7 +110,17 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataF
     role is null; turns with null keys link with nothing; repeated rows stay repeated; text
     that isn't a JSON message of these kinds is content, whatever it holds. Other columns
     don't pass through.
+
+    With ``typed``, as the query asks, arguments keep their JSON types: they are tested by them
+    (an explicit null has none that fits), and a message is serialised with all its fields and
+    values (1.0 as 1; whole numbers beyond 38 digits as doubles). Calls without an id stay,
+    with the error ``:no_id``, and so do the calls of a turn that is itself a result, with
+    ``:mixed``; such a turn stands where its result does. A message that repeats a key in one
+    object is read as far as it can be, with ``:unreadable``. Without ``typed`` arguments are
+    strings, and such calls and other fields are left out.
     """
+    if typed:
+        return _format_typed(turns, tools or {})
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("m", F.when(F.col("text").rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"\s*:'), F.from_json("text", _MESSAGE)))
     rows = rows.withColumn("calls", F.expr("filter(m.tool_calls, c -> c.id IS NOT NULL)")).withColumn("answers", F.col("m.tool_call_id"))
     linked = F.col("calls").isNotNull() | F.col("answers").isNotNull()
@@ -99,6 +141,34 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataF
     return plain.unionByName(made).unionByName(answers)
 
 
+def _format_typed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
+    rows = turns.select("conv_id", "turn", "role", "text").withColumn("m", F.when(F.col("text").rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"\s*:'), F.from_json("text", _TYPED_MESSAGE)))
+    rows = rows.withColumn("calls", F.expr("filter(m.tool_calls, c -> c IS NOT NULL)")).withColumn("answers", F.col("m.tool_call_id"))
+    linked = F.col("calls").isNotNull() | F.col("answers").isNotNull()
+    calls = rows.where("calls IS NOT NULL").select("conv_id", "turn", F.explode("calls.id").alias("call_id")).where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
+    results = rows.where("answers IS NOT NULL").select("conv_id", F.col("answers").alias("call_id")).distinct()
+    zero, no_link = F.lit(0).cast("long"), F.lit(None).cast("string")
+    whole = _whole_message()
+    some = F.to_json(F.expr("struct(m.content as content, role, m.tool_call_id as tool_call_id, calls as tool_calls)"))
+    unreadable = F.when(whole.isNull(), F.array(F.lit(":unreadable"))).otherwise(F.array().cast("array<string>"))
+    message = F.coalesce(whole, some)
+    # results to their calls, on the rows of results only
+    answers = rows.where("answers IS NOT NULL").join(calls, (rows.conv_id == calls.conv_id) & (rows.answers == calls.call_id), "left").select(rows["*"], calls["call_turn"])
+    late = F.col("call_turn") >= F.col("turn")
+    placed = {"order_turn": F.when(late, F.col("call_turn")).otherwise(F.col("turn")), "order_step": F.when(late, 1).otherwise(0), "link": F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked")}
+    answers = answers.withColumns(placed)
+    only = answers.where("calls IS NULL").select("conv_id", "turn", "role", "order_turn", "order_step", zero.alias("n_calls"), zero.alias("n_linked"), "link", F.array_join(unreadable, ",").alias("errors"), message.alias("message"))
+    # calls to their results, on the rows of calls only
+    made = rows.where("calls IS NOT NULL AND answers IS NULL").withColumns({"order_turn": F.col("turn"), "order_step": F.lit(0), "link": no_link})
+    made = made.unionByName(answers.where("calls IS NOT NULL").drop("call_turn")).withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
+    done = made.select("conv_id", "row", F.explode(F.expr("array_distinct(calls.id)")).alias("call_id")).distinct().join(results, ["conv_id", "call_id"]).groupBy("row").agg(F.count("*").alias("n_linked"))
+    errors = F.expr(f"flatten(transform(calls, c -> transform({argument_errors(tools, typed=True)}, e -> concat(coalesce(c.id, ''), ':', e))))")
+    kept = F.expr("concat(if(exists(calls, c -> c.id IS NULL), array(':no_id'), array()), if(answers IS NOT NULL, array(':mixed'), array()))")
+    made = made.join(done, "row", "left").select("conv_id", "turn", "role", "order_turn", "order_step", F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), "link", F.array_join(F.array_sort(F.concat(errors, kept, unreadable)), ",").alias("errors"), message.alias("message"))
+    plain = rows.where(~linked).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), zero.alias("n_calls"), zero.alias("n_linked"), no_link.alias("link"), F.lit("").alias("errors"), canonical_json(content=F.col("text"), role=F.col("role")).alias("message"))
+    return plain.unionByName(made).unionByName(only)
+
+
 def tools_from_json(text: str) -> dict[str, dict]:
     """Tool schemas from a JSON object of them."""
     return json.loads(text)

@@ -121,7 +121,7 @@ CHAT_TOOLS = {
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_chat
 
-    return format_chat(table(spark, sf_dir, "conversations"), CHAT_TOOLS)
+    return format_chat(table(spark, sf_dir, "conversations"), CHAT_TOOLS, typed=True)
 
 
 # No text of the table is a tool message, so in SQL every turn is plain; linking is tested on fixtures.

@@ -1,10 +1,12 @@
 """Whole jobs: cases that an operator once did less for."""
 
+import json
+
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomdex.llm import _tokens, decontamination, packing, queries
+from loomdex.llm import _tokens, chat, decontamination, packing, queries
 
 from . import cases
 
@@ -70,3 +72,23 @@ def test_names_that_begin_sentences_and_passages_of_slots(spark):
     texts = ["Intro. " + renamed, "list: " + numbers + " end", "list: 2 4 6 8 10 12 14 16 18 20 22 24 26 28", "see " + title + " ok", "see Was Wrote By Nobody And Never Read Since Anyone Knew His Name Or Face ok", "x " + problem, "Lisbon was where that long train had come from at 90 miles per hour"]
     inside = "it was said that Boston was where that long train had come from at 60 miles per hour"
     assert found(spark, [problem, numbers, title, inside], texts) == [(0, 0, "template"), (1, 1, "exact"), (3, 2, "exact"), (5, 0, "exact"), (6, 3, "template")]
+
+
+TOOL = {"t": {"properties": {"s": {"type": "string"}, "i": {"type": "integer"}, "n": {"type": "number"}, "b": {"type": "boolean"}, "o": {"type": "object"}, "a": {"type": "array"}, "e": {"type": "string", "enum": ["k", 2]}}, "required": ["s"]}}
+
+
+def test_chat_keeps_json_types(spark):
+    good = {"s": "5", "i": 3, "n": 2.5, "b": True, "o": {"z": [1, "1"], "y": None}, "a": [], "e": "k"}
+    bad = {"s": 5, "i": "5", "n": "2", "b": "true", "o": "{}", "a": "[]", "e": "2"}
+    first = {"zeta": {"q": 1}, "content": None, "tool_calls": [{"id": "c1", "name": "t", "type": "function", "arguments": good}, {"id": "c2", "name": "t", "arguments": bad}, {"name": "t", "arguments": {"s": None, "i": 1.5}}]}
+    mixed = {"tool_call_id": "c1", "content": "r", "tool_calls": [{"id": "c3", "name": "t", "arguments": {"i": 1}}]}
+    twice = '{"tool_calls": [{"id": "c4", "name": "t", "arguments": {"s": "x"}}], "x": {"a": 1, "a": 2}}'
+    texts = [json.dumps(first), json.dumps(mixed), json.dumps({"tool_call_id": "c3", "content": [1]}), "plain", twice]
+    df = spark.createDataFrame([(1, i, "r", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    got = sorted(chat.format_chat(df, TOOL, typed=True).collect(), key=lambda r: r.turn)
+    written = lambda m: json.dumps({**m, "role": "r"}, sort_keys=True, separators=(",", ":"))
+    assert [r.message for r in got[:4]] == [written(first), written(mixed), written(json.loads(texts[2])), '{"content":"plain","role":"r"}']
+    assert got[0].errors == ":no_id,:type:i,:type:s," + ",".join(sorted(["c2:enum:e", *(f"c2:type:{k}" for k in "sinboa")]))
+    assert [(r.n_calls, r.n_linked, r.link) for r in got] == [(3, 1, None), (1, 1, "linked"), (0, 0, "linked"), (0, 0, None), (1, 0, None)]
+    assert [r.errors for r in got[1:]] == [":mixed,c3:missing:s", "", "", ":unreadable"]
+    assert json.loads(got[4].message)["tool_calls"] == [{"id": "c4", "name": "t", "arguments": {"s": "x"}}]
