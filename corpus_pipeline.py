@@ -27,10 +27,14 @@ from loomdex.llm.secrets import redact
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in which no language can be told: null, empty or without a letter.
 
-    The trees learn from the labelled rows of ``docs`` themselves. Null labels and ids, ties
-    and repeated rows are no reason to drop a row; an empty table stays empty.
+    The trees learn from the labelled rows of ``docs`` themselves; where there are none,
+    every text with a letter stays. Null labels and ids, ties and repeated rows are no reason
+    to drop a row; an empty table stays empty.
     """
-    judged = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), fit(docs.select("doc_id", "text", "lang")))
+    trees = fit(docs.select("doc_id", "text", "lang"))
+    if not trees.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    judged = identify(docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}), trees)
     kept = judged.where(F.col("lang_pred") != UNDECIDED)
     return kept.select(*[F.col(f"_own_{c}" if c in ("lang_pred", "score") else c).alias(c) for c in docs.columns])
 

@@ -1,6 +1,7 @@
 """Whole jobs: cases that an operator once did less for."""
 
 import json
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -92,3 +93,28 @@ def test_chat_keeps_json_types(spark):
     assert [(r.n_calls, r.n_linked, r.link) for r in got] == [(3, 1, None), (1, 1, "linked"), (0, 0, "linked"), (0, 0, None), (1, 0, None)]
     assert [r.errors for r in got[1:]] == [":mixed,c3:missing:s", "", "", ":unreadable"]
     assert json.loads(got[4].message)["tool_calls"] == [{"id": "c4", "name": "t", "arguments": {"s": "x"}}]
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_is_brute_force(spark, tmp_path, labelled):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    item = "what is the shortest way from the old harbour to the northern gate of the walled city on foot"
+    key = "key token = abcdefabcdefabcd ok"
+    rows = cases.documents() + [(500, "leak " + item, "en", "s", 1), (501, key, "en", "s", 1), (502, "model reads <|endoftext|> here", None, "s", 1), (503, "12 34", "en", "s", 5), (504, "ж", None, "s", 1)]
+    rows = [r if labelled else (r[0], r[1], None, *r[3:]) for r in rows]
+    cases.frame(spark, rows, extra=False).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = [r for r in rows if any(map(str.isalpha, r[1] or ""))]
+    heads = {i for i, _, c in cases.components([r for r in kept if r[0] is not None], 5, 80) if i == c}
+    kept = list({r[0]: r for r in kept if r[0] in heads}.values()) + [r for r in kept if r[0] is None]
+    kept = [(i, "key [SECRET] ok" if t == key else t) for i, t, *_ in kept if item not in t]
+    tool = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+    want = Counter((i, tuple([*tool.encode(t, add_special_tokens=False).ids, 0])) for i, t in kept)
+    parts = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        parts[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    got = Counter((i, tuple(x for _, ids in sorted(p) for x in ids)) for i, p in parts.items())
+    assert got == want and len(want) > 40
