@@ -1,20 +1,22 @@
 """Token files: an adaptive context-mixing range coder for token ids.
 
-A block holds up to ``BLOCK`` ids and is coded with models that start afresh, so blocks
-decode independently. In a block, the order-2 and the order-1 context each predict one id,
-with a confidence that rises when it comes true; the file's id frequencies are the order-0
-prediction. The joint confidence of both predictions picks adaptive weights, and an id's
-share of the mixture
+A block holds up to ``BLOCK`` ids and is coded by models that start empty, so a block decodes
+by itself, without any other block or table. The order-2 and the order-1 context each predict
+one id, with a confidence that rises when it comes true. The order-0 prediction is a
+distribution over the ids that neither foresaw, by their counts in the block so far, recent
+ones weighing more; it is put into cumulative form anew every ``RENEW`` positions, and an id
+that isn't in it yet is an escape and its plain number. The joint confidence of the contexts
+picks adaptive weights, and an id's share of the mixture
 
     P(id) = w2 [id = predicted by order 2] + w1 [id = predicted by order 1] + w0 P0(id)
 
 is its share of the coder's range. The blocks of a file are coded side by side, one lane a
 block, a numpy step for each position; a lane's bytes don't depend on the other lanes.
 
-File: magic, a JSON header's length and the header (counts, block size), then the document
-ids and lengths, the order-0 table, a block index (bytes, and CRC-32 of the bytes and of the
-ids of each block), the CRC-32 of all that, and the blocks. Files are rows of a Parquet table with one binary column, so that any
-store Spark writes to holds them.
+File: magic, a JSON header's length and the header (counts, block size, bits of an id), then
+the document ids and lengths, a block index (bytes, and CRC-32 of the bytes and of the ids of
+each block), the CRC-32 of all that, and the blocks. Files are rows of a Parquet table with
+one binary column, so that any store Spark writes to holds them.
 """
 
 from __future__ import annotations
@@ -31,60 +33,101 @@ from pyspark.sql import functions as F
 
 from ._common import slices, total_words
 
-MAGIC = b"LDXTOK1\n"
-BLOCK = 1024
-_SLOTS = 256  # of a context order, in a block; small, so that all lanes' tables stay in the cache
-_LANES = 4096  # blocks coded side by side at most
-_SCALE = 20  # bits of the order-0 total
-MOST_BROADCAST = 500_000
-_U, _TOP, _LOW = np.uint64, np.uint64(1 << 48), np.uint64((1 << 32) - 1)
-_M1, _SHIFT, _1, _3, _4, _7 = map(np.uint32, (0x9E3779B1, 32 - 8, 1, 3, 4, 7))
+MAGIC = b"LDXTOK2\n"
+BLOCK = 16_384
+#: Positions between two renewals of the order-0 distribution, after a quicker start.
+RENEW = 64
+_SLOTS = 4096  # of a context order, in a block
+_LANES = 1024  # blocks coded side by side at most
+_ONE = 64  # what an occurrence adds to an id's order-0 share; an eighth goes at each renewal, down to 7
+_TOTAL = 18  # bits that a lane's order-0 total never exceeds
+_WORD = np.uint64(32)
+_LOW = np.uint64((1 << 32) - 1)
+_12, _5, _W32 = np.uint64(12), np.uint64(5), np.uint64(4096)
+_MASK = np.uint64(0x07FF_0000_07FF)
+#: What the weights gain, order 2 in the low half: by whether order 2 and, if it doesn't, order 1 foresaw the id.
+_GAIN = np.array([1 | 1 << 32, 1 | 124 << 32, 124 | 1 << 32, 124 | 1 << 32], np.uint64)
+_M1, _SHIFT, _1, _3, _4, _7, _9 = map(np.uint32, (0x9E3779B1, 32 - 12, 1, 3, 4, 7, 9))
+
+
+class _Contexts:
+    """Orders 2 and 1 (rows 0 and 1) and the weights, of all lanes. A context's slot holds its predicted
+    id and, in the low three bits, the confidence; a pair of weights is one integer."""
 
+    def __init__(self, lanes: int):
+        self.table = np.zeros(2 * lanes * _SLOTS, np.uint32)
+        self.w = np.full(lanes * 128, 1024 | 512 << 32, np.uint64)
+        self.base, self.wbase = np.arange(2 * lanes).reshape(2, lanes) * _SLOTS, np.arange(lanes) * 128
+        self.key, self.before = np.zeros((2, lanes), np.uint32), np.zeros(lanes, np.uint32)
+
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For the first n lanes: predicted ids of both orders, and their weights out of 4096."""
+        self.slot = (self.key[:, :n] >> _SHIFT) + self.base[:, :n]
+        self.held = self.table.take(self.slot)
+        ids = self.held >> _3
+        self.sure = self.held & _7
+        self.at = ((self.sure[0] << _4) | (self.sure[1] << _1) | (ids[0] == ids[1])) + self.wbase[:n]
+        self.pair = self.w.take(self.at)
+        return ids, self.pair & _LOW, self.pair >> _WORD
+
+    def update(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """``hit``: which of the orders foresaw x. A pair of weights stays under 4,096 in sum (each step takes a
+        thirty-second, rounded down, and adds 125), so the order-0 share never vanishes."""
+        case = hit.view(np.uint8)
+        self.w[self.at] = self.pair - ((self.pair >> _5) & _MASK) + _GAIN.take(case[0] * 2 + case[1])
+        # true: more confident; false: less, and replaced once confidence is gone
+        wrong = np.where(self.sure > _1, self.held - _1, (x << _3) | _1)
+        self.table[self.slot] = np.where(hit, self.held + (self.sure < _7), wrong)
+        n = len(x)
+        key = x * _M1
+        self.key[0, :n] = (key ^ self.before[:n]) * _M1
+        self.key[1, :n] = key
+        self.before[:n] = (key << _4) ^ (key >> _9)
 
-def order0(ids: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and their frequencies, scaled to a total of 2**_SCALE with none below 1."""
-    symbols, seen = np.unique(ids, return_counts=True)
-    freq = np.maximum(floor, seen * float((1 << _SCALE) - len(symbols)) / max(1, seen.sum())).astype(np.int64)
-    if len(symbols):
-        freq[np.argmax(freq)] += (1 << _SCALE) - freq.sum()
-    return symbols, freq
 
+class _Order0:
+    """Each lane's distribution over the ids that escaped so far, numbered from 1; number 0 is the escape.
 
-class _Model:
-    """Contexts and weights of all lanes. A context's slot holds its predicted id and, in the low
-    three bits, the confidence; a pair of weights is one integer, order 2 in the low half."""
+    ``share`` holds a lane's shares and ``starts`` their running sums, from ``offset`` on: where
+    that is ``lane << _TOTAL`` (the decoder's), the rows end to end are one rising array.
+    """
 
-    def __init__(self, lanes: int):
-        self.two, self.one = np.zeros(lanes * _SLOTS, np.uint32), np.zeros(lanes * _SLOTS, np.uint32)
-        self.w = np.full(lanes * 128, 1024 | 512 << 16, np.int32)
-        self.base, self.wbase = np.arange(lanes) * _SLOTS, np.arange(lanes) * 128
-        self.k1, self.k2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-
-    def predict(self, n: int):
-        """For the first n lanes: predicted ids of order 2 and 1, and their weights out of 4096."""
-        k1 = self.k1[:n]
-        self.s1 = (k1 >> _SHIFT) + self.base[:n]
-        self.s2 = (((k1 ^ self.k2[:n]) * _M1) >> _SHIFT) + self.base[:n]
-        self.e1, self.e2 = self.one.take(self.s1), self.two.take(self.s2)
-        self.i1, self.i2 = self.e1 >> _3, self.e2 >> _3
-        self.c1, self.c2 = self.e1 & _7, self.e2 & _7
-        self.at = (((self.c2 << _4) | (self.c1 << _1)) | (self.i1 == self.i2)) + self.wbase[:n]
-        w = self.w.take(self.at)
-        self.w2, self.w1 = w & 0xFFFF, w >> 16
-        return self.i2, self.i1, self.w2, self.w1
-
-    def update(self, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        n = len(x)
-        w2 = self.w2 + ((np.multiply(hit2, np.int32(3968)) + 32 - self.w2) >> 5)
-        w1 = self.w1 + ((np.multiply(hit1, np.int32(3968)) + 32 - self.w1) >> 5)
-        self.w[self.at] = w2 | w1 << 16
-        new = (x << _3) | _1
-        # true: more confident; false: less, and replaced once confidence is gone
-        self.two[self.s2] = np.where(hit2, self.e2 + (self.c2 < _7), np.where(self.c2 > _1, self.e2 - _1, new))
-        self.one[self.s1] = np.where(self.i1 == x, self.e1 + (self.c1 < _7), np.where(self.c1 > _1, self.e1 - _1, new))
-        k1 = self.k1[:n]
-        self.k2[:n] = (k1 << _4) ^ (k1 >> np.uint32(9))
-        np.multiply(x, _M1, out=k1)
+    def __init__(self, lanes: int, apart: bool):
+        self.offset = np.arange(lanes, dtype=np.int32) << _TOTAL if apart else np.zeros(lanes, np.int32)
+        self.used, self.seen = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.share = np.zeros((lanes, 256), np.int32)
+        self.missed: list[np.ndarray] = []
+        self.places: list[np.ndarray] = []
+        self.renew(0)
+
+    def renew(self, t: int) -> None:
+        if self.places:
+            self.seen += np.bincount(np.concatenate(self.missed), minlength=len(self.seen))
+            self.share -= self.share >> 3
+            np.add.at(self.share.reshape(-1), np.concatenate(self.places), _ONE)
+            self.missed, self.places = [], []
+        need, width = int(self.used.max()) + RENEW + 2, self.share.shape[1]
+        if need > width:
+            self.share = np.pad(self.share, ((0, 0), (0, max(need - width, width // 4))))
+        self.share[:, 0] = 0
+        lanes, self.width = self.share.shape
+        self.row = np.arange(lanes) * self.width
+        self.starts = np.empty((lanes, self.width), np.int32)
+        np.cumsum(self.share[:, :-1], axis=1, out=self.starts[:, 1:])
+        # an escape is as likely as new ids were among those that met the distribution
+        escape = np.maximum(1, self.starts[:, -1] * self.used // np.maximum(1, self.seen)).astype(np.int32)
+        self.starts[:, 1:] += (escape + self.offset)[:, None]
+        self.starts[:, 0] = self.offset
+        self.total = (self.starts[:, -1] - self.offset).astype(np.uint64)
+        self.starts = self.starts.reshape(-1)
+        self.due = t + min(RENEW, max(RENEW // 2, t // 4))
+
+    def add(self, lane: np.ndarray) -> np.ndarray:
+        """New numbers, one for each of these lanes."""
+        self.used[lane] += 1
+        number = self.used[lane]
+        self.places.append(self.row[lane] + number)
+        return number
 
 
 def _lanes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,108 +137,157 @@ def _lanes(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-size[order], -np.arange(steps), side="left")
 
 
-def encode_blocks(blocks: list[np.ndarray], symbols: np.ndarray, freq: np.ndarray) -> list[bytes]:
-    """Each block's bytes; ``symbols`` and ``freq`` are the order-0 table, which must hold every id."""
+def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
+    """Each block's bytes; no id needs more than ``bits`` (24 at most)."""
     size = np.array([len(b) for b in blocks])
     order, on = _lanes(size)
     lanes, steps = len(blocks), len(on)
     ids = np.zeros((steps, lanes), np.uint32)
     for lane, b in enumerate(order):
         ids[: size[b], lane] = blocks[b]
-    f0, s0 = np.zeros(int(symbols.max(initial=0)) + 1, np.uint64), np.zeros(int(symbols.max(initial=0)) + 1, np.uint64)
-    f0[symbols], s0[symbols] = freq, np.cumsum(freq) - freq
-    model = _Model(lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, _TOP - _U(1))
-    out, used = np.zeros((lanes, 2 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    kinds = np.flatnonzero(np.bincount(ids.ravel(), minlength=1))
+    rank = np.zeros(int(kinds.max(initial=0)) + 1, np.int32)
+    rank[kinds] = np.arange(len(kinds))
+    kbase = np.arange(lanes) * len(kinds)
+    number = np.zeros(lanes * len(kinds), np.int16)  # of each id in each lane's order-0 distribution
+    named: list[tuple[np.ndarray, np.ndarray]] = []  # numbers that hold from the next renewal on
+    ctx, zero = _Contexts(lanes), _Order0(lanes, apart=False)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, ~np.uint64(0))
+    out, used = np.zeros((lanes, 2 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
+    flat, row = out.reshape(-1), np.arange(lanes) * out.shape[1]
+
+    def carry(which: np.ndarray) -> None:
+        k = row[which] + used[which] - 1
+        while len(k):
+            flat[k] += np.uint32(1)  # 0xFFFFFFFF becomes 0 and carries on
+            k = k[flat[k] == 0] - 1
 
     def emit(which: np.ndarray) -> None:
-        out[which, used[which]] = low[which] >> _U(32)
-        used[which] += 1
-        low[which] = (low[which] & _LOW) << _U(16)
+        x, k = low[which], used[which]
+        flat[row[which] + k] = x >> _WORD
+        used[which] = k + 1
+        low[which] = x << _WORD
+        span[which] <<= _WORD
 
     for t, n in enumerate(on):
-        x = ids[t, :n]
-        i2, i1, w2, w1 = model.predict(n)
-        hit2 = i2 == x
-        hit1 = (i1 == x) & ~hit2
-        lo, sp = low[:n], span[:n]
-        r = sp >> _U(12)
-        begin = np.where(hit2, 0, np.where(hit1, w2, w2 + w1))
-        share = np.where(hit2, w2, np.where(hit1, w1, 4096 - w2 - w1))
-        lo += begin.astype(np.uint64) * r
-        np.multiply(share.astype(np.uint64), r, out=sp)
-        miss = np.flatnonzero(~(hit2 | hit1))
+        if t == zero.due:
+            zero.renew(t)
+            for at, new in named:
+                number[at] = new
+            named = []
+        x, lo, sp = ids[t, :n], low[:n], span[:n]
+        foreseen, w2, w1 = ctx.predict(n)
+        hit = foreseen == x
+        both = w2 + w1
+        r = sp >> _12
+        begin = np.where(hit[0], 0, np.where(hit[1], w2, both)) * r
+        np.multiply(np.where(hit[0], w2, np.where(hit[1], w1, _W32 - both)), r, out=sp)
+        miss = np.nonzero(~(hit[0] | hit[1]))[0]
         if len(miss):
             y = x[miss]
-            r = sp[miss] >> _U(_SCALE)
-            lo[miss] += s0[y] * r
-            sp[miss] = f0[y] * r
-        over = np.flatnonzero(lo >= _TOP)
-        if len(over):
-            lo[over] -= _TOP
-            for lane in over:
-                k = used[lane] - 1
-                while out[lane, k] == 0xFFFF:
-                    out[lane, k] = 0
-                    k -= 1
-                out[lane, k] += 1
-        small = np.flatnonzero(sp <= _LOW)
-        while len(small):
+            at = kbase[miss] + rank[y]
+            k = number[at]
+            place = zero.row[miss] + k
+            start, stop = zero.starts[place], zero.starts[place + 1]
+            r = sp[miss] // zero.total[miss]
+            begin[miss] += start.astype(np.uint64) * r
+            sp[miss] = (stop - start).astype(np.uint64) * r
+            zero.missed.append(miss)
+            zero.places.append(place)
+        lo += begin
+        over = lo < begin
+        if over.any():
+            carry(over.nonzero()[0])
+        small = (sp <= _LOW).nonzero()[0]
+        if len(small):
             emit(small)
-            sp[small] <<= _U(16)
-            small = small[sp[small] <= _LOW]
-        model.update(x, hit2, hit1)
-    every = np.arange(lanes)
-    for _ in range(3):
-        emit(every)
+        if len(miss):
+            new = (k == 0).nonzero()[0]
+            if len(new):
+                lane, y = miss[new], y[new].astype(np.uint64)
+                r = span[lane] >> np.uint64(bits)
+                y *= r
+                z = low[lane] + y
+                low[lane], span[lane] = z, r
+                over = z < y
+                if over.any():
+                    carry(lane[over])
+                emit(lane[r <= _LOW])
+                named.append((at[new], zero.add(lane)))
+        ctx.update(x, hit)
+    for _ in range(2):
+        emit(np.arange(lanes))
     coded: list[bytes] = [b""] * lanes
     for lane, b in enumerate(order):
-        coded[b] = out[lane, : used[lane]].astype("<u2").tobytes()
+        coded[b] = out[lane, : used[lane]].astype("<u4").tobytes()
     return coded
 
 
-def decode_blocks(coded: list[bytes], size: np.ndarray, symbols: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], size: np.ndarray, bits: int) -> list[np.ndarray]:
     """The ids of blocks of ``size`` ids each."""
     order, on = _lanes(size)
     lanes, steps = len(coded), len(on)
-    words = [np.frombuffer(coded[b], "<u2") for b in order]
-    code_in = np.zeros((lanes, max(map(len, words), default=0) + 3), np.uint16)
+    words = [np.frombuffer(coded[b], "<u4") for b in order]
+    given = np.zeros((lanes, max(map(len, words), default=0) + 3), np.uint32)
     for lane, w in enumerate(words):
-        code_in[lane, : len(w)] = w
-    f0, s0 = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
-    find = np.repeat(np.arange(len(symbols), dtype=np.uint16 if len(symbols) <= 1 << 16 else np.uint32), freq)
-    symbols = symbols.astype(np.uint32)
-    model = _Model(lanes)
-    span, used = np.full(lanes, _TOP - _U(1)), np.full(lanes, 3)
-    code = (code_in[:, 0].astype(np.uint64) << _U(32)) | (code_in[:, 1].astype(np.uint64) << _U(16)) | code_in[:, 2]
+        given[lane, : len(w)] = w
+    code = (given[:, 0].astype(np.uint64) << _WORD) | given[:, 1]
+    given, row = given.reshape(-1), np.arange(lanes) * given.shape[1]
+    ctx, zero = _Contexts(lanes), _Order0(lanes, apart=True)
+    symbols = np.zeros((lanes, zero.width), np.uint32)
+    span, used = np.full(lanes, ~np.uint64(0)), np.full(lanes, 2)
     ids = np.zeros((steps, lanes), np.uint32)
+
+    def take(which: np.ndarray) -> None:
+        k = used[which]
+        code[which] = (code[which] << _WORD) | given[row[which] + k]
+        used[which] = k + 1
+        span[which] <<= _WORD
+
     for t, n in enumerate(on):
-        i2, i1, w2, w1 = model.predict(n)
+        if t == zero.due:
+            zero.renew(t)
+            if zero.width > symbols.shape[1]:
+                symbols = np.pad(symbols, ((0, 0), (0, zero.width - symbols.shape[1])))
         co, sp = code[:n], span[:n]
-        r = sp >> _U(12)
-        a, b = w2.astype(np.uint64) * r, (w2 + w1).astype(np.uint64) * r
-        hit2 = co < a
-        miss = co >= b
-        hit1 = ~(hit2 | miss)
-        x = np.where(hit2, i2, i1)
-        share = np.where(hit2, w2, np.where(hit1, w1, 4096 - w2 - w1))
-        co -= np.where(hit2, _U(0), np.where(hit1, a, b))
-        np.multiply(share.astype(np.uint64), r, out=sp)
-        miss = np.flatnonzero(miss)
+        foreseen, w2, w1 = ctx.predict(n)
+        both = w2 + w1
+        r = sp >> _12
+        a, b = w2 * r, both * r
+        two, none = co < a, co >= b
+        x = np.where(two, foreseen[0], foreseen[1])
+        co -= np.where(two, 0, np.where(none, b, a))
+        np.multiply(np.where(two, w2, np.where(none, _W32 - both, w1)), r, out=sp)
+        miss = none.nonzero()[0]
+        if len(miss):
+            total = zero.total[miss]
+            r = sp[miss] // total
+            c = co[miss]
+            offset = zero.offset[miss]
+            want = np.minimum(c // r, total - np.uint64(1)).astype(np.int32) + offset
+            place = np.searchsorted(zero.starts, want, side="right") - 1
+            start, stop = zero.starts[place], zero.starts[place + 1]
+            co[miss] = c - (start - offset).astype(np.uint64) * r
+            sp[miss] = (stop - start).astype(np.uint64) * r
+            zero.missed.append(miss)
+            zero.places.append(place.copy())
+        small = (sp <= _LOW).nonzero()[0]
+        if len(small):
+            take(small)
         if len(miss):
-            r = sp[miss] >> _U(_SCALE)
-            k = find[np.minimum(co[miss] // r, _U((1 << _SCALE) - 1))]
-            x[miss] = symbols[k]
-            co[miss] -= s0[k] * r
-            sp[miss] = f0[k] * r
-        small = np.flatnonzero(sp <= _LOW)
-        while len(small):
-            co[small] = (co[small] << _U(16)) | code_in[small, used[small]]
-            used[small] += 1
-            sp[small] <<= _U(16)
-            small = small[sp[small] <= _LOW]
+            new = (place == zero.row[miss]).nonzero()[0]
+            if len(new):
+                lane = miss[new]
+                r = span[lane] >> np.uint64(bits)
+                c = code[lane]
+                y = np.minimum(c // r, np.uint64((1 << bits) - 1))
+                code[lane], span[lane] = c - y * r, r
+                take(lane[r <= _LOW])
+                place[new] += zero.add(lane)
+                symbols.reshape(-1)[place[new]] = y
+            x[miss] = symbols.reshape(-1)[place]
         ids[t, :n] = x
-        model.update(x, hit2, hit1)
+        ctx.update(x, foreseen == x)
     found: list[np.ndarray] = [ids[:0, 0]] * lanes
     for lane, b in enumerate(order):
         found[b] = ids[: size[b], lane].copy()
@@ -204,34 +296,32 @@ def decode_blocks(coded: list[bytes], size: np.ndarray, symbols: np.ndarray, fre
 
 def pack_file(names: np.ndarray, null: np.ndarray, counts: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
     """One file of documents (integer names, null flags, token counts) and their ids end to end."""
-    symbols, freq = order0(ids)
-    block = min(block, max(256, len(ids) // 512))  # a small file has lanes enough all the same
+    bits = max(1, int(ids.max(initial=0)).bit_length())
     blocks = [ids[i : i + block] for i in range(0, len(ids), block)]
-    coded = [x for i in range(0, len(blocks), _LANES) for x in encode_blocks(blocks[i : i + _LANES], symbols, freq)]
+    coded = [x for i in range(0, len(blocks), _LANES) for x in encode_blocks(blocks[i : i + _LANES], bits)]
     index = np.array([(len(c), zlib.crc32(c), zlib.crc32(b.astype("<u4").tobytes())) for c, b in zip(coded, blocks)], "<u4").reshape(-1, 3)
-    head = json.dumps({"documents": len(counts), "ids": len(ids), "block": block, "symbols": len(symbols)}).encode()
-    tables = [names.astype("<i8"), null.astype("u1"), counts.astype("<i8"), symbols.astype("<u4"), freq.astype("<u4"), index]
-    front = b"".join([MAGIC, len(head).to_bytes(4, "little"), head, *(t.tobytes() for t in tables)])
+    documents = zlib.compress(names.astype("<i8").tobytes() + null.astype("u1").tobytes() + counts.astype("<i8").tobytes())
+    head = json.dumps({"documents": len(counts), "bytes": len(documents), "ids": len(ids), "block": block, "bits": bits}).encode()
+    front = b"".join([MAGIC, len(head).to_bytes(4, "little"), head, documents, index.tobytes()])
     return b"".join([front, zlib.crc32(front).to_bytes(4, "little"), *coded])
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The inverse of ``pack_file``; raises if the magic or a block's checksum is wrong."""
+    """The inverse of ``pack_file``; raises if the magic or a checksum is wrong."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
     at = 12 + int.from_bytes(data[8:12], "little")
     head = json.loads(data[12:at])
-    n, size, m = head["documents"], head["block"], head["symbols"]
+    n, size = head["documents"], head["block"]
     k = -(-head["ids"] // size)
-    tables = []
-    for kind, count in (("<i8", n), ("u1", n), ("<i8", n), ("<u4", m), ("<u4", m), ("<u4", 3 * k)):
-        tables.append(np.frombuffer(data, kind, count, at))
-        at += tables[-1].nbytes
-    names, null, counts, symbols, freq, index = tables
-    index = index.reshape(-1, 3)
-    if zlib.crc32(data[:at]) != int.from_bytes(data[at : at + 4], "little"):
+    first = at + head["bytes"]
+    end = first + 12 * k
+    if zlib.crc32(data[:end]) != int.from_bytes(data[end : end + 4], "little"):
         raise ValueError("the tables' checksum is wrong")
-    ends = at + 4 + np.cumsum(index[:, 0], dtype=np.int64)
+    documents = zlib.decompress(data[at:first])
+    names, null, counts = np.frombuffer(documents, "<i8", n), np.frombuffer(documents, "u1", n, 8 * n), np.frombuffer(documents, "<i8", n, 9 * n)
+    index = np.frombuffer(data, "<u4", 3 * k, first).reshape(-1, 3)
+    ends = end + 4 + np.cumsum(index[:, 0], dtype=np.int64)
     coded = [data[e - w : e] for e, w in zip(ends.tolist(), index[:, 0].tolist())]
     if any(zlib.crc32(c) != want for c, want in zip(coded, index[:, 1].tolist())):
         raise ValueError("a block's checksum is wrong")
@@ -239,14 +329,14 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     sizes[-1:] = head["ids"] - size * (k - 1)
     blocks = []
     for i in range(0, k, _LANES):
-        blocks += decode_blocks(coded[i : i + _LANES], sizes[i : i + _LANES], symbols, freq.astype(np.int64))
+        blocks += decode_blocks(coded[i : i + _LANES], sizes[i : i + _LANES], head["bits"])
     for b, want in zip(blocks, index[:, 2].tolist()):
         if zlib.crc32(b.astype("<u4").tobytes()) != want:
             raise ValueError("a block's checksum is wrong")
     return names, null.astype(bool), counts, np.concatenate([np.zeros(0, np.uint32), *blocks])
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_words: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_words: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write whole texts' ids, each followed by ``end_id``, as token files in ascending id order.
 
     Each file holds a range of ids; rows of one id stay together, ordered by text hash. Null

@@ -106,7 +106,20 @@ def test_repetition_compresses():
     assert len(data) < len(ids)  # under a byte an id, where a distribution without context needs 5.6 bits
 
 
-@pytest.mark.parametrize("file_words", [1_500_000, 500])
+def test_files_beat_order_0_and_blocks_decode_alone(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").select("text").toArrow()
+    ids, counts = _tokens.with_end(*_tokens.Encoder.at(queries.tokenizer("word_bpe_49k.json")).encode(docs["text"]), 1)
+    ids = ids.astype(np.uint32)
+    data = token_files.pack_file(np.arange(len(counts)), np.zeros(len(counts), bool), counts, ids)
+    share = np.bincount(ids)[ids] / len(ids)
+    assert len(data) < 0.95 * -np.log2(share).sum() / 8  # bytes of order-0 coding
+    blocks = [ids[i : i + token_files.BLOCK] for i in range(0, len(ids), token_files.BLOCK)]
+    coded = token_files.encode_blocks(blocks[:4], 16)
+    assert coded[2] == token_files.encode_blocks(blocks[2:3], 16)[0]
+    assert (token_files.decode_blocks(coded[2:3], np.array([len(blocks[2])]), 16)[0] == blocks[2]).all()
+
+
+@pytest.mark.parametrize("file_words", [8_000_000, 500])
 def test_token_files_read_back(spark, tmp_path, file_words):
     path = queries.tokenizer("word_bpe_49k.json")
     token_files.write_token_files(cases.frame(spark), f"{tmp_path}/t", path, 1, file_words)
