@@ -1,11 +1,10 @@
 """Secret scans by a trigram inverted index, in DataFrame functions only.
 
 From each rule's regular expression a Boolean trigram query is derived: which trigrams any
-match must hold. The index inverts the trigrams that the rules ask for; it is kept aligned
-with the rows, bit g of a row's posting mask saying that the row is in the list of trigram
-g, so intersecting lists is one bitwise test on the row that is being read and nothing
-is shuffled. Only candidates are verified by their rule; a rule without a mandatory
-trigram scans every text.
+match must hold. ``trigram_index`` inverts the texts: a table of postings (trigram, row) for
+the trigrams that the rules ask for. ``candidates`` intersects the lists that a rule's query
+names, row by row, without reading a text again; only candidates are verified by their rule.
+A rule without a mandatory trigram scans every text.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from re import _parser as regex_parser  # the standard library's parse tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import settle
+
 # The base rules, by kind in the order in which spans of one start are listed.
 # (regular expression, group that must be long, its least length)
 BASE_RULES = {
@@ -94,24 +95,62 @@ def trigram_query(pattern: str) -> list[list[str]]:
     return sorted(sorted(s) for s in sets)
 
 
-def _posting_mask(text: Column, grams: list[str]) -> Column:
-    low = F.lower(text)
-    mask = F.lit(0).cast("long")
-    for i, g in enumerate(grams):
-        mask = mask.bitwiseOR(F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-    return mask
+#: Candidate rows that are sent to every task (a row's key and its rules); more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+#: Lengths that are summed up in one fold; a fold copies what it has so far at each step.
+_BLOCK = 256
+_SPANS = "array<struct<start:int,nth:int,kind:string,end:int>>"
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def trigram_index(rows: DataFrame, grams: list[str], key: str, text: str) -> DataFrame:
+    """Postings ``gram, key`` of the rows (by their ``key``): in which of them each trigram stands, in lower case.
+
+    Null texts have none. A row key that comes again may come again in a list.
+    """
+    asked = f"array({', '.join(map(_quoted, grams))})" if grams else "cast(array() as array<string>)"
+    held = F.expr(f"element_at(transform(array(lower(`{text}`)), t -> filter({asked}, g -> contains(t, g))), 1)")
+    return rows.select(F.col(key).alias("key"), F.explode(held).alias("gram")).select("gram", "key")
+
+
+def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFrame:
+    """``key, kinds``: the rules whose query the row's postings fulfil, one of its lists of trigrams being whole."""
+    held = index.groupBy("key").agg(F.collect_set("gram").alias("grams"))
+    test = lambda grams: f"size(array_except(array({', '.join(map(_quoted, grams))}), grams)) = 0"
+    kinds = [f"CASE WHEN {' OR '.join(map(test, query))} THEN {_quoted(kind)} END" for kind, query in queries.items() if query]
+    found = F.expr(f"array_compact(array({', '.join(kinds)}))") if kinds else F.array().cast("array<string>")
+    return held.select("key", found.alias("kinds")).where("size(kinds) > 0")
+
+
+def _starts(sizes: str) -> str:
+    """SQL for the running sums before each element of an array of integers, folded in blocks so that long ones stay linear."""
+    fold = "aggregate({x}, named_struct('at', {at}, 'out', cast(array() as array<int>)), (s, n) -> named_struct('at', s.at + n, 'out', concat(s.out, array(s.at))), s -> s.out)"
+    block = f"slice(sizes, b * {_BLOCK} + 1, {_BLOCK})"
+    blocks = f"sequence(0, (size(sizes) - 1) div {_BLOCK})"
+    sums = f"transform({blocks}, b -> aggregate({block}, 0, (s, n) -> s + n))"
+    inner = f"transform(array({fold.format(x=sums, at='0')}), before -> flatten(transform({blocks}, b -> {fold.format(x=block, at='before[b]')})))[0]"
+    return f"transform(array({sizes}), sizes -> if(size(sizes) = 0, cast(array() as array<int>), {inner}))[0]"
 
 
-def _matches(kind: str, nth: int, pattern: str, group: int, least: int) -> str:
-    """SQL for the kept spans of a rule in ``_text``, by gaps and hits of consecutive matches."""
+def _matches(text: str, kind: str, nth: int, pattern: str, group: int, least: int) -> str:
+    """SQL for the kept spans of a rule in a text, by gaps and hits of consecutive matches."""
     whole = re.sub(r"[\\']", lambda m: "\\" + m[0], rf"\G(?s:(.*?))({pattern})")  # \G: no new try behind the last match
-    at = 2 + group
-    part = lambda i: f"regexp_extract_all(_text, '{whole}', {i})"
-    return f"""aggregate(arrays_zip({part(1)}, {part(2)}, {part(at)}),
-        named_struct('at', 0, 'found', cast(array() as array<struct<start:int,nth:int,kind:string,end:int>>)),
-        (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`),
-            'found', if(length(x.`2`) >= {least}, concat(s.found, array(named_struct('start', s.at + length(x.`0`), 'nth', {nth}, 'kind', '{kind}', 'end', s.at + length(x.`0`) + length(x.`1`)))), s.found)),
-        s -> s.found)"""
+    part = lambda i: f"transform(regexp_extract_all({text}, '{whole}', {i}), x -> length(x))"
+    tested, size = (f", {part(2 + group)}", "`3`") if group else ("", "hit")
+    spans = f"""transform(filter(arrays_zip({_starts("zip_with(gap, hit, (x, y) -> x + y)")}, gap, hit{tested}), x -> x.{size} >= {least}),
+        x -> named_struct('start', x.`0` + x.gap, 'nth', {nth}, 'kind', '{kind}', 'end', x.`0` + x.gap + x.hit))"""
+    return f"flatten(transform(array({part(1)}), gap -> flatten(transform(array({part(2)}), hit -> {spans}))))"
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that none of ``columns`` has, whatever the case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def find_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES, text_col: str = "text") -> DataFrame:
@@ -120,32 +159,31 @@ def find_secrets(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES
     Matches of each rule are leftmost and don't overlap; those whose tested group is too
     short are dropped after matching. Offsets are code points, the end exclusive. Null and
     empty texts have an empty array. Rows stay as they are, repeated ones too; a column
-    named ``spans`` is replaced, names that start with an underscore are kept for this
-    operator's own use. Patterns have at most 62 distinct mandatory trigrams between them.
+    named ``spans`` is replaced, other names don't matter. An empty table stays empty.
+
+    A row's key is a hash of its columns; rows of one key share their postings, which can
+    only add candidates. The postings and the candidates are narrow; candidates are checked
+    in size and sent to every task, or joined with the rows by a shuffle of these where
+    they are more than ``MOST_BROADCAST``.
     """
     queries = {kind: trigram_query(pattern) for kind, (pattern, _, _) in rules.items()}
     grams = sorted({g for q in queries.values() for s in q for g in s})
-    if len(grams) > 62:
-        raise ValueError("the rules ask for more than 62 trigrams")
-    bit = {g: 1 << i for i, g in enumerate(grams)}
     columns = [c for c in docs.columns if c != "spans"]
-    rows = docs.select(*columns, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_mask", _posting_mask(F.col("_text"), grams))
+    key, kinds, text = unused("row_key", docs.columns), unused("row_kinds", docs.columns), unused("row_text", docs.columns)
+    hashed = [f.name for f in docs.schema if f.name != "spans" and "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = docs.select(*columns, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]).alias(key))
+    wanted = settle(candidates(trigram_index(rows, grams, key, text_col), queries))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    rows = rows.join(wanted.select(F.col("key").alias(key), F.col("kinds").alias(kinds)), key, "left").withColumn(text, F.coalesce(F.col(text_col), F.lit("")))
     found = []
     for nth, (kind, (pattern, group, least)) in enumerate(rules.items()):
         # a run of one class has the same long matches when only long runs are looked for
         if group == 0 and least > 1 and (m := re.fullmatch(r"((?:\w*))(\[[^\]]+\])\+", pattern)):
             pattern = f"{m[1]}{m[2]}{{{least - len(m[1])},}}"
-        query = queries[kind]
-        if query:
-            any_of = F.lit(False)
-            for s in query:
-                need = sum(bit[g] for g in s)
-                any_of = any_of | (F.col("_mask").bitwiseAND(F.lit(need)) == need)
-        else:
-            any_of = F.col("_text").rlike(pattern)
-        found.append(F.when(any_of, F.expr(_matches(kind, nth, pattern, group, least))).otherwise(F.expr("cast(array() as array<struct<start:int,nth:int,kind:string,end:int>>)")))
-    return rows.withColumn("spans", F.array_sort(F.concat(*found))).select(*columns, "spans")
+        verify = F.array_contains(kinds, kind) if queries[kind] else F.col(text).rlike(pattern)
+        found.append(F.when(verify, F.expr(_matches(f"`{text}`", kind, nth, pattern, group, least))).otherwise(F.expr(f"cast(array() as {_SPANS})")))
+    return rows.select(*columns, F.array_sort(F.concat(*found)).alias("spans"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -155,10 +193,12 @@ def spans_text(spans: Column) -> Column:
 
 def redact(docs: DataFrame, rules: dict[str, tuple[str, int, int]] = RULES, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows of ``docs`` with every span of its text replaced by ``mark``, overlaps by one."""
-    found = find_secrets(docs, rules, text_col)
-    done = F.expr(f"""aggregate(spans, named_struct('at', 0, 'out', ''),
+    spans = unused("found_spans", docs.columns)
+    found = find_secrets(docs.withColumnRenamed("spans", own := unused("own_spans", docs.columns)), rules, text_col).withColumnRenamed("spans", spans)
+    done = F.expr(f"""aggregate(`{spans}`, named_struct('at', 0, 'out', ''),
         (s, x) -> if(x.start >= s.at,
-            named_struct('at', x.end, 'out', concat(s.out, substring({text_col}, s.at + 1, x.start - s.at), '{mark}')),
+            named_struct('at', x.end, 'out', concat(s.out, substring(`{text_col}`, s.at + 1, x.start - s.at), {_quoted(mark)})),
             named_struct('at', greatest(s.at, x.end), 'out', s.out)),
-        s -> concat(s.out, substring({text_col}, s.at + 1, length({text_col}) - s.at)))""")
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(F.col(text_col))).select(*[c for c in docs.columns])
+        s -> concat(s.out, substring(`{text_col}`, s.at + 1, length(`{text_col}`) - s.at)))""")
+    safe = found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(F.col(text_col))).withColumnRenamed(own, "spans")
+    return safe.select(*[F.col(f"`{c}`") for c in docs.columns])

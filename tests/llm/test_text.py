@@ -236,6 +236,31 @@ def test_secrets_are_pythons(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.createDataFrame([("",)], "x string").select(F.sha2("x", 256)).first()[0]
 
 
+def test_postings_are_brute_force(spark):
+    df = cases.frame(spark, [(i, t, None, None, None) for i, t in enumerate([*SECRET_TEXTS, *(r[1] for r in cases.documents())])], extra=False)
+    asked = {k: secrets.trigram_query(p) for k, (p, _, _) in secrets.RULES.items()}
+    grams = sorted({g for q in asked.values() for s in q for g in s})
+    index = secrets.trigram_index(df, grams, "doc_id", "text")
+    held = {r.doc_id: (r.text or "").lower() for r in df.collect()}
+    got = {(r.gram, r.key) for r in index.collect()}
+    assert got == {(g, i) for i, t in held.items() for g in grams if g in t}
+    want = {i: [k for k, q in asked.items() if any(all((g, i) in got for g in s) for s in q)] for i in held}
+    assert {r.key: r.kinds for r in secrets.candidates(index, asked).collect()} == {i: k for i, k in want.items() if k}
+
+
+def test_secrets_of_many_rules_odd_names_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BROADCAST", 0)
+    rules = {f"r{i}": (f"w{i}x[0-9]+y{i}zz", 0, 1) for i in range(100, 140)}
+    n = 20_000
+    df = spark.createDataFrame([(1, "w105x33y105zz 'w139x1y139zz", 7), (2, "token=abcdefghijklm " * n, 8), (2, "token=abcdefghijklm " * n, 8), (3, None, 9)], "row_key int, text string, spans int")
+    assert len({g for p, _, _ in rules.values() for s in secrets.trigram_query(p) for g in s}) > 62
+    got = {r.row_key: [(s.kind, s.start, s.end) for s in r.spans] for r in secrets.find_secrets(df, rules).collect()}
+    assert got == {1: [("r105", 0, 13), ("r139", 15, 27)], 2: [], 3: []}
+    got = [r.spans for r in secrets.find_secrets(df.where("row_key = 2")).collect()]
+    assert len(got) == 2 and all([(s.start, s.end) for s in g] == [(20 * i, 20 * i + 19) for i in range(n)] for g in got)
+    assert [r.asDict() for r in secrets.redact(df.where("row_key <> 2"), rules).orderBy("row_key").collect()] == [{"row_key": 1, "text": "[SECRET] '[SECRET]", "spans": 7}, {"row_key": 3, "text": None, "spans": 9}]
+
+
 def test_redaction(spark):
     rows = [(1, 'é😀 token = "abcdefghijkl" and ' + "0" * 20 + "!", *[None] * 3), (2, "clean", *[None] * 3), (3, None, *[None] * 3), (4, "secret=" + "a" * 16, *[None] * 3)]
     got = {r.doc_id: r.text for r in secrets.redact(cases.frame(spark, rows)).collect()}
