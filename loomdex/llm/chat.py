@@ -2,11 +2,15 @@
 
 A turn's text may be a JSON message that calls tools, ``{"content": ..., "tool_calls":
 [{"id", "name", "arguments": {...}}]}``, or one that answers a call, ``{"tool_call_id",
-"content"}``; any other text is plain content. Calls and results are hash-joined by conversation and identifier,
-arguments are validated against the tools' schemas, turns are ordered topologically (a
-result never before its call) and each is serialised as canonical JSON: keys in
-code-point order, no spaces. Order and position come from keys, not from a window over a conversation,
-so a conversation that holds a third of all turns doesn't meet in one task.
+"content"}``; any other text is plain content. Calls and results are hash-joined by
+conversation and identifier, arguments are validated against the tools' schemas, and each
+turn is serialised as canonical JSON: keys in code-point order, no spaces.
+
+Turns are ordered topologically: a result never stands before its call, and a call that
+names another call's identifier as an argument never before that call's result. Only
+conversations in which a turn stands before one it depends on are ordered in rounds, one
+for each link of the longest chain; their rows of calls and results are narrow, and no window
+runs over a conversation, so one that holds a third of all turns doesn't meet in one task.
 """
 
 from __future__ import annotations
@@ -16,22 +20,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id:string,name:string,arguments:map<string,string>>>"
-_TYPED_MESSAGE = _MESSAGE.replace("map<string,string>", "map<string,variant>")
-#: Tools are a parameter, one expression each.
-MOST_TOOLS = 500
+from ._common import settle
 
-
-def _argument_fits(kind: str) -> str:
-    """SQL test of one argument, given as JSON text in ``v``."""
-    return {
-        "string": "v IS NOT NULL",
-        "integer": "v rlike '^-?(0|[1-9][0-9]*)$'",
-        "number": r"v rlike '^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?$'",
-        "boolean": "v IN ('true', 'false')",
-        "object": "v rlike '(?s)^[{].*[}]$'",
-        "array": "v rlike '(?s)^[\\\\[].*[\\\\]]$'",
-    }[kind]
+_MESSAGE = "content string, tool_call_id string, tool_calls array<struct<id:string,name:string,arguments:map<string,variant>>>"
 
 
 def _typed_fits(kind: str, v: str) -> str:
@@ -60,24 +51,21 @@ def _quoted(x: str) -> str:
     return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def argument_errors(tools: dict[str, dict], typed: bool = False) -> str:
+def argument_errors(tools: dict[str, dict]) -> str:
     """SQL for the sorted errors of a call ``c`` (name, arguments) against JSON-schema-like tools.
 
-    A tool is ``{"properties": {name: {"type": ..., "enum": [...]}}, "required": [...]}``.
+    A tool is ``{"properties": {name: {"type": ..., "enum": [...]}}, "required": [...]}``, one
+    branch of the expression each.
     """
-    if len(tools) > MOST_TOOLS:
-        raise ValueError(f"more than {MOST_TOOLS} tools")
     cases = []
     for tool, schema in sorted(tools.items()):
         tests = []
         for name, spec in sorted(schema.get("properties", {}).items()):
             v = f"element_at(c.arguments, {_quoted(name)})"
-            kind = spec.get("type", "string")
-            fits = _typed_fits(kind, v) if typed else _argument_fits(kind).replace("v ", f"{v} ", 1)
+            fits = _typed_fits(spec.get("type", "string"), v)
             tests.append(f"if({v} IS NOT NULL AND NOT ({fits}), {_quoted('type:' + name)}, NULL)")
             if "enum" in spec:
-                found = _typed_in(spec["enum"], v) if typed else f"{v} IN ({', '.join(map(_quoted, map(str, spec['enum'])))})"
-                tests.append(f"if({v} IS NOT NULL AND NOT ({found}), {_quoted('enum:' + name)}, NULL)")
+                tests.append(f"if({v} IS NOT NULL AND NOT ({_typed_in(spec['enum'], v)}), {_quoted('enum:' + name)}, NULL)")
         for name in sorted(schema.get("required", [])):
             tests.append(f"if(element_at(c.arguments, {_quoted(name)}) IS NULL, {_quoted('missing:' + name)}, NULL)")
         known = ", ".join(map(_quoted, schema.get("properties", {}))) or "''"
@@ -98,75 +86,87 @@ def _whole_message() -> Column:
     return F.expr(f"to_json(map_from_entries(array_sort({merged}, (a, b) -> CASE WHEN a.key < b.key THEN -1 WHEN a.key > b.key THEN 1 ELSE 0 END)))")
 
 
-def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None, typed: bool = False) -> DataFrame:
+def _dependencies(tooled: DataFrame, calls: DataFrame) -> DataFrame:
+    """``conv_id, before, before_turn, after, after_turn``: rows of calls and results, and those that must come first."""
+    results = tooled.where("answers IS NOT NULL").select("conv_id", F.col("answers").alias("call_id"), F.col("row").alias("result"), F.col("turn").alias("result_turn"))
+    answered = results.join(calls, ["conv_id", "call_id"]).select("conv_id", F.col("call").alias("before"), F.col("call_turn").alias("before_turn"), F.col("result").alias("after"), F.col("result_turn").alias("after_turn"))
+    texts = "transform(map_values(c.arguments), v -> if(schema_of_variant(v) = 'STRING', try_variant_get(v, '$', 'string'), NULL))"
+    named = tooled.where("calls IS NOT NULL").select("conv_id", "turn", "row", F.explode("calls").alias("c")).select("conv_id", "turn", "row", F.explode(F.expr(f"array_distinct(array_compact({texts}))")).alias("call_id"))
+    named = named.join(calls, ["conv_id", "call_id"]).where("call <> row").join(results, ["conv_id", "call_id"], "left")
+    named = named.select("conv_id", F.coalesce("result", "call").alias("before"), F.coalesce("result_turn", "call_turn").alias("before_turn"), F.col("row").alias("after"), F.col("turn").alias("after_turn"))
+    return answered.unionByName(named).where("before <> after").distinct()
+
+
+def _places(edges: DataFrame) -> DataFrame:
+    """``row, order_turn, order_step, cyclic`` of the rows that don't simply stand at their turn.
+
+    A row stands at its turn, or one step behind the last row it depends on if that comes
+    later. Rows in or behind a circle of dependencies stay at their turns.
+    """
+    place = "row long, turn long, place struct<turn: long, step: int>"
+    against = edges.where("before_turn >= after_turn").select("conv_id").distinct()
+    edges = settle(edges.join(against, "conv_id", "left_semi"))
+    nodes = edges.selectExpr("before AS row", "before_turn AS turn").unionByName(edges.selectExpr("after AS row", "after_turn AS turn")).distinct()
+    own = F.struct(F.col("turn").cast("long").alias("turn"), F.lit(0).alias("step"))
+    todo = settle(nodes.join(edges.select(F.col("after").alias("row")).distinct(), "row", "left_semi"))
+    placed = settle(nodes.join(todo, "row", "left_anti").select("row", "turn", own.alias("place")))
+    if todo.isEmpty():
+        return edges.sparkSession.createDataFrame([], place).selectExpr("row", "place.turn AS order_turn", "place.step AS order_step", "false AS cyclic")
+    while True:
+        waiting = edges.join(placed.select(F.col("row").alias("before")), "before", "left_anti").select(F.col("after").alias("row")).distinct()
+        ready = todo.join(waiting, "row", "left_anti")
+        last = edges.join(placed.select(F.col("row").alias("before"), "place"), "before").groupBy(F.col("after").alias("row")).agg(F.max(F.struct(F.col("place.turn").alias("turn"), (F.col("place.step") + 1).alias("step"))).alias("last"))
+        new = settle(ready.join(last, "row").select("row", "turn", F.greatest(own, "last").alias("place")))
+        if new.isEmpty():
+            break
+        placed, todo = settle(placed.unionByName(new)), settle(todo.join(new.select("row"), "row", "left_anti"))
+    done = placed.select("row", F.col("place.turn").alias("order_turn"), F.col("place.step").alias("order_step"), F.lit(False).alias("cyclic"))
+    return done.unionByName(todo.select("row", F.col("turn").cast("long").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(True).alias("cyclic")))
+
+
+def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataFrame:
     """Linked, validated, ordered and serialised turns of ``turns`` (conv_id, turn, role, text).
 
     Returns a row for each turn: ``conv_id, turn, role, order_turn, order_step`` (sort by
     these, then ``turn``), ``n_calls, n_linked`` (calls with a result), ``link`` (for results:
     ``linked``, or ``orphan`` without a call of that id), ``errors`` (``call id:error``,
-    sorted) and ``message``, the canonical JSON. A result stands at its own turn, or right
-    behind its call if that comes later. Of calls that share an id in a conversation the
-    first turn's counts. A null text has null content, an empty one an empty string; a null
-    role is null; turns with null keys link with nothing; repeated rows stay repeated; text
-    that isn't a JSON message of these kinds is content, whatever it holds. Other columns
-    don't pass through.
-
-    With ``typed``, as the query asks, arguments keep their JSON types: they are tested by them
-    (an explicit null has none that fits), and a message is serialised with all its fields and
-    values (1.0 as 1; whole numbers beyond 38 digits as doubles). Calls without an id stay,
-    with the error ``:no_id``, and so do the calls of a turn that is itself a result, with
-    ``:mixed``; such a turn stands where its result does. A message that repeats a key in one
-    object is read as far as it can be, with ``:unreadable``. Without ``typed`` arguments are
-    strings, and such calls and other fields are left out.
+    sorted) and ``message``, the canonical JSON with all fields and values of the text's (1.0
+    as 1; whole numbers beyond 38 digits as doubles). A result stands at its own turn, or right
+    behind its call if that comes later; a call of which an argument is another call's
+    identifier likewise behind that call's results, or the call itself if it has none. Rows in
+    or behind a circle of these stay at their turns, with the error ``:cycle``.
+
+    Arguments are tested by their JSON types; an explicit null has none that fits. Of calls
+    that share an id in a conversation the first turn's counts. Calls without an id stay, with
+    the error ``:no_id``, and so do the calls of a turn that is itself a result, with
+    ``:mixed``. A message that repeats a key in one object is read as far as it can be, with
+    ``:unreadable``. A null text has null content, an empty one an empty string; a null role
+    is null; turns with null keys link with nothing; repeated rows stay repeated; text that
+    isn't a JSON message of these kinds is content, whatever it holds. Other columns don't
+    pass through. An empty table has no rows.
     """
-    if typed:
-        return _format_typed(turns, tools or {})
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("m", F.when(F.col("text").rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"\s*:'), F.from_json("text", _MESSAGE)))
-    rows = rows.withColumn("calls", F.expr("filter(m.tool_calls, c -> c.id IS NOT NULL)")).withColumn("answers", F.col("m.tool_call_id"))
-    linked = F.col("calls").isNotNull() | F.col("answers").isNotNull()
-    rows = rows.withColumn("content", F.when(linked, F.col("m.content")).otherwise(F.col("text")))
-    calls = rows.where("calls IS NOT NULL").select("conv_id", "turn", F.explode("calls").alias("c")).groupBy("conv_id", F.col("c.id").alias("call_id")).agg(F.min("turn").alias("call_turn"))
-    results = rows.where("answers IS NOT NULL").select("conv_id", F.col("answers").alias("call_id")).distinct().withColumn("answered", F.lit(True))
-    # results to their calls, on the rows of results only
-    answers = rows.where("answers IS NOT NULL").join(calls, (rows.conv_id == calls.conv_id) & (rows.answers == calls.call_id), "left").select(rows["*"], calls["call_turn"])
-    late = F.col("call_turn") >= F.col("turn")
-    answers = answers.select("conv_id", "turn", "role", F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("order_turn"), F.when(late, 1).otherwise(0).alias("order_step"), F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_linked"), F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked").alias("link"), F.lit("").alias("errors"), canonical_json(content=F.col("content"), role=F.col("role"), tool_call_id=F.col("answers")).alias("message"))
-    # calls to their results, on the rows of calls only
-    errors = F.expr(f"flatten(transform(calls, c -> transform({argument_errors(tools or {})}, e -> concat(c.id, ':', e))))")
-    made = rows.where("calls IS NOT NULL AND answers IS NULL").withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
-    done = made.select("conv_id", "row", F.explode(F.expr("array_distinct(transform(calls, c -> c.id))")).alias("call_id")).distinct().join(results, ["conv_id", "call_id"]).groupBy("row").agg(F.count("*").alias("n_linked"))
-    neat = F.expr("transform(calls, c -> struct(map_from_entries(array_sort(map_entries(c.arguments))) as arguments, c.id as id, c.name as name))")
-    made = made.join(done, "row", "left").select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.lit(None).cast("string").alias("link"), F.array_join(F.array_sort(errors), ",").alias("errors"), canonical_json(content=F.col("content"), role=F.col("role"), tool_calls=neat).alias("message"))
-    plain = rows.where(~linked).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), F.lit(0).cast("long").alias("n_calls"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("string").alias("link"), F.lit("").alias("errors"), canonical_json(content=F.col("content"), role=F.col("role")).alias("message"))
-    return plain.unionByName(made).unionByName(answers)
-
-
-def _format_typed(turns: DataFrame, tools: dict[str, dict]) -> DataFrame:
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("m", F.when(F.col("text").rlike(r'(?s)^\s*\{.*"(tool_calls|tool_call_id)"\s*:'), F.from_json("text", _TYPED_MESSAGE)))
     rows = rows.withColumn("calls", F.expr("filter(m.tool_calls, c -> c IS NOT NULL)")).withColumn("answers", F.col("m.tool_call_id"))
     linked = F.col("calls").isNotNull() | F.col("answers").isNotNull()
-    calls = rows.where("calls IS NOT NULL").select("conv_id", "turn", F.explode("calls.id").alias("call_id")).where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    results = rows.where("answers IS NOT NULL").select("conv_id", F.col("answers").alias("call_id")).distinct()
     zero, no_link = F.lit(0).cast("long"), F.lit(None).cast("string")
+    plain = rows.where(~linked).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), zero.alias("n_calls"), zero.alias("n_linked"), no_link.alias("link"), F.lit("").alias("errors"), canonical_json(content=F.col("text"), role=F.col("role")).alias("message"))
+    tooled = rows.where(linked).withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
+    calls = tooled.where("calls IS NOT NULL").select("conv_id", "turn", "row", F.explode("calls.id").alias("call_id")).where("call_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "row")).alias("first"))
+    calls = calls.select("conv_id", "call_id", F.col("first.turn").alias("call_turn"), F.col("first.row").alias("call"))
+    places = _places(settle(_dependencies(tooled, calls)))
+    # calls to their results and results to their calls, on the rows of either only
+    results = tooled.where("answers IS NOT NULL").select("conv_id", F.col("answers").alias("call_id")).distinct()
+    done = tooled.where("calls IS NOT NULL").select("conv_id", "row", F.explode(F.expr("array_distinct(calls.id)")).alias("call_id")).distinct().join(results, ["conv_id", "call_id"]).groupBy("row").agg(F.count("*").alias("n_linked"))
+    made = calls.select(F.col("conv_id").alias("at"), F.col("call_id").alias("of"), "call")
+    tooled = tooled.join(made, (F.col("conv_id") == F.col("at")) & (F.col("answers") == F.col("of")), "left").join(done, "row", "left").join(places, "row", "left")
     whole = _whole_message()
     some = F.to_json(F.expr("struct(m.content as content, role, m.tool_call_id as tool_call_id, calls as tool_calls)"))
-    unreadable = F.when(whole.isNull(), F.array(F.lit(":unreadable"))).otherwise(F.array().cast("array<string>"))
-    message = F.coalesce(whole, some)
-    # results to their calls, on the rows of results only
-    answers = rows.where("answers IS NOT NULL").join(calls, (rows.conv_id == calls.conv_id) & (rows.answers == calls.call_id), "left").select(rows["*"], calls["call_turn"])
-    late = F.col("call_turn") >= F.col("turn")
-    placed = {"order_turn": F.when(late, F.col("call_turn")).otherwise(F.col("turn")), "order_step": F.when(late, 1).otherwise(0), "link": F.when(F.col("call_turn").isNull(), "orphan").otherwise("linked")}
-    answers = answers.withColumns(placed)
-    only = answers.where("calls IS NULL").select("conv_id", "turn", "role", "order_turn", "order_step", zero.alias("n_calls"), zero.alias("n_linked"), "link", F.array_join(unreadable, ",").alias("errors"), message.alias("message"))
-    # calls to their results, on the rows of calls only
-    made = rows.where("calls IS NOT NULL AND answers IS NULL").withColumns({"order_turn": F.col("turn"), "order_step": F.lit(0), "link": no_link})
-    made = made.unionByName(answers.where("calls IS NOT NULL").drop("call_turn")).withColumn("row", F.xxhash64("conv_id", "turn", "role", "text"))
-    done = made.select("conv_id", "row", F.explode(F.expr("array_distinct(calls.id)")).alias("call_id")).distinct().join(results, ["conv_id", "call_id"]).groupBy("row").agg(F.count("*").alias("n_linked"))
-    errors = F.expr(f"flatten(transform(calls, c -> transform({argument_errors(tools, typed=True)}, e -> concat(coalesce(c.id, ''), ':', e))))")
-    kept = F.expr("concat(if(exists(calls, c -> c.id IS NULL), array(':no_id'), array()), if(answers IS NOT NULL, array(':mixed'), array()))")
-    made = made.join(done, "row", "left").select("conv_id", "turn", "role", "order_turn", "order_step", F.size("calls").cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), "link", F.array_join(F.array_sort(F.concat(errors, kept, unreadable)), ",").alias("errors"), message.alias("message"))
-    plain = rows.where(~linked).select("conv_id", "turn", "role", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"), zero.alias("n_calls"), zero.alias("n_linked"), no_link.alias("link"), F.lit("").alias("errors"), canonical_json(content=F.col("text"), role=F.col("role")).alias("message"))
-    return plain.unionByName(made).unionByName(only)
+    wrong = F.expr(f"flatten(transform(calls, c -> transform({argument_errors(tools or {})}, e -> concat(coalesce(c.id, ''), ':', e))))")
+    kept = F.expr("array_compact(array(if(exists(calls, c -> c.id IS NULL), ':no_id', NULL), if(calls IS NOT NULL AND answers IS NOT NULL, ':mixed', NULL), if(cyclic, ':cycle', NULL)))")
+    errors = F.concat(F.coalesce(wrong, F.array().cast("array<string>")), kept, F.when(whole.isNull(), F.array(F.lit(":unreadable"))).otherwise(F.array().cast("array<string>")))
+    link = F.when(F.col("answers").isNotNull(), F.when(F.col("call").isNull(), "orphan").otherwise("linked"))
+    tooled = tooled.select("conv_id", "turn", "role", F.coalesce(F.col("order_turn").cast(rows.schema["turn"].dataType), "turn").alias("order_turn"), F.coalesce("order_step", F.lit(0)).alias("order_step"), F.coalesce(F.size("calls"), F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), link.alias("link"), F.array_join(F.array_sort(errors), ",").alias("errors"), F.coalesce(whole, some).alias("message"))
+    return plain.unionByName(tooled)
 
 
 def tools_from_json(text: str) -> dict[str, dict]:

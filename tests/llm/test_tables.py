@@ -103,7 +103,7 @@ def test_chat(spark):
     assert [r.link for r in first] == [None, None, "linked", "linked", "orphan"]
     assert [r.link for r in got if r.conv_id == 2] == ["orphan"]
     assert first[0].message == '{"content":"say \\"hi\\"","role":"user"}'
-    assert json.loads(made.message)["tool_calls"][0] == {"arguments": {"n": "3", "q": "x"}, "id": "c1", "name": "search"}
+    assert json.loads(made.message)["tool_calls"][0] == {"arguments": {"n": 3, "q": "x"}, "id": "c1", "name": "search"}
     assert {r.message for r in got if r.conv_id == 3} == {"{}"}
     assert chat.format_chat(df.limit(0)).count() == 0
 

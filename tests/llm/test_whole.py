@@ -86,7 +86,7 @@ def test_chat_keeps_json_types(spark):
     twice = '{"tool_calls": [{"id": "c4", "name": "t", "arguments": {"s": "x"}}], "x": {"a": 1, "a": 2}}'
     texts = [json.dumps(first), json.dumps(mixed), json.dumps({"tool_call_id": "c3", "content": [1]}), "plain", twice]
     df = spark.createDataFrame([(1, i, "r", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
-    got = sorted(chat.format_chat(df, TOOL, typed=True).collect(), key=lambda r: r.turn)
+    got = sorted(chat.format_chat(df, TOOL).collect(), key=lambda r: r.turn)
     written = lambda m: json.dumps({**m, "role": "r"}, sort_keys=True, separators=(",", ":"))
     assert [r.message for r in got[:4]] == [written(first), written(mixed), written(json.loads(texts[2])), '{"content":"plain","role":"r"}']
     assert got[0].errors == ":no_id,:type:i,:type:s," + ",".join(sorted(["c2:enum:e", *(f"c2:type:{k}" for k in "sinboa")]))
@@ -95,6 +95,54 @@ def test_chat_keeps_json_types(spark):
     assert json.loads(got[4].message)["tool_calls"] == [{"id": "c4", "name": "t", "arguments": {"s": "x"}}]
 
 
+def ordered(rows):
+    """{(conv, turn): (order_turn, order_step, n_linked, link, errors)} of unique turns, by plain walks."""
+    out = {}
+    for conv in {c for c, *_ in rows}:
+        own = {t: json.loads(x) for c, t, _, x in rows if c == conv}
+        first, results, needs = {}, defaultdict(list), defaultdict(set)
+        for t in sorted(own):
+            for call in own[t].get("tool_calls", []):
+                first.setdefault(call["id"], t)
+            if "tool_call_id" in own[t]:
+                results[own[t]["tool_call_id"]].append(t)
+        for t, m in own.items():
+            if m.get("tool_call_id") in first:
+                needs[t].add(first[m["tool_call_id"]])
+            for v in (v for call in m.get("tool_calls", []) for v in call["arguments"].values()):
+                if v in first and first[v] != t:
+                    needs[t].update(results.get(v) or [first[v]])
+            needs[t].discard(t)
+
+        def place(t, above=()):
+            if t in above:
+                return None
+            found = [place(p, (*above, t)) for p in needs[t]]
+            return None if None in found else max([(t, 0), *((a, b + 1) for a, b in found)])
+
+        for t, m in own.items():
+            at = place(t)
+            link = None if "tool_call_id" not in m else "linked" if m["tool_call_id"] in first else "orphan"
+            out[conv, t] = (*(at or (t, 0)), len({c["id"] for c in m.get("tool_calls", [])} & set(results)), link, "" if at else ":cycle")
+    return out
+
+
+def test_chat_links_and_orders_as_plain_walks_do(spark):
+    r = np.random.RandomState(1)
+    rows = []
+    for conv in range(60):
+        turns = r.permutation(8)
+        for t in range(r.randint(2, 9)):
+            pick = lambda: f"c{r.randint(5)}"
+            m = {"tool_calls": [{"id": pick(), "name": "f", "arguments": {"x": pick() if r.rand() < 0.5 else "plain", "y": 1}}]} if r.rand() < 0.5 else {"tool_call_id": pick(), "content": "r"}
+            rows.append((conv, int(turns[t]), "r", json.dumps(m)))
+    want = ordered(rows)
+    tool = {"f": {"properties": {"x": {"type": "string"}, "y": {"type": "integer"}}}}
+    got = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tool).collect()
+    assert {(g.conv_id, g.turn): (g.order_turn, g.order_step, g.n_linked, g.link, g.errors) for g in got} == want and len(got) == len(rows)
+    assert {w[4] for w in want.values()} == {"", ":cycle"} and max(w[1] for w in want.values()) > 2
+
+
 @pytest.mark.parametrize("labelled", [True, False])
 def test_pipeline_is_brute_force(spark, tmp_path, labelled):
     from tokenizers import Tokenizer
