@@ -17,9 +17,8 @@ def tokenizer(name: str) -> str:
 SQL: dict[str, str] = {}
 
 
-# The rules of the production query, and its threshold.
+# The rules of the production query.
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
-URL_THRESHOLD = 0.4
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +26,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES, URL_THRESHOLD).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def _op1_sql() -> str:
@@ -38,20 +37,27 @@ def _op1_sql() -> str:
 
     strength = lambda rows: f"""(SELECT (1 - rho) / rho FROM (SELECT CASE WHEN sum((n - 1) * up * (1 - up)) > 0  -- noqa: E731
         THEN least(0.99, greatest(0.01, (sum(n * (bad / n - up) * (bad / n - up)) - sum(up * (1 - up))) / sum((n - 1) * up * (1 - up)))) ELSE 0.5 END AS rho FROM {rows} WHERE n > 0))""".replace("  -- noqa: E731", "")
+    from .url_filter import SUFFIXES, Z
+
     return f"""WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
         r AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
         o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
         h AS (SELECT host, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM r LEFT JOIN o USING (page_id) GROUP BY host),
-        l AS (SELECT host, n, bad, list_aggregate(list_slice(string_split(name, '.'), -2, -1), 'string_agg', '.') AS domain, string_split(name, '.')[-1] AS suffix FROM h),
+        a AS (SELECT *, regexp_matches(name, '^\\d+([.]\\d+){{3}}$|^\\[') AS address, string_split(name, '.') AS parts FROM h),
+        p AS (SELECT *, array_to_string(parts[-2:], '.') IN ({", ".join(f"'{x}'" for x in SUFFIXES)}) AS two FROM a),
+        l AS (SELECT host, n, bad, CASE WHEN address THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+            CASE WHEN address THEN '' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM p),
+        z AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS base FROM l),
         d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM l GROUP BY ALL),
-        t AS (SELECT suffix, (sum(bad) + 10.0 * 0.1) / (sum(n) + 10.0) AS mean FROM d GROUP BY suffix),
+        su AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(base) AS up FROM d, z GROUP BY suffix),
+        t AS (SELECT suffix, (bad + k * up) / (n + k) AS mean FROM su, (SELECT {strength("su")} AS k)),
         du AS (SELECT d.*, t.mean AS up FROM d JOIN t USING (suffix)),
         dm AS (SELECT domain, suffix, (bad + k * up) / (n + k) AS mean FROM du, (SELECT {strength("du")} AS k)),
         lu AS (SELECT l.host, l.n, l.bad, dm.mean AS up FROM l JOIN dm USING (domain, suffix)),
         lm AS (SELECT host, n, k, (bad + k * up) / (n + k) AS mean FROM lu, (SELECT {strength("lu")} AS k)),
-        b AS (SELECT host, mean - 1.64 * sqrt(mean * (1 - mean) / (n + k + 1)) AS lower FROM lm)
-        SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN lower > {URL_THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN b USING (host)"""
+        b AS (SELECT host, mean - {Z} * sqrt(mean * (1 - mean) / (n + k + 1)) AS lower FROM lm)
+        SELECT page_id, host, path, {case(1)} AS rule, coalesce({case(0)}, CASE WHEN lower > base THEN 'block' ELSE 'allow' END) AS verdict FROM r JOIN b USING (host), z"""
 
 
 SQL["op1_url_filter"] = _op1_sql()

@@ -46,6 +46,25 @@ def test_reputation_shrinks_to_the_domain(spark):
     assert got["h1.bad.net"].lower > got["new.bad.net"].lower
 
 
+def test_levels(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.example.com:80": ("example.com", "com"), "u@10.0.0.1:8080": ("10.0.0.1", ""), "[::1]:80": ("[::1]", ""), "localhost": ("localhost", "localhost"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.d, r.s) for r in df.select("host", *(c.alias(n) for c, n in zip(url_filter.levels(F.col("host")), "ds"))).collect()} == hosts
+
+
+@pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])
+def test_reputation_decides_both_ways(spark, table):
+    got = {r.verdict for r in queries.op1_url_filter(spark, f"/root/testdata/{table}").where("rule IS NULL").select("verdict").distinct().collect()}
+    assert got == {"allow", "block"}
+
+
+def test_thousands_of_rules(spark):
+    rules = [("block", f"h{i}.net/") for i in range(3000)]
+    pages = spark.createDataFrame([(1, "http://a.h2999.net/x"), (2, "http://h3000.net/")], "page_id long, url string")
+    which, verdict = url_filter.match_rule(url_filter.url_host(F.col("url")), url_filter.url_path(F.col("url")), rules)
+    assert [tuple(r) for r in pages.select("page_id", which.alias("r"), verdict.alias("v")).orderBy("page_id").collect()] == [(1, "h2999.net/", "block"), (2, None, None)]
+
+
 def test_neighbours(spark):
     r = np.random.RandomState(0)
     x = r.randn(600, 16)
