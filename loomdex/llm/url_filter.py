@@ -11,6 +11,8 @@ outcomes stand at their parent's posterior mean.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +45,12 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tupl
     path starts with its own; of rules of one length the longer host wins, then the first
     by text.
     """
-    split = [(v, r, r.partition("/")[0], "/" + r.partition("/")[2]) for v, r in rules]
-    which = verdict = F.when(F.lit(False), F.lit(None).cast("string"))
-    for v, rule, at, under in sorted(split, key=lambda x: (-len(x[1]), -len(x[2]), x[1])):
-        fits = ((host == at) | F.endswith(host, F.lit("." + at))) & F.startswith(path, F.lit(under))
-        which, verdict = which.when(fits, rule), verdict.when(fits, v)
-    return which, verdict
+    split = [{"verdict": v, "rule": r, "host": r.partition("/")[0], "path": "/" + r.partition("/")[2]} for v, r in rules]
+    split.sort(key=lambda r: (-len(r["rule"]), -len(r["host"]), r["rule"]))
+    every = F.from_json(F.lit(json.dumps(split)), "array<struct<verdict: string, rule: string, host: string, path: string>>")  # a constant, whatever the number
+    fits = F.filter(every, lambda r: ((host == r["host"]) | F.endswith(host, F.concat(F.lit("."), r["host"]))) & F.startswith(path, r["path"]))
+    best = F.get(fits, F.lit(0))
+    return best["rule"], best["verdict"]
 
 
 def levels(host: Column, suffixes: list[str] = SUFFIXES) -> tuple[Column, Column]:
