@@ -34,12 +34,18 @@ def recover(jobs: DataFrame, now: Column, most_attempts: int = 5) -> DataFrame:
     return jobs.withColumn("status", status)
 
 
-def outbox_diff(current: DataFrame, projected: DataFrame, profile: str) -> DataFrame:
-    """Operations that bring a projection (chunk_id, generation, status) to the current chunks."""
-    new = current.join(projected.where("status <> 'deleted'"), "chunk_id", "left_anti").select("chunk_id", F.lit("upsert").alias("op"), F.lit(1).cast("long").alias("generation"))
-    stale = projected.where("status <> 'deleted'").join(current, "chunk_id", "left_anti").select("chunk_id", F.lit("delete").alias("op"), (F.col("generation") + 1).alias("generation"))
-    key = F.concat(F.lit("qdrant:chunk:"), F.col("chunk_id"), F.lit(":"), F.col("generation").cast("string"), F.lit(":"), F.col("op"), F.lit(f":{profile}"))
-    return new.unionByName(stale).withColumn("idempotency_key", key)
+def outbox_diff(current: DataFrame, projected: DataFrame, enqueued: DataFrame, profile: str, rebuild: str | None = None) -> DataFrame:
+    """Operations (chunk_id, op, generation, idempotency_key) that bring a projection to the current chunks.
+
+    Current chunks (chunk_id, generation) are upserted in their generation, projected ones
+    (chunk_id, generation, status) that aren't current deleted in the next. A key that is
+    ``enqueued`` (idempotency_key) already isn't again; a rebuild's token makes keys of its own.
+    """
+    new = current.select("chunk_id", F.lit("upsert").alias("op"), "generation")
+    stale = projected.where("status <> 'deleted'").join(current.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", F.lit("delete").alias("op"), (F.col("generation") + 1).alias("generation"))
+    suffix = F.when(F.col("op") == "upsert", f":rebuild:{rebuild}").otherwise("") if rebuild else F.lit("")
+    key = F.concat(F.lit("qdrant:chunk:"), F.col("chunk_id"), F.lit(":"), F.col("generation").cast("string"), F.lit(":"), F.col("op"), F.lit(f":{profile}"), suffix)
+    return new.unionByName(stale).withColumn("idempotency_key", key).join(enqueued.select("idempotency_key"), "idempotency_key", "left_anti").select("chunk_id", "op", "generation", "idempotency_key")
 
 
 def readiness(components: DataFrame) -> DataFrame:

@@ -160,14 +160,17 @@ def lease_recovery_fold(spark, d):
     return S.recover(jobs, now).select("job_id", "status")
 
 
-@query("""WITH cur AS (SELECT 'c' || doc_id AS chunk_id FROM documents WHERE doc_id % 3 <> 0), pro AS (SELECT 'c' || doc_id AS chunk_id, doc_id % 4 AS generation, CASE WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'current' END AS status FROM documents WHERE doc_id % 2 = 0),
-    ops AS (SELECT chunk_id, 'upsert' AS op, 1::BIGINT AS generation FROM cur WHERE chunk_id NOT IN (SELECT chunk_id FROM pro WHERE status <> 'deleted') UNION ALL SELECT chunk_id, 'delete', generation + 1 FROM pro WHERE status <> 'deleted' AND chunk_id NOT IN (SELECT chunk_id FROM cur))
-    SELECT *, 'qdrant:chunk:' || chunk_id || ':' || generation || ':' || op || ':p1' AS idempotency_key FROM ops""")
+@query("""WITH cur AS (SELECT 'c' || doc_id AS chunk_id, doc_id % 3 AS generation FROM documents WHERE doc_id % 3 <> 0), pro AS (SELECT 'c' || doc_id AS chunk_id, doc_id % 4 AS generation, CASE WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'current' END AS status FROM documents WHERE doc_id % 2 = 0),
+    sent AS (SELECT 'qdrant:chunk:' || chunk_id || ':' || generation || ':upsert:p1' AS key FROM pro WHERE status <> 'deleted'),
+    ops AS (SELECT chunk_id, 'upsert' AS op, generation FROM cur UNION ALL SELECT chunk_id, 'delete', generation + 1 FROM pro WHERE status <> 'deleted' AND chunk_id NOT IN (SELECT chunk_id FROM cur)),
+    keyed AS (SELECT *, 'qdrant:chunk:' || chunk_id || ':' || generation || ':' || op || ':p1' AS idempotency_key FROM ops)
+    SELECT * FROM keyed WHERE idempotency_key NOT IN (SELECT key FROM sent)""")
 def outbox_diff(spark, d):
     name = F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("chunk_id")
     docs = table(spark, d, "documents")
     done = docs.where("doc_id % 2 = 0").select(name, (F.col("doc_id") % 4).alias("generation"), F.when(F.col("doc_id") % 5 == 0, "deleted").otherwise("current").alias("status"))
-    return S.outbox_diff(docs.where("doc_id % 3 <> 0").select(name), done, "p1")
+    sent = done.where("status <> 'deleted'").select(F.concat(F.lit("qdrant:chunk:"), "chunk_id", F.lit(":"), F.col("generation").cast("string"), F.lit(":upsert:p1")).alias("idempotency_key"))
+    return S.outbox_diff(docs.where("doc_id % 3 <> 0").select(name, (F.col("doc_id") % 3).alias("generation")), done, sent, "p1")
 
 
 @query("SELECT CASE WHEN bool_or(n_regionkey = 0 AND n_nationkey > 2) THEN 'not_ready' WHEN bool_or(n_nationkey > 2) THEN 'degraded' ELSE 'ready' END AS status FROM nation")

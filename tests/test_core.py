@@ -1,12 +1,16 @@
 """Operators of the document model on literal inputs."""
 
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions import ids, text
 from loomdex.operators import chunk, evaluate, extract, gates, graph, parse, scan, search, state
+from loomdex.operators import lifecycle as L
+from loomdex.operators import ontology as O
+from loomdex.operators import views as V
 from loomdex.plans import retrieve
 from loomdex.sources import providers, vault
 
@@ -136,10 +140,36 @@ def test_evidence(spark):
 
 
 def test_identifiers(spark):
-    df = spark.createDataFrame([("mac_address", "aa-bb-cc-dd-ee-ff"), ("fqdn", "OLT-01.Example.COM."), ("serial_number", " ont-1 "), ("email", "A.b@EX.org")], "k string, v string")
-    assert [r[0] for r in df.select(text.normal_identifier(F.col("k"), F.col("v"))).collect()] == ["AA:BB:CC:DD:EE:FF", "olt-01.example.com", "ONT-1", "A.b@ex.org"]
-    assert df.select(text.normal_name(F.lit("  Huawei   ONT "))).first()[0] == "huawei ont"
-    assert df.select(text.nfkc(F.lit("ﬁ"))).first()[0] == "fi"
+    pairs = [("mac_address", "aa-bb-cc-dd-ee-ff"), ("fqdn", "OLT-01.Example.COM."), ("serial_number", " ont-1 "), ("email_address", "A.b@EX.org"), ("ip_address", "2001:0db8::1"), ("ip_address", "10.0.0.300"), ("colour", "red")]
+    df = spark.createDataFrame(pairs, "k string, v string")
+    assert [r[0] for r in df.select(text.normal_identifier(F.col("k"), F.col("v"))).collect()] == ["AA:BB:CC:DD:EE:FF", "olt-01.example.com", "ONT-1", "a.b@ex.org", "2001:db8::1", None, None]
+    names = [("  Huawei   ONT ", "huawei ont"), ("ﬁber\u00a0STRASSE ß", "fiber strasse ss"), (None, None)]
+    got = spark.createDataFrame(names, "n string, w string").select(text.normal_name(F.col("n")), "w").collect()
+    assert all(r[0] == r[1] for r in got)
+
+
+def test_strong_identifiers(spark):
+    rows = [("ONT-ABC-001", "serial number: ONT-ABC-001", [("serial_number", "ONT-ABC-001")]), ("the device", "serial number: ONT-ABC-001", []), ("::1", "", [("ip_address", "::1")]), ("aa:bb:cc:dd:ee:ff", "", [("mac_address", "AA:BB:CC:DD:EE:FF")]), ("A@b.example.com", "s/n=A@b.example.com", [("email_address", "a@b.example.com")]), ("h1.example.com.", None, [("fqdn", "h1.example.com")]), ("Z-9", "System id = z-9; asset id#Z-9", [("asset_id", "Z-9"), ("system_id", "Z-9")])]
+    df = spark.createDataFrame([(n, q) for n, q, _ in rows], "n string, q string")
+    assert [[tuple(x) for x in r[0]] for r in df.select(text.strong_identifiers(F.col("n"), F.col("q"))).collect()] == [w for *_, w in rows]
+    assert [r[0] for r in spark.createDataFrame([("127.0.0.9",), ("LOCALHOST",), ("128.0.0.1",)], "h string").select(text.is_loopback(F.col("h"))).collect()] == [True, True, False]
+
+
+def test_ontology(spark):
+    rows = {(r.kind, r.parent, r.code): r.id for r in O.seed(spark).collect()}
+    count = Counter(k for k, *_ in rows)
+    assert count == {"entity-type": 27, "entity-subtype": 19, "predicate": 26, "property": 1}
+    assert rows["entity-subtype", "DEVICE_MODEL", "ONT"] == str(uuid.uuid5(uuid.UUID(O.ONTOLOGY_ID), "entity-subtype:DEVICE_MODEL:ONT"))
+    O.check_codes(["USES"], ["ROLE"])
+    with pytest.raises(ValueError, match="unknown predicate: LIKES"):
+        O.check_codes(["LIKES"])
+    schema = L.answer_schema(O.ENTITY_TYPES, O.PREDICATES)
+    assert [schema["properties"][k]["maxItems"] for k in ("entities", "relationships", "claims")] == [12, 12, 8]
+
+
+def test_graph_limits(spark):
+    n, e = spark.range(3), spark.range(2)
+    assert V.too_large(n, e, 4).first().asDict() == {"n_objects": 5, "too_large": True}
 
 
 def test_resolution_defers_bridges(spark):
