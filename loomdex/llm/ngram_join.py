@@ -8,8 +8,8 @@ shared and is left out of everything below.
   as overlap; two small sets that link hold a common subset of that size.
 * Heavy (large) sets scan inverted lists: a set of n shingles that needs t in common is
   found in the lists of its n - t + 1 rarest.
-* The boundary is the largest size for which the enumeration costs no more than the
-  lists would, see ``boundary``.
+* The boundary is the largest size for which the enumeration sends no more bytes than the
+  lists would, see ``boundary``: 13 shingles at 85 %, 9 at 80 %.
 
 All sets of a list or subset key are taken to the key's leader (its smallest class), where
 overlaps are counted exactly, in blocks; only a spanning forest of the links leaves, so
@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import U64, chunked, components, deal, mix, packed_rows, prefix_hash, settle, sizes, text_buffer, trim, union_find, window_hash, window_starts, word_hashes, word_spans
+from ._common import U64, chunked, components, deal, mix, packed_rows, prefix_hash, settle, sizes, text_buffer, total_words, trim, union_find, window_hash, window_starts, word_hashes, word_spans
 
-#: Classes that are compared with one another in one task; larger lists are split into pairs of blocks.
-BLOCK = 1024
-_LARGEST_LIGHT = 32
+#: Classes that are compared with one another in one task, and shingles of their sets; larger lists are split into pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
 _TOKENS = "dest long, chunk int, payload binary, extra binary"
-_SUM, _LIST = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
+_SUM, _LIST, _NULL = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
 
 
 def _up(a: int, b: int) -> int:
@@ -49,19 +48,20 @@ def overlaps(n: int, largest: int, percent: int) -> list[int]:
     return sorted({overlap(n, m, percent) for m in range(_up(percent * n, 100), min(largest, 100 * n // percent) + 1)})
 
 
-def boundary(percent: int, list_length: float) -> int:
-    """Largest size below which every size's subsets cost no more than its lists.
+def boundary(percent: int) -> int:
+    """Largest size up to which every size's subsets cost no more than its lists, by what is sent.
 
-    A set of n costs one row for each subset, or one row and a scan of ``list_length``
-    rows for each of its n - t + 1 rarest shingles.
+    A subset or a list's entry is a row of 16 bytes. A list that others share also brings
+    the whole set, of 8 bytes a shingle, to its leader, which a subset does only where
+    there is almost surely a link. So a set of n costs one row for each subset, or 1 + n / 2
+    for each of its n - t + 1 rarest shingles. (Shingles that no other set has are in neither.)
     """
     size = 0
-    for n in range(1, _LARGEST_LIGHT + 1):
-        subsets = sum(math.comb(n, c) for c in overlaps(n, n, percent))
-        if subsets > (n - _up(percent * n, 100) + 1) * (1 + list_length):
-            break
+    while True:
+        n = size + 1
+        if sum(math.comb(n, c) for c in overlaps(n, n, percent)) > (n - _up(percent * n, 100) + 1) * (1 + n / 2):
+            return size
         size = n
-    return size
 
 
 def shingle_sets(group: pa.Table, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def _keys(tokens: np.ndarray, rank: np.ndarray, percent: int, largest: int) -> n
             if alone <= n - c:
                 gone = list(combinations(range(len(part)), n - c - alone))
                 sums = part.sum(dtype=U64) - (part[np.array(gone, int)].sum(axis=1, dtype=U64) if gone[0] else np.zeros(1, U64))
-                keys.append(mix(sums + U64(c) * _LIST))
+                keys.append(mix(sums + U64(c * int(_LIST) % 2**64)))
     if n > largest or 100 * n >= percent * (largest + 1):
         take = n - _up(percent * n, 100) + 1
         rarest = np.lexsort((tokens, rank))[:take]
@@ -143,8 +143,8 @@ def _linked(group: pa.Table, percent: int) -> pa.Table:
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose distinct ``k``-word shingles reach a Jaccard similarity of ``percent`` / 100, as components.
 
-    Returns ``id_col, n_shingles, class_id, component_id`` for each row: the set's size, the
-    smallest id with the same set, and the smallest id reachable by links. A-Z count as
+    Returns ``id_col, n_shingles, component_id, class_id`` for each row: the set's size, the
+    smallest id reachable by links, and the smallest id with the same set. A-Z count as
     lower case; a text of fewer than ``k`` words is one shingle. Null and empty texts link
     with nothing. Repeated rows fall in one class; rows that share an id but not a text
     link through it. A null id is kept with null class and component if its set is its own.
@@ -156,16 +156,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     of documents that share a rare shingle or subset once for each leader.
     """
     spark = docs.sparkSession
-    short = F.octet_length(text_col) < 256
-    seen = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.when(short, 1)), F.approx_count_distinct(F.when(short, F.col(text_col)))).first()
-    n = sizes(int(seen[0] or 0) // 6)
-    largest = boundary(percent, seen[1] / max(1, seen[2]))
+    n = sizes(total_words(docs, text_col))
+    largest = boundary(percent)
     text = chunked(docs.select(F.col(id_col).cast("long").alias(id_col), text_col), [id_col, text_col], n)
 
     def classes(group: pa.Table):
         flat, size, digest = shingle_sets(group, text_col, k)
-        ids = group[id_col].fill_null(-1).to_numpy()
-        digest = np.where(size > 0, digest, mix(ids.astype(U64) ^ _LIST))
+        ids = np.where(group[id_col].is_null(), _NULL, mix(group[id_col].fill_null(0).to_numpy().astype(U64) ^ _LIST))
+        digest = np.where(size > 0, digest, ids)
         first = np.zeros(len(size), bool)
         first[np.unique(digest, return_index=True)[1]] = True
         first &= size > 0
@@ -243,10 +241,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     ranks = tokens.groupBy("dest").applyInArrow(answer_ranks, _TOKENS)
     indexed = settle(text.groupBy("chunk").cogroup(ranks.groupBy("chunk")).applyInArrow(index, "kind int, dest long, doc_id long, n long, class long, payload binary, extra binary"))
     rows = indexed.where("kind = 0").select("doc_id", "n", "class")
-    sets = indexed.where("kind = 2").groupBy("class").agg(F.first("payload").alias("payload"))
+    sets = indexed.where("kind = 2").groupBy("class").agg(F.first("n").alias("size"), F.first("payload").alias("payload"))
     pairs = settle(indexed.where("kind = 1").select("dest", "payload", "extra").groupBy("dest").applyInArrow(lists, "leader long, member long").distinct())
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    work = pairs.join(pairs.groupBy("leader").count(), "leader").withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
+    led = pairs.join(sets.select(F.col("class").alias("member"), "size"), "member").groupBy("leader").agg(F.count("*").alias("count"), F.sum("size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    work = pairs.join(led, "leader").withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
     work = work.select("leader", "member", "block", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
     work = work.select("leader", "member", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     work = work.join(sets, work.member == sets["class"]).select("leader", "member", "block", "lo", "hi", "payload")
@@ -258,4 +257,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: s
     twice = heads.select(F.col("class_id").alias("doc_id")).join(same, "doc_id").select(F.col("doc_id").alias("y"), "x")
     found = components(edge.select("x", "y").unionByName(twice.select("x", "y")), "x", "y")
     named = heads.join(found, heads.class_id == found.node, "left").select("class", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    return rows.join(named, "class").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id")
+    return rows.join(named, "class").select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "class_id")

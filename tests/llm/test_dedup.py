@@ -1,5 +1,6 @@
 """N-gram join and substring dedup against brute force."""
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -23,11 +24,13 @@ def test_join_is_brute_force(spark, monkeypatch, k, percent, load):
 
 def test_join_of_nothing(spark):
     got = ngram_join.jaccard_components(cases.frame(spark, []))
-    assert got.columns == ["doc_id", "n_shingles", "class_id", "component_id"] and got.count() == 0
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "class_id"] and got.count() == 0
 
 
 def test_boundary_is_by_cost():
-    assert ngram_join.boundary(85, 1.0) <= ngram_join.boundary(85, 3.0) <= ngram_join.boundary(85, 50.0)
+    for percent in (80, 85):
+        largest = ngram_join.boundary(percent)
+        assert any(c < n for n in range(1, largest + 1) for c in ngram_join.overlaps(n, largest, percent))  # real subsets
     for percent in (50, 80, 85):
         for n in range(1, 40):
             for m in range(n, 60):
@@ -35,6 +38,25 @@ def test_boundary_is_by_cost():
                 assert 100 * o >= percent * (n + m - o) and 100 * (o - 1) < percent * (n + m - o + 1)
 
 
+def test_subsets_alone_find_links_of_small_sets(spark, monkeypatch):
+    lists = ngram_join._keys
+
+    def subsets_only(tokens, rank, percent, largest):
+        return lists(tokens, rank, percent, largest) if len(tokens) <= largest and 100 * len(tokens) < percent * (largest + 1) else np.zeros(0, np.uint64)
+
+    base = [f"w{i}" for i in range(13)]
+    texts = [" ".join(base), " ".join(base[:-1]), " ".join([*base[:6], "x", *base[7:]]), " ".join(base[:-2]), "w1 w2 w3"]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    monkeypatch.setattr(ngram_join, "_keys", subsets_only)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(cases.frame(spark, rows, False), 4, 85).collect()}
+    assert got == {i: c for i, _, c in cases.components(rows, 4, 85)} and got[1] == 0 and got[3] == 0
+
+
+def test_a_null_id_is_not_the_id_minus_one(spark):
+    got = ngram_join.jaccard_components(cases.frame(spark, [(-1, "", None, None, None), (None, "", None, None, None)], False)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(-1, -1), (None, None)}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.lists(st.sampled_from("abcde"), max_size=9).map(" ".join), min_size=1, max_size=25))
 def test_join_of_tiny_alphabets(spark, texts):
