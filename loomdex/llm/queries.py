@@ -106,7 +106,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
     out = pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
-    return out.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "tier", "step_group")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
