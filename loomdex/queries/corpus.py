@@ -253,10 +253,32 @@ def chunk_roles(spark, d):
     return kinds.select("doc_id", C.role(F.col("k")).alias("role"))
 
 
-@query()
+#: A note of each whole text: a heading, the text as a quotation, a heading below with code, whose fence stays open.
+_NOTES = "notes_m AS (SELECT doc_id, length('# T' || doc_id) + 1 AS a, length('> ' || replace(text, chr(10), chr(10) || '> ')) + 2 AS q FROM documents)"
+
+
+def _notes(spark, d):
+    quoted = F.concat(F.lit("> "), F.replace("text", F.lit("\n"), F.lit("\n> ")))
+    note = F.concat(F.lit("# T"), F.col("doc_id").cast("string"), F.lit("\n"), quoted, F.lit("\n\n## Code\n\n~~~py\nx = 1\n"))
+    version = ids.uuid5(F.lit("6ba7b811-9dad-11d1-80b4-00c04fd430c8"), F.col("doc_id").cast("string"))
+    return table(spark, d, "documents").select("doc_id", note.alias("text"), version.alias("version"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id, unnest([{{'element': 'block', 'kind': 'heading', 'char_start': 0, 'char_end': a, 'heading_path': 'T' || doc_id}}, {{'element': 'block', 'kind': 'blockquote', 'char_start': a, 'char_end': a + q, 'heading_path': 'T' || doc_id}},
+    {{'element': 'block', 'kind': 'heading', 'char_start': a + q, 'char_end': a + q + 8, 'heading_path': 'T' || doc_id || '/Code'}}, {{'element': 'block', 'kind': 'fenced_code', 'char_start': a + q + 9, 'char_end': a + q + 21, 'heading_path': 'T' || doc_id || '/Code'}},
+    {{'element': 'section', 'kind': 'root', 'char_start': 0, 'char_end': a + q + 21, 'heading_path': ''}}, {{'element': 'section', 'kind': 'heading', 'char_start': 0, 'char_end': a + q + 21, 'heading_path': 'T' || doc_id}}, {{'element': 'section', 'kind': 'heading', 'char_start': a + q, 'char_end': a + q + 21, 'heading_path': 'T' || doc_id || '/Code'}},
+    {{'element': 'flag', 'kind': 'unclosed_fence', 'char_start': a + q + 9, 'char_end': a + q + 9, 'heading_path': ''}}], recursive := true) FROM notes_m""")
 def markdown_parse(spark, d):
-    lines = F.concat(F.lit("# "), F.col("source"), F.lit("\n\nSee [[note#Part|it]] and #tag-"), F.col("lang"), F.lit("\n\n"), F.col("text"))
-    return parse.parse_markdown(table(spark, d, "documents").select("doc_id", lines.alias("text")))
+    found = parse.parse_markdown(_notes(spark, d)).where("element IN ('block', 'section', 'flag')")
+    return found.select("doc_id", "element", "kind", "char_start", "char_end", F.array_join(F.coalesce("heading_path", F.array().cast("array<string>")), "/").alias("heading_path"))
+
+
+@query(f"""WITH {_NOTES}, t AS (SELECT doc_id, a, q, '# T' || doc_id || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || '## Code' || chr(10) || chr(10) || '~~~py' || chr(10) || 'x = 1' || chr(10) AS note FROM notes_m JOIN documents USING (doc_id)),
+    c AS (SELECT doc_id, unnest([{{'char_start': 0, 'char_end': a + q}}, {{'char_start': a + q, 'char_end': a + q + 21}}], recursive := true), note FROM t)
+    SELECT doc_id, char_start, char_end, 'content_evidence' AS role, sha256(note[char_start + 1:char_end]) AS content_hash FROM c""")
+def markdown_chunks(spark, d):
+    found = parse.parse_markdown(_notes(spark, d), version_col="version", target=1_000_000, most=2_000_000).where("element = 'chunk'")
+    return found.select("doc_id", "char_start", "char_end", F.col("kind").alias("role"), F.col("sha256").alias("content_hash"))
 
 
 @query("SELECT doc_id, 'note' || (doc_id % 7) AS path, CASE WHEN doc_id % 2 = 0 THEN 'Part' END AS heading, CASE WHEN doc_id % 3 = 0 THEN lang END AS alias FROM documents")

