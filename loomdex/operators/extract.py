@@ -29,24 +29,31 @@ def locate(text: Column, start: Column, quote: Column, nth: Column) -> Column:
     return F.struct(begin.alias("char_start"), (begin + F.length(quote)).cast("long").alias("char_end"), error.alias("error"))
 
 
-#: Quotes that every task holds at once.
-HELD_QUOTES = 5000
+#: Characters of a quote that it is looked up by.
+PROBE = 16
 
 
 def find_quotes(docs: DataFrame, quotes: DataFrame, doc_id: str, doc_text: str, quote_id: str, quote_text: str) -> DataFrame:
-    """``doc_id, quote_id`` of every document that holds a quote to the letter.
+    """``doc_id, quote_id`` of every document that holds a quote to the letter, a row for each pair; null ids have none.
 
-    Quotes are a query set: up to HELD_QUOTES go to every task; more are searched in blocks
-    of about that many, each by a pass over the documents.
+    A quote's first word that starts inside it, and what follows up to PROBE characters, is
+    hash-joined with the same stretches of the documents; only candidates are compared with the
+    quote. Quotes too short for that are compared with every document, in the order of joins
+    that Spark picks. Words start behind white space. A document's stretches are distinct and
+    narrow; its text joins the candidates by id.
     """
-    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote_text).alias("_t")).where("length(_t) > 0")
-    n = max(1, -(-q.count() // HELD_QUOTES))
-    out = None
-    for b in range(n):
-        block = F.broadcast(q.where(F.pmod(F.xxhash64("_q", "_t"), F.lit(n)) == b))
-        part = docs.select(doc_id, doc_text).join(block, F.contains(F.col(doc_text), F.col("_t"))).select(doc_id, F.col("_q").alias(quote_id))
-        out = part if out is None else out.unionByName(part)
-    return out
+    q = quotes.select(F.col(quote_id).alias("_q"), F.col(quote_text).alias("_t")).where("length(_t) > 0").distinct()
+    inner = F.regexp_extract("_t", rf"(?s)\s(\S.{{{PROBE - 1}}})", 1)  # a word start of the quote is one of the document's
+    q = q.withColumn("_p", inner)
+    texts = docs.select(F.col(doc_id).alias("_d"), F.col(doc_text).alias("_x")).where("_d IS NOT NULL AND _x IS NOT NULL")
+    wanted = q.where("_p <> ''").select("_q", "_t", F.xxhash64("_p").alias("_h"))
+    stretches = F.regexp_extract_all("_x", F.lit(rf"(?s)\s(?=(\S.{{{PROBE - 1}}}))"), 1)
+    probes = texts.select("_d", F.explode(F.array_distinct(F.transform(stretches, lambda p: F.xxhash64(p)))).alias("_h"))
+    near = probes.join(wanted, "_h").select("_d", "_q", "_t").distinct()
+    found = near.join(texts, "_d").where(F.contains("_x", F.col("_t"))).select("_d", "_q").distinct()
+    short = q.where("_p = ''").select("_q", "_t")
+    rest = texts.join(short, F.contains("_x", F.col("_t"))).select("_d", "_q").distinct()
+    return found.unionByName(rest).select(F.col("_d").alias(doc_id), F.col("_q").alias(quote_id))
 
 
 def ontology_errors(kind: Column, allowed: list[str], code: str) -> Column:
@@ -105,21 +112,27 @@ def resolve(candidates: DataFrame) -> DataFrame:
 
 
 def _clusters(links: DataFrame) -> DataFrame:
-    """Candidates joined through shared keys, by passing the smallest id until nothing changes."""
-    at = links.select("block", "candidate_id").distinct().withColumn("cluster", F.col("candidate_id"))
-    while True:
-        held = links.join(at, ["block", "candidate_id"])
-        by_key = held.where("key IS NOT NULL").groupBy("block", "key").agg(F.min("cluster").alias("low"))
-        new = links.join(by_key, ["block", "key"]).groupBy("block", "candidate_id").agg(F.min("low").alias("low"))
-        nxt = at.join(new, ["block", "candidate_id"], "left").select("block", "candidate_id", F.least("cluster", "low").alias("new"), "cluster")
-        nxt = _cut(nxt)
-        changed = nxt.where("new <> cluster").limit(1).count()
-        at = nxt.select("block", "candidate_id", F.col("new").alias("cluster"))
-        if not changed:
-            return at
-
-
-def _cut(df: DataFrame) -> DataFrame:
+    """Candidates joined through shared keys: connected components of candidates and keys, by alternating
+    large and small stars, so that a long chain takes few rounds and a hub's neighbours aren't gathered."""
+    name = F.xxhash64
+    nodes = cut(links.select("block", "candidate_id").distinct().withColumn("node", name("block", "candidate_id")))
+    at = links.where("key IS NOT NULL").select(name("block", "candidate_id").alias("a"), name(F.lit("key"), "block", "key").alias("b"))
+    e = cut(at.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state = None
+    while (now := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != state:
+        state = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = cut(small.where("u <> v").distinct())
+    found = nodes.join(e, nodes.node == e.u, "left")
+    return found.select("block", "candidate_id", F.coalesce("v", "node").alias("cluster"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir (the warehouse where it is unset)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)

@@ -45,6 +45,30 @@ def keyword_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id"
     return rows.select(id_col, (F.col("n") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
+def postings(chunks: DataFrame, buckets: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
+    """``bucket, term, id_col, n``: how often each term stands in each chunk; a term's rows share a bucket."""
+    words = chunks.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
+    return words.groupBy("term", id_col).agg(F.count("*").alias("n")).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", id_col, "n")
+
+
+def write_postings(chunks: DataFrame, path: str, buckets: int = 256, id_col: str = "chunk_id", text_col: str = "text") -> None:
+    """Postings as Parquet in folders of a bucket each, sorted by term, so that a query reads its own terms' row groups."""
+    rows = postings(chunks, buckets, id_col, text_col)
+    rows.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(path)
+
+
+def keyword_from_postings(index: DataFrame, query: str, k: int, buckets: int = 256, id_col: str = "chunk_id") -> DataFrame:
+    """``keyword_topk`` from postings: only the query's terms are read, whatever the corpus holds."""
+    words = terms_of(query)
+    every = not words
+    words = words or [w for w in dict.fromkeys(query.lower().split())]
+    home = index.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")).alias("b")).first().b
+    rows = index.where(F.col("bucket").isin(sorted(set(home))) & F.col("term").isin(words))
+    found = rows.groupBy(id_col).agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
+    found = found.where(F.col("terms") == len(words)) if every else found
+    return found.select(id_col, (F.col("n") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+
+
 def bm25_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 top-k: an alternative score. One pass for the corpus statistics, one for the scores."""
     words = terms_of(query)

@@ -36,6 +36,11 @@ def keyword_topk(spark, d):
     return R.keyword_topk(chunks(spark, d), QUESTION, 20).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {CHUNKS}, {_KEYWORD} SELECT * FROM keyword_m")
+def keyword_from_postings(spark, d):
+    return R.keyword_from_postings(R.postings(chunks(spark, d), 64), QUESTION, 20, 64).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {CHUNKS} SELECT chunk_id, 0.2::DOUBLE AS score FROM chunks_m WHERE list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'and')
     AND len(list_filter({_TOKENS}, lambda t: t IN ('the', 'and'))) = 2 AND false UNION ALL
     SELECT * FROM (SELECT chunk_id, round(0.1 * len(list_filter({_TOKENS}, lambda t: t IN ('the', 'and'))), 6) AS score FROM chunks_m WHERE list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'and') ORDER BY 2 DESC, 1 LIMIT 10)""")

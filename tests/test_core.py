@@ -287,3 +287,33 @@ def test_registry_has_columns(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["id", "score", "keyword_rank", "semantic_rank"]
+
+
+def test_quotes_are_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 60))) for _ in range(60)] + [None, "", "a\nb c  tail of some words here"]
+    quotes = [t[a : a + r.randint(1, 60)] for t in texts[:60] for a in [r.randint(0, 40)]] + ["", None, "w1", "b c  tail of some words", "not in any of the texts at all"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame(list(enumerate(quotes)), "q long, quote string")
+    got = rows(extract.find_quotes(docs, asked, "doc_id", "text", "q", "quote"))
+    assert got == sorted((i, j) for i, t in enumerate(texts) for j, q in enumerate(quotes) if t and q and q in t)
+
+
+def test_clusters_of_chains_and_hubs(spark):
+    links = [("b", f"c{i}", f"k{i}") for i in range(30)] + [("b", f"c{i + 1}", f"k{i}") for i in range(30)] + [("b", f"h{i}", "hub") for i in range(40)] + [("o", "c0", "k0"), ("b", "lone", None)]
+    got = {}
+    for r in extract._clusters(spark.createDataFrame(links, "block string, candidate_id string, key string")).collect():
+        got.setdefault(r.cluster, set()).add((r.block, r.candidate_id))
+    assert sorted(map(len, got.values())) == [1, 1, 31, 40]
+
+
+def test_postings_give_the_same_hits(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["apple Pie pie", "pie", "", "the and", "pear-apple"])], "chunk_id long, text string")
+    search.write_postings(chunks, str(tmp_path / "p"), 4)
+    index = spark.read.parquet(str(tmp_path / "p"))
+    for query in ("pie and apple", "the", "nothing", "?"):
+        want = [tuple(x) for x in search.keyword_topk(chunks, query, 3).collect()]
+        assert [tuple(x) for x in search.keyword_from_postings(index, query, 3, 4).collect()] == want
