@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import casefold
+from .ontology import check_codes
+
 MOST_HOPS, MOST_PATHS, MOST_OBJECTS = 4, 50, 20_000
 
 
@@ -23,6 +26,35 @@ def neighbors(edges: DataFrame, node: str, direction: str = "both", predicates:
     return {"out": out, "in": back}.get(direction, out.unionByName(back))
 
 
+def neighbor_page(edges: DataFrame, entities: DataFrame, node: str, direction: str = "both", predicates: list[str] | None = None, types: list[str] | None = None, reviewed: bool = True, most: int = MOST_PATHS) -> DataFrame:
+    """Neighbours with their names, ordered by folded name, id and edge, one more than ``most`` so that a caller sees that there are more.
+
+    Edges may have a ``review_status``; unless ``reviewed`` is false only accepted ones count.
+    Predicates and entity types that the ontology doesn't have are refused.
+    """
+    check_codes(predicates, types)
+    if not 1 <= most <= MOST_PATHS:
+        raise ValueError(f"most must be 1 to {MOST_PATHS}")
+    rows = edges.where("review_status = 'accepted'") if reviewed and "review_status" in edges.columns else edges
+    named = entities.select(F.col("entity_id").alias("neighbor_id"), "name", "entity_type")
+    named = named if types is None else named.where(F.col("entity_type").isin(*types))
+    return neighbors(rows, node, direction, predicates).join(named, "neighbor_id").orderBy(casefold(F.col("name")), "neighbor_id", "edge_id").limit(most + 1)
+
+
+def canonical_hash(nodes: DataFrame, edges: DataFrame, most: int = MOST_OBJECTS) -> DataFrame:
+    """``n_objects, sha256`` of a whole snapshot: SHA-256 over its rows' compact JSON, keys and rows in order.
+
+    The order needs all rows in one place, so a snapshot of more than ``most`` objects is
+    refused, as a projection refuses it; ``fingerprint`` takes any size.
+    """
+    line = lambda df, kind: df.select(F.concat(F.lit(f"{kind}:"), F.to_json(F.struct(*sorted(df.columns)))).alias("row"))
+    rows = line(nodes, "node").unionByName(line(edges, "edge"))
+    found = rows.limit(most + 1).count()
+    if found > most:
+        raise ValueError(f"more than {most} objects")
+    return rows.agg(F.count("*").alias("n_objects"), F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list("row"))), 256).alias("sha256"))
+
+
 def trails(edges: DataFrame, seeds: DataFrame, hops: int, predicates: list[str] | None = None) -> DataFrame:
     """All trails of 1 to ``hops`` steps from the seeds (id): ``nodes, edges, hops``.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -27,6 +30,42 @@ def claim_order(jobs: DataFrame) -> DataFrame:
     return jobs.orderBy(F.desc("priority"), F.asc_nulls_first("next_attempt_at"), "created_at", "job_id")
 
 
+def run_once(jobs: DataFrame, now: datetime, handlers: dict[str, Callable[[Row], None]], worker: str, lease_seconds: int = 60, most_attempts: int = 5) -> list[Row]:
+    """Claim the first job that is due and run its kind's handler; the new log rows (job_id, status, ...), none if nothing is due.
+
+    A handler that raises sends the job back with its backoff, or fails it for good once its
+    attempts are used up; so does a kind without a handler. One job is claimed at a time: the
+    handlers are Spark jobs themselves, and the log is what other workers see.
+    """
+    due = claim_order(claimable(jobs, F.lit(now), most_attempts)).limit(1).collect()
+    if not due:
+        return []
+    job = due[0]
+    attempt = job.attempts + 1
+    at = {"job_id": job.job_id, "worker": worker, "attempts": attempt}
+    out = [Row(**at, status="running", next_attempt_at=None, lease_expires_at=now + timedelta(seconds=lease_seconds), error=None)]
+    try:
+        handlers[job.kind](job)
+    except Exception as e:  # a job's failure is its own
+        gone = attempt >= most_attempts
+        later = None if gone else now + timedelta(seconds=min(300, 2 ** min(attempt, 8)))
+        return [*out, Row(**at, status="failed" if gone else "queued", next_attempt_at=later, lease_expires_at=None, error=type(e).__name__)]
+    return [*out, Row(**at, status="succeeded", next_attempt_at=None, lease_expires_at=None, error=None)]
+
+
+def heartbeat(jobs: DataFrame, worker: str, now: Column, lease_seconds: int = 60) -> DataFrame:
+    """Jobs with the leases of a worker's running ones moved on."""
+    mine = (F.col("status") == "running") & (F.col("worker") == worker)
+    return jobs.withColumn("lease_expires_at", F.when(mine, now + F.make_interval(secs=F.lit(lease_seconds))).otherwise(F.col("lease_expires_at")))
+
+
+def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Jobs after some (job_id) are cancelled: only those that haven't ended."""
+    asked = ids.select("job_id").distinct().withColumn("_asked", F.lit(True))
+    ended = F.col("status").isin("succeeded", "failed", "cancelled")
+    return jobs.join(asked, "job_id", "left").withColumn("status", F.when(F.col("_asked") & ~ended, "cancelled").otherwise(F.col("status"))).drop("_asked")
+
+
 def recover(jobs: DataFrame, now: Column, most_attempts: int = 5) -> DataFrame:
     """Running jobs whose lease is over go back to the queue, or fail for good once attempts are used up."""
     lost = (F.col("status") == "running") & (F.col("lease_expires_at") <= now)

@@ -12,6 +12,12 @@ def active_vaults(vaults: DataFrame) -> DataFrame:
     return vaults.where("status = 'active'").orderBy("name")
 
 
+def register_vaults(vaults: DataFrame, new: DataFrame) -> DataFrame:
+    """What would be registered: new vaults (name, root_path, ...) whose name and root no other has; of several alike the first by name."""
+    once = new.groupBy("root_path").agg(F.min_by(F.struct(*new.columns), "name").alias("r")).select("r.*").dropDuplicates(["name"])
+    return once.join(vaults.select("name"), "name", "left_anti").join(vaults.select("root_path"), "root_path", "left_anti").select(*new.columns)
+
+
 def lookup(rows: DataFrame, key: str, value) -> DataFrame:
     """The one row of a key; a literal, so that the filter reaches the scan."""
     return rows.where(F.col(key) == F.lit(value)).limit(1)

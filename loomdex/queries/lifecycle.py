@@ -10,6 +10,7 @@ from ..operators import hydrate as H
 from ..operators import lifecycle as L
 from ..operators import ontology as O
 from ..operators import scan
+from ..operators import sketches as K
 from ..operators import views as V
 from . import query
 from .model import CHUNKS, CURRENT, MODEL, chunks, documents, table, versions
@@ -306,6 +307,40 @@ def graph_sets(spark, d):
     return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")))
 
 
+@query(f"""WITH {KNOWLEDGE}, e AS (SELECT assertion_id AS edge_id, source_id, target_id, predicate FROM assertions_m WHERE predicate = 'USES'),
+    n AS (SELECT target_id AS neighbor_id, edge_id, 'out' AS direction FROM e WHERE source_id = 'n6' UNION ALL SELECT source_id, edge_id, 'in' FROM e WHERE target_id = 'n6' AND source_id <> 'n6')
+    SELECT neighbor_id, name, edge_id, direction FROM n JOIN entities_m ON entity_id = neighbor_id ORDER BY lower(name), neighbor_id, edge_id LIMIT 21""")
+def neighbor_page(spark, d):
+    k = Knowledge(spark, d)
+    edges = k.assertions.withColumnRenamed("assertion_id", "edge_id")
+    return graph.neighbor_page(edges, k.entities, "n6", predicates=["USES"], types=["LOCATION"], most=20).select("neighbor_id", "name", "edge_id", "direction")
+
+
+@query("""WITH r AS (SELECT 'node:{"id":"n' || n_nationkey || '","label":"nation"}' AS row FROM nation UNION ALL SELECT 'edge:{"source_id":"n' || n_nationkey || '","target_id":"r' || n_regionkey || '"}' FROM nation)
+    SELECT count(*) AS n_objects, sha256(string_agg(row, chr(10) ORDER BY row)) AS sha256 FROM r""")
+def snapshot_hash(spark, d):
+    nation = table(spark, d, "nation")
+    n = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    nodes = nation.select(F.lit("nation").alias("label"), n.alias("id"))
+    return graph.canonical_hash(nodes, nation.select(n.alias("source_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_id")))
+
+
+@query("SELECT event_type, true AS close FROM events GROUP BY 1")
+def distinct_sketches(spark, d):
+    """Sketches by day and type, merged by type, against exact counts."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    found = K.distinct_estimates(K.distinct_sketches(e, ["day", "event_type"], "event_id"), "event_type")
+    exact = e.groupBy("event_type").agg(F.count_distinct("event_id").alias("exact"))
+    return found.join(exact, "event_type").select("event_type", (F.abs(F.col("n") / F.col("exact") - 1) < 0.1).alias("close"))
+
+
+@query("SELECT s_nationkey AS nation, min(s_suppkey) AS first FROM supplier WHERE s_nationkey NOT IN (1, 3, 5) GROUP BY 1")
+def vaults_registered(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("root_path"), "s_suppkey")
+    found = V.register_vaults(s.where("root_path IN ('1', '3', '5')"), s)
+    return found.select(F.col("root_path").cast("int").alias("nation"), F.col("s_suppkey").alias("first"))
+
+
 # --- ontology and identifiers -----------------------------------------------------------------
 _SEED = ", ".join([f"('entity-type', NULL, '{c}')" for c in O.ENTITY_TYPES] + [f"('entity-subtype', '{t}', '{c}')" for t, cs in O.ENTITY_SUBTYPES.items() for c in cs] + [f"('predicate', NULL, '{c}')" for c in O.PREDICATES] + ["('property', NULL, 'network_layer')"])
 

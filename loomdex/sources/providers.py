@@ -42,3 +42,14 @@ def embed_chunks(chunks: DataFrame, embed: Embed, batch: int = 16, id_col: str =
             yield pa.record_batch([b.column(0), pa.array(out, pa.list_(pa.float32()))], names=[id_col, "embedding"])
 
     return chunks.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(chunks.dtypes)[id_col]}, embedding array<float>")
+
+
+def probe(embed: Embed, expected: int | None = None) -> dict[str, object]:
+    """A provider's health: whether it answers, its dimension, and what is wrong, found with one short text."""
+    try:
+        got = embed(["dimension probe"])
+        dimension = len(got[0]) if len(got) == 1 else 0
+    except Exception as e:  # a provider that is down is a state, not a failure
+        return {"healthy": False, "dimension": None, "error": type(e).__name__}
+    error = "no_vector" if not dimension else "other_dimension" if expected not in (None, dimension) else None
+    return {"healthy": error is None, "dimension": dimension or None, "error": error}

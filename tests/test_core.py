@@ -3,6 +3,7 @@
 import hashlib
 import uuid
 from collections import Counter
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -317,3 +318,33 @@ def test_postings_give_the_same_hits(spark, tmp_path):
     for query in ("pie and apple", "the", "nothing", "?"):
         want = [tuple(x) for x in search.keyword_topk(chunks, query, 3).collect()]
         assert [tuple(x) for x in search.keyword_from_postings(index, query, 3, 4).collect()] == want
+
+
+def test_a_worker_runs_one_job(spark):
+    now = datetime(2024, 1, 1, 12)
+    cols = "job_id long, kind string, status string, attempts long, priority long, next_attempt_at timestamp, lease_expires_at timestamp, created_at timestamp, worker string"
+    rows_ = [(1, "scan", "queued", 0, 1, None, None, now, None), (2, "scan", "queued", 4, 5, None, None, now, None), (3, "scan", "running", 1, 9, None, now + timedelta(hours=1), now, "w")]
+    jobs, seen = spark.createDataFrame(rows_, cols), []
+    log = state.run_once(jobs, now, {"scan": lambda j: seen.append(j.job_id)}, "w")
+    assert seen == [2] and [r.status for r in log] == ["running", "succeeded"] and log[0].attempts == 5
+
+    def broken(job):
+        raise OSError
+
+    first = jobs.where("job_id = 1")
+    again = state.run_once(first, now, {"scan": broken}, "w")[1]
+    assert (again.status, again.error, again.next_attempt_at) == ("queued", "OSError", now + timedelta(seconds=2))
+    assert state.run_once(jobs.where("job_id = 2"), now, {}, "w")[1].status == "failed" and state.run_once(jobs.where("job_id = 3"), now, {}, "w") == []
+    assert {r.job_id: r.lease_expires_at for r in state.heartbeat(jobs, "w", F.lit(now)).collect()}[3] == now + timedelta(seconds=60)
+    gone = state.cancel(jobs.withColumn("status", F.when(F.col("job_id") == 1, "succeeded").otherwise(F.col("status"))), spark.createDataFrame([(1,), (3,), (9,)], "job_id long"))
+    assert {r.job_id: r.status for r in gone.collect()} == {1: "succeeded", 2: "queued", 3: "cancelled"}
+
+
+def test_probe():
+    assert providers.probe(providers.hashed_embedding(8)) == {"healthy": True, "dimension": 8, "error": None}
+    assert providers.probe(providers.hashed_embedding(8), 16)["error"] == "other_dimension" and providers.probe(lambda t: 1 / 0)["error"] == "ZeroDivisionError"
+
+
+def test_snapshots_have_a_most(spark):
+    with pytest.raises(ValueError, match="more than 3 objects"):
+        graph.canonical_hash(spark.range(2), spark.range(2), 3)
