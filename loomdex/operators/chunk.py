@@ -89,19 +89,21 @@ def role(kinds: Column) -> Column:
 
 
 def links(text: Column) -> Column:
-    """All wiki links of a text as (embed, path, heading, block, alias)."""
-    raw = F.regexp_extract_all(text, F.lit(r"!?\[\[[^\[\]\n]+\]\]"), 0)
+    """All wiki links of a text as (embed, path, heading, block, alias), to the letter as ``parse`` has them; absent parts are null."""
+    raw = F.regexp_extract_all(text, F.lit(r"!?\[\[[^\]\n]+\]\]"), 0)
+    some = lambda x: F.when(x != "", x)
 
     def split(x: Column) -> Column:
         inner = F.regexp_replace(x, r"^!?\[\[|\]\]$", "")
-        target = F.trim(F.split_part(inner, F.lit("|"), F.lit(1)))
-        alias = F.when(F.contains(inner, F.lit("|")), F.trim(F.regexp_replace(inner, r"^[^|]*\|", "")))
-        anchor = F.when(F.contains(target, F.lit("#")), F.regexp_replace(target, r"^[^#]*#", ""))
-        return F.struct(F.startswith(x, F.lit("!")).alias("embed"), F.split_part(target, F.lit("#"), F.lit(1)).alias("path"), F.when(~F.startswith(anchor, F.lit("^")), anchor).alias("heading"), F.when(F.startswith(anchor, F.lit("^")), F.substr(anchor, F.lit(2))).alias("block"), alias.alias("alias"))
+        target, alias = F.split_part(inner, F.lit("|"), F.lit(1)), F.when(F.contains(inner, F.lit("|")), F.regexp_replace(inner, r"^[^|]*\|", ""))
+        path, heading = F.split_part(target, F.lit("#"), F.lit(1)), F.when(F.contains(target, F.lit("#")), F.regexp_replace(target, r"^[^#]*#", "")).otherwise("")
+        inside = F.contains(heading, F.lit("^"))
+        block = F.regexp_replace(F.when(inside, heading).otherwise(path), r"^[^^]*\^?", "")
+        return F.struct(F.startswith(x, F.lit("!")).alias("embed"), some(F.when(inside, path).otherwise(F.split_part(path, F.lit("^"), F.lit(1)))).alias("path"), some(F.split_part(heading, F.lit("^"), F.lit(1))).alias("heading"), some(block).alias("block"), alias.alias("alias"))
 
     return F.transform(raw, split)
 
 
 def tags(text: Column) -> Column:
-    """Hash tags that no word character, slash or bracket precedes."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w/\[])#([\p{L}\p{N}_][\w/-]*)"), 1), lambda t: F.lower(t))
+    """Hash tags that no word character, slash or bracket precedes, as they are written."""
+    return F.regexp_extract_all(text, F.lit(r"(?U)(?<![\w/\[])#([^\s#.,;:!?()\[\]{}]+)"), 1)

@@ -149,10 +149,11 @@ def section_context(seeds: DataFrame, chunks: DataFrame, window: int = 1) -> Dat
 
 def budget(chunks: DataFrame, order: list[str], most_chars: int, most_rows: int | None = None, by: str = "document_id") -> DataFrame:
     """Rows in order until the first that would exceed the characters; it ends all documents. A cap of
-    rows a document comes first. The rows are a query's context, which the caps of its callers bound."""
+    rows a document comes first. Texts aren't empty, so the characters bound the rows that are summed up."""
     rows = chunks
     if most_rows is not None:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most_rows).drop("_n")
+    rows = rows.orderBy(*order).limit(most_chars + 1)
     total = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("_sum", total).where(F.col("_sum") <= most_chars).drop("_sum")
 

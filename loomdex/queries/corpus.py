@@ -281,16 +281,20 @@ def markdown_chunks(spark, d):
     return found.select("doc_id", "char_start", "char_end", F.col("kind").alias("role"), F.col("sha256").alias("content_hash"))
 
 
-@query("SELECT doc_id, 'note' || (doc_id % 7) AS path, CASE WHEN doc_id % 2 = 0 THEN 'Part' END AS heading, CASE WHEN doc_id % 3 = 0 THEN lang END AS alias FROM documents")
+@query("""WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text || ' [[note' || (doc_id % 7) || CASE WHEN doc_id % 2 = 0 THEN '#Part' ELSE '^b1' END || CASE WHEN doc_id % 3 = 0 THEN '|' || lang ELSE '' END || ']] y', '\\[\\[([^\\]\\n]+)\\]\\]', 1)) AS l FROM documents),
+    p AS (SELECT doc_id, string_split(l, '|')[1] AS t, CASE WHEN contains(l, '|') THEN regexp_replace(l, '^[^|]*[|]', '') END AS alias FROM l)
+    SELECT doc_id, string_split(string_split(t, '#')[1], '^')[1] AS path, string_split(t, '#')[2] AS heading, string_split(t, '^')[2] AS block, alias FROM p""")
 def links_split(spark, d):
+    """The links of each whole text, one put behind it."""
     doc = table(spark, d, "documents")
-    text_ = F.concat(F.lit("x [[note"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, "#Part").otherwise(""), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("|"), "lang")).otherwise(""), F.lit("]] y"))
-    return doc.select("doc_id", F.explode(C.links(text_)).alias("l")).select("doc_id", "l.path", "l.heading", "l.alias")
+    more = F.concat(F.lit(" [[note"), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, "#Part").otherwise("^b1"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("|"), "lang")).otherwise(""), F.lit("]] y"))
+    return doc.select("doc_id", F.explode(C.links(F.concat("text", more))).alias("l")).select("doc_id", "l.path", "l.heading", "l.block", "l.alias")
 
 
-@query("SELECT doc_id, lower(lang) || '/a-b' AS tag FROM documents")
+@query("""SELECT doc_id, unnest(regexp_extract_all(text || ' x#no [#no (#' || upper(lang) || '/a-b)', '(?:^|[^\\pL\\pN_/\\[])#([^\\s#.,;:!?()\\[\\]{}]+)', 1)) AS tag FROM documents""")
 def tags_extract(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.explode(C.tags(F.concat(F.lit("é#no [#no (#"), F.upper("lang"), F.lit("/a-b)")))).alias("tag"))
+    """The tags of each whole text, some put behind it."""
+    return table(spark, d, "documents").select("doc_id", F.explode(C.tags(F.concat("text", F.lit(" x#no [#no (#"), F.upper("lang"), F.lit("/a-b)")))).alias("tag"))
 
 
 # --- data quality --------------------------------------------------------------

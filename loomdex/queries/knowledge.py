@@ -14,14 +14,14 @@ from ..operators import writers as W
 from . import query
 from .model import CHUNKS, chunks, table
 
-_EDGES = """edges_m AS (SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 'sn' || s_suppkey AS edge_id, 'LOCATED' AS predicate FROM supplier WHERE s_suppkey <= 30
+_EDGES = """edges_m AS (SELECT 's' || s_suppkey AS source_id, 'n' || s_nationkey AS target_id, 'sn' || s_suppkey AS edge_id, 'LOCATED' AS predicate FROM supplier
     UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'nr' || n_nationkey, 'PART_OF' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 'rr' || r_regionkey, 'SAME' FROM region)"""
 _STEPS = _EDGES + ", steps AS (SELECT source_id AS a, target_id AS b, edge_id, predicate FROM edges_m UNION ALL SELECT target_id, source_id, edge_id, predicate FROM edges_m WHERE source_id <> target_id)"
 
 
-def _edges(spark, d, suppliers="s_suppkey <= 30"):
+def _edges(spark, d):
     c = lambda p, x: F.concat(F.lit(p), F.col(x).cast("string"))
-    s = table(spark, d, "supplier").where(suppliers).select(c("s", "s_suppkey").alias("source_id"), c("n", "s_nationkey").alias("target_id"), c("sn", "s_suppkey").alias("edge_id"), F.lit("LOCATED").alias("predicate"))
+    s = table(spark, d, "supplier").select(c("s", "s_suppkey").alias("source_id"), c("n", "s_nationkey").alias("target_id"), c("sn", "s_suppkey").alias("edge_id"), F.lit("LOCATED").alias("predicate"))
     n = table(spark, d, "nation").select(c("n", "n_nationkey").alias("source_id"), c("r", "n_regionkey").alias("target_id"), c("nr", "n_nationkey").alias("edge_id"), F.lit("PART_OF").alias("predicate"))
     r = table(spark, d, "region").select(c("r", "r_regionkey").alias("source_id"), c("r", "r_regionkey").alias("target_id"), c("rr", "r_regionkey").alias("edge_id"), F.lit("SAME").alias("predicate"))
     return s.unionByName(n).unionByName(r)
@@ -66,7 +66,7 @@ def graph_snapshot_counts(spark, d):
 
 @query()
 def graph_fingerprint(spark, d):
-    return G.fingerprint(_edges(spark, d, "true"))
+    return G.fingerprint(_edges(spark, d))
 
 
 @query("SELECT item_id, count(*) AS n_documents FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1")

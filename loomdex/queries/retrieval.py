@@ -141,11 +141,10 @@ def section_context(spark, d):
     return R.section_context(_seeds(spark, d), chunks(spark, d)).select("chunk_id")
 
 
-@query(f"""WITH {CHUNKS}, few AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY section_id, ordinal) AS n FROM chunks_m WHERE section_id < 12),
+@query(f"""WITH {CHUNKS}, few AS (SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY section_id, ordinal) AS n FROM chunks_m),
     cum AS (SELECT chunk_id, sum(length(text)) OVER (ORDER BY section_id, ordinal) AS s FROM few WHERE n <= 5) SELECT chunk_id FROM cum WHERE s <= 6000""")
 def document_context_budget(spark, d):
-    rows = chunks(spark, d).where("section_id < 12")
-    return R.budget(rows, ["section_id", "ordinal"], 6000, 5, "section_id").select("chunk_id")
+    return R.budget(chunks(spark, d), ["section_id", "ordinal"], 6000, 5, "section_id").select("chunk_id")
 
 
 @query("SELECT page_id FROM pages WHERE regexp_matches(regexp_replace(lower(regexp_extract(url || '/' || CASE page_id % 4 WHEN 0 THEN 'index.md' WHEN 1 THEN 'my-index.md' WHEN 2 THEN 'reindex.md' ELSE 'a_index' END, '[^/]*$')), '[.][^.]*$', ''), '(^|[-_])index$')")

@@ -138,7 +138,7 @@ def test_links_and_tags_as_columns(spark):
     df = spark.createDataFrame([("![[a#^b1]] [[c|d]] #Tag x#no [#no",)], "t string")
     got = df.select(chunk.links(F.col("t")).alias("l"), chunk.tags(F.col("t")).alias("g")).first()
     assert [(x.embed, x.path, x.heading, x.block, x.alias) for x in got.l] == [(True, "a", None, "b1", None), (False, "c", None, None, "d")]
-    assert got.g == ["tag"]
+    assert got.g == ["Tag"]
 
 
 def test_rrf_prefers_agreement(spark):
