@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts
+
 
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col, pos, char_start, char_end, line`` of every line, empty ones included."""
-    lines = docs.select(id_col, *keep, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    past = F.sum(F.length("line") + 1).over(Window.partitionBy(id_col).orderBy("pos"))
-    return lines.withColumn("char_end", (past - 1).cast("long")).withColumn("char_start", F.col("char_end") - F.length("line"))
+    """``id_col, pos, char_start, char_end, line`` of every line, empty ones included. In the row: no shuffle, and
+    rows that share an id have their own offsets."""
+    lines = docs.select(id_col, *keep, F.split(text_col, "\n").alias("_lines"))
+    at = F.expr(starts("transform(_lines, x -> length(x) + 1)"))
+    rows = lines.select(id_col, *keep, F.posexplode(F.arrays_zip(at.alias("at"), F.col("_lines").alias("line"))).alias("pos", "_x"))
+    begin = F.col("_x.at").cast("long")
+    return rows.select(id_col, *keep, "pos", F.col("_x.line").alias("line"), (begin + F.length("_x.line")).alias("char_end"), begin.alias("char_start"))
 
 
 def line_kind(line: Column) -> Column:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions import ids, text
-from loomdex.operators import chunk, evaluate, extract, gates, graph, parse, scan, search, state
+from loomdex.operators import answers, chunk, evaluate, extract, gates, graph, parse, scan, search, state
 from loomdex.operators import lifecycle as L
 from loomdex.operators import ontology as O
 from loomdex.operators import views as V
@@ -348,3 +348,19 @@ def test_probe():
 def test_snapshots_have_a_most(spark):
     with pytest.raises(ValueError, match="more than 3 objects"):
         graph.canonical_hash(spark.range(2), spark.range(2), 3)
+
+
+def test_line_spans_of_repeated_ids_and_many_lines(spark):
+    texts = ["a\nbb\n", "", "\n".join("x" * (i % 7) for i in range(2000))]
+    docs = spark.createDataFrame([(1, t) for t in texts] + [(2, None)], "doc_id long, text string")
+    want = sorted((1, i, sum(len(x) + 1 for x in t.split("\n")[:i]), x) for t in texts for i, x in enumerate(t.split("\n")))
+    got = chunk.line_spans(docs)
+    assert sorted((r.doc_id, r.pos, r.char_start, r.line) for r in got.collect()) == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_case_checks(spark):
+    rows_ = [("graph", "graph", ["a"], ["b", "a"], ["CMTS uses"], ["The cmts uses it"], 2, 2, 2, []), ("graph", "hybrid", ["a"], ["b", "c", "a"], None, [], 3, 2, 2, ["w"])]
+    df = spark.createDataFrame(rows_, "expected_type string, got_type string, expected_sources array<string>, got_sources array<string>, expected_claims array<string>, got_claims array<string>, expected_hops int, got_hops int, limit int, warnings array<string>")
+    got = answers.case_checks(df).first().asDict()
+    assert got == {"query_type": 0.5, "sources": 1.0, "claims": 1.0, "hops": 0.5, "rank": 0.5, "no_warnings": 0.5, "accepted": 0.5}
