@@ -15,6 +15,7 @@ from re import _parser as regex_parser  # the standard library's parse tree
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import starts
 from ._common import settle
 
 # The base rules, by kind in the order in which spans of one start are listed.
@@ -97,8 +98,6 @@ def trigram_query(pattern: str) -> list[list[str]]:
 
 #: Candidate rows that are sent to every task (a row's key and its rules); more are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Lengths that are summed up in one fold; a fold copies what it has so far at each step.
-_BLOCK = 256
 _SPANS = "array<struct<start:int,nth:int,kind:string,end:int>>"
 
 
@@ -125,22 +124,12 @@ def candidates(index: DataFrame, queries: dict[str, list[list[str]]]) -> DataFra
     return held.select("key", found.alias("kinds")).where("size(kinds) > 0")
 
 
-def _starts(sizes: str) -> str:
-    """SQL for the running sums before each element of an array of integers, folded in blocks so that long ones stay linear."""
-    fold = "aggregate({x}, named_struct('at', {at}, 'out', cast(array() as array<int>)), (s, n) -> named_struct('at', s.at + n, 'out', concat(s.out, array(s.at))), s -> s.out)"
-    block = f"slice(sizes, b * {_BLOCK} + 1, {_BLOCK})"
-    blocks = f"sequence(0, (size(sizes) - 1) div {_BLOCK})"
-    sums = f"transform({blocks}, b -> aggregate({block}, 0, (s, n) -> s + n))"
-    inner = f"transform(array({fold.format(x=sums, at='0')}), before -> flatten(transform({blocks}, b -> {fold.format(x=block, at='before[b]')})))[0]"
-    return f"transform(array({sizes}), sizes -> if(size(sizes) = 0, cast(array() as array<int>), {inner}))[0]"
-
-
 def _matches(text: str, kind: str, nth: int, pattern: str, group: int, least: int) -> str:
     """SQL for the kept spans of a rule in a text, by gaps and hits of consecutive matches."""
     whole = re.sub(r"[\\']", lambda m: "\\" + m[0], rf"\G(?s:(.*?))({pattern})")  # \G: no new try behind the last match
     part = lambda i: f"transform(regexp_extract_all({text}, '{whole}', {i}), x -> length(x))"
     tested, size = (f", {part(2 + group)}", "`3`") if group else ("", "hit")
-    spans = f"""transform(filter(arrays_zip({_starts("zip_with(gap, hit, (x, y) -> x + y)")}, gap, hit{tested}), x -> x.{size} >= {least}),
+    spans = f"""transform(filter(arrays_zip({starts("zip_with(gap, hit, (x, y) -> x + y)")}, gap, hit{tested}), x -> x.{size} >= {least}),
         x -> named_struct('start', x.`0` + x.gap, 'nth', {nth}, 'kind', '{kind}', 'end', x.`0` + x.gap + x.hit))"""
     return f"flatten(transform(array({part(1)}), gap -> flatten(transform(array({part(2)}), hit -> {spans}))))"
 
