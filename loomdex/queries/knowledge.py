@@ -64,7 +64,8 @@ def graph_snapshot_counts(spark, d):
     return n.groupBy("label").agg(F.count("*").alias("n")).unionByName(e.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")))
 
 
-@query()
+@query(f"""WITH {_EDGES}, h AS (SELECT sha256('{{"edge_id":"' || edge_id || '","predicate":"' || predicate || '","source_id":"' || source_id || '","target_id":"' || target_id || '"}}')[1:15] AS h FROM edges_m)
+    SELECT count(*) AS n_objects, sum(list_sum(list_transform(range(1, 16), lambda i: (instr('0123456789abcdef', h[i]) - 1)::HUGEINT * (16::HUGEINT ** (15 - i))::HUGEINT)))::HUGEINT::VARCHAR AS digest FROM h""")
 def graph_fingerprint(spark, d):
     return G.fingerprint(_edges(spark, d))
 

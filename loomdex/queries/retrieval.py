@@ -48,9 +48,11 @@ def keyword_fallback_and(spark, d):
     return R.keyword_topk(chunks(spark, d), "the and", 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH {CHUNKS}, t AS (SELECT chunk_id, {_TOKENS} AS t FROM chunks_m), f AS (SELECT chunk_id, len(t) AS n, unnest([{_WORDS}]) AS w, t FROM t), c AS (SELECT chunk_id, n, w, len(list_filter(t, lambda x: x = w)) AS f FROM f),
+    s AS (SELECT count(*)::DOUBLE AS n_all, avg(len(t)) AS mean FROM t), i AS (SELECT w, ln(1 + (any_value(n_all) - count(*) FILTER (f > 0) + 0.5) / (count(*) FILTER (f > 0) + 0.5)) AS idf FROM c, s GROUP BY w)
+    SELECT chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score FROM c JOIN i USING (w), s GROUP BY 1 HAVING score > 0 ORDER BY sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean))) DESC, chunk_id LIMIT 20""")
 def keyword_bm25(spark, d):
-    return R.bm25_topk(chunks(spark, d), QUESTION, 20)
+    return R.bm25_topk(chunks(spark, d), QUESTION, 20).withColumn("score", F.round("score", 6))
 
 
 _COSINE = "round(list_cosine_similarity(embedding::DOUBLE[], q), 6)"
