@@ -340,20 +340,22 @@ def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_words: int = 8_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write whole texts' ids, each followed by ``end_id``, as token files in ascending id order.
 
-    Each file holds a range of ids; rows of one id stay together, ordered by text hash. Null
-    ids come first, null and empty texts have their end id alone. One shuffle of the text.
+    Each file holds a range of ids and, within an id, of text hashes, so that an id with many
+    rows fills several files. Null ids come first, null and empty texts have their end id
+    alone. One shuffle of the text.
     """
     n = max(1, -(-total_words(docs, text_col) // file_words))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._tokens import Encoder, with_end
 
         coder = Encoder.at(tokenizer)
-        names, null, counts, ids = [], [], [], []
-        for batch in slices(batches, 1):
-            i, c = with_end(*coder.encode(batch.column(1)), end_id)
+        names, null, counts, ids, first = [], [], [], [], None
+        for batch in slices(batches, 2):
+            first = first or (batch.column(0)[0].as_py(), batch.column(1)[0].as_py())
+            i, c = with_end(*coder.encode(batch.column(2)), end_id)
             names.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
             null.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
             counts.append(c)
@@ -361,10 +363,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, f
         if sum(map(len, names)):
             names, null, counts, ids = (np.concatenate(x) for x in (names, null, counts, ids))
             data = pack_file(names, null, counts, ids)
-            first = None if null[0] else int(names[0])
-            yield pa.record_batch([pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["first_id", "n_ids", "data"])
+            yield pa.record_batch([pa.array([first[0]], pa.int64()), pa.array([first[1]], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["first_id", "first_hash", "n_ids", "data"])
 
-    rows.mapInArrow(write, "first_id long, n_ids long, data binary").write.parquet(path)
+    rows.mapInArrow(write, "first_id long, first_hash long, n_ids long, data binary").write.parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -377,22 +378,22 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for first, nth, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 names, null, counts, ids = unpack_file(data.as_py())
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 for i in range(0, len(counts), 2048):
                     j = min(i + 2048, len(counts))
                     part = ids[ends[i] : ends[j]].astype("<u4")
                     held = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(((ends[i : j + 1] - ends[i]) * 4).astype(np.int32)), pa.py_buffer(part)])
-                    yield pa.record_batch([pa.array([first] * (j - i), pa.int64()), pa.array(names[i:j], pa.int64(), mask=null[i:j]), pa.array(ends[i:j]), pa.array(counts[i:j]), held], names=["first_id", "doc_id", "within", "n_tokens", "ids"])
+                    yield pa.record_batch([pa.array([first] * (j - i), pa.int64()), pa.array([nth] * (j - i), pa.int64()), pa.array(names[i:j], pa.int64(), mask=null[i:j]), pa.array(ends[i:j]), pa.array(counts[i:j]), held], names=["first_id", "first_hash", "doc_id", "within", "n_tokens", "ids"])
 
     files = spark.read.parquet(path)
-    before = Window.orderBy(F.asc_nulls_first("first_id")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select(F.col("first_id").alias("file"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
+    before = Window.orderBy(F.asc_nulls_first("first_id"), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select(F.col("first_id").alias("file"), F.col("first_hash").alias("nth"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
     if files.count() <= MOST_BROADCAST:
         starts = F.broadcast(starts)
-    rows = files.select("first_id", "data").mapInArrow(read, "first_id long, doc_id long, within long, n_tokens long, ids binary")
-    return rows.join(starts, rows.first_id.eqNullSafe(starts.file)).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
+    rows = files.select("first_id", "first_hash", "data").mapInArrow(read, "first_id long, first_hash long, doc_id long, within long, n_tokens long, ids binary")
+    return rows.join(starts, rows.first_id.eqNullSafe(starts.file) & (rows.first_hash == starts.nth)).select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids")
 
 
 def scratch(spark: SparkSession) -> str:

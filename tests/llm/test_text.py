@@ -134,6 +134,15 @@ def test_token_files_read_back(spark, tmp_path, file_words):
         start += r.n_tokens
 
 
+def test_a_hot_id_fills_several_files(spark, tmp_path):
+    rows = [(7, f"text number {i} " + "word " * 40, None, None, None) for i in range(60)] + [(None, f"nameless {i} " + "word " * 40, None, None, None) for i in range(60)]
+    token_files.write_token_files(cases.frame(spark, rows), f"{tmp_path}/t", queries.tokenizer("word_bpe_49k.json"), 1, 500)
+    assert spark.read.parquet(f"{tmp_path}/t").count() > 4
+    got = sorted(token_files.read_token_files(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 60 + [7] * 60 and len({bytes(r.ids) for r in got}) == 120
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got)])[:-1].tolist()
+
+
 def test_token_files_of_nothing(spark, tmp_path):
     token_files.write_token_files(cases.frame(spark, []), f"{tmp_path}/t", queries.tokenizer("word_bpe_49k.json"), 1)
     assert token_files.read_token_files(spark, f"{tmp_path}/t").count() == 0
