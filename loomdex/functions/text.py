@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,6 +31,31 @@ def query_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(tokens(query), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS)))
 
 
+def terms_of(query: str) -> list[str]:
+    """A single query's terms, on the driver."""
+    return [t for t in dict.fromkeys(_found(query)) if len(t) > 1 and t not in STOP_WORDS]
+
+
+def groups_of(query: str) -> list[list[str]]:
+    """What a lexical query asks for, as a disjunction of groups: any of its terms, or, where it has none,
+    all of its tokens; ``or`` between tokens separates groups there."""
+    words = terms_of(query)
+    if words:
+        return [[t] for t in words]
+    groups: list[list[str]] = [[]]
+    found = _found(query)
+    for i, t in enumerate(found):
+        if t == "or" and groups[-1] and i + 1 < len(found):
+            groups.append([])
+        elif t not in groups[-1]:
+            groups[-1].append(t)
+    return [g for g in groups if g]
+
+
+def _found(query: str) -> list[str]:
+    return re.findall(TERM, query.lower().replace("ß", "ss"))
+
+
 def provenance_uri(prefix: Column, path: Column, start: Column, end: Column) -> Column:
     """``prefix/quoted path#chars=start,end``; slashes stay, spaces are %20."""
     quoted = F.replace(F.replace(F.url_encode(path), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .search import budget, is_navigation
+from .spans import within
 
 
 def single_document(hits: DataFrame, document: str = "document_id") -> DataFrame:
@@ -25,10 +26,10 @@ def expand_anchor(ranked: DataFrame, chunks: DataFrame) -> tuple[DataFrame, Data
 def document_context(seeds: DataFrame, chunks: DataFrame, most_chunks: int = 32, most_chars: int = 30_000) -> DataFrame:
     """Chunks inside the seeds' section spans if the seeds lie in one document, within the budget.
 
-    Spans are (document_id, span_start, span_end); the join has the document as its key.
+    Spans are (document_id, span_start, span_end).
     """
-    s = seeds.join(F.broadcast(single_document(seeds)), "document_id", "left_semi").select(F.col("document_id").alias("_d"), "span_start", "span_end").distinct()
-    held = chunks.join(s, (F.col("document_id") == F.col("_d")) & (F.col("char_start") >= F.col("span_start")) & (F.col("char_end") <= F.col("span_end")))
+    s = seeds.join(F.broadcast(single_document(seeds)), "document_id", "left_semi").select("document_id", "span_start", "span_end").distinct()
+    held = within(chunks, s, "document_id")
     rows = held.where("role = 'content_evidence'").select(*chunks.columns).distinct()
     return budget(rows, ["document_id", "ordinal", "chunk_id"], most_chars, most_chunks)
 

@@ -1,4 +1,4 @@
-"""Line spans, structural chunks and span joins. Spans are half-open code-point offsets."""
+"""Line spans, structural chunks, links and tags. Spans are half-open code-point offsets."""
 
 from __future__ import annotations
 
@@ -76,18 +76,6 @@ def hard_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return docs.select(id_col, text_col).mapInArrow(split, f"{id_col} {dict(docs.dtypes)[id_col]}, char_start long, char_end long")
 
 
-def inside(points: DataFrame, spans: DataFrame, key: str, point: str, how: str = "inner") -> DataFrame:
-    """Points joined to the spans (char_start <= point < char_end) of the same ``key``."""
-    fits = (points[key] == spans[key]) & (points[point] >= spans["char_start"]) & (points[point] < spans["char_end"])
-    return points.join(spans, fits, how).drop(spans[key])
-
-
-def first_inside(points: DataFrame, spans: DataFrame, key: str, point: str, span_id: str, order: str) -> DataFrame:
-    """Each point (a row with ``key`` and ``point``) with the first span that holds it, or null."""
-    held = inside(points, spans, key, point, "left")
-    return held.groupBy(*points.columns).agg(F.min_by(span_id, order).alias(span_id))
-
-
 def role(kinds: Column) -> Column:
     """A chunk of headings and rules only is an anchor for structure, not evidence."""
     return F.when(F.forall(kinds, lambda k: k.isin("heading", "thematic_break")), "structural_anchor").otherwise("content_evidence")

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 
 def occurrences(text: Column, quote: Column) -> Column:
     """1-based code-point positions of all occurrences, overlapping ones too.
@@ -82,42 +84,77 @@ def review_pairs(entities: DataFrame, most: int = 20) -> DataFrame:
     return rows.join(offers, ["block", "name", "n"]).select(F.col("entity_id").alias("left_id"), "right_id")
 
 
+#: Rounds in which candidates are decided by key before what is left is folded cluster by cluster, and candidates of a cluster so folded at the most.
+ROUNDS, FOLDED = 6, 200_000
+
+
 def resolve(candidates: DataFrame) -> DataFrame:
     """Decisions (candidate_id, decision, entity_id) of candidates (block, seq, candidate_id, keys).
 
     In the order of ``seq``: no known key creates an entity, keys of one entity merge into it,
     keys of several defer. A candidate that bridges entities isn't merged, so this isn't a
-    connected-components problem; candidates that share no key, even through others, don't
-    affect one another, so each such cluster is folded for itself.
+    connected-components problem. A key belongs to the entity of its first candidate that isn't
+    deferred; a candidate can be decided once each of its keys has an owner, or all of the
+    key's earlier candidates are decided. All such candidates are decided together in a
+    round, so a key that a third of all candidates share takes two. Chains would take many:
+    after ROUNDS, clusters of up to FOLDED undecided candidates that share keys without an owner are folded each
+    in a task, and larger ones go on in rounds.
     """
-    links = candidates.select("block", "candidate_id", F.explode_outer("keys").alias("key"))
-    cluster = _clusters(links)
-    rows = candidates.join(cluster, ["block", "candidate_id"]).select("block", "cluster", "seq", "candidate_id", "keys")
-
-    def fold(group: pa.Table) -> pa.Table:
-        known: dict[str, str] = {}
-        out = []
-        for r in sorted(group.select(["seq", "candidate_id", "keys"]).to_pylist(), key=lambda r: (r["seq"], r["candidate_id"])):
-            met = {known[k] for k in r["keys"] or [] if k in known}
-            decision = ("create", "merge")[len(met)] if len(met) < 2 else "defer"
-            entity = r["candidate_id"] if decision == "create" else next(iter(met)) if decision == "merge" else None
-            if entity is not None:
-                for k in r["keys"] or []:
-                    known.setdefault(k, entity)
-            out.append((r["candidate_id"], decision, entity))
-        ids, decisions, entities = zip(*out)
-        return pa.table({"candidate_id": pa.array(ids, pa.string()), "decision": pa.array(decisions, pa.string()), "entity_id": pa.array(entities, pa.string())})
-
-    return rows.groupBy("block", "cluster").applyInArrow(fold, "candidate_id string, decision string, entity_id string")
+    rows = settle(candidates.select("block", F.struct("seq", "candidate_id").alias("at"), F.array_distinct(F.array_compact(F.coalesce("keys", F.array().cast("array<string>")))).alias("keys")))
+    new = F.col("at.candidate_id")
+    done = [rows.where("size(keys) = 0").select(new.alias("candidate_id"), F.lit("create").alias("decision"), new.alias("entity_id"))]
+    left = settle(rows.select("block", "at", F.explode("keys").alias("key"), F.lit(None).cast("string").alias("owner")))
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        first = left.where("owner IS NULL").groupBy("block", "key").agg(F.min("at").alias("first"))
+        ready = F.bool_and(F.col("owner").isNotNull() | (F.col("first") == F.col("at")))
+        each = left.join(first, ["block", "key"], "left").groupBy("block", "at").agg(ready.alias("ready"), F.collect_set("owner").alias("met"))
+        decided = each.where("ready").select("block", "at", F.when(F.size("met") == 0, "create").when(F.size("met") == 1, "merge").otherwise("defer").alias("decision"), F.when(F.size("met") == 0, new).when(F.size("met") == 1, F.col("met")[0]).alias("entity_id"))
+        decided = settle(decided)
+        done.append(decided.select(new.alias("candidate_id"), "decision", "entity_id"))
+        owned = left.where("owner IS NULL").join(decided.where("entity_id IS NOT NULL"), ["block", "at"]).select("block", "key", F.col("entity_id").alias("_owner"))
+        left = left.join(decided.select("block", "at"), ["block", "at"], "left_anti").join(owned, ["block", "key"], "left")
+        left = settle(left.select("block", "at", "key", F.coalesce("owner", "_owner").alias("owner")))
+        if turn % ROUNDS == 0 and not left.isEmpty():
+            links = left.select("block", F.to_json("at").alias("candidate_id"), F.when(F.col("owner").isNull(), F.col("key")).alias("key"))
+            cluster = _clusters(links).select("block", F.col("candidate_id").alias("_id"), "cluster")
+            named = left.withColumn("_id", F.to_json("at")).join(cluster, ["block", "_id"]).drop("_id")
+            small = settle(named.groupBy("block", "cluster").agg(F.count_distinct("at").alias("n")).where(F.col("n") <= FOLDED).select("block", "cluster"))
+            done.append(settle(named.join(small, ["block", "cluster"], "left_semi").groupBy("block", "cluster").applyInArrow(_fold, "candidate_id string, decision string, entity_id string")))
+            left = settle(named.join(small, ["block", "cluster"], "left_anti").drop("cluster"))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _fold(group: pa.Table) -> pa.Table:
+    """One cluster's candidates (at, key, owner) decided one after the other."""
+    held: dict[tuple, list] = {}
+    for r in group.select(["at", "key", "owner"]).to_pylist():
+        held.setdefault((r["at"]["seq"], r["at"]["candidate_id"]), []).append((r["key"], r["owner"]))
+    known: dict[str, str] = {}
+    out = []
+    for (_, candidate), keys in sorted(held.items()):
+        met = {owner or known.get(key) for key, owner in keys} - {None}
+        decision = ("create", "merge")[len(met)] if len(met) < 2 else "defer"
+        entity = candidate if decision == "create" else next(iter(met)) if decision == "merge" else None
+        if entity is not None:
+            for key, owner in keys:
+                if owner is None:
+                    known.setdefault(key, entity)
+        out.append((candidate, decision, entity))
+    return pa.table({n: pa.array(c, pa.string()) for n, c in zip(("candidate_id", "decision", "entity_id"), zip(*out))})
 
 
 def _clusters(links: DataFrame) -> DataFrame:
     """Candidates joined through shared keys: connected components of candidates and keys, by alternating
     large and small stars, so that a long chain takes few rounds and a hub's neighbours aren't gathered."""
     name = F.xxhash64
-    nodes = cut(links.select("block", "candidate_id").distinct().withColumn("node", name("block", "candidate_id")))
+    nodes = settle(links.select("block", "candidate_id").distinct().withColumn("node", name("block", "candidate_id")))
     at = links.where("key IS NOT NULL").select(name("block", "candidate_id").alias("a"), name(F.lit("key"), "block", "key").alias("b"))
-    e = cut(at.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = settle(at.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
     while (now := tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != state:
         state = now
@@ -126,15 +163,6 @@ def _clusters(links: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        e = cut(small.where("u <> v").distinct())
+        e = settle(small.where("u <> v").distinct())
     found = nodes.join(e, nodes.node == e.u, "left")
     return found.select("block", "candidate_id", F.coalesce("v", "node").alias("cluster"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in spark.checkpoint.dir (the warehouse where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    return df.checkpoint(eager=True)

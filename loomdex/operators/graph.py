@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import casefold
+from .lineage import settle
 from .ontology import check_codes
 
 MOST_HOPS, MOST_PATHS, MOST_OBJECTS = 4, 50, 20_000
@@ -74,15 +75,67 @@ def trails(edges: DataFrame, seeds: DataFrame, hops: int, predicates: list[str]
     return found
 
 
+def _longer(at: DataFrame, steps: DataFrame) -> DataFrame:
+    """Trails of one step more, over edges that they don't have yet."""
+    at = at.join(steps, F.element_at("nodes", -1) == F.col("a")).where(~F.array_contains("edges", F.col("edge_id")))
+    return at.select(F.concat("nodes", F.array("b")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges"))
+
+
 def bounded_paths(edges: DataFrame, source: str, target: str, hops: int = MOST_HOPS, most: int = MOST_PATHS, predicates: list[str] | None = None) -> DataFrame:
-    """Shortest first, then by edges; one more than ``most`` shows that there are more."""
-    seed = edges.sparkSession.createDataFrame([(source,)], "id string")
-    return trails(edges, seed, hops, predicates).where(F.element_at("nodes", -1) == target).orderBy("hops", "edges").limit(most + 1)
+    """Shortest first, then by edges; one more than ``most`` shows that there are more.
+
+    Trails meet in the middle: those of half the length from either end are joined on the node
+    where they end, if they have no edge in common, so each path is made once and no trail
+    is followed beyond half its length. Lengths are tried in order; longer ones that the
+    limit doesn't need aren't looked at.
+    """
+    if not 1 <= hops <= MOST_HOPS:
+        raise ValueError(f"hops must be 1 to {MOST_HOPS}")
+    spark = edges.sparkSession
+    steps = both_ways(edges if predicates is None else edges.where(F.col("predicate").isin(*predicates)))
+    ends = [[spark.createDataFrame([([x], [])], "nodes array<string>, edges array<string>")] for x in (source, target)]
+    found = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long")
+    for n in range(1, hops + 1):
+        for side, half in zip(ends, ((n + 1) // 2, n // 2)):
+            while len(side) <= half:
+                side.append(settle(_longer(side[-1], steps)))
+        there, back = ends[0][(n + 1) // 2], ends[1][n // 2]
+        meet = back.select(F.element_at("nodes", -1).alias("_middle"), F.col("nodes").alias("_nodes"), F.col("edges").alias("_edges"))
+        level = there.join(meet, F.element_at("nodes", -1) == F.col("_middle")).where(~F.arrays_overlap("edges", "_edges"))
+        rest = F.slice(F.reverse("_nodes"), 2, MOST_HOPS)
+        level = level.select(F.concat("nodes", rest).alias("nodes"), F.concat("edges", F.reverse("_edges")).alias("edges"), F.lit(n).cast("long").alias("hops"))
+        found = settle(found.unionByName(level.orderBy("edges").limit(most + 1)))
+        if found.count() > most:
+            break
+    return found.orderBy("hops", "edges").limit(most + 1)
 
 
 def expand(edges: DataFrame, seeds: DataFrame, hops: int, most: int = MOST_PATHS, predicates: list[str] | None = None) -> DataFrame:
-    """Trails from seeds to other nodes, by hops, nodes and edges."""
-    found = trails(edges, seeds, hops, predicates).where(F.element_at("nodes", -1) != F.element_at("nodes", 1))
+    """The first ``most`` trails from seeds (id) to other nodes, by hops, nodes and edges.
+
+    Hops come first in that order, so levels beyond the one that fills the limit aren't
+    made. In a level every trail that can go on to another node gives a result at least, so
+    if ``most`` of them or more come first by nodes, those behind can't contribute.
+    """
+    if not 1 <= hops <= MOST_HOPS:
+        raise ValueError(f"hops must be 1 to {MOST_HOPS}")
+    steps = both_ways(edges if predicates is None else edges.where(F.col("predicate").isin(*predicates)))
+    other = F.element_at("nodes", -1) != F.element_at("nodes", 1)
+    at = settle(seeds.select(F.array("id").alias("nodes"), F.array().cast("array<string>").alias("edges")).distinct())
+    found = edges.sparkSession.createDataFrame([], "nodes array<string>, edges array<string>, hops long")
+    for n in range(1, hops + 1):
+        left = most - found.count()
+        if left <= 0:
+            break
+        goes_on = (F.element_at("nodes", -1) == F.col("a")) & ~F.array_contains("edges", F.col("edge_id")) & (F.col("b") != F.element_at("nodes", 1))
+        first = at.join(steps, goes_on, "left_semi").select("nodes").orderBy("nodes").limit(left).collect()
+        level = _longer(at.where(F.col("nodes") <= F.lit(first[-1].nodes)) if len(first) == left else at, steps)
+        best = level.where(other).orderBy("nodes", "edges").limit(left).withColumn("hops", F.lit(n).cast("long"))
+        found = settle(found.unionByName(best))
+        if n < hops and len(first) < left and found.count() < most:
+            at = settle(level)
+        elif n < hops and found.count() < most:
+            at = settle(_longer(at, steps))
     return found.orderBy("hops", "nodes", "edges").limit(most)
 
 

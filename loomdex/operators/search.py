@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import casefold
-from ..functions.text import STOP_WORDS, TERM, tokens
+from ..functions.text import TERM, groups_of, terms_of, tokens
+from .postings import covers
 
 # Substrings that mark a question about relationships; a query's token pattern.
 GRAPH_CUES = ("kapcsol", "kommunik", "használ", "függ", "között", "útvonal", "keresztül", "elér", "tartoz", "connect", "communicat", "depend", "between", "path", "through", "uses")
@@ -18,55 +20,27 @@ CHANNELS = ("claim", "entity", "graph", "keyword", "semantic")
 RRF_K = 60
 
 
-def terms_of(query: str) -> list[str]:
-    """A single query's terms, on the driver."""
-    return [t for t in dict.fromkeys(re.findall(TERM, query.lower().replace("ß", "ss"))) if len(t) > 1 and t not in STOP_WORDS]
-
-
 def keyword_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """Chunks with any of the query's terms by 0.1 times their matching positions, then by id.
+    """Chunks with any of the query's terms by 0.1 times their occurrences, then by id.
 
-    A query without terms asks for all of its raw words. Top-k is a per-partition heap and
+    A query without terms asks for all of its tokens and ranks by minimal covers; see
+    ``postings``, which gives the same hits from an index. Top-k is a per-partition heap and
     one merge of k rows from each; text stays out of it.
     """
-    words = terms_of(query)
-    every = not words
-    words = words or query.lower().split()
-    if not words:
+    groups = groups_of(query)
+    if not groups:
         return chunks.select(id_col, F.lit(0.0).alias("score")).limit(0)
     # a term is a token where no token character stands beside it, so no array of tokens is made
     edge = TERM.rstrip("+")
     whole = lambda some: f"(?<!{edge})(?:{'|'.join(map(re.escape, some))})(?!{edge})"
     rows = chunks.select(id_col, casefold(F.col(text_col)).alias("t"))
-    if every:
-        for w in words:
-            rows = rows.where(F.col("t").rlike(whole([w])) if re.fullmatch(TERM, w) else F.lit(False))
-    rows = rows.select(id_col, F.regexp_count("t", F.lit(whole(words))).alias("n")).where("n > 0")
-    return rows.select(id_col, (F.col("n") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
-
-
-def postings(chunks: DataFrame, buckets: int, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """``bucket, term, id_col, n``: how often each term stands in each chunk; a term's rows share a bucket."""
-    words = chunks.select(id_col, F.explode(tokens(F.col(text_col))).alias("term"))
-    return words.groupBy("term", id_col).agg(F.count("*").alias("n")).select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", id_col, "n")
-
-
-def write_postings(chunks: DataFrame, path: str, buckets: int = 256, id_col: str = "chunk_id", text_col: str = "text") -> None:
-    """Postings as Parquet in folders of a bucket each, sorted by term, so that a query reads its own terms' row groups."""
-    rows = postings(chunks, buckets, id_col, text_col)
-    rows.repartition("bucket", F.pmod(F.xxhash64(id_col), F.lit(8))).sortWithinPartitions("bucket", "term", id_col).write.partitionBy("bucket").parquet(path)
-
-
-def keyword_from_postings(index: DataFrame, query: str, k: int, buckets: int = 256, id_col: str = "chunk_id") -> DataFrame:
-    """``keyword_topk`` from postings: only the query's terms are read, whatever the corpus holds."""
-    words = terms_of(query)
-    every = not words
-    words = words or [w for w in dict.fromkeys(query.lower().split())]
-    home = index.sparkSession.range(1).select(F.transform(F.array(*map(F.lit, words)).cast("array<string>"), lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int")).alias("b")).first().b
-    rows = index.where(F.col("bucket").isin(sorted(set(home))) & F.col("term").isin(words))
-    found = rows.groupBy(id_col).agg(F.sum("n").alias("n"), F.count("*").alias("terms"))
-    found = found.where(F.col("terms") == len(words)) if every else found
-    return found.select(id_col, (F.col("n") * F.lit(0.1)).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    if all(len(g) == 1 for g in groups):
+        rows = rows.select(id_col, F.regexp_count("t", F.lit(whole([g[0] for g in groups]))).alias("n")).where("n > 0")
+        found = rows.select(id_col, (F.col("n") * F.lit(0.1)).alias("score"))
+    else:
+        holds = [reduce(lambda a, b: a & b, [F.col("t").rlike(whole([w])) for w in g]) for g in groups]
+        found = covers(rows.where(reduce(lambda a, b: a | b, holds)).select(id_col, F.posexplode(tokens(F.col("t"))).alias("pos", "term")), groups, id_col)
+    return found.orderBy(F.desc("score"), id_col).limit(k)
 
 
 def bm25_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", text_col: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -8,6 +8,7 @@ from .. import schemas
 from ..functions import ids, text
 from ..operators import chunk as C
 from ..operators import gates, parse, scan
+from ..operators import spans as I
 from ..operators import state as S
 from . import query
 from .model import CHUNKS, CURRENT, DOCUMENTS, LINES, MODEL, VERSIONS, chunks, documents, table, versions
@@ -237,7 +238,7 @@ _POINTS = "points AS (SELECT doc_id, unnest([10, 250, 900]) AS at FROM documents
 @query(f"WITH {CHUNKS}, {_POINTS} SELECT p.doc_id, CAST(p.at AS BIGINT) AS at, c.chunk_id FROM points p JOIN chunks_m c ON c.section_id = p.doc_id AND p.at >= char_start AND p.at < char_end")
 def tag_to_chunk(spark, d):
     points = table(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (10, 250, 900)])).alias("at"))
-    return C.inside(points, chunks(spark, d).withColumnRenamed("section_id", "doc_id").select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id", "at").select(points["doc_id"], "at", "chunk_id")
+    return C.inside(points, chunks(spark, d).withColumnRenamed("section_id", "doc_id").select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id", "at").select("doc_id", "at", "chunk_id")
 
 
 @query(f"WITH {CHUNKS}, {_POINTS} SELECT p.doc_id, CAST(p.at AS BIGINT) AS at, arg_min(c.chunk_id, c.ordinal) AS chunk_id FROM points p LEFT JOIN chunks_m c ON c.section_id = p.doc_id AND p.at >= char_start AND p.at < char_end GROUP BY ALL")

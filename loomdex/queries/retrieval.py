@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import postings as P
 from ..operators import search as R
+from ..operators.lineage import scratch
 from ..plans import retrieve
 from . import query
 from .model import CHUNKS, CURRENT, MODEL, chunks, documents, table, versions
@@ -36,18 +38,41 @@ def keyword_topk(spark, d):
     return R.keyword_topk(chunks(spark, d), QUESTION, 20).withColumn("score", F.round("score", 6))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d):
+    """The corpus's positional index, written once a session; a block holds the chunks of 64 documents."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _indexes:
+        path = scratch(spark, "postings")
+        P.write_postings(chunks(spark, d), path, 64, F.floor(F.col("chunk_id") / 6_400_000))
+        _indexes[at] = path
+    return P.Postings(spark, _indexes[at], 64)
+
+
 @query(f"WITH {CHUNKS}, {_KEYWORD} SELECT * FROM keyword_m")
 def keyword_from_postings(spark, d):
-    return R.keyword_from_postings(R.postings(chunks(spark, d), 64), QUESTION, 20, 64).withColumn("score", F.round("score", 6))
+    return _index(spark, d).topk(QUESTION, 20).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {CHUNKS} SELECT chunk_id, 0.2::DOUBLE AS score FROM chunks_m WHERE list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'and')
-    AND len(list_filter({_TOKENS}, lambda t: t IN ('the', 'and'))) = 2 AND false UNION ALL
-    SELECT * FROM (SELECT chunk_id, round(0.1 * len(list_filter({_TOKENS}, lambda t: t IN ('the', 'and'))), 6) AS score FROM chunks_m WHERE list_contains({_TOKENS}, 'the') AND list_contains({_TOKENS}, 'and') ORDER BY 2 DESC, 1 LIMIT 10)""")
+_COVERS = f"""entries AS (SELECT chunk_id, pos, term FROM (SELECT chunk_id, unnest(t) AS term, generate_subscripts(t, 1) AS pos FROM (SELECT chunk_id, {_TOKENS} AS t FROM chunks_m)) WHERE term IN ('the', 'and')),
+    marked AS (SELECT *, row_number() OVER w AS r, max(CASE WHEN term = 'the' THEN pos END) OVER w AS x, max(CASE WHEN term = 'and' THEN pos END) OVER w AS y FROM entries WINDOW w AS (PARTITION BY chunk_id ORDER BY pos)),
+    covers AS (SELECT chunk_id, least(x, y) AS first, min(pos) AS last, min(r) AS r FROM marked WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY ALL),
+    noisy AS (SELECT c.chunk_id, (c.last - c.first) - (c.r - m.r) AS noise FROM covers c JOIN marked m ON m.chunk_id = c.chunk_id AND m.pos = c.first),
+    scored AS (SELECT chunk_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_sort(list(noise)), lambda n: 0.1::DOUBLE / (n + 1))), lambda s, x: s + x) AS score FROM noisy GROUP BY 1)"""
+
+
+@query(f"WITH {CHUNKS}, {_COVERS} SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT 10")
 def keyword_fallback_and(spark, d):
     return R.keyword_topk(chunks(spark, d), "the and", 10).withColumn("score", F.round("score", 6))
 
 
+@query(f"WITH {CHUNKS}, {_COVERS} SELECT chunk_id, round(score, 6) AS score FROM scored ORDER BY scored.score DESC, chunk_id LIMIT 30")
+def keyword_covers_from_postings(spark, d):
+    return _index(spark, d).topk("the and", 30).withColumn("score", F.round("score", 6))
+
+
 @query(f"""WITH {CHUNKS}, t AS (SELECT chunk_id, {_TOKENS} AS t FROM chunks_m), f AS (SELECT chunk_id, len(t) AS n, unnest([{_WORDS}]) AS w, t FROM t), c AS (SELECT chunk_id, n, w, len(list_filter(t, lambda x: x = w)) AS f FROM f),
     s AS (SELECT count(*)::DOUBLE AS n_all, avg(len(t)) AS mean FROM t), i AS (SELECT w, ln(1 + (any_value(n_all) - count(*) FILTER (f > 0) + 0.5) / (count(*) FILTER (f > 0) + 0.5)) AS idf FROM c, s GROUP BY w)
     SELECT chunk_id, round(sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score FROM c JOIN i USING (w), s GROUP BY 1 HAVING score > 0 ORDER BY sum(idf * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * n / mean))) DESC, chunk_id LIMIT 20""")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions import ids, text
-from loomdex.operators import answers, chunk, evaluate, extract, gates, graph, parse, scan, search, state
+from loomdex.operators import answers, chunk, evaluate, extract, gates, graph, parse, postings, scan, search, state
 from loomdex.operators import lifecycle as L
 from loomdex.operators import ontology as O
 from loomdex.operators import views as V
@@ -313,11 +313,11 @@ def test_clusters_of_chains_and_hubs(spark):
 
 def test_postings_give_the_same_hits(spark, tmp_path):
     chunks = spark.createDataFrame([(i, t) for i, t in enumerate(["apple Pie pie", "pie", "", "the and", "pear-apple"])], "chunk_id long, text string")
-    search.write_postings(chunks, str(tmp_path / "p"), 4)
-    index = spark.read.parquet(str(tmp_path / "p"))
+    postings.write_postings(chunks, str(tmp_path / "p"), 4)
+    index = postings.Postings(spark, str(tmp_path / "p"), 4)
     for query in ("pie and apple", "the", "nothing", "?"):
         want = [tuple(x) for x in search.keyword_topk(chunks, query, 3).collect()]
-        assert [tuple(x) for x in search.keyword_from_postings(index, query, 3, 4).collect()] == want
+        assert [tuple(x) for x in index.topk(query, 3).collect()] == want
 
 
 def test_a_worker_runs_one_job(spark):
