@@ -10,7 +10,6 @@ joined by a shuffle on the pre-token. No id is ever kept.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,11 @@ from ._common import settle, slices, text_buffer, word_hashes
 #: Entries of the dictionary that are broadcast at the most, and the bytes of each: some 10 MB.
 FREQUENT, SHORT = 200_000, 48
 
-#: Distinct pre-tokens a task gathers before it hands them on, and pieces a worker remembers.
-GATHER, REMEMBER = 200_000, 200_000
+#: Pieces that a worker remembers, and the characters of their pre-tokens; at more it starts afresh.
+REMEMBER, CHARACTERS = 1_000_000, 32_000_000
+
+#: Bytes of texts that are split at once.
+RUN = 8 << 20
 
 _workers: dict[str, Splitter] = {}
 
@@ -34,8 +36,8 @@ class Splitter:
     """The pre-tokens of texts, by a tokenizer file's own pre-tokeniser.
 
     No byte-level pre-token holds a space but as its first character, so a text may be cut
-    before every space that ink follows; a piece between such cuts is split once per worker.
-    A tokenizer with a normaliser or another pre-tokeniser gets whole texts.
+    before every space that ink follows; a piece between such cuts is split once per worker, and
+    found again by its hash. A tokenizer with a normaliser or another pre-tokeniser gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -51,7 +53,7 @@ class Splitter:
         if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added) or not pre:
             raise ValueError("a tokenizer with a pre-tokeniser and plain added tokens is needed")
         self.marks = sorted((t.content for t in added), key=len, reverse=True)
-        self.known: dict[bytes, tuple[str, ...]] = {}
+        self.forget()
 
     @classmethod
     def at(cls, path: str) -> Splitter:
@@ -59,26 +61,62 @@ class Splitter:
             _workers[path] = cls(path)
         return _workers[path]
 
-    def _split(self, text: str) -> tuple[str, ...]:
+    def forget(self) -> None:
+        self.names: list[str] = []  # pre-tokens met
+        self.index: dict[str, int] = {}
+        self.characters = 0
+        self.keys = np.zeros(0, np.uint64)  # sorted hashes of pieces; each has ``size`` pre-tokens in ``flat`` from ``first``
+        self.first, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) > REMEMBER or self.characters > CHARACTERS
+
+    def _tokens(self, text: str) -> list[tuple[str, tuple[int, int]]]:
         text = self.tool.normalizer.normalize_str(text) if self.tool.normalizer else text
-        return tuple(t for t, _ in self.tool.pre_tokenizer.pre_tokenize_str(text)) if text else ()
+        return self.tool.pre_tokenizer.pre_tokenize_str(text) if text else []
 
-    def split(self, text: str) -> tuple[str, ...]:
+    def split(self, text: str) -> list[str]:
         """Pre-tokens of one text, an added token's string apart from the rest."""
         if not any(m in text for m in self.marks):
-            return self._split(text)
+            return [t for t, _ in self._tokens(text)]
         import re
 
-        parts = re.split("|".join(map(re.escape, self.marks)), text)
-        found = re.findall("|".join(map(re.escape, self.marks)), text)
-        return tuple(t for i, part in enumerate(parts) for t in (*self._split(part), *(found[i : i + 1])))
+        mark = "|".join(map(re.escape, self.marks))
+        parts, found = re.split(mark, text), re.findall(mark, text)
+        return [t for i, part in enumerate(parts) for t in (*(t for t, _ in self._tokens(part)), *found[i : i + 1])]
 
     def pieces(self, token: str) -> int:
         """Tokens of a pre-token: one for an added token, else as the model merges it."""
         return 1 if token in self.marks else len(self.tool.model.tokenize(token))
 
-    def frequencies(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pre-tokens of all texts, and the (text, pre-token, frequency) of those that occur in each."""
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Split new pieces, whose hashes are sorted. Those that begin at a cut are split as one text: they part there."""
+        split: list[list[str]] = [[] for _ in pieces]
+        joined = [i for i, p in enumerate(pieces) if self.cuts and len(p) > 1 and p[0] == " " and not p[1].isspace() and not any(m in p for m in self.marks)]
+        for a in range(0, len(joined), 4096):
+            part = joined[a : a + 4096]
+            ends = np.cumsum([len(pieces[i]) for i in part])
+            found = self._tokens("".join(pieces[i] for i in part))
+            of = np.searchsorted(ends, [s for _, (s, _) in found], side="right").tolist()
+            for (t, _), k in zip(found, of):
+                split[part[k]].append(t)
+        for i in set(range(len(pieces))).difference(joined):
+            split[i] = self.split(pieces[i])
+        flat = [t for own in split for t in own]
+        for t in flat:
+            if t not in self.index:
+                self.index[t] = len(self.names)
+                self.names.append(t)
+                self.characters += len(t)
+        size = np.array([len(own) for own in split], np.int64)
+        first = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.array([self.index[t] for t in flat], np.int64)])
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
+
+    def frequencies(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, pre-token as a number in ``names``, frequency) of all pre-tokens that occur in each text."""
         buf, offs = text_buffer(column)
         n, view = int(offs[-1]), buf.tobytes()
         whole = np.full(len(offs) - 1, not self.cuts)
@@ -97,40 +135,40 @@ class Splitter:
         starts = np.flatnonzero(cut[:n])
         ends = np.append(starts[1:], n)[: len(starts)]
         text = np.searchsorted(offs, starts, side="right") - 1
-        _, first, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        index: dict[str, int] = {}
-        held, flat = np.zeros(len(first), np.int64), []
-        for k, i in enumerate(first.tolist()):
-            piece = view[starts[i] : ends[i]]
-            own = self.known.get(piece)
-            if own is None:
-                own = self.split(piece.decode()) if whole[text[i]] else self._split(piece.decode())
-                if len(piece) <= 1 << 10:
-                    self.known[piece] = own
-            held[k] = len(own)
-            flat += [index.setdefault(t, len(index)) for t in own]
-        base = np.cumsum(held) - held
-        size = held[inverse]
+        u, example, inverse = np.unique(word_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, u)
+        known = np.zeros(len(u), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == u[inside]
+        if not known.all():
+            new = np.flatnonzero(~known)
+            self._learn(u[new], [view[starts[i] : ends[i]].decode() for i in example[new].tolist()])
+            at = np.searchsorted(self.keys, u)
+        size, first = self.size[at][inverse], self.first[at][inverse]
         nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        token = np.array(flat, np.int64)[np.repeat(base[inverse], size) + nth] if flat else np.zeros(0, np.int64)
-        pair, times = np.unique(np.repeat(text, size) * max(1, len(index)) + token, return_counts=True)
-        return list(index), pair // max(1, len(index)), pair % max(1, len(index)), times
+        token = self.flat[np.repeat(first, size) + nth]
+        pair, times = np.unique(np.repeat(text, size) * max(1, len(self.names)) + token, return_counts=True)
+        return pair // max(1, len(self.names)), pair % max(1, len(self.names)), times
 
 
 def dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """``token, n, pieces``: the distinct pre-tokens of all texts, their frequency and number of tokens."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[str] = Counter()
-        for batch in slices(batches, 0):
-            tokens, _, token, times = Splitter.at(tokenizer).frequencies(batch.column(0))
-            total.update(dict(zip(tokens, np.bincount(token, times, len(tokens)).astype(np.int64).tolist())))
-            if len(total) > GATHER:
-                yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["token", "n"])
-                total.clear()
-        yield pa.record_batch([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["token", "n"])
+        splitter, total = Splitter.at(tokenizer), np.zeros(0, np.int64)
+
+        def rows() -> pa.RecordBatch:
+            met = np.flatnonzero(total)
+            return pa.record_batch([pa.array([splitter.names[i] for i in met.tolist()], pa.string()), pa.array(total[met], pa.int64())], names=["token", "n"])
+
+        for batch in slices(batches, 0, RUN):
+            if splitter.full:
+                yield rows()
+                splitter.forget()
+                total = total[:0]
+            _, token, times = splitter.frequencies(batch.column(0))
+            total = np.pad(total, (0, len(splitter.names) - len(total))) + np.bincount(token, times, len(splitter.names)).astype(np.int64)
+        yield rows()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +178,19 @@ def dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
     return settle(distinct.mapInArrow(encode, "token string, n long, pieces long"))
 
 
+def _frequent(words: DataFrame, most: int) -> dict[str, int]:
+    """The most frequent short entries, ``most`` at most: those above a frequency that a histogram of powers gives."""
+    short = words.where(F.octet_length("token") <= SHORT)
+    power = F.floor(F.log2("n") * 16).cast("int").alias("power")
+    held, least = 0, None
+    for row in short.groupBy(power).count().orderBy(F.desc("power")).collect():  # some 16 * 63 rows at the most
+        held += row["count"]
+        if held > most:
+            break
+        least = row.power
+    return {} if least is None else {r.token: r.pieces for r in short.where(power >= least).select("token", "pieces").collect()}
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, frequent: int = FREQUENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Number of tokens of every whole text, as the library gives it by default.
 
@@ -149,22 +200,25 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, frequent: i
     texts, without a shuffle of them; ``frequent`` bounds the broadcast.
     """
     words = dictionary(docs, tokenizer, text_col)
-    top = words.where(F.octet_length("token") <= SHORT).orderBy(F.desc("n"), "token").limit(frequent).select("token", "pieces").collect()
-    common = docs.sparkSession.sparkContext.broadcast({r.token: r.pieces for r in top})
+    common = docs.sparkSession.sparkContext.broadcast(_frequent(words, frequent))
     id_type = dict(docs.dtypes)[id_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1):
+        splitter, pieces = Splitter.at(tokenizer), np.zeros(0, np.int64)
+        for batch in slices(batches, 1, RUN):
+            if splitter.full:
+                splitter.forget()
+                pieces = pieces[:0]
             column = batch.column(1)
-            tokens, text, token, times = Splitter.at(tokenizer).frequencies(column)
-            pieces = np.array([common.value.get(t, -1) for t in tokens], np.int64)
+            text, token, times = splitter.frequencies(column)
+            pieces = np.concatenate([pieces, np.array([common.value.get(t, -1) for t in splitter.names[len(pieces) :]], np.int64)])
             met = pieces[token] >= 0
             n = np.bincount(text[met], (times * pieces[token])[met], batch.num_rows).astype(np.int64)
-            rest = [[] for _ in range(batch.num_rows)]
-            for i, t, k in zip(text[~met].tolist(), token[~met].tolist(), times[~met].tolist()):
-                rest[i].append({"token": tokens[t], "k": k})
+            # what isn't broadcast, as lists: rows come in the order of texts
+            ends = np.searchsorted(text[~met], np.arange(batch.num_rows + 1)).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([splitter.names[i] for i in token[~met].tolist()], pa.string()), pa.array(times[~met], pa.int64())], ["token", "k"]))
             size = pa.compute.binary_length(column).cast(pa.int64()).fill_null(0)
-            yield pa.record_batch([batch.column(0), size, pa.array(n), pa.array(rest, pa.list_(pa.struct([("token", pa.string()), ("k", pa.int64())])))], names=[id_col, "n_bytes", "met", "rest"])
+            yield pa.record_batch([batch.column(0), size, pa.array(n), rest], names=[id_col, "n_bytes", "met", "rest"])
 
     counted = docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, met long, rest array<struct<token: string, k: long>>")
     counted = settle(counted).withColumn("row", F.monotonically_increasing_id())  # of a settled table, so it stays

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,9 +23,21 @@ def rows():
 
 @pytest.mark.parametrize("frequent", [token_count.FREQUENT, 20, 0])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_token_counts_are_the_librarys(spark, monkeypatch, frequent, name):
+@pytest.mark.parametrize("remember", [token_count.REMEMBER, 0])
+def test_token_counts_are_the_librarys(spark, monkeypatch, frequent, name, remember):
     from tokenizers import Tokenizer
 
+    if remember == 0:  # a worker that forgets after every run; workers import the module, so its class is what they are sent
+        splitter = token_count.Splitter(queries.tokenizer(name))
+        monkeypatch.setattr(token_count, "REMEMBER", 0)
+        for _ in range(2):
+            texts = pa.array([t for _, t, *_ in rows()], pa.string())
+            text, token, times = splitter.frequencies(texts)
+            got = np.bincount(text, times * np.array([splitter.pieces(t) for t in splitter.names])[token], len(texts)).astype(int)
+            tool = Tokenizer.from_file(queries.tokenizer(name))
+            assert got.tolist() == [len(tool.encode(x or "", add_special_tokens=False).ids) for x in texts.to_pylist()] and splitter.full
+            splitter.forget()
+        return
     t = Tokenizer.from_file(queries.tokenizer(name))
     ids = lambda x: len(t.encode(x or "", add_special_tokens=False).ids)
     want = Counter((i, len((x or "").encode()), ids(x), ids(x) > 100) for i, x, *_ in rows())
