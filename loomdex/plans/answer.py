@@ -1,36 +1,53 @@
 """Retrieval over five channels: keyword, semantic, entity, graph and claim, with context and closure.
 
-The corpus is read by a few top-k scans. What they return is bounded by the request's limits, so
-from there on ids are carried as short lists and tables are read by them: the filters reach the scans.
+Every step is a DataFrame over the one before. The corpus is read by a few top-k scans and by
+joins with their hits; what a step hands on is bounded by the request's limits, holds ids, ranks
+and scores but no text, and is kept as a local table, so that no scan is run for each of its readers.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import casefold
+from ..functions.text import terms_of
 from ..operators import answers as A
 from ..operators import graph as G
 from ..operators import hydrate as H
 from ..operators import search as R
+from ..operators.spans import within
+from ..operators.writers import audit_row
 
 
 @dataclass
 class Corpus:
     """Current chunks (chunk_id, document_id, section_id, ordinal, char_start, char_end, path, role, text), vectors
     (chunk_id, embedding), active entities, aliases and mentions, all assertions (assertion_id, source_id,
-    target_id, predicate), and the hydrated, current assertions and claims. Without vectors the semantic channel is down."""
+    target_id, predicate), and the hydrated, current assertions and claims. Without vectors the semantic
+    channel is down, without assertions the graph. Sections (section_id, span_start, span_end) hold
+    their subsections; without them a section is as long as its own chunks. Chunks, and vectors if
+    they can, have a vault_id where a request names a vault."""
 
     chunks: DataFrame
     vectors: DataFrame | None
     entities: DataFrame
     aliases: DataFrame
     mentions: DataFrame
-    assertions: DataFrame
+    assertions: DataFrame | None
     current_assertions: DataFrame
     current_claims: DataFrame
+    sections: DataFrame | None = None
+
+    def of(self, vault: str | None) -> Corpus:
+        """What one vault holds of it."""
+        if vault is None:
+            return self
+        own = lambda df: df.where(F.col("vault_id") == vault) if df is not None and "vault_id" in df.columns else df
+        return replace(self, chunks=own(self.chunks), vectors=own(self.vectors), entities=own(self.entities), current_assertions=own(self.current_assertions), current_claims=own(self.current_claims))
 
 
 @dataclass
@@ -63,41 +80,101 @@ class Answer:
         return "degraded" if self.warnings else "succeeded"
 
 
-def _fused(channels: dict[str, list], k: int = R.RRF_K) -> dict:
-    """Scores of ranked id lists, added in the order of the channels' names."""
-    score: dict = {}
-    for name in sorted(channels):
-        for rank, i in enumerate(channels[name], 1):
-            score[i] = score.get(i, 0.0) + 1.0 / (k + rank)
-    return score
-
-
-def _order(score: dict) -> list:
-    return sorted(score, key=lambda i: (-score[i], str(i)))
-
-
-def _graph(corpus: Corpus, terms: list[str], seeds: list, limits: Limits, out: Answer) -> tuple[list, list, list]:
-    """Entities, kept paths and relationships that the query's names and ranked chunks lead to."""
-    entities = H.entity_seeds(corpus.entities, corpus.aliases, corpus.mentions, corpus.chunks, terms, seeds, limits.entities).collect()
-    named = [e.entity_id for e in entities if "entity" in e.channels and e.score >= 1.0]
-    if not named:
-        return entities, [], []
-    edges = corpus.assertions.select("source_id", "target_id", F.col("assertion_id").alias("edge_id"), "predicate")
-    start = corpus.chunks.sparkSession.createDataFrame([(i,) for i in named], "id string")
-    found = G.expand(edges, start, limits.hops, limits.paths + 1).withColumn("path_id", F.array_join("edges", "\n")).collect()
-    out.truncated |= len(found) > limits.paths
-    found = found[: limits.paths]
-    if not found:
-        return entities, [], []
-    used = sorted({e for p in found for e in p.edges})
-    held = {r.assertion_id: r for r in corpus.current_assertions.where(F.col("assertion_id").isin(used)).collect()}
-    kept = [p for p in found if all(e in held for e in p.edges)]
-    if len(kept) < len(found):
-        out.warnings.append("stale_graph_filtered")
-    return entities, kept, [held[e] for e in dict.fromkeys(e for p in kept for e in p.edges)]
-
-
-def retrieve(corpus: Corpus, query: str, vector: list[float] | None, strategy: str = "hybrid", limits: Limits | None = None) -> Answer:
+@dataclass
+class Found:
+    """An answer's parts as DataFrames, each in its order by ``nth``."""
+
+    query_type: str
+    reason: str
+    chunks: DataFrame  # chunk_id, score, channels
+    context: DataFrame  # chunk_id
+    entities: DataFrame  # entity_id, name, score, channels, source_chunk_ids
+    relationships: DataFrame  # the current assertions' columns
+    claims: DataFrame  # the current claims' columns
+    paths: DataFrame  # nodes, edges, hops, source_chunk_ids
+    warnings: list[str]
+    truncated: bool
+
+    def rows(self) -> DataFrame:
+        """``part, nth, id``, all as text: the answer as one table."""
+        spark = self.chunks.sparkSession
+        keys = {"chunk": (self.chunks, F.col("chunk_id")), "context": (self.context, F.col("chunk_id")), "entity": (self.entities, F.col("entity_id")), "relationship": (self.relationships, F.col("assertion_id")), "claim": (self.claims, F.col("claim_id")), "path": (self.paths, F.array_join("edges", "\n"))}
+        said = [("warning", n, w) for n, w in enumerate(self.warnings, 1)] + [("type", 1, self.query_type), ("type", 2, self.reason), ("truncated", 1, str(self.truncated).lower())]
+        out = spark.createDataFrame(said, "part string, nth long, id string")
+        for part, (df, key) in keys.items():
+            out = out.unionByName(df.select(F.lit(part).alias("part"), "nth", key.cast("string").alias("id")))
+        return out
+
+    def answer(self) -> Answer:
+        listed = lambda df: df.orderBy("nth").collect()
+        chunks = [(r.chunk_id, r.score, r.channels) for r in listed(self.chunks)]
+        return Answer(self.query_type, self.reason, chunks, [r.chunk_id for r in listed(self.context)], listed(self.entities), listed(self.relationships), listed(self.claims), listed(self.paths), self.warnings, self.truncated)
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """A step's rows, which the request's limits bound, as a local table."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def _nth(df: DataFrame, *order: Column | str, by: str | None = None, name: str = "nth") -> DataFrame:
+    """Rows numbered from 1 in an order; they are few."""
+    window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
+    return df.withColumn(name, F.row_number().over(window.orderBy(*order)).cast("long"))
+
+
+def _first(parts: list[DataFrame]) -> DataFrame:
+    """``chunk_id, rank`` of lists (chunk_id, a, b) one after the other: each chunk where it comes first."""
+    out = None
+    for n, part in enumerate(parts):
+        rows = part.select("chunk_id", F.struct(F.lit(n).alias("n"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).alias("at"))
+        out = rows if out is None else out.unionByName(rows)
+    return _nth(out.groupBy("chunk_id").agg(F.min("at").alias("at")), "at", "chunk_id", name="rank").select("chunk_id", "rank")
+
+
+def _best(name: str = "score") -> list[Column]:
+    return [F.desc(name), F.col("chunk_id").cast("string")]
+
+
+class _Graph:
+    """Entities, paths, relationships and chunks that the entities which a query names lead to."""
+
+    def __init__(self, corpus: Corpus, terms: list[str], seeds: DataFrame, limits: Limits):
+        spark = seeds.sparkSession
+        self.warnings: list[str] = []
+        found = H.entity_seeds(corpus.entities, corpus.aliases, corpus.mentions, corpus.chunks, terms, seeds, limits.entities)
+        named = _held(_nth(H.graph_seeds(found), F.desc("score"), casefold(F.col("name")), "entity_id"))
+        self.named = not named.isEmpty()
+        paths = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long")
+        if self.named and corpus.assertions is None:
+            self.warnings.append("graph_unavailable")
+        elif self.named:
+            edges = corpus.assertions.select("source_id", "target_id", F.col("assertion_id").alias("edge_id"), "predicate")
+            paths = G.expand(edges, named.select(F.col("entity_id").alias("id")), limits.hops, limits.paths + 1)
+        paths = _held(_nth(paths, "hops", "nodes", "edges").withColumn("path_id", F.array_join("edges", "\n")))
+        self.truncated = paths.count() > limits.paths
+        paths = paths.where(F.col("nth") <= limits.paths)
+        used = paths.select(F.explode("edges").alias("assertion_id")).distinct()
+        held = _held(corpus.current_assertions.join(F.broadcast(used), "assertion_id", "left_semi").drop("text"))
+        kept = _held(paths.join(H.enrich_paths(paths.select("path_id", "edges"), held).drop("predicates"), "path_id"))
+        if kept.count() < paths.count():
+            self.warnings.append("stale_graph_filtered")
+        self.paths = kept
+        steps = kept.select("nth", F.posexplode("edges").alias("b", "assertion_id")).join(held, "assertion_id")
+        self.relationships = held.join(steps.select("assertion_id").distinct(), "assertion_id", "left_semi")
+        own = named.select(F.col("nth").alias("a"), F.posexplode("source_chunk_ids").alias("b", "chunk_id"))
+        self.chunks = _held(_first([own, steps.select("chunk_id", F.col("nth").alias("a"), "b")]))
+        met = kept.select(F.explode(F.array_distinct("nodes")).alias("entity_id"), "source_chunk_ids").groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids"))).alias("more"))
+        names = corpus.entities.select("entity_id", F.col("name").alias("own_name")).join(F.broadcast(met.select("entity_id")), "entity_id", "left_semi")
+        both = named.drop("nth").join(met, "entity_id", "full").join(names, "entity_id", "left").where("name IS NOT NULL OR own_name IS NOT NULL")
+        sources = lambda c: F.coalesce(c, F.array().cast(named.schema["source_chunk_ids"].dataType))
+        all_of = F.array_sort(F.array_distinct(F.concat(sources("source_chunk_ids"), sources("more"))))
+        merged = both.select("entity_id", F.coalesce("name", "own_name").alias("name"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("channels", F.array(F.lit("graph"))).alias("channels"), all_of.alias("source_chunk_ids"))
+        self.entities = _held(_nth(merged, F.desc("score"), casefold(F.col("name")), "entity_id"))
+        seen = self.entities.where(F.exists("channels", lambda c: c != "graph")).select(F.col("nth").alias("a"), F.posexplode("source_chunk_ids").alias("b", "chunk_id"))
+        self.entity_chunks = _held(_first([seen.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi")]))
+
+
+def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str = "hybrid", limits: Limits | None = None, vault: str | None = None) -> Found:
     """Answer a query. Ties go to the smaller id as text; a blank query is refused.
 
     ``keyword`` and ``semantic`` run their own channel only, in its order. Otherwise all five are
@@ -107,86 +184,124 @@ def retrieve(corpus: Corpus, query: str, vector: list[float] | None, strategy: s
     """
     if not query.strip():
         raise ValueError("query must not be blank")
-    limits = limits or Limits()
-    plan = corpus.chunks.sparkSession.range(1).select(R.plan_route(F.lit(query), F.lit(strategy)).alias("p")).first().p
-    out = Answer(plan.query_type, plan.reason)
-    alone = strategy in ("keyword", "semantic")
-    most = max(limits.results, limits.candidates)
-    keyword, semantic = {}, {}
-    if strategy != "semantic":
-        keyword = {r.chunk_id: r.score for r in R.keyword_topk(corpus.chunks, query, most).collect()}
+    limits, corpus = limits or Limits(), corpus.of(vault)
+    spark, chunks = corpus.chunks.sparkSession, corpus.chunks
+    asked = spark.range(1).select(R.plan_route(F.lit(query), F.lit(strategy)).alias("p"), H.entity_terms(F.lit(query)).alias("terms")).first()
+    alone, most = strategy in ("keyword", "semantic"), max(limits.results, limits.candidates)
+    warnings: list[str] = []
+    none = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    keyword = none if strategy == "semantic" else R.keyword_topk(chunks, query, most)
+    keyword = _held(_nth(keyword, *_best(), name="rank"))
+    semantic = none
     if strategy != "keyword":
         if corpus.vectors is None or vector is None:
             if alone:
                 raise ValueError("the semantic channel is down")
-            out.warnings.append("semantic_unavailable")
+            warnings.append("semantic_unavailable")
         else:
-            hits = R.vector_topk(corpus.vectors, vector, most, "chunk_id").collect()
-            here = {r.chunk_id for r in corpus.chunks.where(F.col("chunk_id").isin([h.chunk_id for h in hits])).select("chunk_id").collect()}
-            semantic = {h.chunk_id: h.score for h in hits if h.chunk_id in here}
-            if len(semantic) < len(hits):
-                out.warnings.append("stale_projection_filtered")
-    channels = {"keyword": list(keyword), "semantic": list(semantic)}
-    entities, paths, relations, claims, graph_chunks = [], [], [], [], []
-    terms = [r for r in corpus.chunks.sparkSession.range(1).select(H.entity_terms(F.lit(query))).first()[0]]
+            hits = _held(R.vector_topk(corpus.vectors, vector, most, "chunk_id"))
+            semantic = _held(hits.join(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left_semi"))
+            if semantic.count() < hits.count():
+                warnings.append("stale_projection_filtered")
+    semantic = _held(_nth(semantic, *_best(), name="rank"))
+    listed = lambda name, df: df.select(F.lit(name).alias("channel"), F.col("chunk_id").alias("id"), "rank")
+    ranks = listed("keyword", keyword).unionByName(listed("semantic", semantic))
+    empty = chunks.select("chunk_id", F.lit(0).cast("long").alias("rank")).limit(0)
+    graph, claims, claim_chunks, truncated = None, None, _held(empty), []
     if not alone:
-        seeds = _order(_fused(channels))[:most]
-        entities, paths, relations = _graph(corpus, terms, seeds, limits, out)
-        graph_chunks = list(dict.fromkeys(r.chunk_id for r in relations))
-        named = [c for e in entities if "entity" in e.channels or "chunk" in e.channels for c in e.source_chunk_ids]
-        channels |= {"graph": graph_chunks, "entity": [c for c in dict.fromkeys(named) if c in set(graph_chunks)]}
-        words = R.terms_of(query)
-        if words:
-            rows = H.claim_candidates(corpus.current_claims, words, list(dict.fromkeys([*seeds, *graph_chunks])), limits.claims + 1).collect()
-            out.truncated |= len(rows) > limits.claims
-            of = {r.claim_id: r for r in corpus.current_claims.where(F.col("claim_id").isin([r.claim_id for r in rows])).collect()} if rows else {}
-            claims = [of[r.claim_id] for r in rows[: limits.claims]]
-            channels["claim"] = list(dict.fromkeys(c.chunk_id for c in claims))
-    strong = [i for i in keyword if i in semantic and semantic[i] >= 0.85 * max(semantic.values())] if keyword and semantic else []
-    if strong:
-        allowed = set(strong)
-        if any("entity" in e.channels and e.score >= 1.0 for e in entities):
-            allowed |= {*graph_chunks, *channels.get("claim", [])}
-        out.truncated |= any(i not in allowed for ids in channels.values() for i in ids)
-        channels = {n: [i for i in ids if i in allowed] for n, ids in channels.items()}
-    score = (keyword or semantic) if alone else _fused(channels)
-    rows = {r.chunk_id: r for r in corpus.chunks.where(F.col("chunk_id").isin(list(score))).drop("text").collect()} if score else {}
-    ranked = [i for i in (list(score) if alone else _order(score)) if i in rows]
-    stem = {r.chunk_id for r in corpus.chunks.where(F.col("chunk_id").isin(ranked) & R.is_navigation(F.col("path"))).select("chunk_id").collect()} if ranked else set()
-    anchors = [rows[i] for i in ranked if rows[i].role == "structural_anchor" and i not in stem]
-    results = [i for i in ranked if rows[i].role == "content_evidence"]
-    out.truncated |= len(results) > limits.results
-    results = results[: limits.results]
-    out.chunks = [(i, score[i], sorted(n for n, ids in channels.items() if i in ids)) for i in results]
-    seeds = [rows[i] for i in results if i in strong and i not in stem]
-    context = _context(corpus, [rows[i] for i in results], anchors, seeds, limits)
-    shown = set(results) | set(context)
-    out.context = [i for i in context if i not in results]
-    out.relationships = [r for r in relations if r.chunk_id in shown]
-    out.claims = [c for c in claims if c.chunk_id in shown]
-    source = {r.assertion_id: r.chunk_id for r in relations}
-    out.paths = [p for p in paths if all(source[e] in shown for e in p.edges)]
-    ends = {x for r in out.relationships for x in (r.source_id, r.target_id)} | {n for p in out.paths for n in p.nodes}
-    out.entities = [e for e in entities if e.entity_id in ends or shown & set(e.source_chunk_ids)]
-    return out
-
-
-def _context(corpus: Corpus, results: list, anchors: list, seeds: list, limits: Limits) -> list:
-    """Ids of context chunks by path and place: neighbours in a result's section, the section of seeds in one
-    document, the whole document of anchors in one."""
+        seeds = R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score")
+        seeds = _held(_nth(seeds, *_best(), name="rank").where(F.col("rank") <= most).select("chunk_id", "rank"))
+        graph = _Graph(corpus, list(asked.terms), seeds, limits)
+        warnings += graph.warnings
+        truncated.append(graph.truncated)
+        ranks = ranks.unionByName(listed("graph", graph.chunks)).unionByName(listed("entity", graph.entity_chunks))
+        if words := terms_of(query):
+            near = _held(_first([df.select("chunk_id", F.col("rank").alias("a"), F.lit(0).alias("b")) for df in (seeds, graph.chunks)]))
+            rows = _held(_nth(H.claim_candidates(corpus.current_claims, words, near, limits.claims + 1), F.desc("score"), "claim_id"))
+            truncated.append(rows.count() > limits.claims)
+            rows = rows.where(F.col("nth") <= limits.claims)
+            claims = _held(corpus.current_claims.drop("text").join(F.broadcast(rows.select("claim_id", "nth")), "claim_id"))
+            claim_chunks = _held(_first([claims.select("chunk_id", F.col("nth").alias("a"), F.lit(0).alias("b"))]))
+            ranks = ranks.unionByName(listed("claim", claim_chunks))
+    strong = semantic.join(keyword.select("chunk_id"), "chunk_id", "left_semi").join(semantic.agg(F.max("score").alias("best")), F.col("score") >= 0.85 * F.col("best")).select("chunk_id")
+    strong = _held(strong)
+    ranks = _held(ranks)
+    if not strong.isEmpty():
+        allowed = strong
+        if graph is not None and graph.named:
+            allowed = allowed.unionByName(graph.chunks.select("chunk_id")).unionByName(claim_chunks.select("chunk_id"))
+        kept = ranks.join(allowed.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(*ranks.columns)
+        truncated.append(not alone and kept.count() < ranks.count())
+        ranks = _held(_nth(kept.withColumnRenamed("rank", "_was"), "_was", by="channel", name="rank").drop("_was"))
+    if alone:
+        score = (keyword if strategy == "keyword" else semantic).select("chunk_id", "score")
+    else:
+        score = R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score")
+    by = ranks.groupBy(F.col("id").alias("chunk_id")).agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    place = chunks.select("chunk_id", "document_id", "section_id", "ordinal", "path", "role").join(F.broadcast(score), "chunk_id")
+    ranked = _held(place.join(by, "chunk_id").withColumn("stem", R.is_navigation(F.col("path"))))
+    results = _nth(ranked.where("role = 'content_evidence'"), *_best())
+    truncated.append(results.count() > limits.results)
+    results = _held(results.where(F.col("nth") <= limits.results))
+    anchors = ranked.where("role = 'structural_anchor' AND NOT stem")
+    agreed = results.where("NOT stem").join(strong, "chunk_id", "left_semi")
+    context = _context(corpus, results, anchors, agreed, limits, truncated)
+    shown = _held(results.select("chunk_id").unionByName(context.select("chunk_id")))
+    nothing = lambda df: _nth(df.limit(0), F.lit(1))
+    if graph is None:
+        relationships, claims = nothing(corpus.current_assertions.drop("text")), nothing(corpus.current_claims.drop("text"))
+        paths = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long, nth long")
+        entities = spark.createDataFrame([], "entity_id string, nth long")
+    else:
+        relationships = _held(_nth(graph.relationships.join(shown, "chunk_id", "left_semi"), "assertion_id"))
+        claims = nothing(corpus.current_claims.drop("text")) if claims is None else claims.join(shown, "chunk_id", "left_semi")
+        lost = graph.paths.select("path_id", F.explode("source_chunk_ids").alias("chunk_id")).join(shown, "chunk_id", "left_anti").select("path_id").distinct()
+        paths = _held(graph.paths.join(lost, "path_id", "left_anti"))
+        ends = relationships.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).unionByName(paths.select(F.explode("nodes").alias("entity_id")))
+        seen = graph.entities.select("entity_id", F.explode("source_chunk_ids").alias("chunk_id")).join(shown, "chunk_id", "left_semi").select("entity_id")
+        entities = graph.entities.join(ends.unionByName(seen).distinct(), "entity_id", "left_semi")
+    return Found(asked.p.query_type, asked.p.reason, results.select("nth", "chunk_id", "score", "channels"), context, entities, relationships, claims, paths, warnings, any(truncated))
+
+
+def retrieve(corpus: Corpus, query: str, vector: list[float] | None, strategy: str = "hybrid", limits: Limits | None = None, vault: str | None = None) -> Answer:
+    """``find`` as lists."""
+    return find(corpus, query, vector, strategy, limits, vault).answer()
+
+
+def audit(found: Found, query: str, strategy: str, started: datetime, ended: datetime) -> DataFrame:
+    """The run's record, one row: the query by its hash only, status, results and latency; warnings beside it."""
+    status = "degraded" if found.warnings else "succeeded"
+    row = audit_row(F.lit(query), F.lit(strategy), F.lit(status), F.col("n"), F.lit(started), F.lit(ended))
+    one = found.chunks.agg(F.count("*").alias("n"))
+    return one.select(row.alias("r"), F.array(*map(F.lit, found.warnings)).cast("array<string>").alias("warnings")).select("r.*", "warnings")
+
+
+def _budgeted(rows: DataFrame, limits: Limits, truncated: list[bool]) -> DataFrame:
+    """A document's evidence (without text) within chunks and characters; notes whether something was left out."""
+    kept = _held(R.budget(rows, ["ordinal", "chunk_id"], limits.context_chars, limits.context_chunks).drop("text"))
+    truncated.append(kept.count() < rows.limit(limits.context_chunks + 1).count())
+    return kept
+
+
+def _context(corpus: Corpus, results: DataFrame, anchors: DataFrame, agreed: DataFrame, limits: Limits, truncated: list[bool]) -> DataFrame:
+    """``nth, chunk_id`` by path and place: the whole document of anchors in one, the sections (with what is
+    below them) of agreed results in one, and neighbours in results' sections. Seeds are left out before anything is counted."""
     evidence = corpus.chunks.where("role = 'content_evidence'")
-    parts = []
-    if len({a.document_id for a in anchors}) == 1:
-        parts.append(R.budget(evidence.where(F.col("document_id") == anchors[0].document_id), ["document_id", "ordinal", "chunk_id"], limits.context_chars, limits.context_chunks))
-    if len({s.document_id for s in seeds}) == 1:
-        around = corpus.chunks.where((F.col("document_id") == seeds[0].document_id) & F.col("section_id").isin(sorted({s.section_id for s in seeds})))
-        spans = around.groupBy("document_id", "section_id").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end"))
-        parts.append(A.document_context(spans, corpus.chunks.where(F.col("document_id") == seeds[0].document_id), limits.context_chunks, limits.context_chars))
-    if results:
-        near = corpus.chunks.sparkSession.createDataFrame([(r.chunk_id, r.section_id, r.ordinal) for r in results], corpus.chunks.select("chunk_id", "section_id", "ordinal").schema)
-        own = evidence.where(F.col("section_id").isin(sorted({r.section_id for r in results})))
-        parts.append(R.section_context(near, own))
-    if not parts:
-        return []
-    rows = {r.chunk_id: r for p in parts for r in p.select("chunk_id", F.lower("path").alias("path"), "char_start", "char_end").collect()}
-    return sorted(rows, key=lambda i: (rows[i].path, rows[i].char_start, rows[i].char_end, str(i)))
+    own = ["chunk_id", "path", "char_start", "char_end"]
+    document = A.single_document(anchors)
+    whole = evidence.join(F.broadcast(_held(document)), "document_id", "left_semi")
+    parts = [_budgeted(whole, limits, truncated).select(*own)]
+    document = _held(A.single_document(agreed))
+    inside = corpus.chunks.join(F.broadcast(document), "document_id", "left_semi")
+    wanted = _held(agreed.select("section_id").distinct())
+    if corpus.sections is not None:
+        spans = corpus.sections.join(F.broadcast(wanted), "section_id", "left_semi").join(inside.select("section_id", "document_id").distinct(), "section_id")
+    else:
+        spans = inside.join(F.broadcast(wanted), "section_id", "left_semi").groupBy("document_id", "section_id").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end"))
+    spans = _held(spans.select("document_id", "span_start", "span_end").distinct())
+    held = within(inside.where("role = 'content_evidence'"), spans, "document_id").select(*corpus.chunks.columns).distinct()
+    parts.append(_budgeted(held.join(F.broadcast(agreed.select("chunk_id")), "chunk_id", "left_anti"), limits, truncated).select(*own))
+    near = R.section_context(results, evidence.join(F.broadcast(results.select("section_id").distinct()), "section_id", "left_semi"))
+    parts.append(near.orderBy("section_id", "ordinal", "chunk_id").limit(2 * results.count()).select(*own))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().join(results.select("chunk_id"), "chunk_id", "left_anti")
+    return _held(_nth(rows, casefold(F.col("path")), "char_start", "char_end", F.col("chunk_id").cast("string")).select("nth", "chunk_id"))
