@@ -28,6 +28,8 @@ SAMPLE = 20_000
 CELL = 16_384
 #: Sample rows that a list is fitted on at the least; bounds the lists by the sample.
 FIT = 5
+#: Sample rows whose own neighbours, among the sample, tell how many lists must be probed.
+TRIALS = 512
 
 
 def _valid(vec: str, dim: int | None = None) -> str:
@@ -78,6 +80,23 @@ class Index:
         c = self.centroids
         return ((c * c).sum(1) - 2 * (x.astype(np.float32) @ c.T)).argmin(1)
 
+    def probes(self, sample: np.ndarray, k: int, share: float) -> int:
+        """Lists to probe, by inner product of the centroids, so that they hold ``share`` of the ``k`` nearest
+        in the sample of TRIALS of its rows. Neighbours in all rows are nearer than those in a
+        sample, so what is enough here is enough there."""
+        trial = np.unique(np.linspace(0, len(sample) - 1, TRIALS).astype(int))
+        place = np.empty((len(trial), len(self.centroids)), np.int64)
+        order = np.argsort(-(sample[trial].astype(np.float32) @ self.centroids.T), axis=1, kind="stable")
+        np.put_along_axis(place, order, np.arange(len(self.centroids))[None, :], 1)
+        score = sample[trial] @ sample.T
+        score[np.arange(len(trial)), trial] = -np.inf
+        k = min(k, len(sample) - 1)
+        if k < 1:
+            return len(self.centroids)
+        near = np.argpartition(-score, k - 1)[:, :k]
+        needed = np.sort(np.take_along_axis(place, self.assign(sample)[near], 1).ravel())
+        return int(needed[math.ceil(share * len(needed)) - 1]) + 1
+
     def codes(self, x: np.ndarray, near: np.ndarray) -> np.ndarray:
         rest = (x - self.centroids[near]).astype(np.float32).reshape(len(x), self.parts, -1)
         return np.stack([((b * b).sum(1) - 2 * (rest[:, m] @ b.T)).argmin(1) for m, b in enumerate(self.books)], 1).astype(np.uint8)
@@ -108,7 +127,7 @@ def _cells(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, parts
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float = 0.55, shortlist: int = 400, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = 0.95, shortlist: int = 400, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of ``vectors`` to each of ``queries`` (same columns), itself left out by id.
 
     Returns ``query_id, rank`` (from 1), ``vec_id, score``: largest inner product first, ties
@@ -116,9 +135,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float =
     zero, hold a null or non-finite component, or have another length than most take no part
     on either side, nor do null ids. Repeated rows are candidates each for itself. An empty
     table has no rows. The number of lists is the root of the rows, as far as the sample can
-    fit them (a list to FIT of its rows); a query probes the share ``probe`` of them, and more
-    until those hold a hundred times ``k`` rows. In each cell the best ``shortlist`` by code of
-    the probed lists are ranked again.
+    fit them (a list to FIT of its rows). How many of them a query probes is measured on the
+    sample, whatever the table's size: so many that they hold the share ``share`` of its rows'
+    own neighbours; where vectors form clusters these are few, where they point everywhere most. In each
+    cell the best ``shortlist`` by code of the probed lists are ranked again.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -130,6 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float =
     rows = rows.where(F.size("v") == dim)
     draw = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / n) * (1 << 30))
     sample = np.array([r[0] for r in rows.where(draw).select("v").collect()] or [[0.0] * dim], np.float64)
+    sample = sample[np.lexsort(sample.T)]  # a retried job draws the same rows in another order
     index = Index(sample, max(1, min(round(math.sqrt(n)), len(sample) // FIT)))
     lists = len(index.centroids)
     elements = dict(rows.dtypes)["v"]
@@ -147,14 +168,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, probe: float =
     held = dict(indexed.groupBy("list").count().collect())
     size = np.array([held.get(i, 0) for i in range(lists)])
     first, parts = _cells(size)
-    probes = max(1, math.ceil(lists * probe))
+    probes = index.probes(sample, k, share)
 
     def ask(batches):
         for b in batches:
             if b.num_rows:
                 q = _matrix(b.column(1), dim)
                 order = np.argsort(-(q.astype(np.float32) @ index.centroids.T), axis=1, kind="stable")
-                need = np.minimum(lists, np.maximum(probes, (np.cumsum(size[order], 1) < 100 * k + 1).sum(1) + 1))
+                # a query is owed k rows besides itself, so it goes on where its lists hold fewer
+                need = np.minimum(lists, np.maximum(probes, (np.cumsum(size[order], 1) < k + 1).sum(1) + 1))
                 of, cell, near = [], [], []
                 for i, m in enumerate(need):
                     probed = np.sort(order[i, :m])

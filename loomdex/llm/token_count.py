@@ -24,10 +24,10 @@ from ._common import settle, slices, text_buffer, word_hashes
 FREQUENT, SHORT = 200_000, 48
 
 #: Pieces that a worker remembers, and the characters of their pre-tokens; at more it starts afresh.
-REMEMBER, CHARACTERS = 1_000_000, 32_000_000
+REMEMBER, CHARACTERS = 400_000, 16_000_000
 
 #: Bytes of texts that are split at once.
-RUN = 8 << 20
+RUN = 4 << 20
 
 _workers: dict[str, Splitter] = {}
 

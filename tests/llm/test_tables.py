@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,31 @@ def test_recall_on_the_tables(spark, table):
     assert np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize(("n", "seed"), [(600, 0), (2001, 1), (3700, 2), (3700, 3), (5000, 4), (10_000, 5), (50_000, 6)])
+def test_recall_by_size(spark, n, seed):
+    """``nearest`` itself on unit vectors that point everywhere, which is the hardest case for lists."""
+    x = np.random.RandomState(seed).randn(n, 64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}))
+    asked = np.arange(0, n, max(20, n // 200 // 20 * 20))
+    got = {}
+    for r in ann.nearest(v, v.where(F.col("vec_id").isin(asked.tolist())), 20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    recall = np.mean([len(got[q] & set(b.tolist())) / 20 for q, b in zip(asked.tolist(), best)])
+    print(n, seed, round(recall, 4))
+    assert recall >= 0.9
+
+
+def test_clusters_need_few_lists():
+    r = np.random.RandomState(0)
+    x = (r.randn(40, 32)[r.randint(40, size=4000)] * 4 + r.randn(4000, 32) * 0.3).astype(float)
+    index = ann.Index(x, 63)
+    assert index.probes(x, 20, 0.95) < 20
+
+
 TOOLS = {"search": {"properties": {"q": {"type": "string"}, "n": {"type": "integer"}, "m": {"type": "string", "enum": ["a", "b"]}}, "required": ["q"]}}
 
 
