@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,8 +113,11 @@ class Found:
 
 
 def _held(df: DataFrame) -> DataFrame:
-    """A step's rows, which the request's limits bound, as a local table."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+    """A step's rows, which the request's limits bound, as a local table: its size is known, so joins broadcast it."""
+    rows = df.toArrow()
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out.held = rows.num_rows
+    return out
 
 
 def _nth(df: DataFrame, *order: Column | str, by: str | None = None, name: str = "nth") -> DataFrame:
@@ -143,7 +147,7 @@ class _Graph:
         self.warnings: list[str] = []
         found = H.entity_seeds(corpus.entities, corpus.aliases, corpus.mentions, corpus.chunks, terms, seeds, limits.entities)
         named = _held(_nth(H.graph_seeds(found), F.desc("score"), casefold(F.col("name")), "entity_id"))
-        self.named = not named.isEmpty()
+        self.named = named.held > 0
         paths = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long")
         if self.named and corpus.assertions is None:
             self.warnings.append("graph_unavailable")
@@ -151,12 +155,12 @@ class _Graph:
             edges = corpus.assertions.select("source_id", "target_id", F.col("assertion_id").alias("edge_id"), "predicate")
             paths = G.expand(edges, named.select(F.col("entity_id").alias("id")), limits.hops, limits.paths + 1)
         paths = _held(_nth(paths, "hops", "nodes", "edges").withColumn("path_id", F.array_join("edges", "\n")))
-        self.truncated = paths.count() > limits.paths
-        paths = paths.where(F.col("nth") <= limits.paths)
+        self.truncated = paths.held > limits.paths
+        paths = _held(paths.where(F.col("nth") <= limits.paths)) if self.truncated else paths
         used = paths.select(F.explode("edges").alias("assertion_id")).distinct()
         held = _held(corpus.current_assertions.join(F.broadcast(used), "assertion_id", "left_semi").drop("text"))
         kept = _held(paths.join(H.enrich_paths(paths.select("path_id", "edges"), held).drop("predicates"), "path_id"))
-        if kept.count() < paths.count():
+        if kept.held < paths.held:
             self.warnings.append("stale_graph_filtered")
         self.paths = kept
         steps = kept.select("nth", F.posexplode("edges").alias("b", "assertion_id")).join(held, "assertion_id")
@@ -201,7 +205,7 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
         else:
             hits = _held(R.vector_topk(corpus.vectors, vector, most, "chunk_id"))
             semantic = _held(hits.join(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left_semi"))
-            if semantic.count() < hits.count():
+            if semantic.held < hits.held:
                 warnings.append("stale_projection_filtered")
     semantic = _held(_nth(semantic, *_best(), name="rank"))
     listed = lambda name, df: df.select(F.lit(name).alias("channel"), F.col("chunk_id").alias("id"), "rank")
@@ -218,7 +222,7 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
         if words := terms_of(query):
             near = _held(_first([df.select("chunk_id", F.col("rank").alias("a"), F.lit(0).alias("b")) for df in (seeds, graph.chunks)]))
             rows = _held(_nth(H.claim_candidates(corpus.current_claims, words, near, limits.claims + 1), F.desc("score"), "claim_id"))
-            truncated.append(rows.count() > limits.claims)
+            truncated.append(rows.held > limits.claims)
             rows = rows.where(F.col("nth") <= limits.claims)
             claims = _held(corpus.current_claims.drop("text").join(F.broadcast(rows.select("claim_id", "nth")), "claim_id"))
             claim_chunks = _held(_first([claims.select("chunk_id", F.col("nth").alias("a"), F.lit(0).alias("b"))]))
@@ -226,12 +230,12 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
     strong = semantic.join(keyword.select("chunk_id"), "chunk_id", "left_semi").join(semantic.agg(F.max("score").alias("best")), F.col("score") >= 0.85 * F.col("best")).select("chunk_id")
     strong = _held(strong)
     ranks = _held(ranks)
-    if not strong.isEmpty():
+    if strong.held:
         allowed = strong
         if graph is not None and graph.named:
             allowed = allowed.unionByName(graph.chunks.select("chunk_id")).unionByName(claim_chunks.select("chunk_id"))
-        kept = ranks.join(allowed.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(*ranks.columns)
-        truncated.append(not alone and kept.count() < ranks.count())
+        kept = _held(ranks.join(allowed.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(*ranks.columns))
+        truncated.append(not alone and kept.held < ranks.held)
         ranks = _held(_nth(kept.withColumnRenamed("rank", "_was"), "_was", by="channel", name="rank").drop("_was"))
     if alone:
         score = (keyword if strategy == "keyword" else semantic).select("chunk_id", "score")
@@ -240,8 +244,8 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
     by = ranks.groupBy(F.col("id").alias("chunk_id")).agg(F.array_sort(F.collect_set("channel")).alias("channels"))
     place = chunks.select("chunk_id", "document_id", "section_id", "ordinal", "path", "role").join(F.broadcast(score), "chunk_id")
     ranked = _held(place.join(by, "chunk_id").withColumn("stem", R.is_navigation(F.col("path"))))
-    results = _nth(ranked.where("role = 'content_evidence'"), *_best())
-    truncated.append(results.count() > limits.results)
+    results = _held(_nth(ranked.where("role = 'content_evidence'"), *_best()))
+    truncated.append(results.held > limits.results)
     results = _held(results.where(F.col("nth") <= limits.results))
     anchors = ranked.where("role = 'structural_anchor' AND NOT stem")
     agreed = results.where("NOT stem").join(strong, "chunk_id", "left_semi")
@@ -279,7 +283,7 @@ def audit(found: Found, query: str, strategy: str, started: datetime, ended: dat
 def _budgeted(rows: DataFrame, limits: Limits, truncated: list[bool]) -> DataFrame:
     """A document's evidence (without text) within chunks and characters; notes whether something was left out."""
     kept = _held(R.budget(rows, ["ordinal", "chunk_id"], limits.context_chars, limits.context_chunks).drop("text"))
-    truncated.append(kept.count() < rows.limit(limits.context_chunks + 1).count())
+    truncated.append(kept.held < rows.limit(limits.context_chunks + 1).count())
     return kept
 
 
@@ -288,20 +292,25 @@ def _context(corpus: Corpus, results: DataFrame, anchors: DataFrame, agreed: Dat
     below them) of agreed results in one, and neighbours in results' sections. Seeds are left out before anything is counted."""
     evidence = corpus.chunks.where("role = 'content_evidence'")
     own = ["chunk_id", "path", "char_start", "char_end"]
-    document = A.single_document(anchors)
-    whole = evidence.join(F.broadcast(_held(document)), "document_id", "left_semi")
-    parts = [_budgeted(whole, limits, truncated).select(*own)]
+    parts = []
+    document = _held(A.single_document(anchors))
+    if document.held:
+        whole = evidence.join(F.broadcast(document), "document_id", "left_semi")
+        parts.append(_budgeted(whole, limits, truncated).select(*own))
     document = _held(A.single_document(agreed))
-    inside = corpus.chunks.join(F.broadcast(document), "document_id", "left_semi")
-    wanted = _held(agreed.select("section_id").distinct())
-    if corpus.sections is not None:
-        spans = corpus.sections.join(F.broadcast(wanted), "section_id", "left_semi").join(inside.select("section_id", "document_id").distinct(), "section_id")
-    else:
-        spans = inside.join(F.broadcast(wanted), "section_id", "left_semi").groupBy("document_id", "section_id").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end"))
-    spans = _held(spans.select("document_id", "span_start", "span_end").distinct())
-    held = within(inside.where("role = 'content_evidence'"), spans, "document_id").select(*corpus.chunks.columns).distinct()
-    parts.append(_budgeted(held.join(F.broadcast(agreed.select("chunk_id")), "chunk_id", "left_anti"), limits, truncated).select(*own))
-    near = R.section_context(results, evidence.join(F.broadcast(results.select("section_id").distinct()), "section_id", "left_semi"))
-    parts.append(near.orderBy("section_id", "ordinal", "chunk_id").limit(2 * results.count()).select(*own))
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct().join(results.select("chunk_id"), "chunk_id", "left_anti")
+    if document.held:
+        inside = corpus.chunks.join(F.broadcast(document), "document_id", "left_semi")
+        wanted = _held(agreed.select("document_id", "section_id").distinct())
+        if corpus.sections is not None:
+            spans = corpus.sections.join(F.broadcast(wanted), "section_id").select("document_id", "span_start", "span_end")
+        else:
+            spans = inside.join(F.broadcast(wanted.select("section_id")), "section_id", "left_semi").groupBy("document_id", "section_id").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end")).drop("section_id")
+        held = within(inside.where("role = 'content_evidence'"), _held(spans.distinct()), "document_id").select(*corpus.chunks.columns).distinct()
+        parts.append(_budgeted(held.join(F.broadcast(agreed.select("chunk_id")), "chunk_id", "left_anti"), limits, truncated).select(*own))
+    if results.held:
+        near = R.section_context(results, evidence.join(F.broadcast(results.select("section_id").distinct()), "section_id", "left_semi"))
+        parts.append(near.orderBy("section_id", "ordinal", "chunk_id").limit(2 * results.held).select(*own))
+    if not parts:
+        return _held(results.select("nth", "chunk_id").limit(0))
+    rows = reduce(DataFrame.unionByName, parts).distinct().join(results.select("chunk_id"), "chunk_id", "left_anti")
     return _held(_nth(rows, casefold(F.col("path")), "char_start", "char_end", F.col("chunk_id").cast("string")).select("nth", "chunk_id"))
