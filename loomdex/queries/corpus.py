@@ -238,14 +238,14 @@ _POINTS = "points AS (SELECT doc_id, unnest([10, 250, 900]) AS at FROM documents
 @query(f"WITH {CHUNKS}, {_POINTS} SELECT p.doc_id, CAST(p.at AS BIGINT) AS at, c.chunk_id FROM points p JOIN chunks_m c ON c.section_id = p.doc_id AND p.at >= char_start AND p.at < char_end")
 def tag_to_chunk(spark, d):
     points = table(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (10, 250, 900)])).alias("at"))
-    return C.inside(points, chunks(spark, d).withColumnRenamed("section_id", "doc_id").select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id", "at").select("doc_id", "at", "chunk_id")
+    return I.inside(points, chunks(spark, d).withColumnRenamed("section_id", "doc_id").select("doc_id", "chunk_id", "char_start", "char_end"), "doc_id", "at").select("doc_id", "at", "chunk_id")
 
 
 @query(f"WITH {CHUNKS}, {_POINTS} SELECT p.doc_id, CAST(p.at AS BIGINT) AS at, arg_min(c.chunk_id, c.ordinal) AS chunk_id FROM points p LEFT JOIN chunks_m c ON c.section_id = p.doc_id AND p.at >= char_start AND p.at < char_end GROUP BY ALL")
 def link_to_first_chunk(spark, d):
     points = table(spark, d, "documents").select("doc_id", F.explode(F.array(*[F.lit(x).cast("long") for x in (10, 250, 900)])).alias("at"))
-    spans = chunks(spark, d).select(F.col("section_id").alias("doc_id"), "chunk_id", "ordinal", "char_start", "char_end")
-    return C.first_inside(points, spans, "doc_id", "at", "chunk_id", "ordinal")
+    held = chunks(spark, d).select(F.col("section_id").alias("doc_id"), "chunk_id", "ordinal", "char_start", "char_end")
+    return I.first_inside(points, held, "doc_id", "at", "chunk_id", "ordinal")
 
 
 @query(f"WITH {CHUNKS} SELECT section_id AS doc_id, CASE WHEN bool_and(length(text) < 40) THEN 'structural_anchor' ELSE 'content_evidence' END AS role FROM chunks_m GROUP BY 1")
