@@ -11,6 +11,8 @@ from ..operators import answers as A
 from ..operators import ontology as O
 from ..operators import state as S
 from ..operators import writers as W
+from ..operators.lineage import scratch
+from ..streaming import leases, snapshots
 from . import query
 from .model import CHUNKS, chunks, table
 
@@ -161,6 +163,31 @@ def lease_recovery_fold(spark, d):
     return S.recover(jobs, now).select("job_id", "status")
 
 
+@query(f"WITH {_JOBS}, late AS (SELECT max(ts) - INTERVAL 2 HOUR AS now FROM events) SELECT job_id, CASE WHEN status = 'running' AND date_trunc('millisecond', updated_at + INTERVAL 1 HOUR) <= date_trunc('millisecond', now) THEN CASE WHEN attempts >= 5 THEN 'failed' ELSE 'queued' END ELSE status END AS status, attempts FROM jobs_m, late")
+def lease_timers(spark, d):
+    """The job log as a stream: what its last events and its timers leave, at a watermark two hours behind."""
+    path = scratch(spark, "leases")
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "queued").when(kind.isin("signup", "click"), "running").when(kind == "purchase", "succeeded").otherwise("failed")
+    events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")  # a pattern may match a file as well as a folder
+    log = events.select(F.col("user_id").alias("job_id"), "event_id", "ts", status.alias("status"))
+    stream = leases.lease_transitions(log).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows").groupBy("job_id").agg(F.max_by("status", F.struct("at", "attempts")).alias("status"), F.max("attempts").alias("attempts"))
+
+
+@query("SELECT 'd' || doc_id AS key, CASE WHEN doc_id % 5 = 1 THEN 'deleted' ELSE 'active' END AS lifecycle, CASE WHEN doc_id % 3 = 0 AND doc_id % 5 <> 1 AND doc_id % 5 <> 0 THEN 'g' ELSE 'h' END || doc_id AS hash FROM documents")
+def scan_stream(spark, d):
+    """Two scans as a stream: between them some documents came, some changed, some went."""
+    path = scratch(spark, "scans")
+    docs = table(spark, d, "documents")
+    n, key = F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("key")
+    for scanned, mark in ((docs.where(n % 5 != 0), F.lit("h")), (docs.where(n % 5 != 1), F.when((n % 3 == 0) & (n % 5 != 0), "g").otherwise("h"))):
+        scanned.select(key, F.concat(mark, n.cast("string")).alias("hash"), F.lit(False).alias("failed")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        snapshots.follow(spark, f"{path}/in", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{path}/out/states/batch=1").select("key", "lifecycle", "hash")
+
+
 @query("""WITH cur AS (SELECT 'c' || doc_id AS chunk_id, doc_id % 3 AS generation FROM documents WHERE doc_id % 3 <> 0), pro AS (SELECT 'c' || doc_id AS chunk_id, doc_id % 4 AS generation, CASE WHEN doc_id % 5 = 0 THEN 'deleted' ELSE 'current' END AS status FROM documents WHERE doc_id % 2 = 0),
     sent AS (SELECT 'qdrant:chunk:' || chunk_id || ':' || generation || ':upsert:p1' AS key FROM pro WHERE status <> 'deleted'),
     ops AS (SELECT chunk_id, 'upsert' AS op, generation FROM cur UNION ALL SELECT chunk_id, 'delete', generation + 1 FROM pro WHERE status <> 'deleted' AND chunk_id NOT IN (SELECT chunk_id FROM cur)),

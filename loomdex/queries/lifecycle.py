@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import cascade as Z
 from ..operators import gates, graph
 from ..operators import hydrate as H
 from ..operators import lifecycle as L
+from ..operators import links as Y
 from ..operators import ontology as O
 from ..operators import scan
 from ..operators import sketches as K
+from ..operators import snapshots as N
 from ..operators import views as V
+from ..operators.lineage import scratch
 from . import query
 from .model import CHUNKS, CURRENT, MODEL, chunks, documents, table, versions
 
@@ -325,6 +329,79 @@ def snapshot_hash(spark, d):
     return graph.canonical_hash(nodes, nation.select(n.alias("source_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_id")))
 
 
+@query("""WITH n AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation), s AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'n' || s_nationkey AS nation FROM supplier),
+    t AS (SELECT '{"nodes":{"Nation":[' || (SELECT string_agg('{"id":"' || id || '","managed":true,"name":"' || name || '"}', ',' ORDER BY id) FROM n) || '],"Supplier":[' || (SELECT string_agg('{"id":"' || id || '","managed":true,"name":"' || name || '"}', ',' ORDER BY id) FROM s)
+        || ']},"relationships":{"LOCATED_IN":[' || (SELECT string_agg('{"properties":{"by":"nation"},"source_id":"' || id || '","target_id":"' || nation || '"}', ',' ORDER BY id, nation) FROM s) || ']}}' AS text)
+    SELECT (SELECT count(*) FROM n) + 2 * (SELECT count(*) FROM s) AS n_objects, sha256(text) AS sha256 FROM t""")
+def snapshot_model_hash(spark, d):
+    own = lambda name, p, key, shown: table(spark, d, name).select(F.concat(F.lit(p), F.col(key).cast("string")).alias("id"), F.lit(True).alias("managed"), F.col(shown).alias("name"))
+    located = table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("source_id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("target_id"), F.create_map(F.lit("by"), F.lit("nation")).alias("properties"))
+    return N.snapshot_sha256({"Nation": own("nation", "n", "n_nationkey", "n_name"), "Supplier": own("supplier", "s", "s_suppkey", "s_name")}, {"LOCATED_IN": located})
+
+
+@query("""SELECT o_orderstatus AS part, count(*) AS n, count(*) FILTER (o_orderkey % 100 = 7) AS changed FROM orders WHERE o_orderkey % 50 <> 3 GROUP BY 1""")
+def snapshot_generations(spark, d):
+    """A generation is written, and then brought to the next, in which some objects changed and some went."""
+    path = scratch(spark, "generation")
+    orders = table(spark, d, "orders").select(F.col("o_orderstatus").alias("part"), F.col("o_orderkey").cast("string").alias("id"), F.lit("old").alias("body"))
+    N.write_generation(orders, path, 64)
+    key = F.col("id").cast("long")
+    N.write_generation(orders.where(key % 50 != 3).withColumn("body", F.when(key % 100 == 7, "new").otherwise(F.col("body"))), path, 64)
+    return N.read_generation(spark, path).groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("body") == "new").alias("changed"))
+
+
+_NOTES = """notes AS (SELECT doc_id, source || '/' || lang || '/' || (doc_id % 700) || '.md' AS path, lang, source, (doc_id * 7 + 1) % 900 AS other FROM documents),
+    suffixes AS (SELECT doc_id, CAST(doc_id % 700 AS VARCHAR) AS suffix, false AS whole FROM notes WHERE path IS NOT NULL UNION ALL SELECT doc_id, lang || '/' || (doc_id % 700), false FROM notes WHERE path IS NOT NULL UNION ALL SELECT doc_id, source || '/' || lang || '/' || (doc_id % 700), true FROM notes WHERE path IS NOT NULL),
+    asked AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN CAST(other AS VARCHAR) WHEN 1 THEN lang || '/' || other || '.md' WHEN 2 THEN source || '/' || lang || '/' || other ELSE 'https://x.org/' || other END AS target FROM notes),
+    hits AS (SELECT a.doc_id, count(*) AS n, count(*) FILTER (whole) AS n_whole, min(s.doc_id) AS any_hit, min(s.doc_id) FILTER (whole) AS exact FROM asked a JOIN suffixes s ON s.suffix = lower(regexp_replace(a.target, '[.]md$', '')) GROUP BY 1),
+    linked AS (SELECT a.doc_id, a.target, coalesce(n, 0) AS n, CASE WHEN target IS NULL THEN a.doc_id WHEN n_whole = 1 THEN exact WHEN n = 1 THEN any_hit END AS found FROM asked a LEFT JOIN hits USING (doc_id))"""
+
+
+def _notes(spark, d):
+    docs = table(spark, d, "documents")
+    key = lambda x: F.col(x) if isinstance(x, str) else x.cast("string")
+    stem, other = F.col("doc_id") % 700, (F.col("doc_id") * 7 + 1) % 900
+    join = lambda *parts: F.concat(*[p for part in parts for p in (F.lit("/"), key(part))][1:])
+    notes = docs.select(F.col("doc_id").alias("document_id"), F.lit("v").alias("vault_id"), F.concat(join("source", "lang", stem), F.lit(".md")).alias("path"))
+    n = F.col("doc_id") % 4
+    target = F.when(n == 0, key(other)).when(n == 1, F.concat(join("lang", other), F.lit(".md"))).when(n == 2, join("source", "lang", other)).otherwise(F.concat(F.lit("https://x.org/"), key(other)))
+    links = docs.select(F.col("doc_id").alias("link_id"), F.col("doc_id").alias("document_id"), F.lit("wikilink").alias("kind"), target.alias("target"), F.lit(None).cast("string").alias("heading"))
+    return notes, links, docs.select(F.col("doc_id").alias("document_id"), F.lit("top").alias("heading"))
+
+
+@query(f"""WITH {_NOTES} SELECT doc_id AS link_id, CASE WHEN target LIKE 'https:%' THEN 'external' WHEN found IS NOT NULL THEN 'resolved' WHEN n > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status, found AS target_document_id, n AS n_targets FROM linked""")
+def links_resolved(spark, d):
+    notes, links, sections = _notes(spark, d)
+    return Y.resolve_links(links, notes, sections).drop("anchor_found")
+
+
+@query(f"WITH {_NOTES} SELECT 'LINKS_TO' AS label, count(*) AS n FROM linked WHERE found IS NOT NULL UNION ALL SELECT 'Document', count(*) FROM notes")
+def links_in_snapshot(spark, d):
+    """The LINKS_TO edges of a snapshot whose links are resolved, which callers ask for."""
+    notes, links, sections = _notes(spark, d)
+    edges = Y.links_to(links, Y.resolve_links(links, notes, sections))
+    name = lambda c: F.col(c).cast("string")
+    nodes, edges = graph.snapshot({"Document": notes.select(name("document_id").alias("id"))}, {"LINKS_TO": edges.select(name("document_id").alias("source_id"), name("target_document_id").alias("target_id"))})
+    return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.col("type").alias("label")).agg(F.count("*").alias("n")))
+
+
+@query(f"""WITH {KNOWLEDGE}, gone AS (SELECT chunk_id FROM chunks_m WHERE section_id % 25 < 5 OR section_id % 4 = 0), ge AS (SELECT evidence_id FROM evidence_m WHERE chunk_id IN (SELECT chunk_id FROM gone)),
+    dead AS (SELECT entity_id FROM mentions_m GROUP BY 1 HAVING bool_and(evidence_id IN (SELECT evidence_id FROM ge)))
+    SELECT 'chunks' AS part, count(*) AS n FROM gone UNION ALL SELECT 'evidence', count(*) FROM ge UNION ALL SELECT 'entities', count(*) FROM entities_m SEMI JOIN dead USING (entity_id) UNION ALL SELECT 'aliases', count(*) FROM aliases_m SEMI JOIN dead USING (entity_id)
+    UNION ALL SELECT 'mentions', count(*) FROM mentions_m WHERE evidence_id IN (SELECT evidence_id FROM ge) UNION ALL SELECT 'claims', count(*) FROM claims_m WHERE evidence_id IN (SELECT evidence_id FROM ge)
+    UNION ALL SELECT 'assertions', count(*) FROM assertions_m WHERE evidence_id IN (SELECT evidence_id FROM ge) OR source_id IN (SELECT entity_id FROM dead) OR target_id IN (SELECT entity_id FROM dead)""")
+def cascade_deleted(spark, d):
+    """What goes with the chunks of some documents: the last mentions of five entities are among it."""
+    k = Knowledge(spark, d)
+    tables = {"chunks": k.chunks, "evidence": k.evidence, "entities": k.entities, "mentions": k.mentions.withColumn("mention_id", F.col("evidence_id")), "aliases": k.aliases.withColumn("alias_id", F.concat("entity_id", F.lit(":"), "alias")), "assertions": k.assertions, "claims": k.claims.withColumn("subject_id", F.lit(None).cast("string"))}
+    went, _ = Z.cascade(tables, Z.support(k.mentions), k.chunks.where("section_id % 25 < 5 OR section_id % 4 = 0"))
+    out = None
+    for name, keys in went.items():
+        row = keys.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query("SELECT event_type, true AS close FROM events GROUP BY 1")
 def distinct_sketches(spark, d):
     """Sketches by day and type, merged by type, against exact counts."""

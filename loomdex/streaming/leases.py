@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "status string, ts long, event_id long, attempts long"
@@ -46,5 +47,5 @@ def lease_transitions(log: DataFrame, lease_seconds: int = 3600, most_attempts:
             state.setTimeoutTimestamp(max(ends, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "attempts": [attempts], "at": [pd.Timestamp(at, unit="us")]})
 
-    rows = log.select("job_id", "event_id", "ts", "status").withWatermark("ts", late)
+    rows = log.select("job_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "status").withWatermark("ts", late)
     return rows.groupBy("job_id").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
