@@ -195,7 +195,7 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
     warnings: list[str] = []
     none = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     keyword = none if strategy == "semantic" else R.keyword_topk(chunks, query, most)
-    keyword = _held(_nth(keyword, *_best(), name="rank"))
+    keyword = _held(_nth(keyword, F.desc("score"), "chunk_id", name="rank"))
     semantic = none
     if strategy != "keyword":
         if corpus.vectors is None or vector is None:
@@ -207,7 +207,7 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
             semantic = _held(hits.join(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left_semi"))
             if semantic.held < hits.held:
                 warnings.append("stale_projection_filtered")
-    semantic = _held(_nth(semantic, *_best(), name="rank"))
+    semantic = _held(_nth(semantic, F.desc("score"), "chunk_id", name="rank"))
     listed = lambda name, df: df.select(F.lit(name).alias("channel"), F.col("chunk_id").alias("id"), "rank")
     ranks = listed("keyword", keyword).unionByName(listed("semantic", semantic))
     empty = chunks.select("chunk_id", F.lit(0).cast("long").alias("rank")).limit(0)
@@ -238,13 +238,13 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
         truncated.append(not alone and kept.held < ranks.held)
         ranks = _held(_nth(kept.withColumnRenamed("rank", "_was"), "_was", by="channel", name="rank").drop("_was"))
     if alone:
-        score = (keyword if strategy == "keyword" else semantic).select("chunk_id", "score")
+        score = (keyword if strategy == "keyword" else semantic).withColumnRenamed("rank", "place")
     else:
-        score = R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score")
+        score = _nth(R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score"), *_best(), name="place")
     by = ranks.groupBy(F.col("id").alias("chunk_id")).agg(F.array_sort(F.collect_set("channel")).alias("channels"))
     place = chunks.select("chunk_id", "document_id", "section_id", "ordinal", "path", "role").join(F.broadcast(score), "chunk_id")
     ranked = _held(place.join(by, "chunk_id").withColumn("stem", R.is_navigation(F.col("path"))))
-    results = _held(_nth(ranked.where("role = 'content_evidence'"), *_best()))
+    results = _held(_nth(ranked.where("role = 'content_evidence'"), "place"))
     truncated.append(results.held > limits.results)
     results = _held(results.where(F.col("nth") <= limits.results))
     anchors = ranked.where("role = 'structural_anchor' AND NOT stem")
