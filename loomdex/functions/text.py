@@ -92,19 +92,30 @@ def _address(v: str) -> str | None:
         return None
 
 
+def _beyond(function, column: Column, easy: Column, own: Column) -> Column:
+    """``own`` where built-ins will do, the function elsewhere; it is handed nulls for the rest."""
+    return F.when(easy, own).otherwise(_each(function, F.when(~easy, column)))
+
+
+def _ascii(column: Column) -> Column:
+    return F.length(column) == F.octet_length(column)
+
+
 def nfkc(column: Column) -> Column:
-    """Unicode compatibility composition; there is no built-in."""
-    return _each(_nfkc, column)
+    """Unicode compatibility composition, which changes no ASCII; there is no built-in."""
+    return _beyond(_nfkc, column, _ascii(column), column)
 
 
 def normal_name(name: Column) -> Column:
     """Compatibility form, case folded, trimmed, inner white space as one space."""
-    return _each(_name, name)
+    own = F.trim(F.regexp_replace(F.lower(name), r"[\s\x1c-\x1f]+", " "))
+    return _beyond(_name, name, _ascii(name), own)
 
 
 def compressed_address(value: Column) -> Column:
     """The short spelling of an IPv4 or IPv6 address; null where it isn't one."""
-    return _each(_address, value)
+    byte = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    return _beyond(_address, value, ~F.contains(value, F.lit(":")), F.when(value.rlike(rf"\A{byte}([.]{byte}){{3}}\z"), value))
 
 
 def is_loopback(host: Column) -> Column:

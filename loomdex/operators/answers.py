@@ -44,11 +44,9 @@ def first_sources(hits: DataFrame, by: str, order: str) -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def truncated(*conditions: Column) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | F.coalesce(c, F.lit(False))
-    return out
+def limited(rows: DataFrame, most: int) -> DataFrame:
+    """One row ``truncated, n``: whether there are more than ``most`` rows, and how many are shown; one more than that is read."""
+    return rows.limit(most + 1).agg((F.count("*") > most).alias("truncated"), F.least(F.count("*"), F.lit(most)).alias("n"))
 
 
 def case_checks(answers: DataFrame) -> DataFrame:

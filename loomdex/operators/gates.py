@@ -20,12 +20,6 @@ def current_chunks(chunks: DataFrame, documents: DataFrame, versions: DataFrame,
     return chunks.join(current.select("version_id", "document_id", "vault_id"), "version_id")
 
 
-def current_evidence(evidence: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Evidence that was located exactly and whose chunk still has the text that it was taken from."""
-    fits = (evidence.chunk_id == chunks.chunk_id) & (evidence.chunk_hash == chunks.content_hash)
-    return evidence.where("exact").join(chunks, fits, "left_semi")
-
-
 def latest(df: DataFrame, by: list[str], order: str, *columns: str) -> DataFrame:
     """The columns of each key's row with the largest ``order``: one partial aggregate, no window."""
     return df.groupBy(*by).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*by, "r.*")

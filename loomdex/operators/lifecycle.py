@@ -36,21 +36,23 @@ def summary(candidates: DataFrame, *by: str) -> DataFrame:
     return candidates.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def answer_schema(types: list[str], predicates: list[str]) -> dict:
+def answer_schema(types: list[str], predicates: list[str], scopes: list[str], kinds: list[str], layers: list[str]) -> dict:
     """The JSON schema of a model's answer, small enough for a grammar, with the ontology's codes as enums."""
     text = {"type": "string"}
     proof = {"type": "object", "properties": {"quote": text, "quote_occurrence": {"type": "integer"}}, "required": ["quote", "quote_occurrence"], "additionalProperties": False}
 
     def many(most: int, **fields) -> dict:
-        item = {"type": "object", "properties": fields | {"evidence": proof}, "required": sorted([*fields, "evidence"]), "additionalProperties": False}
+        item = {"type": "object", "properties": fields | {"evidence": proof}, "required": [*fields, "evidence"], "additionalProperties": False}
         return {"type": "array", "maxItems": most, "items": item}
 
+    maybe, kind = {"type": ["string", "null"]}, {"type": "string", "enum": list(kinds)}
+    of = lambda codes: {"type": "string", "enum": list(codes)}
     parts = {
-        "entities": many(MOST_ENTITIES, local_id=text, name=text, type={"type": "string", "enum": types}),
-        "relationships": many(MOST_RELATIONSHIPS, source=text, target=text, predicate={"type": "string", "enum": predicates}),
-        "claims": many(MOST_CLAIMS, claim=text),
+        "entities": many(MOST_ENTITIES, local_id=text, name=text, entity_type=of(types), entity_subtype=maybe, proposed_subtype=maybe, scope=of(scopes), assertion_kind=kind),
+        "relationships": many(MOST_RELATIONSHIPS, subject_local_id=text, predicate=of(predicates), object_local_id=text, assertion_kind=kind, network_layer={"enum": [*layers, None]}),
+        "claims": many(MOST_CLAIMS, text=text, assertion_kind=kind),
     }
-    return {"type": "object", "properties": parts, "required": sorted(parts), "additionalProperties": False}
+    return {"type": "object", "properties": parts, "required": list(parts), "additionalProperties": False}
 
 
 def register(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -17,6 +17,20 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in any store that Spark reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A few rows, which a limit bounds, as a local table: its size is known, so joins broadcast it."""
+    rows = df.toArrow()
+    out = df.sparkSession.createDataFrame(rows, df.schema)
+    out.held = rows.num_rows
+    return out
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     sc = df.sparkSession.sparkContext

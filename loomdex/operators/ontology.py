@@ -84,11 +84,6 @@ def envelope_errors(e: Column) -> Column:
     return F.array_sort(F.array_compact(errors))
 
 
-def item_errors(items: DataFrame, types: DataFrame, column: str = "type", code: str = "unknown_type") -> DataFrame:
-    """Items whose type isn't in the ontology's dimension table, with the code."""
-    return items.join(types.select(F.col("code").alias(column)), column, "left_anti").withColumn("error", F.lit(code))
-
-
 def rule_extract(chunks: DataFrame, names: DataFrame) -> DataFrame:
     """A deterministic stand-in for a model: mentions (chunk_id, entity_id) of known names by token equality.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settle
+
 
 def hash_needed(full_rehash: bool = False) -> Column:
     """Whether a scanned file must be hashed: new, or its size or time changed. Columns as ``diff`` joins them."""
@@ -27,7 +29,7 @@ def diff(previous: DataFrame, current: DataFrame) -> DataFrame:
     """
     old = previous.select(F.col("key"), F.col("hash").alias("old_hash"))
     new = current.select("key", F.col("hash").alias("new_hash"), F.coalesce("failed", F.lit(False)).alias("failed"))
-    both = old.join(new, "key", "full")
+    both = settle(old.join(new, "key", "full"))  # seven branches read it
     gone = both.where("new_hash IS NULL AND failed IS NULL").select("key", F.col("old_hash").alias("hash"))
     came = both.where("old_hash IS NULL AND NOT failed").select("key", F.col("new_hash").alias("hash"))
     left = gone.groupBy("hash").agg(F.count("*").alias("n_gone"), F.min("key").alias("gone_key"))

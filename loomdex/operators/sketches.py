@@ -14,8 +14,3 @@ def distinct_sketches(rows: DataFrame, by: list[str], column: str, bits: int = 1
 def distinct_estimates(sketches: DataFrame, *by: str) -> DataFrame:
     """``by, n``: estimates of the union of sketches, by fewer columns than they were made with."""
     return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))
-
-
-def quantiles(rows: DataFrame, by: list[str], column: str, shares: list[float], accuracy: int = 10_000) -> DataFrame:
-    """``by, quantiles``: approximate quantiles with a rank error of 1 / accuracy."""
-    return rows.groupBy(*by).agg(F.percentile_approx(column, shares, accuracy).alias("quantiles"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import MOST_OBJECTS
+from .lineage import exists
 
 #: Ranges of a tree.
 RANGES = 1024
@@ -122,11 +123,7 @@ def write_generation(objects: DataFrame, path: str, ranges: int = RANGES) -> lis
 
 
 def _leaves_at(spark: SparkSession, path: str) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return None
-    return spark.createDataFrame(spark.read.parquet(path).collect(), "range int, n long, digest string")
+    return spark.createDataFrame(spark.read.parquet(path).collect(), "range int, n long, digest string") if exists(spark, path) else None
 
 
 def read_generation(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import exists, settle
 
-def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "document_id") -> None:
-    """Replace the derived rows of the documents in ``new`` and leave all others: each document is a
-    partition, so a retry overwrites the same ones and nothing else."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+
+def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
+    """Replace the derived rows of the documents in ``new`` and leave all others.
+
+    Rows lie in folders by a hash of their document. Folders that ``new`` touches are written
+    again whole, from what they held of other documents and from ``new``; a retry gives the same.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = new.withColumn("bucket", bucket)
+    if exists(spark, path):
+        touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
+        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(new.select(key).distinct(), key, "left_anti")
+        rows = settle(old.select(*rows.columns).unionByName(rows))  # what is overwritten can't be read meanwhile
+    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def supersede(versions: DataFrame, stored: DataFrame) -> DataFrame:
@@ -21,11 +32,6 @@ def supersede(versions: DataFrame, stored: DataFrame) -> DataFrame:
     return kept.unionByName(stored.join(versions, ["document_id", "version_id"], "left_anti").select("document_id", "version_id", F.lit("ready").alias("status")))
 
 
-def delete_derived(derived: DataFrame, versions: DataFrame) -> DataFrame:
-    """Derived rows (version_id, ...) without those of the given versions."""
-    return derived.join(versions.select("version_id"), "version_id", "left_anti")
-
-
 def soft_delete(documents: DataFrame, gone: DataFrame) -> DataFrame:
     """Documents of ``gone`` become deleted and lose their current version."""
     mark = gone.select("document_id").distinct().withColumn("_gone", F.lit(True))

@@ -20,6 +20,7 @@ from ..operators import answers as A
 from ..operators import graph as G
 from ..operators import hydrate as H
 from ..operators import search as R
+from ..operators.lineage import held
 from ..operators.spans import within
 from ..operators.writers import audit_row
 
@@ -112,14 +113,6 @@ class Found:
         return Answer(self.query_type, self.reason, chunks, [r.chunk_id for r in listed(self.context)], listed(self.entities), listed(self.relationships), listed(self.claims), listed(self.paths), self.warnings, self.truncated)
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """A step's rows, which the request's limits bound, as a local table: its size is known, so joins broadcast it."""
-    rows = df.toArrow()
-    out = df.sparkSession.createDataFrame(rows, df.schema)
-    out.held = rows.num_rows
-    return out
-
-
 def _nth(df: DataFrame, *order: Column | str, by: str | None = None, name: str = "nth") -> DataFrame:
     """Rows numbered from 1 in an order; they are few."""
     window = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
@@ -146,7 +139,7 @@ class _Graph:
         spark = seeds.sparkSession
         self.warnings: list[str] = []
         found = H.entity_seeds(corpus.entities, corpus.aliases, corpus.mentions, corpus.chunks, terms, seeds, limits.entities)
-        named = _held(_nth(H.graph_seeds(found), F.desc("score"), casefold(F.col("name")), "entity_id"))
+        named = held(_nth(H.graph_seeds(found), F.desc("score"), casefold(F.col("name")), "entity_id"))
         self.named = named.held > 0
         paths = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long")
         if self.named and corpus.assertions is None:
@@ -154,28 +147,28 @@ class _Graph:
         elif self.named:
             edges = corpus.assertions.select("source_id", "target_id", F.col("assertion_id").alias("edge_id"), "predicate")
             paths = G.expand(edges, named.select(F.col("entity_id").alias("id")), limits.hops, limits.paths + 1)
-        paths = _held(_nth(paths, "hops", "nodes", "edges").withColumn("path_id", F.array_join("edges", "\n")))
+        paths = held(_nth(paths, "hops", "nodes", "edges").withColumn("path_id", F.array_join("edges", "\n")))
         self.truncated = paths.held > limits.paths
-        paths = _held(paths.where(F.col("nth") <= limits.paths)) if self.truncated else paths
+        paths = held(paths.where(F.col("nth") <= limits.paths)) if self.truncated else paths
         used = paths.select(F.explode("edges").alias("assertion_id")).distinct()
-        held = _held(corpus.current_assertions.join(F.broadcast(used), "assertion_id", "left_semi").drop("text"))
-        kept = _held(paths.join(H.enrich_paths(paths.select("path_id", "edges"), held).drop("predicates"), "path_id"))
+        current = held(corpus.current_assertions.join(F.broadcast(used), "assertion_id", "left_semi").drop("text"))
+        kept = held(paths.join(H.enrich_paths(paths.select("path_id", "edges"), current).drop("predicates"), "path_id"))
         if kept.held < paths.held:
             self.warnings.append("stale_graph_filtered")
         self.paths = kept
-        steps = kept.select("nth", F.posexplode("edges").alias("b", "assertion_id")).join(held, "assertion_id")
-        self.relationships = held.join(steps.select("assertion_id").distinct(), "assertion_id", "left_semi")
+        steps = kept.select("nth", F.posexplode("edges").alias("b", "assertion_id")).join(current, "assertion_id")
+        self.relationships = current.join(steps.select("assertion_id").distinct(), "assertion_id", "left_semi")
         own = named.select(F.col("nth").alias("a"), F.posexplode("source_chunk_ids").alias("b", "chunk_id"))
-        self.chunks = _held(_first([own, steps.select("chunk_id", F.col("nth").alias("a"), "b")]))
+        self.chunks = held(_first([own, steps.select("chunk_id", F.col("nth").alias("a"), "b")]))
         met = kept.select(F.explode(F.array_distinct("nodes")).alias("entity_id"), "source_chunk_ids").groupBy("entity_id").agg(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids"))).alias("more"))
         names = corpus.entities.select("entity_id", F.col("name").alias("own_name")).join(F.broadcast(met.select("entity_id")), "entity_id", "left_semi")
         both = named.drop("nth").join(met, "entity_id", "full").join(names, "entity_id", "left").where("name IS NOT NULL OR own_name IS NOT NULL")
         sources = lambda c: F.coalesce(c, F.array().cast(named.schema["source_chunk_ids"].dataType))
         all_of = F.array_sort(F.array_distinct(F.concat(sources("source_chunk_ids"), sources("more"))))
         merged = both.select("entity_id", F.coalesce("name", "own_name").alias("name"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("channels", F.array(F.lit("graph"))).alias("channels"), all_of.alias("source_chunk_ids"))
-        self.entities = _held(_nth(merged, F.desc("score"), casefold(F.col("name")), "entity_id"))
+        self.entities = held(_nth(merged, F.desc("score"), casefold(F.col("name")), "entity_id"))
         seen = self.entities.where(F.exists("channels", lambda c: c != "graph")).select(F.col("nth").alias("a"), F.posexplode("source_chunk_ids").alias("b", "chunk_id"))
-        self.entity_chunks = _held(_first([seen.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi")]))
+        self.entity_chunks = held(_first([seen.join(self.chunks.select("chunk_id"), "chunk_id", "left_semi")]))
 
 
 def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str = "hybrid", limits: Limits | None = None, vault: str | None = None) -> Found:
@@ -195,7 +188,7 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
     warnings: list[str] = []
     none = chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
     keyword = none if strategy == "semantic" else R.keyword_topk(chunks, query, most)
-    keyword = _held(_nth(keyword, F.desc("score"), "chunk_id", name="rank"))
+    keyword = held(_nth(keyword, F.desc("score"), "chunk_id", name="rank"))
     semantic = none
     if strategy != "keyword":
         if corpus.vectors is None or vector is None:
@@ -203,64 +196,64 @@ def find(corpus: Corpus, query: str, vector: list[float] | None, strategy: str =
                 raise ValueError("the semantic channel is down")
             warnings.append("semantic_unavailable")
         else:
-            hits = _held(R.vector_topk(corpus.vectors, vector, most, "chunk_id"))
-            semantic = _held(hits.join(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left_semi"))
+            hits = held(R.vector_topk(corpus.vectors, vector, most, "chunk_id"))
+            semantic = held(hits.join(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"), "chunk_id", "left_semi"))
             if semantic.held < hits.held:
                 warnings.append("stale_projection_filtered")
-    semantic = _held(_nth(semantic, F.desc("score"), "chunk_id", name="rank"))
+    semantic = held(_nth(semantic, F.desc("score"), "chunk_id", name="rank"))
     listed = lambda name, df: df.select(F.lit(name).alias("channel"), F.col("chunk_id").alias("id"), "rank")
     ranks = listed("keyword", keyword).unionByName(listed("semantic", semantic))
     empty = chunks.select("chunk_id", F.lit(0).cast("long").alias("rank")).limit(0)
-    graph, claims, claim_chunks, truncated = None, None, _held(empty), []
+    graph, claims, claim_chunks, truncated = None, None, held(empty), []
     if not alone:
         seeds = R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score")
-        seeds = _held(_nth(seeds, *_best(), name="rank").where(F.col("rank") <= most).select("chunk_id", "rank"))
+        seeds = held(_nth(seeds, *_best(), name="rank").where(F.col("rank") <= most).select("chunk_id", "rank"))
         graph = _Graph(corpus, list(asked.terms), seeds, limits)
         warnings += graph.warnings
         truncated.append(graph.truncated)
         ranks = ranks.unionByName(listed("graph", graph.chunks)).unionByName(listed("entity", graph.entity_chunks))
         if words := terms_of(query):
-            near = _held(_first([df.select("chunk_id", F.col("rank").alias("a"), F.lit(0).alias("b")) for df in (seeds, graph.chunks)]))
-            rows = _held(_nth(H.claim_candidates(corpus.current_claims, words, near, limits.claims + 1), F.desc("score"), "claim_id"))
+            near = held(_first([df.select("chunk_id", F.col("rank").alias("a"), F.lit(0).alias("b")) for df in (seeds, graph.chunks)]))
+            rows = held(_nth(H.claim_candidates(corpus.current_claims, words, near, limits.claims + 1), F.desc("score"), "claim_id"))
             truncated.append(rows.held > limits.claims)
             rows = rows.where(F.col("nth") <= limits.claims)
-            claims = _held(corpus.current_claims.drop("text").join(F.broadcast(rows.select("claim_id", "nth")), "claim_id"))
-            claim_chunks = _held(_first([claims.select("chunk_id", F.col("nth").alias("a"), F.lit(0).alias("b"))]))
+            claims = held(corpus.current_claims.drop("text").join(F.broadcast(rows.select("claim_id", "nth")), "claim_id"))
+            claim_chunks = held(_first([claims.select("chunk_id", F.col("nth").alias("a"), F.lit(0).alias("b"))]))
             ranks = ranks.unionByName(listed("claim", claim_chunks))
     strong = semantic.join(keyword.select("chunk_id"), "chunk_id", "left_semi").join(semantic.agg(F.max("score").alias("best")), F.col("score") >= 0.85 * F.col("best")).select("chunk_id")
-    strong = _held(strong)
-    ranks = _held(ranks)
+    strong = held(strong)
+    ranks = held(ranks)
     if strong.held:
         allowed = strong
         if graph is not None and graph.named:
             allowed = allowed.unionByName(graph.chunks.select("chunk_id")).unionByName(claim_chunks.select("chunk_id"))
-        kept = _held(ranks.join(allowed.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(*ranks.columns))
+        kept = held(ranks.join(allowed.select(F.col("chunk_id").alias("id")).distinct(), "id", "left_semi").select(*ranks.columns))
         truncated.append(not alone and kept.held < ranks.held)
-        ranks = _held(_nth(kept.withColumnRenamed("rank", "_was"), "_was", by="channel", name="rank").drop("_was"))
+        ranks = held(_nth(kept.withColumnRenamed("rank", "_was"), "_was", by="channel", name="rank").drop("_was"))
     if alone:
         score = (keyword if strategy == "keyword" else semantic).withColumnRenamed("rank", "place")
     else:
         score = _nth(R.reciprocal_rank_fusion(ranks).select(F.col("id").alias("chunk_id"), "score"), *_best(), name="place")
     by = ranks.groupBy(F.col("id").alias("chunk_id")).agg(F.array_sort(F.collect_set("channel")).alias("channels"))
     place = chunks.select("chunk_id", "document_id", "section_id", "ordinal", "path", "role").join(F.broadcast(score), "chunk_id")
-    ranked = _held(place.join(by, "chunk_id").withColumn("stem", R.is_navigation(F.col("path"))))
-    results = _held(_nth(ranked.where("role = 'content_evidence'"), "place"))
+    ranked = held(place.join(by, "chunk_id").withColumn("stem", R.is_navigation(F.col("path"))))
+    results = held(_nth(ranked.where("role = 'content_evidence'"), "place"))
     truncated.append(results.held > limits.results)
-    results = _held(results.where(F.col("nth") <= limits.results))
+    results = held(results.where(F.col("nth") <= limits.results))
     anchors = ranked.where("role = 'structural_anchor' AND NOT stem")
     agreed = results.where("NOT stem").join(strong, "chunk_id", "left_semi")
     context = _context(corpus, results, anchors, agreed, limits, truncated)
-    shown = _held(results.select("chunk_id").unionByName(context.select("chunk_id")))
+    shown = held(results.select("chunk_id").unionByName(context.select("chunk_id")))
     nothing = lambda df: _nth(df.limit(0), F.lit(1))
     if graph is None:
         relationships, claims = nothing(corpus.current_assertions.drop("text")), nothing(corpus.current_claims.drop("text"))
         paths = spark.createDataFrame([], "nodes array<string>, edges array<string>, hops long, nth long")
         entities = spark.createDataFrame([], "entity_id string, nth long")
     else:
-        relationships = _held(_nth(graph.relationships.join(shown, "chunk_id", "left_semi"), "assertion_id"))
+        relationships = held(_nth(graph.relationships.join(shown, "chunk_id", "left_semi"), "assertion_id"))
         claims = nothing(corpus.current_claims.drop("text")) if claims is None else claims.join(shown, "chunk_id", "left_semi")
         lost = graph.paths.select("path_id", F.explode("source_chunk_ids").alias("chunk_id")).join(shown, "chunk_id", "left_anti").select("path_id").distinct()
-        paths = _held(graph.paths.join(lost, "path_id", "left_anti"))
+        paths = held(graph.paths.join(lost, "path_id", "left_anti"))
         ends = relationships.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).unionByName(paths.select(F.explode("nodes").alias("entity_id")))
         seen = graph.entities.select("entity_id", F.explode("source_chunk_ids").alias("chunk_id")).join(shown, "chunk_id", "left_semi").select("entity_id")
         entities = graph.entities.join(ends.unionByName(seen).distinct(), "entity_id", "left_semi")
@@ -282,7 +275,7 @@ def audit(found: Found, query: str, strategy: str, started: datetime, ended: dat
 
 def _budgeted(rows: DataFrame, limits: Limits, truncated: list[bool]) -> DataFrame:
     """A document's evidence (without text) within chunks and characters; notes whether something was left out."""
-    kept = _held(R.budget(rows, ["ordinal", "chunk_id"], limits.context_chars, limits.context_chunks).drop("text"))
+    kept = held(R.budget(rows, ["ordinal", "chunk_id"], limits.context_chars, limits.context_chunks).drop("text"))
     truncated.append(kept.held < rows.limit(limits.context_chunks + 1).count())
     return kept
 
@@ -293,24 +286,24 @@ def _context(corpus: Corpus, results: DataFrame, anchors: DataFrame, agreed: Dat
     evidence = corpus.chunks.where("role = 'content_evidence'")
     own = ["chunk_id", "path", "char_start", "char_end"]
     parts = []
-    document = _held(A.single_document(anchors))
+    document = held(A.single_document(anchors))
     if document.held:
         whole = evidence.join(F.broadcast(document), "document_id", "left_semi")
         parts.append(_budgeted(whole, limits, truncated).select(*own))
-    document = _held(A.single_document(agreed))
+    document = held(A.single_document(agreed))
     if document.held:
         inside = corpus.chunks.join(F.broadcast(document), "document_id", "left_semi")
-        wanted = _held(agreed.select("document_id", "section_id").distinct())
+        wanted = held(agreed.select("document_id", "section_id").distinct())
         if corpus.sections is not None:
             spans = corpus.sections.join(F.broadcast(wanted), "section_id").select("document_id", "span_start", "span_end")
         else:
             spans = inside.join(F.broadcast(wanted.select("section_id")), "section_id", "left_semi").groupBy("document_id", "section_id").agg(F.min("char_start").alias("span_start"), F.max("char_end").alias("span_end")).drop("section_id")
-        held = within(inside.where("role = 'content_evidence'"), _held(spans.distinct()), "document_id").select(*corpus.chunks.columns).distinct()
-        parts.append(_budgeted(held.join(F.broadcast(agreed.select("chunk_id")), "chunk_id", "left_anti"), limits, truncated).select(*own))
+        near = within(inside.where("role = 'content_evidence'"), held(spans.distinct()), "document_id").select(*corpus.chunks.columns).distinct()
+        parts.append(_budgeted(near.join(F.broadcast(agreed.select("chunk_id")), "chunk_id", "left_anti"), limits, truncated).select(*own))
     if results.held:
         near = R.section_context(results, evidence.join(F.broadcast(results.select("section_id").distinct()), "section_id", "left_semi"))
         parts.append(near.orderBy("section_id", "ordinal", "chunk_id").limit(2 * results.held).select(*own))
     if not parts:
-        return _held(results.select("nth", "chunk_id").limit(0))
+        return held(results.select("nth", "chunk_id").limit(0))
     rows = reduce(DataFrame.unionByName, parts).distinct().join(results.select("chunk_id"), "chunk_id", "left_anti")
-    return _held(_nth(rows, casefold(F.col("path")), "char_start", "char_end", F.col("chunk_id").cast("string")).select("nth", "chunk_id"))
+    return held(_nth(rows, casefold(F.col("path")), "char_start", "char_end", F.col("chunk_id").cast("string")).select("nth", "chunk_id"))

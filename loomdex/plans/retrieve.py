@@ -1,4 +1,4 @@
-"""Hybrid retrieval: channels, fusion, consensus gate, context. One lazy plan over ids; text is joined last."""
+"""Hybrid retrieval: two channels, the consensus gate and fusion over ids; text stays out of it."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search as R
+from ..operators.lineage import held
 
 
 def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int = 10, per_channel: int = 50, gate: bool = False) -> DataFrame:
@@ -13,11 +14,13 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
 
     ``vectors`` (chunk_id, embedding) may hold stale rows; hits that ``chunks`` doesn't have are
     dropped. With ``gate`` the channels are held to the ids that both agree on, if there are any.
-    Every step after the two top-k scans runs on at most ``per_channel`` rows a channel.
+    The corpus is scanned for either channel's top-k, and once for the vectors' chunks; every other
+    step runs on these lists of at most ``per_channel`` rows.
     """
-    keyword = R.keyword_topk(chunks, query, per_channel)
-    semantic = R.vector_topk(vectors, vector, per_channel, "chunk_id")
-    semantic = semantic.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+    keyword = held(R.keyword_topk(chunks, query, per_channel))
+    hits = held(R.vector_topk(vectors, vector, per_channel, "chunk_id"))
+    here = held(chunks.select("chunk_id").join(F.broadcast(hits.select("chunk_id")), "chunk_id", "left_semi"))
+    semantic = hits.join(here, "chunk_id", "left_semi")
     order = [F.desc("score"), F.col("chunk_id")]
     ranks = R.ranked(keyword, "keyword", order, "chunk_id").unionByName(R.ranked(semantic, "semantic", order, "chunk_id"))
     if gate:
@@ -27,11 +30,6 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float
     return fused.select("id", F.round("score", 12).alias("score"), "keyword_rank", "semantic_rank").orderBy(F.desc("score"), "id").limit(limit)
 
 
-def with_source(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
-    """Late materialisation: the chosen ids' columns, the hits being few."""
-    return chunks.join(F.broadcast(hits), chunks.chunk_id == hits.id).select(*hits.columns, *columns)
-
-
 def visible(items: DataFrame, shown: DataFrame, sources: str = "source_ids") -> DataFrame:
     """Items all of whose source chunks are shown: relationships, claims and paths that lost one go."""
     used = items.select("item_id", F.explode(sources).alias("id")).join(shown.select("id"), "id", "left_anti").select("item_id").distinct()

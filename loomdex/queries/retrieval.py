@@ -11,7 +11,7 @@ from ..operators.lineage import scratch
 from ..plans import retrieve
 from . import query
 from .model import CHUNKS, CURRENT, MODEL, chunks, documents, table, versions
-from ..operators import gates, evaluate
+from ..operators import answers, evaluate, gates
 
 QUESTION = "How the thathe or thntion and the tion of le vielle"
 WORDS = ["thathe", "thntion", "tion", "of", "vielle"]
@@ -199,7 +199,7 @@ def visibility_closure(spark, d):
 
 @query("SELECT count(*) > 50 AS truncated, least(count(*), 50) AS n FROM (SELECT 1 FROM orders WHERE o_totalprice > 200000 LIMIT 51)")
 def truncated_flag(spark, d):
-    return table(spark, d, "orders").where("o_totalprice > 200000").limit(51).agg((F.count("*") > 50).alias("truncated"), F.least(F.count("*"), F.lit(50)).alias("n"))
+    return table(spark, d, "orders").where("o_totalprice > 200000").transform(answers.limited, 50)
 
 
 # --- evaluation --------------------------------------------------------------------

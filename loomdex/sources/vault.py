@@ -32,7 +32,8 @@ def scan_vault(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*
     root = _inside(root, root).rstrip("/")
     if allowed_roots and not any(root == r.rstrip("/") or root.startswith(r.rstrip("/") + "/") for r in allowed_roots):
         raise PermissionError(f"{root} isn't an allowed root")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    names = ",".join(sorted({g.rstrip("/").rsplit("/", 1)[-1].replace("**", "*") for g in include}))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{names}}}").load(root)  # others aren't opened
     bare = re.sub(r"^[a-z][a-z0-9+.-]*:/*", "/", root)
     path = F.substr(F.col("path"), F.locate(bare + "/", F.col("path")) + len(bare) + 1)
     rows = files.select(path.alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")

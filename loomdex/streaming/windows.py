@@ -1,9 +1,7 @@
-"""Windowed aggregates and incremental snapshot diffs; the same functions run in batch."""
+"""Windowed aggregates; the same functions run in batch."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,17 +18,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def each_snapshot(apply: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands on each batch once, whatever was retried: ``apply`` must
-    write by batch number (overwrite), as sinks here do."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        try:
-            apply(held, number)
-        finally:
-            held.unpersist()
-
-    return run

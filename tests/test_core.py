@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex.functions import ids, text
-from loomdex.operators import answers, chunk, evaluate, extract, gates, graph, parse, postings, scan, search, state
+from loomdex.operators import answers, chunk, evaluate, extract, gates, graph, parse, postings, scan, search, state, writers
 from loomdex.operators import lifecycle as L
 from loomdex.operators import ontology as O
 from loomdex.operators import views as V
@@ -206,7 +206,11 @@ def test_ontology(spark):
     O.check_codes(["USES"], ["ROLE"])
     with pytest.raises(ValueError, match="unknown predicate: LIKES"):
         O.check_codes(["LIKES"])
-    schema = L.answer_schema(O.ENTITY_TYPES, O.PREDICATES)
+    schema = L.answer_schema(O.ENTITY_TYPES, O.PREDICATES, O.ENTITY_SCOPES, O.ASSERTION_KINDS, O.NETWORK_LAYERS)
+    entity, relation = (schema["properties"][k]["items"] for k in ("entities", "relationships"))
+    assert entity["required"] == ["local_id", "name", "entity_type", "entity_subtype", "proposed_subtype", "scope", "assertion_kind", "evidence"] and entity["additionalProperties"] is False
+    assert relation["required"] == ["subject_local_id", "predicate", "object_local_id", "assertion_kind", "network_layer", "evidence"] and relation["properties"]["network_layer"]["enum"][-1] is None
+    assert schema["required"] == ["entities", "relationships", "claims"] and entity["properties"]["entity_type"]["enum"] == O.ENTITY_TYPES
     assert [schema["properties"][k]["maxItems"] for k in ("entities", "relationships", "claims")] == [12, 12, 8]
 
 
@@ -364,3 +368,52 @@ def test_case_checks(spark):
     df = spark.createDataFrame(rows_, "expected_type string, got_type string, expected_sources array<string>, got_sources array<string>, expected_claims array<string>, got_claims array<string>, expected_hops int, got_hops int, limit int, warnings array<string>")
     got = answers.case_checks(df).first().asDict()
     assert got == {"query_type": 0.5, "sources": 1.0, "claims": 1.0, "hops": 0.5, "rank": 0.5, "no_warnings": 0.5, "accepted": 0.5}
+
+
+def test_versions_are_stored_by_bucket(spark, tmp_path):
+    path = str(tmp_path / "versions")
+    make = lambda ids, v: spark.createDataFrame([(i, f"{v}{n}") for i in ids for n in range(2)], "document_id long, chunk string")
+    writers.store_versions(spark, make(range(40), "a"), path, buckets=4)
+    for _ in range(2):  # a retry changes nothing
+        writers.store_versions(spark, make([3, 99], "b"), path, buckets=4)
+        want = sorted((i, f"{'b' if i in (3, 99) else 'a'}{n}") for i in [*range(40), 99] for n in range(2))
+        assert rows(spark.read.parquet(path).select("document_id", "chunk")) == want
+    assert len(list((tmp_path / "versions").glob("bucket=*"))) <= 4
+    writers.switch_alias(spark, "current_versions", path)
+    assert spark.table("current_versions").count() == 82
+
+
+def test_fences_and_front_matter():
+    flags = lambda t: [e.kind for e in parse.parse(t) if e.element == "flag"]
+    assert flags("```py") == [] and flags("x\n\n~~~") == [] and flags("```py\nx") == ["unclosed_fence"]
+    for front, want in (("2024-01-02: 2024-01-02\n3: {true: [1, 2.5, null]}", {"2024-01-02": "2024-01-02", "3": {"True": [1, 2.5, None]}}), ("a: 2024-01-02T03:04:05Z", {"a": "2024-01-02T03:04:05+00:00"})):
+        note = parse.Note(f"---\n{front}\n---\nx")
+        parse.front_matter(note)
+        assert note.front == want and note.flags == []
+    for front in ("a: !!set {x, y}", "a: !!binary aGk=", "- a", "a: [", "a: !!python/object:x y"):
+        assert flags(f"---\n{front}\n---\nx") == ["frontmatter_invalid"]
+
+
+def test_corpora_and_limits(spark, tmp_path):
+    (tmp_path / "c.json").write_text('[{"query": "a", "limit": 3},\n {"query": "b", "limit": null}]')
+    assert rows(vault.json_corpus(spark, str(tmp_path / "c.json")).select("query", "limit")) == [("a", 3), ("b", None)]
+    assert answers.limited(spark.range(9), 5).first()[:] == (True, 5) and answers.limited(spark.range(5), 5).first()[:] == (False, 5)
+
+
+def test_what_must_be_parsed(spark):
+    states = lambda data: spark.createDataFrame(data, "key string, document_id string, hash string, lifecycle string")
+    before = states([("a", "1", "h", "active"), ("b", "2", "h", "error"), ("c", "3", "h", "active"), ("d", "4", "h", "active")])
+    after = states([("a", "1", "h", "active"), ("b", "2", "h", "active"), ("c", "3", "new", "active"), ("d", "4", "h", "deleted"), ("e", "5", "x", "active")])
+    assert sorted(r.key for r in scan.to_parse(before, after).collect()) == ["b", "c", "e"]
+
+
+def test_names_in_built_ins_and_beyond(spark):
+    import unicodedata
+
+    names = [" A  b\tC ", "\x1cx\x1fy", "Straße  X", "ﬁ Ａ", "İ", "", None, "plain"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [tuple(r) for r in df.select(text.normal_name(F.col("n")), text.nfkc(F.col("n"))).collect()]
+    assert got == [(None, None) if n is None else (" ".join(unicodedata.normalize("NFKC", n).casefold().split()), unicodedata.normalize("NFKC", n)) for n in names]
+    ips = {"10.0.0.1": "10.0.0.1", "01.2.3.4": None, "256.1.1.1": None, "2001:DB8:0:0::1": "2001:db8::1", "x": None, "1.2.3.4\n": None}
+    df = spark.createDataFrame([(i,) for i in ips], "i string")
+    assert [r[0] for r in df.select(text.compressed_address(F.col("i"))).collect()] == list(ips.values())
