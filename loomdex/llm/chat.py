@@ -167,8 +167,3 @@ def format_chat(turns: DataFrame, tools: dict[str, dict] | None = None) -> DataF
     link = F.when(F.col("answers").isNotNull(), F.when(F.col("call").isNull(), "orphan").otherwise("linked"))
     tooled = tooled.select("conv_id", "turn", "role", F.coalesce(F.col("order_turn").cast(rows.schema["turn"].dataType), "turn").alias("order_turn"), F.coalesce("order_step", F.lit(0)).alias("order_step"), F.coalesce(F.size("calls"), F.lit(0)).cast("long").alias("n_calls"), F.coalesce("n_linked", zero).alias("n_linked"), link.alias("link"), F.array_join(F.array_sort(errors), ",").alias("errors"), F.coalesce(whole, some).alias("message"))
     return plain.unionByName(tooled)
-
-
-def tools_from_json(text: str) -> dict[str, dict]:
-    """Tool schemas from a JSON object of them."""
-    return json.loads(text)

@@ -96,6 +96,7 @@ def template(column: pa.Array | pa.ChunkedArray) -> Template:
     begins |= buf[np.maximum(starts - 1, 0)] == 0x0A
     after = np.zeros(len(h), bool)
     after[1:] = kind[:-1] == _NUM
+    after[(np.cumsum(counts) - counts)[counts > 0]] = False  # a number that ends the text before is none of this one's
     kind = np.where((kind == _UNIT) & ~after, _LITERAL, kind)
     keep = kind != _NOTHING
     of = np.repeat(np.arange(len(counts)), counts)[keep]
@@ -221,10 +222,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     stands before or behind. Without, one inconsistent slot clears the whole diagonal.
     Null and empty texts on either side match nothing, nor do items of fewer than four
     template words; repeated rows match each for itself. No shuffle: a benchmark block is
-    bounded and goes to every task, a larger benchmark is joined block by block. Item ids are
-    integers or strings.
+    bounded and goes to every task, a larger benchmark is joined block by block. Ids are of any type.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     id_type, item_type = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+    item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
     out = None
     for items in _blocks(benchmark, item_col, item_text):
 
@@ -234,7 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
                 if found:
                     rows, which, n, same = zip(*found)
                     kinds = pa.array(["exact" if s else "template" for s in same])
-                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([items.ids[i] for i in which], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]), pa.array(n, pa.int64()), pa.array([int(items.counts[i]) for i in which], pa.int64()), kinds], names=["id", "item", "n_matched", "n_item", "kind"])
+                    yield pa.record_batch([batch.column(0).take(pa.array(rows)), pa.array([items.ids[i] for i in which], item_arrow), pa.array(n, pa.int64()), pa.array([int(items.counts[i]) for i in which], pa.int64()), kinds], names=["id", "item", "n_matched", "n_item", "kind"])
 
         part = docs.select(id_col, text_col).mapInArrow(match, f"id {id_type}, item {item_type}, n_matched long, n_item long, kind string")
         out = part if out is None else out.unionByName(part)

@@ -288,3 +288,57 @@ def test_queries_use_no_python_where_native(spark):
     for name in ("op1_url_filter", "op7_chat_format", "op10_secret_scan"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Arrow|Pandas", plan)
+
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def canonical(text):
+    """[(core, token, token where a capital that begins a sentence is a name)], word by word."""
+    out, begins, number = [], True, False
+    for m in WORD.finditer(text or ""):
+        w = m[0]
+        at_line = m.start() > 0 and text[m.start() - 1] == "\n"
+        begins = begins or at_line
+        ends = bool(re.search("[.!?:][\"'»”’)\\]}]*$", w))
+        core = w.strip(decontamination._OUTER)
+        if core:
+            low = core.lower()
+            digits = re.fullmatch(r"[+\-]?[$€£]?[0-9][0-9.,:/]*(%|st|nd|rd|th)?", core)
+            amount = re.fullmatch(r"([+\-]?[0-9][0-9.,]*)([a-zA-Zµ]+)", core)
+            capital = core[0].isupper() and any(c.islower() for c in core)
+            if digits:
+                out.append((core.replace(",", ""), "<num>", "<num>"))
+            elif amount and amount[2].lower() in decontamination.UNITS:
+                out.append((core, "<num>", "<num>"))
+            elif low in decontamination.UNITS:
+                out.append((low, *(["<unit>"] * 2 if number else [low] * 2)))
+            else:
+                out.append((low, low if begins or not capital else "<name>", "<name>" if capital else low))
+        number = bool(core) and out[-1][1] == "<num>"
+        begins = ends
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_templates_are_canonical_words(seed):
+    r = np.random.RandomState(seed)
+    bag = ["Tom", "tom", "TOM", "buys", "3", "3,000", "-4.5", "$7", "50%", "2nd", "12km", "5kg.", "km", "Miles", "hours.", "(four)", "four!", "...", "—", "don't", "McX", "a", "V", "\n", "why?\"", "Anna:", "3:45", "7/8", "x1", "1x", "É", "Éva", "“Quoted”", "3km,", "+5"]
+    texts = [" ".join(bag[i] for i in r.randint(len(bag), size=r.randint(0, 40))).replace(" \n ", "\n") for _ in range(40)] + [None, "", " ", "... —"]
+    want = [canonical(t) for t in texts]
+    t = decontamination.template(pa.array(texts, pa.string()))
+    assert t.counts.tolist() == [len(w) for w in want]
+    flat = [x for w in want for x in w]
+    for got, plain in ((t.core, [x[0] for x in flat]), (t.tokens, [x[1] for x in flat]), (t.named, [x[2] for x in flat])):
+        assert len(set(zip(got.tolist(), plain))) == len(set(got.tolist())) == len(set(plain))  # one hash a string, one string a hash
+    for typed, plain in ((t.typed, [x[1] for x in flat]), (t.named_typed, [x[2] for x in flat])):
+        assert typed.tolist() == [p in ("<num>", "<name>", "<unit>") for p in plain]
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "bigint", "string", "date", "decimal(9,2)"])
+def test_item_ids_of_any_type(spark, kind):
+    item = "what is the shortest way from the old harbour to the northern gate of the walled city on foot"
+    value = F.lit("2024-01-02") if kind == "date" else F.lit("7")
+    bench = spark.createDataFrame([(item,)], "text string").select(value.cast(kind).alias("item_id"), "text")
+    got = decontamination.find_contamination(cases.frame(spark, [(1, "see " + item, None, None, None)]), bench, runs=True)
+    assert dict(got.dtypes)["item_id"] == kind and got.count() == 1 and got.first().item_id == bench.first().item_id
