@@ -15,10 +15,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle, slices, text_buffer, word_hashes
+from ._common import slices, text_buffer, word_hashes
+from .token_files import scratch
 
 #: Entries of the dictionary that are broadcast at the most, and the bytes of each: some 10 MB.
 FREQUENT, SHORT = 200_000, 48
@@ -151,6 +153,13 @@ class Splitter:
         return pair // max(1, len(self.names)), pair % max(1, len(self.names)), times
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the folder that executors share: compressed, and with columns to choose from."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """``token, n, pieces``: the distinct pre-tokens of all texts, their frequency and number of tokens."""
 
@@ -175,7 +184,7 @@ def dictionary(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataF
             yield pa.record_batch([*batch.columns, pa.array([Splitter.at(tokenizer).pieces(t) for t in batch.column(0).to_pylist()], pa.int64())], names=["token", "n", "pieces"])
 
     distinct = docs.select(text_col).mapInArrow(gather, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return settle(distinct.mapInArrow(encode, "token string, n long, pieces long"))
+    return written(distinct.mapInArrow(encode, "token string, n long, pieces long"))
 
 
 def _frequent(words: DataFrame, most: int) -> dict[str, int]:
@@ -204,7 +213,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, frequent: i
     id_type = dict(docs.dtypes)[id_col]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, pieces = Splitter.at(tokenizer), np.zeros(0, np.int64)
+        splitter, pieces, row = Splitter.at(tokenizer), np.zeros(0, np.int64), TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1, RUN):
             if splitter.full:
                 splitter.forget()
@@ -218,10 +227,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, frequent: i
             ends = np.searchsorted(text[~met], np.arange(batch.num_rows + 1)).astype(np.int32)
             rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array([splitter.names[i] for i in token[~met].tolist()], pa.string()), pa.array(times[~met], pa.int64())], ["token", "k"]))
             size = pa.compute.binary_length(column).cast(pa.int64()).fill_null(0)
-            yield pa.record_batch([batch.column(0), size, pa.array(n), rest], names=[id_col, "n_bytes", "met", "rest"])
+            yield pa.record_batch([batch.column(0), size, pa.array(n), rest, pa.array(np.arange(row, row + batch.num_rows))], names=[id_col, "n_bytes", "met", "rest", "row"])
+            row += batch.num_rows
 
-    counted = docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, met long, rest array<struct<token: string, k: long>>")
-    counted = settle(counted).withColumn("row", F.monotonically_increasing_id())  # of a settled table, so it stays
+    counted = written(docs.select(id_col, text_col).mapInArrow(count, f"`{id_col}` {id_type}, n_bytes long, met long, rest array<struct<token: string, k: long>>, row long"))
     left = counted.where(F.size("rest") > 0).select("row", F.inline("rest"))
     more = left.join(words.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("k") * F.col("pieces")).alias("more"))
     part = counted.where(F.size("rest") > 0).join(more, "row").withColumn("met", F.col("met") + F.col("more"))
