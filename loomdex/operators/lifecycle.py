@@ -19,6 +19,33 @@ def pending_chunks(states: DataFrame, runs: DataFrame) -> DataFrame:
     return states.where(F.col("status").isin(*RETRIED)).join(live, "run_id", "left_semi").orderBy("run_id", "chunk_id")
 
 
+def prepare_runs(jobs: DataFrame, runs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New extraction runs (run_id, job_id, vault_id, requested) of jobs (job_id, vault_id) that have none yet, and their chunks, pending.
+
+    ``chunks`` (job_id, chunk_id) are what each job asks for; a job without any gets no run. A job
+    that is prepared again keeps its run. The run's id follows from the job's, so a retry makes the same.
+    """
+    wanted = chunks.select("job_id", "chunk_id").distinct()
+    new = jobs.join(runs.select("job_id"), "job_id", "left_anti").join(wanted.groupBy("job_id").agg(F.count("*").alias("requested")), "job_id")
+    new = new.select(F.sha2(F.concat(F.lit("run:"), F.col("job_id").cast("string")), 256).alias("run_id"), "job_id", "vault_id", "requested", F.lit("running").alias("status"))
+    return new, wanted.join(new.select("job_id", "run_id"), "job_id").select("run_id", "chunk_id", F.lit("pending").alias("status"))
+
+
+def identifier_writes(resolved: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """New identifiers (entity_id, kind, value, candidate_id, evidence_id) of resolved candidates (entity_id, candidate_id, evidence_id,
+    ids), ids being kinds and normal values; what an entity has isn't added again, and of several candidates the first brings it."""
+    each = resolved.where("entity_id IS NOT NULL").select("entity_id", "candidate_id", "evidence_id", F.inline("ids"))
+    first = each.groupBy("entity_id", "kind", "value").agg(F.min_by(F.struct("candidate_id", "evidence_id"), F.struct("candidate_id", "evidence_id")).alias("r"))
+    return first.join(identifiers.select("entity_id", "kind", "value"), ["entity_id", "kind", "value"], "left_anti").select("entity_id", "kind", "value", "r.candidate_id", "r.evidence_id")
+
+
+def decision_rows(decisions: DataFrame, decided: DataFrame) -> DataFrame:
+    """New decision records (candidate_id, entity_id, decision, method, score) of a resolution's ``decisions``; candidates in ``decided`` have theirs."""
+    score = F.when(F.col("decision") == "merge", F.lit("1.0000").cast("decimal(6,4)"))
+    method = F.when(F.col("decision") == "create", "no_match").when(F.col("decision") == "merge", "strong_identifier").otherwise("ambiguous_identifier")
+    return decisions.join(decided.select("candidate_id"), "candidate_id", "left_anti").select("candidate_id", "entity_id", "decision", method.alias("method"), score.alias("score"))
+
+
 def replace_results(existing: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """What a table holds after results are written again: rows of the keys (run, chunk) in ``new`` are replaced whole."""
     return existing.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new)

@@ -110,6 +110,25 @@ def documents_view(documents: DataFrame, versions: DataFrame, chunks: DataFrame)
     return rows.select("document_id", "vault_id", "path", "lifecycle", "version_status", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sections", "n_chunks")])
 
 
+def sections_view(documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """The sections (version_id, section_id, ordinal, ...) of active documents' current versions, each with its document."""
+    live = documents.where("lifecycle = 'active'").select("document_id", F.col("current_version_id").alias("version_id"))
+    return sections.join(live, "version_id").orderBy("document_id", "ordinal")
+
+
+def source_view(chunks: DataFrame, documents: DataFrame, vaults: DataFrame) -> DataFrame:
+    """Chunks of active documents' current versions, whatever its state, with their document and addresses.
+
+    ``source_uri`` is the vault's prefix and the path as they are: neither quoted nor with a
+    span, and a slash at the prefix's end stays. ``note_uri`` fills the vault's template
+    (vault_id, prefix, uri_template), in which {relative_path} stands for the path; null without one.
+    """
+    live = documents.where("lifecycle = 'active'").select("document_id", "vault_id", "path", F.col("current_version_id").alias("version_id"))
+    rows = chunks.join(live, "version_id").join(vaults.select("vault_id", "prefix", "uri_template"), "vault_id")
+    note = F.replace("uri_template", F.lit("{relative_path}"), F.col("path"))
+    return rows.select(F.col("chunk_id").alias("source_id"), "vault_id", "document_id", "version_id", "section_id", F.col("path").alias("relative_path"), F.col("text").alias("quote"), "char_start", "char_end", F.sha2("text", 256).alias("content_hash"), F.concat("prefix", "path").alias("source_uri"), note.alias("note_uri"))
+
+
 def snapshot_sets(vaults: DataFrame, documents: DataFrame, versions: DataFrame, sections: DataFrame, chunks: DataFrame, links: DataFrame, entities: DataFrame, mentions: DataFrame, assertions: DataFrame, claims: DataFrame, evidence: DataFrame) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """The nine node sets (id) and thirteen edge sets (source_id, target_id) of a vault's graph, for ``graph.snapshot``.
 

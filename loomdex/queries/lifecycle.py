@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cascade as Z
+from ..operators import extract as X
 from ..operators import gates, graph
 from ..operators import hydrate as H
 from ..operators import lifecycle as L
 from ..operators import links as Y
 from ..operators import ontology as O
+from ..operators import outbox as B
 from ..operators import scan
 from ..operators import sketches as K
 from ..operators import snapshots as N
@@ -329,6 +331,71 @@ def snapshot_hash(spark, d):
     return graph.canonical_hash(nodes, nation.select(n.alias("source_id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("target_id")))
 
 
+@query(f"""WITH {MODEL} SELECT c.chunk_id AS source_id, d.vault_id, d.document_id, d.path AS relative_path, c.char_start, c.char_end, sha256(c.text) AS content_hash, 'vault://' || d.vault_id || '/' || d.path AS source_uri, CASE WHEN d.vault_id < 'm' THEN 'note://open?file=' || d.path END AS note_uri
+    FROM chunks_m c JOIN documents_m d ON d.current_version_id = c.version_id WHERE d.lifecycle = 'active' AND d.vault_id IS NOT NULL""")
+def source_view(spark, d):
+    docs = documents(spark, d)
+    vaults = docs.where("vault_id IS NOT NULL").select("vault_id").distinct().select("vault_id", F.concat(F.lit("vault://"), "vault_id", F.lit("/")).alias("prefix"), F.when(F.col("vault_id") < "m", "note://open?file={relative_path}").alias("uri_template"))
+    return V.source_view(chunks(spark, d), docs, vaults).drop("version_id", "section_id", "quote")
+
+
+@query(f"""WITH {MODEL} SELECT c.section_id, d.document_id, count(*) AS n_chunks FROM chunks_m c JOIN documents_m d ON d.current_version_id = c.version_id WHERE d.lifecycle = 'active' GROUP BY ALL""")
+def sections_view(spark, d):
+    sections = chunks(spark, d).groupBy("version_id", "section_id").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("n_chunks"))
+    return V.sections_view(documents(spark, d), sections).select("section_id", "document_id", "n_chunks")
+
+
+_OUTBOX = """box AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'processing' ELSE 'succeeded' END AS status, o_orderkey % 6 AS attempts, o_custkey % 500 AS chunk_id, o_orderkey % 3 AS generation, o_orderkey % 4 = 0 AS gone, o_orderdate::TIMESTAMP AS created_at, o_orderdate::TIMESTAMP + INTERVAL 30 DAY AS expires FROM orders),
+    swept AS (SELECT * REPLACE (CASE WHEN status = 'processing' AND expires < TIMESTAMP '1997-01-01' AND attempts >= 5 THEN 'failed' ELSE status END AS status) FROM box),
+    taken AS (SELECT id FROM swept WHERE attempts < 5 AND (status = 'pending' OR (status = 'processing' AND expires < TIMESTAMP '1997-01-01')) ORDER BY created_at, id LIMIT 400),
+    claimed AS (SELECT s.*, t.id IS NOT NULL AS mine FROM swept s LEFT JOIN taken t USING (id)),
+    marked AS (SELECT id, CASE WHEN NOT mine THEN status WHEN id % 5 <> 0 THEN 'succeeded' WHEN attempts + 1 < 5 THEN 'pending' ELSE 'failed' END AS status, attempts + mine::INT AS attempts, CASE WHEN mine AND id % 5 = 0 AND attempts + 1 < 5 THEN least(300, pow(2, least(attempts + 1, 8)))::BIGINT END AS wait, mine FROM claimed)"""
+
+
+@query(f"WITH {_OUTBOX} SELECT status, attempts, wait, count(*) AS n, sum(id)::BIGINT AS total FROM marked GROUP BY ALL")
+def outbox_marked(spark, d):
+    """A batch is claimed and marked: four of five rows succeed."""
+    o = table(spark, d, "orders")
+    created, now = F.col("o_orderdate").cast("timestamp"), F.lit("1997-01-01").cast("timestamp")
+    none = F.lit(None)
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "processing").otherwise("succeeded")
+    box = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.when(F.col("o_orderkey") % 4 == 0, "delete").otherwise("upsert").alias("operation"), (F.col("o_orderkey") % 3).alias("generation"), (F.col("o_custkey") % 500).alias("chunk_id"), (F.col("o_orderkey") % 6).alias("attempts"), F.lit(5).alias("max_attempts"), none.cast("timestamp").alias("next_attempt_at"), none.cast("string").alias("lease_owner"), (created + F.expr("INTERVAL 30 DAYS")).alias("lease_expires_at"), created.alias("created_at"), none.cast("string").alias("error"))
+    after, mine = B.claim_batch(B.exhaust(box, now), "w", now, 400, 60)
+    results = mine.select("id", F.lit(True).alias("is_current"), F.when(F.col("id") % 5 == 0, "provider_down").alias("error"))
+    states = box.select("chunk_id", F.lit(0).cast("long").alias("generation"), F.lit("pending").alias("status")).distinct()
+    box, _ = B.mark(after, states, results, now)
+    wait = F.unix_timestamp("next_attempt_at") - F.unix_timestamp(now)
+    return box.groupBy("status", "attempts", wait.alias("wait")).agg(F.count("*").alias("n"), F.sum("id").alias("total"))
+
+
+@query("""WITH jobs AS (SELECT c_custkey AS job_id, c_nationkey AS vault_id FROM customer), asked AS (SELECT DISTINCT o_custkey AS job_id, o_orderkey AS chunk_id FROM orders WHERE o_orderstatus = 'O')
+    SELECT sha256('run:' || job_id) AS run_id, job_id, vault_id, count(*) AS requested FROM jobs JOIN asked USING (job_id) WHERE job_id % 7 <> 0 GROUP BY ALL""")
+def runs_prepared(spark, d):
+    jobs = table(spark, d, "customer").select(F.col("c_custkey").alias("job_id"), F.col("c_nationkey").alias("vault_id"))
+    asked = table(spark, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("chunk_id"))
+    return L.prepare_runs(jobs, jobs.where("job_id % 7 = 0"), asked)[0].drop("status")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS entity_id, l_orderkey * 10 + l_linenumber AS candidate_id, CAST(l_partkey % 20 AS VARCHAR) AS value FROM lineitem)
+    SELECT entity_id, 'asset_id' AS kind, value, min(candidate_id) AS candidate_id, min(candidate_id) AS evidence_id FROM r WHERE value <> '7' GROUP BY ALL""")
+def identifier_writes(spark, d):
+    l = table(spark, d, "lineitem")
+    ids = F.array(F.struct(F.lit("asset_id").alias("kind"), (F.col("l_partkey") % 20).cast("string").alias("value")))
+    one = (F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    resolved = l.select(F.col("l_suppkey").alias("entity_id"), one.alias("candidate_id"), one.alias("evidence_id"), ids.alias("ids"))
+    known = l.select(F.col("l_suppkey").alias("entity_id"), F.lit("asset_id").alias("kind"), F.lit("7").alias("value")).distinct()
+    return L.identifier_writes(resolved, known)
+
+
+@query("""WITH c AS (SELECT doc_id, lang AS block, sha256(text) AS key FROM documents), f AS (SELECT block, key, min(doc_id) AS first FROM c GROUP BY ALL)
+    SELECT decision, method, count(*) AS n, count(score) AS scored FROM (SELECT CASE WHEN doc_id = first THEN 'create' ELSE 'merge' END AS decision, CASE WHEN doc_id = first THEN 'no_match' ELSE 'strong_identifier' END AS method, CASE WHEN doc_id <> first THEN 1.0 END AS score FROM c JOIN f USING (block, key) WHERE doc_id % 10 <> 0) GROUP BY ALL""")
+def decisions_recorded(spark, d):
+    docs = table(spark, d, "documents")
+    made = X.resolve(docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("lang").alias("block"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("candidate_id"), F.array(F.sha2("text", 256)).alias("keys")))
+    rows = L.decision_rows(made, docs.where("doc_id % 10 = 0").select(F.col("doc_id").cast("string").alias("candidate_id")))
+    return rows.groupBy("decision", "method").agg(F.count("*").alias("n"), F.count("score").alias("scored"))
+
+
 @query("""WITH n AS (SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation), s AS (SELECT 's' || s_suppkey AS id, s_name AS name, 'n' || s_nationkey AS nation FROM supplier),
     t AS (SELECT '{"nodes":{"Nation":[' || (SELECT string_agg('{"id":"' || id || '","managed":true,"name":"' || name || '"}', ',' ORDER BY id) FROM n) || '],"Supplier":[' || (SELECT string_agg('{"id":"' || id || '","managed":true,"name":"' || name || '"}', ',' ORDER BY id) FROM s)
         || ']},"relationships":{"LOCATED_IN":[' || (SELECT string_agg('{"properties":{"by":"nation"},"source_id":"' || id || '","target_id":"' || nation || '"}', ',' ORDER BY id, nation) FROM s) || ']}}' AS text)
