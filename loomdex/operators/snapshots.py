@@ -51,10 +51,10 @@ def _json(value: Column, kind: T.DataType) -> Column:
 
 
 def canonical_objects(parts: dict[str, DataFrame]) -> DataFrame | None:
-    """``part, id, body``: the objects of node or edge sets, in their own canonical JSON; ``id`` gives their order in a set."""
+    """``part, id, body``: the objects of node or edge sets, in their own canonical JSON; ``id``, from ``_order`` if a set has that, gives their order in it."""
     out = None
     for name, df in sorted(parts.items()):
-        key = F.col("id") if "id" in df.columns else F.concat_ws("\n", *[F.col(c) for c in ("_order", "source_id", "target_id") if c in df.columns])
+        key = F.concat_ws("\n", *[F.col(c) for c in ("_order", "id", "source_id", "target_id") if c in df.columns])
         shown = [c for c in df.columns if c != "_order"]
         body = _json(F.struct(*shown), df.select(F.struct(*shown).alias("x")).schema["x"].dataType)
         rows = df.select(F.lit(name).alias("part"), key.cast("string").alias("id"), body.alias("body"))

@@ -320,3 +320,79 @@ def test_lease_timers_are_the_fold(spark, tmp_path):
     now = F.lit(t0 + timedelta(hours=7))
     want = {x.job_id: (x.status, x.attempts) for x in state.recover(state.job_states(spark.createDataFrame([*log, last], schema)).withColumn("lease_expires_at", F.col("updated_at") + F.expr("INTERVAL 1 HOUR")), now).collect()}
     assert got == want and {s for s, _ in want.values()} >= {"failed", "succeeded"}
+
+
+# --- the typed graph --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_typed_graph_is_the_models(spark, seed):
+    from loomdex.operators.typed_graph import vault_graph
+
+    r = random.Random(seed)
+    pick = lambda p, n: f"{p}{r.randrange(n)}"
+    t = {
+        "vaults": ("vault_id name", [("v", "Vault"), ("w", "Other")]),
+        "documents": ("document_id vault_id path title lifecycle current_version_id", [(f"d{i}", r.choice("vvw"), f"p/{i}.md", r.choice([None, 'T "q"']), r.choice(["active", "active", "deleted"]), f"n{11 - i}") for i in range(12)]),
+        "versions": ("version_id document_id status content_sha256 parser_version chunker_version", [(f"n{11 - i}", f"d{i}", r.choice(["ready", "ready", "parsing"]), f"h{i}", "1", "2") for i in range(12)]),
+        "sections": ("section_id version_id parent_id heading heading_path heading_level ordinal", [(f"s{i:02d}", pick("n", 12), r.choice([None, pick("s0", 9)]), r.choice([None, "H"]), ["a", f"é{i}"], r.randrange(3), i) for i in range(20)]),
+        "chunks": ("chunk_id version_id section_id content_sha256 ordinal char_start char_end", [(f"c{i:02d}", pick("n", 12), pick("s0", 9), f"x{i}", i, i * 10, i * 10 + 9) for i in range(30)]),
+        "links": ("link_id version_id link_kind resolution target_document_id", [(f"l{i}", pick("n", 12), "wikilink", r.choice(["resolved", "resolved", "unresolved"]), r.choice([None, pick("d", 12)])) for i in range(9)]),
+        "entities": ("entity_id vault_id name normalized_name entity_type entity_subtype scope status", [(f"e{i}", r.choice("vvw"), f"E{i}", f"e{i}", "SYSTEM", r.choice([None, "X"]), "model", r.choice(["active", "active", "superseded"])) for i in range(9)]),
+        "mentions": ("mention_id chunk_id entity_id surface_form status", [(f"m{i:02d}", pick("c0", 9), pick("e", 9), "f\n", r.choice(["active", "gone"])) for i in range(25)]),
+        "assertions": ("assertion_id source_id target_id predicate assertion_kind review_status network_layer status evidence_id", [(f"a{i:02d}", pick("e", 9), pick("e", 9), "USES", "explicit", "accepted", r.choice([None, "layer_2"]), r.choice(["active", "active", "gone"]), pick("q0", 9)) for i in range(25)]),
+        "claims": ("claim_id vault_id text assertion_kind review_status status evidence_id", [(f"k{i:02d}", r.choice("vw"), "c\\", "inferred", "pending", r.choice(["active", "gone"]), pick("q1", 9)) for i in range(15)]),
+        "evidence": ("evidence_id chunk_id quote quote_sha256 char_start char_end", [(f"q{i:02d}", pick("c1", 9), "q", "z", i, i + 1) for i in range(20)]),
+    }
+    kinds = {"heading_path": "array<string>", "heading_level": "int", "ordinal": "int", "char_start": "int", "char_end": "int"}
+    frames = {k: spark.createDataFrame(rows, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in names.split())) for k, (names, rows) in t.items()}
+    data = {k: sorted((dict(zip(names.split(), row)) for row in rows), key=lambda x: list(x.values())[0]) for k, (names, rows) in t.items()}
+    docs = [x | {k: v for k, v in y.items() if k not in ("status", "document_id")} for x in data["documents"] for y in data["versions"] if x["vault_id"] == "v" and x["lifecycle"] == "active" and y["version_id"] == x["current_version_id"] and y["status"] == "ready"]
+    ids, live = {x["document_id"] for x in docs}, {x["version_id"]: x["document_id"] for x in docs}
+    secs, parts = ([x for x in data[k] if x["version_id"] in live] for k in ("sections", "chunks"))
+    held = {x["chunk_id"] for x in parts}
+    ents = [x for x in data["entities"] if x["vault_id"] == "v" and x["status"] == "active"]
+    known = {x["entity_id"] for x in ents}
+    ment = [x for x in data["mentions"] if x["status"] == "active" and x["entity_id"] in known and x["chunk_id"] in held]
+    asse = [x for x in data["assertions"] if x["status"] == "active" and {x["source_id"], x["target_id"]} <= known]
+    clai = [x for x in data["claims"] if x["status"] == "active" and x["vault_id"] == "v"]
+    evid = [x for x in data["evidence"] if x["chunk_id"] in held and x["evidence_id"] in {y["evidence_id"] for y in asse + clai}]
+    link = [x for x in data["links"] if x["resolution"] == "resolved" and x["version_id"] in live and x["target_document_id"] in ids]
+    node = lambda rows, key, *pairs: [{"gks_managed": True, "vault_id": "v", "id": x[key], **{n: x[c] for n, c in (p.split(":") if ":" in p else (p, p) for p in pairs)}} for x in rows]
+    edge = lambda rows, a, b, *props: [{"source_id": x[a], "target_id": x[b], "properties": {p: x[p] for p in props}} for x in rows]
+    nodes = {
+        "Vault": node([{"vault_id": "v", "name": "Vault"}], "vault_id", "name"), "Document": node(docs, "document_id", "relative_path:path", "title", "status:lifecycle"), "DocumentVersion": node(docs, "version_id", "document_id", "content_sha256", "parser_version", "chunker_version"),
+        "Section": node(secs, "section_id", "heading", "heading_path", "heading_level", "ordinal"), "Chunk": node(parts, "chunk_id", "section_id", "content_sha256", "ordinal", "char_start", "char_end"), "Entity": node(ents, "entity_id", "canonical_name:name", "normalized_name", "entity_type", "entity_subtype", "scope", "status"),
+        "RelationshipAssertion": node(asse, "assertion_id", "predicate", "assertion_kind", "review_status", "network_layer", "status"), "Claim": node(clai, "claim_id", "text", "assertion_kind", "review_status", "status"), "Evidence": node(evid, "evidence_id", "chunk_id", "quote", "quote_sha256", "char_start", "char_end"),
+    }
+    relationships = {
+        "CONTAINS": edge([x | {"v": "v"} for x in docs], "v", "document_id"), "HAS_VERSION": edge(docs, "document_id", "version_id"), "HAS_SECTION": edge(secs, "version_id", "section_id"), "HAS_CHILD": edge([x for x in secs if x["parent_id"]], "parent_id", "section_id"), "HAS_CHUNK": edge(parts, "section_id", "chunk_id"),
+        "LINKS_TO": edge([x | {"document_id": live[x["version_id"]]} for x in link], "document_id", "target_document_id", "link_id", "link_kind"), "MENTIONS": edge(ment, "chunk_id", "entity_id", "mention_id", "surface_form"), "SUBJECT": edge(asse, "assertion_id", "source_id"), "OBJECT": edge(asse, "assertion_id", "target_id"),
+        "ENTITY_LINK": edge(asse, "source_id", "target_id", "assertion_id", "predicate", "review_status", "assertion_kind"), "ASSERTION_SUPPORTED_BY": edge(asse, "assertion_id", "evidence_id"), "CLAIM_SUPPORTED_BY": edge(clai, "claim_id", "evidence_id"), "LOCATED_IN": edge(evid, "evidence_id", "chunk_id"),
+    }
+    text = json.dumps({"nodes": nodes, "relationships": relationships}, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    got = snapshots.snapshot_sha256(*vault_graph("v", **frames)).first()
+    assert (got.n_objects, got.sha256) == (sum(map(len, [*nodes.values(), *relationships.values()])), sha256(text.encode()).hexdigest())
+    assert got.n_objects > 40
+
+
+def test_outbox_marks_the_projection(spark):
+    from datetime import datetime, timedelta
+
+    from loomdex.operators import outbox
+
+    now, early = datetime(2024, 1, 2), datetime(2024, 1, 1)
+    row = lambda i, status, op, chunk, attempts, lease=None: (i, status, op, 2, chunk, attempts, 3, None, None, lease, early + timedelta(minutes=i), None)
+    box = spark.createDataFrame([row(1, "pending", "upsert", "a", 0), row(2, "pending", "delete", "b", 0), row(3, "processing", "upsert", "c", 2, early), row(4, "processing", "upsert", "d", 3, early), row(5, "processing", "upsert", "e", 1, now + timedelta(1)), row(6, "succeeded", "upsert", "f", 1), row(7, "pending", "upsert", "g", 0)], "id long, status string, operation string, generation long, chunk_id string, attempts long, max_attempts long, next_attempt_at timestamp, lease_owner string, lease_expires_at timestamp, created_at timestamp, error string")
+    states = spark.createDataFrame([(c, 1, "pending") for c in "abcdefg"], "chunk_id string, generation long, status string")
+    swept = outbox.exhaust(box, F.lit(now))
+    assert {x.id: x.status for x in swept.collect()}[4] == "failed"
+    after, mine = outbox.claim_batch(swept, "w", F.lit(now), 3, 60)
+    assert [(x.id, x.attempts, x.lease_owner, x.lease_expires_at) for x in mine.orderBy("id").collect()] == [(1, 1, "w", now + timedelta(0, 60)), (2, 1, "w", now + timedelta(0, 60)), (3, 3, "w", now + timedelta(0, 60))]
+    chunks = spark.createDataFrame([("a", "text")], "chunk_id string, text string")
+    items = {x.id: (x.text, x.is_current) for x in outbox.work_items(mine, chunks, chunks).collect()}
+    assert items == {1: ("text", True), 2: (None, False), 3: (None, False)}
+    results = spark.createDataFrame([(1, True, None), (2, False, None), (3, True, "down"), (6, True, "late")], "id long, is_current boolean, error string")
+    done, projected = outbox.mark(after, states, results, F.lit(now))
+    assert {x.id: (x.status, x.error) for x in done.collect()} == {1: ("succeeded", None), 2: ("succeeded", None), 3: ("failed", "down"), 4: ("failed", "lease_expired"), 5: ("processing", None), 6: ("succeeded", None), 7: ("pending", None)}
+    assert {x.chunk_id: (x.generation, x.status) for x in projected.collect() if x.chunk_id in "abc"} == {"a": (2, "current"), "b": (2, "deleted"), "c": (1, "failed")}
