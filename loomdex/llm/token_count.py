@@ -11,6 +11,7 @@ joined by a shuffle on the pre-token. No id is ever kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,19 @@ REMEMBER, CHARACTERS = 400_000, 16_000_000
 #: Bytes of texts that are split at once.
 RUN = 4 << 20
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _workers: dict[str, Splitter] = {}
 
 
+class _Numbers(dict):
+    """Numbers pre-tokens in the order in which they are first asked for."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = number = len(self)
+        return number
+
+
 class Splitter:
     """The pre-tokens of texts, by a tokenizer file's own pre-tokeniser.
 
@@ -65,7 +76,7 @@ class Splitter:
 
     def forget(self) -> None:
         self.names: list[str] = []  # pre-tokens met
-        self.index: dict[str, int] = {}
+        self.index = _Numbers()
         self.characters = 0
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of pieces; each has ``size`` pre-tokens in ``flat`` from ``first``
         self.first, self.size, self.flat = (np.zeros(0, np.int64) for _ in range(3))
@@ -92,28 +103,33 @@ class Splitter:
         """Tokens of a pre-token: one for an added token, else as the model merges it."""
         return 1 if token in self.marks else len(self.tool.model.tokenize(token))
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Split new pieces, whose hashes are sorted. Those that begin at a cut are split as one text: they part there."""
-        split: list[list[str]] = [[] for _ in pieces]
-        joined = [i for i, p in enumerate(pieces) if self.cuts and len(p) > 1 and p[0] == " " and not p[1].isspace() and not any(m in p for m in self.marks)]
-        for a in range(0, len(joined), 4096):
-            part = joined[a : a + 4096]
-            ends = np.cumsum([len(pieces[i]) for i in part])
-            found = self._tokens("".join(pieces[i] for i in part))
-            of = np.searchsorted(ends, [s for _, (s, _) in found], side="right").tolist()
-            for (t, _), k in zip(found, of):
-                split[part[k]].append(t)
-        for i in set(range(len(pieces))).difference(joined):
-            split[i] = self.split(pieces[i])
-        flat = [t for own in split for t in own]
-        for t in flat:
-            if t not in self.index:
-                self.index[t] = len(self.names)
-                self.names.append(t)
-                self.characters += len(t)
-        size = np.array([len(own) for own in split], np.int64)
-        first = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate([self.flat, np.array([self.index[t] for t in flat], np.int64)])
+    def _learn(self, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, joined: np.ndarray, view: bytes, chars: np.ndarray) -> None:
+        """Split new pieces, whose hashes are sorted. Those of ``joined``, which begin at a cut, are split as one text: they part there."""
+        letters = np.concatenate([[0], np.cumsum(_LETTER[np.frombuffer(view, np.uint8)])])
+        plain = joined & (letters[ends] - letters[starts] == ends - starts - 1)  # a space and ASCII letters are one pre-token
+        size = plain.astype(np.int64)
+        simple, which = np.flatnonzero(plain), np.flatnonzero(joined & ~plain)
+        flat = ["\u0120" + w for w in b"".join([view[a:b] for a, b in zip(starts[simple].tolist(), ends[simple].tolist())]).decode().split(" ")[1:]]
+        for part in (which[a : a + 8192] for a in range(0, len(which), 8192)):
+            text = b"".join([view[a:b] for a, b in zip(starts[part].tolist(), ends[part].tolist())]).decode()
+            tokens, spans = zip(*self._tokens(text))
+            stops = np.cumsum(chars[ends[part]] - chars[starts[part]])
+            of = np.searchsorted(stops, np.fromiter((s for s, _ in spans), np.int64, len(spans)), side="right")
+            size[part] = np.bincount(of, minlength=len(part))
+            flat += tokens
+        rest = np.flatnonzero(~joined)
+        for i in rest.tolist():
+            own = self.split(view[starts[i] : ends[i]].decode())
+            size[i] = len(own)
+            flat += own
+        order = np.concatenate([simple, which, rest])
+        stop = np.cumsum(size[order])
+        first = np.empty(len(keys), np.int64)
+        first[order] = len(self.flat) + stop - size[order]
+        self.flat = np.concatenate([self.flat, np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))])
+        new = list(islice(self.index, len(self.names), None))
+        self.names += new
+        self.characters += sum(map(len, new))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.first, self.size = np.insert(self.keys, at, keys), np.insert(self.first, at, first), np.insert(self.size, at, size)
 
@@ -143,8 +159,9 @@ class Splitter:
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == u[inside]
         if not known.all():
-            new = np.flatnonzero(~known)
-            self._learn(u[new], [view[starts[i] : ends[i]].decode() for i in example[new].tolist()])
+            i = example[~known]
+            chars = np.concatenate([[0], np.cumsum(buf[:n] & 0xC0 != 0x80)])
+            self._learn(u[~known], starts[i], ends[i], (buf[starts[i]] == 0x20) & ink[starts[i]] & ~whole[text[i]], view, chars)
             at = np.searchsorted(self.keys, u)
         size, first = self.size[at][inverse], self.first[at][inverse]
         nth = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
