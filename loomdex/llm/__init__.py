@@ -1,4 +1,4 @@
 """Operators for preparing language-model training data.
 
-Nothing outside this subpackage imports it; ``registry`` lists its queries.
+Nothing outside this subpackage imports it; ``queries`` lists its queries and their SQL.
 """
