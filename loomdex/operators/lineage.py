@@ -23,6 +23,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it exists, in any store that Spark writes."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def held(df: DataFrame) -> DataFrame:
     """A few rows, which a limit bounds, as a local table: its size is known, so joins broadcast it."""
     rows = df.toArrow()

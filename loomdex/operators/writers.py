@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lineage import exists, settle
+from .lineage import exists, remove, settle
 
 
-def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "document_id", buckets: int = 256) -> None:
-    """Replace the derived rows of the documents in ``new`` and leave all others.
+def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "document_id", buckets: int = 256, gone: DataFrame | None = None) -> None:
+    """Replace the derived rows of the documents in ``new``, drop those of ``gone`` and leave all others.
 
-    Rows lie in folders by a hash of their document. Folders that ``new`` touches are written
-    again whole, from what they held of other documents and from ``new``; a retry gives the same.
+    Rows lie in folders by a hash of their document. Folders that the two touch are written
+    again whole, from what they held of other documents and from ``new``, and removed if
+    nothing is left; a retry gives the same.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     rows = new.withColumn("bucket", bucket)
+    empty: set[int] = set()
     if exists(spark, path):
-        touched = sorted(r[0] for r in rows.select("bucket").distinct().collect())
-        old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(new.select(key).distinct(), key, "left_anti")
+        names = new.select(key) if gone is None else new.select(key).unionByName(gone.select(key))
+        names = names.distinct()
+        touched = sorted(r[0] for r in names.select(bucket).distinct().collect())
+        old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)).join(names, key, "left_anti")
         rows = settle(old.select(*rows.columns).unionByName(rows))  # what is overwritten can't be read meanwhile
+        empty = set(touched) - {r[0] for r in rows.select("bucket").distinct().collect()}
     rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in empty:
+        remove(spark, f"{path}/bucket={b}")
 
 
 def supersede(versions: DataFrame, stored: DataFrame) -> DataFrame:

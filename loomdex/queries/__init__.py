@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import answer, corpus, coverage, knowledge, lifecycle, model, retrieval  # noqa: E402,F401
+from . import answer, corpus, coverage, ingest, knowledge, lifecycle, model, retrieval  # noqa: E402,F401
