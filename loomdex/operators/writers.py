@@ -13,7 +13,7 @@ def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "d
 
     Rows lie in folders by a hash of their document. Folders that the two touch are written
     again whole, from what they held of other documents and from ``new``, and removed if
-    nothing is left; a retry gives the same.
+    nothing is left; a retry gives the same. A bucket that is large is written by several tasks.
     """
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
     rows = new.withColumn("bucket", bucket)
@@ -25,7 +25,7 @@ def store_versions(spark: SparkSession, new: DataFrame, path: str, key: str = "d
         old = spark.read.schema(rows.schema).parquet(path).where(F.col("bucket").isin(touched)).join(names, key, "left_anti")
         rows = settle(old.select(*rows.columns).unionByName(rows))  # what is overwritten can't be read meanwhile
         empty = set(touched) - {r[0] for r in rows.select("bucket").distinct().collect()}
-    rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    rows.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     for b in empty:
         remove(spark, f"{path}/bucket={b}")
 

@@ -34,7 +34,7 @@ def store(spark, d) -> Store:
     if at not in _stores:
         path = scratch(spark, "vault")
         for s in _sources(spark, d):
-            ingest(spark, path, s, VAULT)
+            ingest(spark, path, s, VAULT, buckets=64)
         _stores[at] = path
     return Store.at(spark, _stores[at])
 

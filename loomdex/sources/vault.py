@@ -27,7 +27,8 @@ def _inside(root: str, path: str) -> str:
 def scan_vault(spark: SparkSession, root: str, include: tuple[str, ...] = ("**/*.md",), exclude: tuple[str, ...] = (), allowed_roots: tuple[str, ...] = ()) -> DataFrame:
     """``relative_path, size, mtime, content`` of the files that the globs take, in path order when sorted.
 
-    The root must lie under one of ``allowed_roots`` if there are any.
+    The root must lie under one of ``allowed_roots`` if there are any. Spark's readers skip files
+    without a byte, so an empty note has no row here.
     """
     root = _inside(root, root).rstrip("/")
     if allowed_roots and not any(root == r.rstrip("/") or root.startswith(r.rstrip("/") + "/") for r in allowed_roots):
