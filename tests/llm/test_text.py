@@ -119,6 +119,37 @@ def test_files_beat_order_0_and_blocks_decode_alone(spark):
     assert (token_files.decode_blocks(coded[2:3], np.array([len(blocks[2])]), 16)[0] == blocks[2]).all()
 
 
+def test_order_0_decodes_without_the_contexts():
+    r = np.random.RandomState(1)
+    runs = [token_files._numbered(r.zipf(1.3, n).astype(np.uint32) % 5000, np.zeros(5000, np.int32))[0] for n in (1, 2, 3, 5, 900, 4001)]
+    kinds = np.array([int(x.max()) + 1 for x in runs])
+    words, listed = token_files._code_order0(runs, kinds)
+    got = token_files._decode_order0(words, np.array([len(x) for x in runs]), listed, kinds)
+    assert [x.tolist() for x in got] == [x.tolist() for x in runs]
+
+
+def test_a_block_of_ids_all_distinct():
+    blocks = [np.arange(token_files.BLOCK, dtype=np.uint32) * 3, np.zeros(token_files.BLOCK, np.uint32), np.arange(3, dtype=np.uint32)]
+    got = token_files.decode_blocks(token_files.encode_blocks(blocks, 16), np.array([len(b) for b in blocks]), 16)
+    assert all((a == b).all() for a, b in zip(got, blocks))
+
+
+def test_the_coder_is_cheap():
+    from time import process_time
+
+    blocks = [np.random.RandomState(i).zipf(1.2, 2048).astype(np.uint32) % 3000 for i in range(1024)]
+    size = np.array([len(b) for b in blocks])
+
+    def cost(f):
+        at = process_time()
+        f()
+        return process_time() - at
+
+    both = min(cost(lambda: token_files.decode_blocks(token_files.encode_blocks(blocks, 16), size, 16)) for _ in range(2))
+    sort = min(cost(lambda: [np.argsort(b) for b in blocks * 4]) for _ in range(2)) / 4
+    assert both < 76 * sort  # 54 to 57 when written; 95 with a coder that learned at every position
+
+
 @pytest.mark.parametrize("file_words", [8_000_000, 500])
 def test_token_files_read_back(spark, tmp_path, file_words):
     path = queries.tokenizer("word_bpe_49k.json")
