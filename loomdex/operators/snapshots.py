@@ -1,4 +1,4 @@
-"""Digests of a graph snapshot: the model's own hash up to its size limit, and a tree of digests for any size.
+"""Digests of a graph snapshot: the model's own hash, which is read in one order, and a tree of digests by range.
 
 A tree has a digest for each range of keys (a range of a hash of the object's type and key) and one
 of those. Two generations are compared range by range, and only ranges whose
@@ -7,6 +7,11 @@ digests differ are read again, diffed and rewritten.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +19,8 @@ from pyspark.sql import types as T
 from .graph import MOST_OBJECTS
 from .lineage import exists
 
-#: Ranges of a tree.
-RANGES = 1024
+#: Ranges of a tree; bytes of text that go to a hash as one row, at about the most.
+RANGES, PIECE = 1024, 1 << 16
 
 
 # JSON's short escapes of control characters.
@@ -62,22 +67,54 @@ def canonical_objects(parts: dict[str, DataFrame]) -> DataFrame | None:
     return out
 
 
-def snapshot_sha256(nodes: dict[str, DataFrame], relationships: dict[str, DataFrame], most: int = MOST_OBJECTS) -> DataFrame:
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted bodies in stretches of one part, with a comma between them: ``place, nth, part, n, text``."""
+    place, nth, of, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+    row = lambda: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((place, nth, of, len(held), b",".join(held)), (pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.binary()))], ["place", "nth", "part", "n", "text"])
+    for batch in batches:
+        for part, body in zip(batch.column("part").to_pylist(), batch.column("body").cast(pa.binary()).to_pylist()):
+            if held and (part != of or size >= PIECE):
+                yield row()
+                nth, held, size = nth + 1, [], 0
+            of, size = part, size + len(body)
+            held.append(body)
+    if held:
+        yield row()
+
+
+def snapshot_sha256(nodes: dict[str, DataFrame], relationships: dict[str, DataFrame], most: int | None = MOST_OBJECTS) -> DataFrame:
     """``n_objects, sha256`` of a snapshot as the model hashes it: the compact JSON, keys sorted, of
     its node and relationship sets by label, each a list in the order of ids.
 
-    The order needs all objects in one place, so more than ``most`` are refused, as a
-    projection refuses them; ``tree`` takes any size. Empty sets are part of the hash.
+    More than ``most`` objects are refused, as a projection refuses them; None takes any size. Objects
+    are sorted by all tasks; SHA-256 takes bytes in their order, so one task hashes the text, of which
+    it holds a batch of pieces at a time. Empty sets are part of the hash.
     """
     both = canonical_objects({f"n:{k}": v for k, v in nodes.items()} | {f"r:{k}": v for k, v in relationships.items()})
-    found = both.limit(most + 1).count()
-    if found > most:
+    if most is not None and both.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} objects")
-    rows = both.groupBy("part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "body"))), lambda x: x["body"]), ",").alias("list"))
-    one = rows.agg(F.map_from_entries(F.collect_list(F.struct("part", "list"))).alias("m"))
-    side = lambda mark, sets: F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":['), F.coalesce(F.col("m")[f"{mark}:{k}"], F.lit("")), F.lit("]")) for k in sorted(sets)]), F.lit("}"))
-    text = F.concat(F.lit('{"nodes":'), side("n", nodes), F.lit(',"relationships":'), side("r", relationships), F.lit("}"))
-    return one.select(F.lit(found).cast("long").alias("n_objects"), F.sha2(text, 256).alias("sha256"))
+    parts = [f"{mark}:{k}" for mark, sets in (("n", nodes), ("r", relationships)) for k in sorted(sets)]
+    side = lambda sets: "{" + ",".join(f'"{k}":[\0]' for k in sorted(sets)) + "}"
+    leads = [x.encode() for x in f'{{"nodes":{side(nodes)},"relationships":{side(relationships)}}}'.split("\0")]  # before each set's objects, and after the last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, found, at, begun = sha256(leads[0]), 0, 0, False
+        for batch in batches:
+            for part, n, text in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "text"))):
+                while n and parts[at] != part:
+                    at, begun = at + 1, False
+                    whole.update(leads[at])
+                if n:
+                    whole.update(b"," + text if begun else text)
+                    found, begun = found + n, True
+        for lead in leads[at + 1 :]:
+            whole.update(lead)
+        yield pa.RecordBatch.from_pydict({"n_objects": [found], "sha256": [whole.hexdigest()]})
+
+    form = "place int, nth long, part string, n long, text binary"
+    none = both.sparkSession.createDataFrame([(-1, 0, "", 0, b"")], form)  # without a row the task wouldn't run
+    pieces = both.orderBy("part", "id", "body").select("part", "body").mapInArrow(_pieces, form).unionByName(none)
+    return pieces.repartition(1).sortWithinPartitions("place", "nth").mapInArrow(run, "n_objects long, sha256 string")
 
 
 def placed(objects: DataFrame, ranges: int = RANGES) -> DataFrame:

@@ -257,6 +257,24 @@ def test_snapshot_hash_is_the_models(spark):
         snapshots.snapshot_sha256(frames(nodes), frames(edges), 2)
 
 
+def test_snapshot_hash_of_more_objects_than_a_projection_takes(spark):
+    nodes = {"Empty": spark.createDataFrame([], "id string"), "N": spark.range(25_000).repartition(7).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))}
+    edges = {"A": spark.range(3).select(F.lit("n1").alias("source_id"), F.col("id").cast("string").alias("target_id")), "B": spark.createDataFrame([], "source_id string, target_id string")}
+    want = {"nodes": {"Empty": [], "N": [{"id": x} for x in sorted(f"n{i}" for i in range(25_000))]}, "relationships": {"A": [{"source_id": "n1", "target_id": str(i)} for i in range(3)], "B": []}}
+    text = json.dumps(want, sort_keys=True, separators=(",", ":"))
+    assert tuple(snapshots.snapshot_sha256(nodes, edges, None).first()) == (25_003, sha256(text.encode()).hexdigest())
+    none = {"Empty": nodes["Empty"]}
+    assert tuple(snapshots.snapshot_sha256(none, {}).first()) == (0, sha256(b'{"nodes":{"Empty":[]},"relationships":{}}').hexdigest())
+
+
+def test_the_snapshot_query_takes_any_number_of_suppliers(spark, tmp_path):
+    from loomdex.queries import lifecycle
+
+    spark.read.parquet("/root/testdata/sf0.001/nation.parquet").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(10_001).select(F.col("id").alias("s_suppkey"), F.concat(F.lit("S"), "id").alias("s_name"), (F.col("id") % 25).alias("s_nationkey")).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert lifecycle.snapshot_model_hash(spark, str(tmp_path)).first().n_objects == 25 + 2 * 10_001
+
+
 def test_one_changed_edge_rewrites_one_range(spark, tmp_path):
     make = lambda n, odd: spark.range(n).select(F.lit("r:E").alias("part"), F.col("id").cast("string").alias("id"), F.when(F.col("id") == 5, odd).otherwise("body").alias("body"))
     path = str(tmp_path / "g")
