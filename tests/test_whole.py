@@ -3,7 +3,7 @@
 import hashlib
 import json
 
-from loomdex.queries import knowledge
+from loomdex.queries import knowledge, lifecycle
 
 
 def test_fingerprint_covers_every_supplier(spark):
@@ -16,3 +16,11 @@ def test_fingerprint_covers_every_supplier(spark):
     want = sum(int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) for t in texts)
     got = knowledge.graph_fingerprint(spark, d).first()
     assert len(edges) > 100 and (got.n_objects, int(got.digest)) == (len(edges), want)
+
+
+def test_a_snapshot_without_links_counts_them(spark, tmp_path):
+    df = spark.createDataFrame([(n, "x", "en", "s") for n in (0, 700, 1400)], "doc_id long, text string, lang string, source string")  # three notes of one path, so each link is ambiguous or has no note
+    df.write.parquet(str(tmp_path / "a/documents.parquet"))
+    df.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    for at, n in (("a", 3), ("b", 0)):
+        assert {tuple(r) for r in lifecycle.links_in_snapshot(spark, str(tmp_path / at)).collect()} == {("Document", n), ("LINKS_TO", 0)}
