@@ -3,7 +3,7 @@
 import hashlib
 import json
 
-from loomdex.queries import knowledge, lifecycle
+from loomdex.queries import knowledge, lifecycle, retrieval
 
 
 def test_fingerprint_covers_every_supplier(spark):
@@ -24,3 +24,10 @@ def test_a_snapshot_without_links_counts_them(spark, tmp_path):
     df.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
     for at, n in (("a", 3), ("b", 0)):
         assert {tuple(r) for r in lifecycle.links_in_snapshot(spark, str(tmp_path / at)).collect()} == {("Document", n), ("LINKS_TO", 0)}
+
+
+def test_routes_upper_case_letter_by_letter(spark, tmp_path):
+    second = {"ß": "hybrid", "groß": "entity", "ﬁ": "hybrid", "otrs": "entity", "é": "entity", "": "hybrid"}
+    rows = [(12 * i + 6, i, "user", f"Der {w} und") for i, w in enumerate(second)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.query_type for r in retrieval.planner_route(spark, str(tmp_path)).orderBy("turn").collect()] == list(second.values())
