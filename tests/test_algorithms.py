@@ -65,6 +65,23 @@ def test_a_query_reads_its_own_terms_and_promising_blocks(spark, tmp_path, monke
     assert index.bounds([["pie", "w5"]]).count() == 1
 
 
+@pytest.mark.parametrize("stretch", [1, 5, 1 << 19])
+def test_an_index_is_grouped_where_it_is_read(spark, tmp_path, monkeypatch, stretch):
+    monkeypatch.setattr(postings, "STRETCH", stretch)
+    r = random.Random(7)
+    texts = [" ".join(r.choices(["the", "and", "x", "pie", "tart"], k=r.randint(0, 9))) for _ in range(40)] + [None, "", "--"]
+    chunks = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(3)
+    block = F.substring("chunk_id", 2, 1).cast("int")
+    found = postings.positional(chunks, block)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the test's own
+    got = sorted((t, b, i, p) for x in found.collect() for t, b, i, p in zip([x.term] * len(x.ids), [x.block] * len(x.ids), x.ids, x.positions) if x.most >= len(p))
+    assert got == sorted((w, int(f"{i:02d}"[0]), f"c{i:02d}", [j for j, v in enumerate((t or "").split()) if v == w]) for i, t in enumerate(texts) for w in set((t or "").replace("--", "").split()))
+    postings.write_postings(chunks, str(tmp_path / "p"), 4, block)
+    index = postings.Postings(spark, str(tmp_path / "p"), 4)
+    for query in ("pie tart", "x"):
+        assert [tuple(x) for x in index.topk(query, 9).collect()] == [tuple(x) for x in search.keyword_topk(chunks, query, 9).collect()]
+
+
 # --- graph -----------------------------------------------------------------------------
 
 
