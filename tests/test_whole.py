@@ -3,7 +3,7 @@
 import hashlib
 import json
 
-from loomdex.queries import knowledge, lifecycle, retrieval
+from loomdex.queries import answer, knowledge, lifecycle, retrieval
 
 
 def test_fingerprint_covers_every_supplier(spark):
@@ -31,3 +31,15 @@ def test_routes_upper_case_letter_by_letter(spark, tmp_path):
     rows = [(12 * i + 6, i, "user", f"Der {w} und") for i, w in enumerate(second)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r.query_type for r in retrieval.planner_route(spark, str(tmp_path)).orderBy("turn").collect()] == list(second.values())
+
+
+def test_a_text_is_stored_once(spark):
+    c = answer.corpus(spark, "/root/testdata/sf0.001")
+    assert "text" in c.chunks.columns and not {"text", "content_hash"} & {*c.current_claims.columns, *c.current_assertions.columns}
+    k = lifecycle.Knowledge(spark, "/root/testdata/sf0.001")
+    paths = k.documents.select("document_id", "path")
+    assert c.chunks.join(paths, ["document_id", "path"]).count() == c.chunks.count() == k.sources.count() > 100
+    for got, want, key in ((c.current_claims, lifecycle.H.claims(k.claims, k.evidence, k.sources), "claim_id"), (c.current_assertions, lifecycle.H.assertions(k.assertions, k.entities, k.evidence, k.sources), "assertion_id")):
+        both = [x for x in got.columns if x in want.columns]
+        assert {"quote", "chunk_id", key} <= set(both)
+        assert sorted(map(repr, got.select(*both).collect())) == sorted(map(repr, want.select(*both).collect())) != []
