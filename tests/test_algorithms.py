@@ -78,7 +78,7 @@ def test_an_index_is_grouped_where_it_is_read(spark, tmp_path, monkeypatch, stre
     assert got == sorted((w, int(f"{i:02d}"[0]), f"c{i:02d}", [j for j, v in enumerate((t or "").split()) if v == w]) for i, t in enumerate(texts) for w in set((t or "").replace("--", "").split()))
     postings.write_postings(chunks, str(tmp_path / "p"), 4, block)
     index = postings.Postings(spark, str(tmp_path / "p"), 4)
-    for query in ("pie tart", "x"):
+    for query in ("pie tart", "x", "the and", "the or and"):
         assert [tuple(x) for x in index.topk(query, 9).collect()] == [tuple(x) for x in search.keyword_topk(chunks, query, 9).collect()]
 
 
